@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, mixing, simhash
 
-_MODULES = [exact_dedup, simhash]
+_MODULES = [mixing, simhash, decontaminate, exact_dedup]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
