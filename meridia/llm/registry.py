@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, simhash, tokens
+from . import decontaminate, exact_dedup, langid, mixing, simhash, tokens
 
-_MODULES = [tokens, mixing, simhash, decontaminate, exact_dedup]
+_MODULES = [tokens, mixing, langid, simhash, decontaminate, exact_dedup]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -150,7 +150,7 @@ class Counter:
         return left
 
     def _learn(self, tokens: set[str]) -> dict[str, int]:
-        """Counts of pre-tokens; remembers them, up to CACHE."""
+        """Counts of pre-tokens, remembered for later texts."""
         found, short = {}, []
         for token in tokens:
             raw = token.encode("utf-8", "surrogatepass")
@@ -164,8 +164,6 @@ class Counter:
         for token, n in found.items():
             if len(token) <= 64:
                 self.known[token] = n
-        while len(self.known) > CACHE:
-            self.known.popitem(last=False)
         return found
 
     def _pieces(self, text: str) -> tuple[int, list[str]]:
@@ -205,6 +203,8 @@ class Counter:
         found = self._learn(fresh) if fresh else {}
         for i, block, _ in waiting:
             totals[i] += sum(found[t] if t in found else self.known[t] for t in block)
+        while len(self.known) > CACHE:
+            self.known.popitem(last=False)
 
 
 _COUNTERS: dict[str, Counter] = {}
