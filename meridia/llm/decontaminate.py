@@ -29,6 +29,8 @@ Defined results
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +112,10 @@ def _places(grams: str, hashes: set | None) -> Column:
     return F.expr(f"filter(transform({grams}, (x, i) -> if({test}, i, null)), i -> i is not null)")
 
 
+def _span(length: Column, at: Column) -> Column:
+    return F.struct(at.alias("at"), length)
+
+
 def _candidates(df: DataFrame, long: set | None, short: dict[int, set | None]) -> DataFrame:
     """Adds ``found``: (at, len) of the document's windows to compare, from column ``h`` (word hashes)."""
     nothing = F.array().cast("array<struct<at:int,len:int>>")
@@ -131,7 +137,8 @@ def _candidates(df: DataFrame, long: set | None, short: dict[int, set | None]) -
     for size, hashes in short.items():
         df = df.withColumn(f"g{size}", _gram_hashes(F.col("h"), size))
         at = _places(f"g{size}", hashes)
-        parts.append(F.transform(at, lambda s, z=size: F.struct(s.alias("at"), F.lit(z).alias("len"))))
+        length = F.lit(size).alias("len")
+        parts.append(F.transform(at, partial(_span, length)))
     return df.withColumn("found", F.concat(*parts) if parts else nothing)
 
 
