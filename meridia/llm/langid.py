@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import hash_sample, map_batches, table
 
 WINDOW = 256
 EMBED = 8
@@ -164,18 +164,12 @@ def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, windows: int = TRAI
     text, n = F.col("`text`"), F.char_length(F.col("`text`"))
     step = F.greatest(F.lit(0), n - WINDOW) / max(1, windows - 1)
     spots = F.array_distinct(F.array(*(F.floor(step * k).cast("int") for k in range(windows))))
-    picked = (
-        docs.filter(~held_out(F.col("`doc_id`")) & F.col("`lang`").isNotNull() & text.isNotNull())
-        .select(
-            F.xxhash64(F.col("`doc_id`").cast("string")).alias("h"),
-            F.col("`doc_id`").cast("string").alias("i"),
-            F.col("`lang`").cast("string").alias("lang"),
-            F.transform(spots, lambda at: F.substring(text, at + 1, F.lit(WINDOW))).alias("parts"),
-        )
-        .orderBy("h", "i", "lang", "parts")
-        .limit(rows)
-        .collect()
+    labelled = docs.filter(~held_out(F.col("`doc_id`")) & F.col("`lang`").isNotNull() & text.isNotNull()).select(
+        F.col("`doc_id`").cast("string").alias("id"),
+        F.col("`lang`").cast("string").alias("lang"),
+        F.transform(spots, lambda at: F.substring(text, at + 1, F.lit(WINDOW))).alias("parts"),
     )
+    picked = hash_sample(labelled, "id", rows).collect()
     pairs = [(p, r.lang) for r in picked for p in r.parts]
     return [p for p, _ in pairs], [lang for _, lang in pairs]
 

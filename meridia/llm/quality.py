@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import hash_sample, map_batches, table
 from .langid import held_out
 
 FEATURES = (
@@ -221,12 +221,10 @@ def _feature_rows(docs: DataFrame, carry: str) -> DataFrame:
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``rows`` labelled rows."""
-    sample = (
-        labels.filter(~held_out(F.col("`doc_id`")) & F.col("`doc_id`").isNotNull() & F.col("`quality`").isNotNull())
-        .select(F.col("`doc_id`").cast("long").alias("labelled"), F.col("`quality`").cast("double").alias("y"))
-        .orderBy(F.xxhash64("labelled"), "labelled", "y")
-        .limit(rows)
-    )
+    marked = labels.filter(
+        ~held_out(F.col("`doc_id`")) & F.col("`doc_id`").isNotNull() & F.col("`quality`").isNotNull()
+    ).select(F.col("`doc_id`").cast("long").alias("labelled"), F.col("`quality`").cast("double").alias("y"))
+    sample = hash_sample(marked, "labelled", rows)
     texts = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     # The sample has two numbers a row and at most ``rows`` rows.
     picked = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("y", "text")
