@@ -34,12 +34,18 @@ KEYS = ("tenant_id", "profile_id")
 Resolver = Callable[[str], values.Value]
 
 
-def micros(at: dt.datetime) -> int:
+#: An evaluation instant: a literal, or a timestamp column for rows with instants of their own.
+Instant = dt.datetime | Column
+
+
+def micros(at: Instant) -> int | Column:
+    if isinstance(at, Column):
+        return F.unix_micros(at)
     at = at if at.tzinfo else at.replace(tzinfo=dt.timezone.utc)
     return int((at - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) / dt.timedelta(microseconds=1))
 
 
-def moment(at: dt.datetime, shift: int = 0) -> Column:
+def moment(at: Instant, shift: int = 0) -> Column:
     return F.timestamp_micros(F.lit(micros(at) + shift))
 
 
@@ -110,9 +116,9 @@ def with_documents(profiles: DataFrame) -> DataFrame:
     )
 
 
-def leaf_key(b: Behavior, at: dt.datetime) -> str:
+def leaf_key(b: Behavior, at: Instant) -> str:
     """A short name that equal leaves share."""
-    text = json.dumps([asdict(b), micros(at)], sort_keys=True, default=str)
+    text = json.dumps([asdict(b), "row" if isinstance(at, Column) else micros(at)], sort_keys=True, default=str)
     return "leaf_" + hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
@@ -122,7 +128,7 @@ def threshold(x: Column, op: str, value: float | None) -> Column:
     return {"gte": x >= value, "gt": x > value, "lte": x <= value, "lt": x < value, "eq": x == value}[op]
 
 
-def in_window(ts: Column, window: str, at: dt.datetime) -> Column:
+def in_window(ts: Column, window: str, at: Instant) -> Column:
     """Trailing and closed on both ends."""
     return ts.between(moment(at, -parse_window(window)), moment(at))
 
@@ -142,7 +148,7 @@ class Simple:
     test: Callable[[Column], Column]
 
 
-def simple_leaf(b: Behavior, at: dt.datetime) -> Simple | None:
+def simple_leaf(b: Behavior, at: Instant) -> Simple | None:
     named = F.col("event_name") == b.event_name
     ts = F.col("occurred_at")
     if b.kind in ("count", "frequency"):
@@ -160,7 +166,7 @@ def simple_leaf(b: Behavior, at: dt.datetime) -> Simple | None:
     return None
 
 
-def _ordered_leaf(events: DataFrame, b: Behavior, name: str, at: dt.datetime) -> tuple[DataFrame, Column]:
+def _ordered_leaf(events: DataFrame, b: Behavior, name: str, at: Instant) -> tuple[DataFrame, Column]:
     """(events with helper columns, aggregate that is true where the leaf holds)."""
     mine = Window.partitionBy(*KEYS)
     ts, now = F.col("_us"), micros(at)
@@ -200,7 +206,7 @@ def scan_bound(found: list[Behavior], at: dt.datetime) -> int | None:
     return micros(at) - max(spans, default=0)
 
 
-def leaf_table(events: DataFrame, rules: list[Rule], at: dt.datetime) -> tuple[list[DataFrame], dict[str, Column]]:
+def leaf_table(events: DataFrame, rules: list[Rule], at: Instant) -> tuple[list[DataFrame], dict[str, Column]]:
     """(tables keyed by tenant and profile to left-join, column of each leaf by its key)."""
     found: dict[str, Behavior] = {leaf_key(b, at): b for b in leaves(rules)}
     columns: dict[str, Column] = {}
@@ -211,7 +217,7 @@ def leaf_table(events: DataFrame, rules: list[Rule], at: dt.datetime) -> tuple[l
     def rows(these: dict[str, Behavior], bound: bool) -> DataFrame:
         names = sorted(set().union(*(b.names() for b in these.values())))
         out = events.filter(F.col("event_name").isin(names) & (F.col("occurred_at") <= moment(at)))
-        since = scan_bound(list(these.values()), at) if bound else None
+        since = scan_bound(list(these.values()), at) if bound and isinstance(at, dt.datetime) else None
         return out if since is None else out.filter(F.col("occurred_at") >= F.timestamp_micros(F.lit(since)))
 
     if simple:
@@ -250,6 +256,19 @@ def evaluate(
     return out.select(*profiles.columns, *(v.alias(n) for n, v in verdicts.items()))
 
 
+def evaluate_rows(rows: DataFrame, events: DataFrame, rule: Rule, at: str) -> DataFrame:
+    """Rows (profile columns, unique by tenant and profile) with ``hit``: the rule at each row's own instant ``at``."""
+    timed = events.join(rows.select(*KEYS, F.col(at).alias("_at")), list(KEYS))
+    tables, columns = leaf_table(timed, [rule], F.col("_at"))
+    out = with_documents(rows)
+    for t in tables:
+        out = out.join(t, list(KEYS), "left")
+    # Leaf tests of the last occurrence compare with the instant, which is the row's own here.
+    out = out.withColumn("_at", F.col(at))
+    verdict = condition(rule, profile_resolver(), lambda b: columns[leaf_key(b, F.col("_at"))])
+    return out.select(*rows.columns, verdict.alias("hit"))
+
+
 def shape_drift(events: DataFrame, b: Behavior, at: dt.datetime) -> DataFrame:
     """(tenant, profile, property, kinds) where a property that the leaf reads has several JSON types in its window."""
     names = referenced_properties(b.where) + ([b.value_prop] if b.value_prop else [])
