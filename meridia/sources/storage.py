@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,3 +67,25 @@ class Snapshot:
             raise RuntimeError(f"version {number} of {self.path} was written by another writer")
         for _, old in found[: max(0, len(found) + 1 - keep)]:
             fs.delete(_fs(self.spark, f"{self.path}/{old}")[1], True)
+
+
+class Batches:
+    """An append-only table in one folder per batch; writing a batch again overwrites its folder."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def write(self, batch: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def read(self, only: int | None = None, but: int | None = None) -> DataFrame:
+        """All batches, one, or all but one; the folder's batch number prunes what is read."""
+        fs, p = _fs(self.spark, self.path)
+        if not fs.exists(p):
+            return self.spark.createDataFrame([], self.schema)
+        df = self.spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
+        if only is not None:
+            df = df.filter(F.col("batch") == only)
+        if but is not None:
+            df = df.filter(F.col("batch") != but)
+        return df.drop("batch")

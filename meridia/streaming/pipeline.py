@@ -1,12 +1,15 @@
 """The event pipeline as a stream of micro-batches.
 
-Each batch of landed requests is normalised, judged against what is stored,
-appended to the raw store and the behavioural log, and the memberships of the
-profiles it touched are evaluated again.  All batch work goes through the same
-operators as the set-wise queries, so a drained stream and a batch agree.
-
-State lives in snapshot tables: a batch reads the current version and replaces it.
-A batch that is run again after a failure finds its events stored and adds none.
+A batch of landed requests is normalised, judged against what is stored, resolved
+to clusters, and appended; then the memberships of the profiles it touched are
+evaluated.  All of that goes through the operators of the set-wise queries, so a
+drained stream followed by a sweep agrees with one batch evaluation.
+
+What grows with the events is append-only, in one folder per batch that a repeated
+run of the batch overwrites.  What is replaced is keyed state: merged clusters
+(one row per merge) and memberships.  Identity work covers the batch's
+identifiers and the clusters they already belong to, not the whole graph; rows
+written under a cluster that later merged are redirected when they are read.
 """
 
 from __future__ import annotations
@@ -18,21 +21,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import behavior, deadlines, identity, ingest, membership, profiles
+from ..operators.graph import connected_components
 from ..plans.compiler import KEYS, evaluate
 from ..plans.rules import Rule
 from ..sources import readers
-from ..sources.storage import Snapshot, checkpointed
+from ..sources.storage import Batches, Snapshot, checkpointed
 
-LOG = "tenant_id string, profile_id string, event_id string, event_name string, occurred_at timestamp, props string, schema_version int"
 CHANGES = "tenant_id string, segment_id string, profile_id string, change string, transition_seq long, changed_at timestamp, reason string"
 ENVELOPE = (
     "tenant_id string, source_id string, event_id string, type string, event_name string, "
     + ", ".join(f"{c} string" for c in ingest.IDENTIFIERS)
     + ", previous_id string, timestamp timestamp, received_at timestamp, arrival long, context string, properties string, "
-    "traits string, payload_hash string, identifier_key string"
+    "traits string, payload_hash string, identifier_key string, cluster_id string"
 )
 _ENVELOPE = [x.split()[0] for x in ENVELOPE.split(", ")]
 DEAD = "tenant_id string, source_id string, received_at timestamp, arrival long, raw string, error string"
+NODES = "tenant_id string, node_id string, namespace string, value string, cluster_id string, created_at timestamp"
+MERGED = "tenant_id string, cluster_id string, survivor_id string"
 
 
 @dataclass
@@ -43,16 +48,58 @@ class Pipeline:
 
     def __post_init__(self) -> None:
         s, r = self.spark, self.root
-        self.events = Snapshot(s, f"{r}/events", ENVELOPE)
-        self.dead = Snapshot(s, f"{r}/dead", DEAD)
+        self.events = Batches(s, f"{r}/events", ENVELOPE)
+        self.dead = Batches(s, f"{r}/dead", DEAD)
+        self.nodes = Batches(s, f"{r}/nodes", NODES)
+        self.feed = Batches(s, f"{r}/changes", CHANGES)
+        self.merged = Snapshot(s, f"{r}/merged", MERGED)
         self.state = Snapshot(s, f"{r}/membership", membership.STATE)
-        self.feed = Snapshot(s, f"{r}/changes", CHANGES)
 
-    def profiles_of(self, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(profiles, behavioural log) of all accepted envelopes: final clusters, so late merges need no repair."""
-        ids = identity.extract(events)
-        clusters = identity.event_clusters(ids, identity.resolve(ids))
-        folded = profiles.fold(profiles.observed(events), clusters)
+    def redirected(self, rows: DataFrame) -> DataFrame:
+        """Rows with the surviving cluster in ``cluster_id``."""
+        out = rows.join(self.merged.read(), ["tenant_id", "cluster_id"], "left")
+        return out.withColumn("cluster_id", F.coalesce("survivor_id", "cluster_id")).drop("survivor_id")
+
+    def _resolve(self, fresh: DataFrame, batch: int) -> DataFrame:
+        """Events of the batch with clusters; stores new nodes and merges."""
+        ids = checkpointed(identity.extract(fresh))
+        order = F.struct("received_at", "event_id")
+        touched = ids.select("tenant_id", "node_id").distinct()
+        known = self.redirected(self.nodes.read(but=batch).join(touched, ["tenant_id", "node_id"], "left_semi"))
+        known = checkpointed(known.select("tenant_id", "node_id", "cluster_id", "created_at"))
+        per_event = ids.groupBy("tenant_id", "event_id").agg(F.min("node_id").alias("a"), F.collect_set("node_id").alias("all"))
+        star = per_event.select("a", F.explode("all").alias("b"))
+        # Cluster ids carry their tenant here; node ids are hashes that hold it already.
+        home = F.concat_ws("|", "tenant_id", "cluster_id")
+        edges = star.unionByName(known.select(F.col("node_id").alias("a"), home.alias("b"))).filter("a <> b")
+        roots = connected_components(edges)
+        first = ids.groupBy("tenant_id", "node_id").agg(F.min(order).alias("first"))
+        rooted = first.join(roots.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("root", F.coalesce("root", "node_id"))
+        old = known.join(rooted.select("node_id", "root"), "node_id")
+        found = rooted.select("root", F.struct(F.lit(1).alias("late"), F.col("first.received_at").alias("at"), F.concat(F.lit("c_"), "first.event_id").alias("c")).alias("head"))
+        found = found.unionByName(old.select("root", F.struct(F.lit(0).alias("late"), F.col("created_at").alias("at"), F.col("cluster_id").alias("c")).alias("head")))
+        heads = checkpointed(found.groupBy("root").agg(F.min("head").alias("head")))
+        owner = rooted.join(heads, "root").select("tenant_id", "node_id", "root", F.col("head.c").alias("cluster_id"), F.col("head.at").alias("created_at"))
+        owner = checkpointed(owner)
+        losers = old.join(heads, "root").filter(F.col("cluster_id") != F.col("head.c")).select("tenant_id", "cluster_id", F.col("head.c").alias("survivor_id")).distinct()
+        losers = checkpointed(losers)
+        if not losers.isEmpty():
+            again = losers.select("tenant_id", F.col("cluster_id").alias("survivor_id"), F.col("survivor_id").alias("_new"))
+            kept = self.merged.read().join(again, ["tenant_id", "survivor_id"], "left").select(
+                "tenant_id", "cluster_id", F.coalesce("_new", "survivor_id").alias("survivor_id")
+            )
+            self.merged.replace(kept.unionByName(losers).dropDuplicates(["tenant_id", "cluster_id"]))
+        new = identity.nodes(ids).join(known.select("tenant_id", "node_id").distinct(), ["tenant_id", "node_id"], "left_anti")
+        self.nodes.write(batch, new.join(owner.drop("root"), ["tenant_id", "node_id"]))
+        mine = per_event.select("tenant_id", "event_id", F.col("a").alias("node_id")).join(owner, ["tenant_id", "node_id"])
+        return fresh.join(mine.select("tenant_id", "event_id", "cluster_id"), ["tenant_id", "event_id"], "left")
+
+    def population(self, touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(profiles, behavioural log), of all or only of touched (tenant_id, cluster_id)."""
+        events = self.redirected(self.events.read().filter("cluster_id is not null"))
+        if touched is not None:
+            events = events.join(touched, ["tenant_id", "cluster_id"], "left_semi")
+        folded = profiles.fold(profiles.observed(events), events.select("tenant_id", "event_id", "cluster_id"))
         traits = F.struct(*(F.col(f"trait_{t}").alias(t) for t in profiles.TRAITS))
         computed = F.struct("total_events", "total_orders", *profiles.LAST)
         people = folded.select(
@@ -64,45 +111,44 @@ class Pipeline:
             "first_seen_at",
             "last_seen_at",
         )
-        rows = events.join(clusters, ["tenant_id", "event_id"]).select(
-            "*", F.col("cluster_id").alias("profile_id"), F.col("properties").alias("props")
-        )
+        rows = events.withColumns({"profile_id": F.col("cluster_id"), "props": F.col("properties")})
         consent = self.spark.createDataFrame([], "tenant_id string, profile_id string, channel string, purpose string, status string")
         return people, behavior.record(rows, consent)
 
-    def absorb(self, requests: DataFrame, at: dt.datetime | None = None) -> None:
+    def absorb(self, requests: DataFrame, batch: int, at: dt.datetime | None = None) -> None:
         """One micro-batch.  ``at`` is the evaluation instant; by default the latest arrival."""
         made = readers.single_events(requests).unionByName(readers.batch_events(requests), allowMissingColumns=True)
         made = checkpointed(made)
-        old = self.events.read()
-        bad = made.filter("error is not null").select("tenant_id", "source_id", "received_at", "arrival", "raw", "error")
-        if not bad.isEmpty():
-            stored = self.dead.read()
-            self.dead.replace(stored.unionByName(bad.join(stored.select("arrival"), "arrival", "left_anti")))
-        fresh = ingest.verdicts(made).filter("verdict = 'accepted'").join(
-            old.select("tenant_id", "event_id"), ["tenant_id", "event_id"], "left_anti"
-        )
-        fresh = checkpointed(fresh.select(*_ENVELOPE))
+        self.dead.write(batch, made.filter("error is not null").select(*(x.split()[0] for x in DEAD.split(", "))))
+        stored = self.events.read(but=batch).select("tenant_id", "event_id")
+        fresh = ingest.verdicts(made).filter("verdict = 'accepted'").join(stored, ["tenant_id", "event_id"], "left_anti")
+        fresh = checkpointed(fresh.select(*_ENVELOPE[:-1]))
         if fresh.isEmpty():
             return
-        self.events.replace(old.unionByName(fresh))
-        instant = at or fresh.agg(F.max("received_at")).first()[0]
-        self.evaluate(instant)
+        self.events.write(batch, self._resolve(fresh, batch).select(*_ENVELOPE))
+        touched = self.redirected(self.events.read(only=batch).filter("cluster_id is not null").select("tenant_id", "cluster_id")).distinct()
+        self.evaluate(at or fresh.agg(F.max("received_at")).first()[0], batch, checkpointed(touched))
 
-    def evaluate(self, at: dt.datetime) -> None:
-        """Evaluate every rule for every profile at ``at``, and append what changed to the feed."""
-        people, log = self.profiles_of(self.events.read())
+    def evaluate(self, at: dt.datetime, batch: int, touched: DataFrame | None = None) -> None:
+        """Evaluate every rule at ``at`` for the touched profiles, or all, and append what changed to the feed."""
+        people, log = self.population(touched)
         verdicts = evaluate(people, log, self.rules, at)
         flat = F.array(*(F.struct(F.lit(n).alias("segment_id"), F.col(n).alias("matched")) for n in self.rules))
         rows = verdicts.select(*KEYS, F.inline(flat))
-        gone = self.state.read().join(people.select(*KEYS), list(KEYS), "left_anti").select(*membership.KEYS, F.lit(False).alias("matched"))
+        # A profile that merged into another leaves its segments.
+        merged = self.merged.read().select("tenant_id", F.col("cluster_id").alias("profile_id"))
+        gone = self.state.read().join(merged, list(KEYS), "left_semi").select(*membership.KEYS, F.lit(False).alias("matched"))
         ahead = checkpointed(membership.advance(self.state.read(), rows.unionByName(gone), at))
-        self.feed.replace(self.feed.read().unionByName(membership.changes(ahead)))
+        self.feed.write(batch, membership.changes(ahead))
         self.state.replace(membership.state_of(ahead))
 
+    def sweep(self, at: dt.datetime) -> None:
+        """Evaluate everyone at an instant without events: what only time changes."""
+        self.evaluate(at, -int(at.replace(tzinfo=dt.timezone.utc).timestamp()))
+
     def due(self, at: dt.datetime) -> DataFrame:
-        """(tenant, profile, segment, due_at): when each sweepable rule can flip next without an event."""
-        _, log = self.profiles_of(self.events.read())
+        """(tenant, profile, segment, due_at): when each rule can flip next without an event."""
+        _, log = self.population()
         parts = None
         for name, rule in self.rules.items():
             rows = deadlines.next_due(log, rule, at).withColumn("segment_id", F.lit(name))
@@ -113,7 +159,7 @@ class Pipeline:
         """Drain what has landed, in bounded batches, and stop; run again for more."""
         stream = readers.landed_stream(self.spark, landing, files_per_trigger)
         return (
-            stream.writeStream.foreachBatch(lambda df, _: self.absorb(df))
+            stream.writeStream.foreachBatch(lambda df, batch: self.absorb(df, batch))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
