@@ -13,7 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from meridia.llm import decontaminate, exact_dedup, langid, mixing, simhash
-from meridia.llm.common import shared_folder, table
+from meridia.llm.common import table
+from meridia.sources.storage import shared_folder
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

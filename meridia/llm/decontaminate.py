@@ -218,10 +218,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = (
         contamination(named, benchmark, carry=("text_key",))
         .filter("contaminated")
-        .select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_key"))
+        .select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key"))
         .distinct()
     )
-    same = F.col("`doc_id`").eqNullSafe(F.col("_bad")) & (key == F.col("_key"))
+    same = docs["`doc_id`"].eqNullSafe(bad["leak_id"]) & (F.xxhash64(docs["`text`"]) == bad["leak_key"])
     return docs.join(bad, same, "left_anti")
 
 

@@ -28,7 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, checkpointed, table
+from ..sources.storage import checkpointed
+from .common import ASCII_SPACE, table
 
 SALTS = 16
 #: One more than the largest id; a null id takes the place after all others.

@@ -39,7 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, table
+from ..sources.storage import checkpointed
+from .common import map_batches, table
 
 MIN_PAGES = 4
 SHARE = 0.3
@@ -56,6 +57,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
+#: Class names that speak of a part's surroundings or state, such as has-sidebar or comments-open.
+_ABOUT = re.compile(r"\b(?:has|with|without|no|is|hide|show)-[\w-]+|[\w-]+-(?:open|closed|free|enabled|disabled|on|off)\b")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset(
@@ -129,6 +132,11 @@ class Page:
         return "\n\n".join(filter(None, (" ".join(b.split()) for b in blocks)))
 
 
+def _names(found: dict[str, str]) -> set[str]:
+    """The words of an element's class and id."""
+    return set(_WORD.findall(_ABOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}".lower())))
+
+
 def _reason(tag: str, attrs: str, zone: int) -> str | None:
     """Why an element is no main text, or None."""
     if tag in _DROPPED:
@@ -141,7 +149,7 @@ def _reason(tag: str, attrs: str, zone: int) -> str | None:
         return "hidden"
     if found.get("role", "").lower() in _ROLES:
         return found["role"].lower()
-    names = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    names = _names(found)
     if tag in ("html", "body", "main"):
         return None
     if tag == "article":
@@ -151,8 +159,7 @@ def _reason(tag: str, attrs: str, zone: int) -> str | None:
 
 
 def _main_named(attrs: str) -> bool:
-    found = _attributes(attrs) if attrs else {}
-    return bool(_MAIN_NAMES & set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())))
+    return bool(attrs) and bool(_MAIN_NAMES & _names(_attributes(attrs)))
 
 
 def parse(html: str | None) -> Page:

@@ -32,7 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, checkpointed, table
+from ..sources.storage import checkpointed
+from .common import ASCII_SPACE, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5

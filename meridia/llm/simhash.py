@@ -38,7 +38,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, table
+from ..operators.graph import connected_components
+from ..sources.storage import checkpointed
+from .common import map_batches, table
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -140,51 +142,11 @@ def _links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of ``edges`` (a, b); the root is the smallest node of the component."""
-    state = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-
-    def mark(df: DataFrame):
-        return df.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-
-    seen = mark(state)
-    while True:
-        # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
-        both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            state.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(least, "u")
-            .filter("v > u and m < v")
-            .select(F.col("m").alias("a"), F.col("v").alias("b"))
-            .distinct()
-        )
-        # small star: u and its smaller neighbours are tied to the smallest of them
-        floor = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(floor, "b")
-        small = (
-            joined.select(F.col("m").alias("a"), F.col("a").alias("b"))
-            .unionByName(floor.select(F.col("m").alias("a"), "b"))
-            .filter("a < b")
-            .distinct()
-        )
-        state = checkpointed(small)
-        now = mark(state)
-        if now == seen:
-            break
-        seen = now
-    heads = state.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    return state.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(heads)
-
-
 def near_dup_report(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fingerprint, component_id."""
     prints = checkpointed(fingerprints(docs))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = components(_links(distinct.select("fp")))
+    linked = connected_components(_links(distinct.select("fp")))
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
@@ -197,8 +159,8 @@ def near_dup_report(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows whose doc_id is their class id, with all columns; rows without an id stay."""
-    gone = near_dup_report(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("`doc_id`") == F.col("_gone"), "left_anti")
+    gone = near_dup_report(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("near_dup_gone_id")).distinct()
+    return docs.join(gone, docs["`doc_id`"] == gone["near_dup_gone_id"], "left_anti")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

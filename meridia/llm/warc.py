@@ -39,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH_ROWS, checkpointed, shared_folder, table
+from ..sources.storage import checkpointed, shared_folder
+from .common import TEXT_BATCH_ROWS, table
 
 MIN_REVISIT_BYTES = 0
 RUN_ROWS = 50_000

@@ -5,12 +5,13 @@ import pytest
 pytest.importorskip("meridia.llm")
 
 from meridia.llm import exact_dedup, simhash  # noqa: E402
+from meridia.operators.graph import connected_components  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank long, digest string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank long, digest string, near_dup_gone_id long, `a.b` string"
 
 
 def _docs(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "s", 0, 7, "x") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", 0, 7, "x", i, "d") for i, t in rows], SCHEMA)
 
 
 def test_exact_dedup_edges(spark):
@@ -19,7 +20,7 @@ def test_exact_dedup_edges(spark):
     assert {i: got[i].keep_id for i in got} == {1: 3, 2: 3, 3: 3, None: 3, 4: 6, 5: 6, 6: 6, 7: 7, 8: 8}
     assert got[1].group_size == 4 and got[3].kept and not got[1].kept
     left = exact_dedup.survivors(_docs(spark, rows + [(3, "a  b")]))
-    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars", "rank", "digest"]
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars", "rank", "digest", "near_dup_gone_id", "a.b"]
     assert sorted(r.doc_id for r in left.collect()) == [3, 6, 7, 8]
 
 
@@ -93,7 +94,7 @@ def test_crowded_cells_keep_every_link(spark, monkeypatch):
     prints = {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(80)} | {rng.getrandbits(64) for _ in range(20)}
     signed = [f - (1 << 64) if f >> 63 else f for f in prints]
     frame = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = {r.node: r.root for r in simhash.components(simhash._links(frame)).collect()}
+    got = {r.node: r.root for r in connected_components(simhash._links(frame)).collect()}
     groups = {}
     for f in signed:
         groups.setdefault(got.get(f, f), set()).add(f)

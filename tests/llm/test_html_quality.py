@@ -21,6 +21,8 @@ from meridia.llm import html_text, quality  # noqa: E402
         ("<div class=ad>unclosed<article><p>kept</p></article>", "kept"),
         ("<!-- <p>no</p> --><title>no</title><p>yes", "yes"),
         ("<article><p>1</p><section class='comments'><p>c</p></section></article>", "1"),
+        ("<div class='page has-sidebar'><article class='post comments-open'><p>kept</p></article><div class='sidebar'>s</div></div>", "kept"),
+        ("<div id=main-content><header><h1>T</h1></header><p>x</p></div><div class=newsletter-signup><p>s</p></div>", "T\n\nx"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\n\nc"),
     ],
 )
