@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
 
+#: Fixed values of retries and parking.
 RETRY_BASE_SECONDS = 10
 RETRY_MAX_SECONDS = 900
 MAX_ATTEMPTS = 5

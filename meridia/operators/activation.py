@@ -15,6 +15,7 @@ from ..plans.compiler import moment
 
 #: HTTP statuses worth a retry.
 RETRYABLE = (408, 429, 500, 502, 503, 504)
+#: Fixed values of the breaker.
 FAILURES, WINDOW_SECONDS, COOLDOWN_SECONDS = 5, 60, 30
 
 
@@ -177,3 +178,40 @@ def hot_destinations(deliveries: DataFrame) -> DataFrame:
     w = Window.partitionBy("destination_id").orderBy(F.col("_us")).rangeBetween(-(WINDOW_SECONDS * 1_000_000 - 1), 0)
     failed = deliveries.filter("not success").withColumn("_us", F.unix_micros("sent_at"))
     return failed.withColumn("recent_failures", F.count(F.lit(1)).over(w)).drop("_us")
+
+
+def destination_error(kind: str, config: dict) -> str | None:
+    """Why a destination can't be stored, or None."""
+    if kind == "webhook":
+        return None if config.get("url") else "webhook destination requires config.url"
+    if kind == "kafka":
+        return None if config.get("topic") else "kafka destination requires config.topic"
+    return "type must be webhook or kafka"
+
+
+def with_consent_target(config: dict, channel: str = "", purpose: str = "") -> dict:
+    """The config with the channel and purpose whose consent gates it."""
+    return {**config, **({"channel": channel} if channel else {}), **({"purpose": purpose} if purpose else {})}
+
+
+def subscription_view(subscriptions: DataFrame, destinations: DataFrame) -> DataFrame:
+    """All subscriptions with their destination, whatever the status, by destination name."""
+    d = destinations.select("tenant_id", "destination_id", "name", F.col("status").alias("destination_status"))
+    return subscriptions.join(d, ["tenant_id", "destination_id"]).orderBy("tenant_id", "name", "subscription_id")
+
+
+def delivery_log(sent: DataFrame) -> DataFrame:
+    """Log rows of tasks with ``http_status`` and ``sent_at``."""
+    kind = outcome_class(F.col("http_status"))
+    return sent.select(
+        "tenant_id", "destination_id", "profile_id", "source_event_id", "idempotency_key",
+        F.when(kind == "success", "success").otherwise("failed").alias("status"), "http_status",
+        (F.col("attempt_count") + 1).alias("attempt_count"), "sent_at",
+    )
+
+
+def deliveries(log: DataFrame, tenant: str, destination: str | None = None, limit: int = 200) -> DataFrame:
+    rows = log.filter(F.col("tenant_id") == tenant)
+    if destination:
+        rows = rows.filter(F.col("destination_id") == destination)
+    return rows.orderBy(F.col("sent_at").desc(), "idempotency_key").limit(limit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rfc3339, rfc3339_text, sha256_of, trimmed
 
+#: Ingress limits, and identifiers by priority.
 MAX_EVENT_BYTES = 64 * 1024
 MAX_BATCH_EVENTS = 500
 MAX_BATCH_BYTES = 5 * 1024 * 1024

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.compiler import micros, moment
 
 DAY = 86_400_000_000
+#: Page sizes, replay cap and retention.
 PAGE_LIMIT, PAGE_MAX = 50, 500
 REPLAY_MAX = 1000
 RETENTION_DAYS, RETENTION_MARGIN_DAYS = 40, 8
@@ -124,3 +125,20 @@ def retained(log: DataFrame, at: dt.datetime, days: int) -> DataFrame:
 def with_week(log: DataFrame) -> DataFrame:
     """The Monday of each row's week, to partition the stored log by."""
     return log.withColumn("week", F.date_trunc("week", "occurred_at").cast("date"))
+
+
+def audit_rows(requests: DataFrame) -> DataFrame:
+    """Audit rows of (tenant_id, actor, action, resource, created_at, body); ids follow from the content."""
+    key = F.sha2(F.concat_ws("|", "tenant_id", "actor", "action", "resource", F.col("created_at").cast("string")), 256)
+    return requests.select("tenant_id", F.substring(key, 1, 32).alias("audit_id"), "actor", "action", "resource", "created_at", "body")
+
+
+def parked_list(pending: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
+    """Parked work of a tenant, latest first."""
+    rows = pending.filter((F.col("tenant_id") == tenant) & F.col("parked_at").isNotNull())
+    return rows.orderBy(F.col("parked_at").desc(), "segment_id", "profile_id").limit(limit)
+
+
+def newest(rows: DataFrame, tenant: str, order: str, row_id: str, limit: int) -> DataFrame:
+    """A tenant's newest rows: the shape of all catalog lists."""
+    return rows.filter(F.col("tenant_id") == tenant).orderBy(F.col(order).desc(), F.col(row_id)).limit(limit)

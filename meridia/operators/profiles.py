@@ -18,6 +18,7 @@ from ..functions import values
 from ..functions.scalars import identity_hash
 from .identity import Clusters
 
+#: The traits and event names that profiles know.
 TRAITS = ("email", "phone", "name", "country")
 ORDER_EVENT, VIEW_EVENT = "order_completed", "product_viewed"
 

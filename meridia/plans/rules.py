@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+#: The words of the language.
 LOGICAL = ("and", "or", "not")
 COMPARISONS = ("eq", "neq", "gt", "gte", "lt", "lte", "contains", "not_contains", "in", "not_in", "exists", "not_exists")
 THRESHOLDS = ("gte", "gt", "lte", "lt", "eq")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import activation, deadlines, governance, identity, ingest, journeys, membership, ops, profiles
+from ..operators import activation, deadlines, governance, identity, ingest, journeys, membership, metrics, ops, profiles
 from . import fixtures
 from .compiler import evaluate, evaluate_rows, in_window, moment
 from .fixtures import AT, AT_SQL, LATER, LATER_SQL, ntz, with_sql
@@ -849,3 +849,107 @@ def _horizon(spark, sf_dir):
 def _prune(spark, sf_dir):
     log = ops.retained(ops.with_week(fixtures.behavior_log(spark, sf_dir)), LATER, 10)
     return log.groupBy("tenant_id", F.col("week").cast("string").alias("week")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add(
+    "ops_metrics",
+    f"""WITH {_ENV} SELECT 'events_accepted' AS metric, count(*) FILTER (verdict = 'accepted') AS value FROM verdict
+UNION ALL SELECT 'events_rejected', count(*) FILTER (verdict IN ('rejected', 'conflict')) FROM verdict""",
+)
+def _metrics(spark, sf_dir):
+    rows = ingest.verdicts(_envelopes(spark, sf_dir))
+    return metrics.counters({"events_accepted": (rows, "verdict = 'accepted'"), "events_rejected": (rows, "verdict in ('rejected', 'conflict')")})
+
+
+@_add(
+    "ops_lag_histogram",
+    f"""WITH {_ENV}, d AS (SELECT epoch_us(received_at) - epoch_us(ts) AS us FROM env)
+SELECT b AS upper_bound, (SELECT count(*) FROM d WHERE us / 1e6 <= b) AS count
+FROM (SELECT unnest([0.05, 0.15000000000000002, 0.45, 1.35, 'Infinity'::DOUBLE]) AS b)""",
+)
+def _lag(spark, sf_dir):
+    return metrics.lag_histogram(_envelopes(spark, sf_dir), "timestamp", "received_at", 0.05, 3, 4)
+
+
+@_add("rate_limit")
+def _rate(spark, sf_dir):
+    rows = _raw(spark, sf_dir).select(F.col("tenant_id").alias("source_id"), F.col("arrival").alias("seq"), "received_at")
+    out = metrics.rate_limited(rows, rate=1 / 1800, burst=3)
+    return out.groupBy("source_id", "allowed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add(
+    "dlq_list",
+    f"""WITH {_RAW_SQL} SELECT dlq_id, status FROM (SELECT 'q' || lpad(cast(arrival AS VARCHAR), 9, '0') AS dlq_id, received_at,
+  CASE WHEN arrival IN (19, 38) THEN 'discarded' ELSE 'open' END AS status FROM raw
+  WHERE tenant_id = 'r1' AND (raw = '' OR NOT json_valid(raw))) WHERE status = 'open' ORDER BY received_at DESC, dlq_id DESC LIMIT 100""",
+)
+def _dlq_list(spark, sf_dir):
+    dead = ingest.split_dead_letters(_raw(spark, sf_dir))[1].withColumns(
+        {"dlq_id": F.expr("'q' || lpad(arrival, 9, '0')"), "failed_at": F.col("received_at")}
+    )
+    marked = ops.dlq_mark(dead, ["q000000019", "q000000038"], "discarded")
+    return ops.dlq_list(marked, "r1", "open").select("dlq_id", "status")
+
+
+@_add("parked_list", with_sql("SELECT segment_id, attempts FROM pend WHERE tenant_id = 'r2' AND parked_at IS NOT NULL ORDER BY parked_at DESC, segment_id, profile_id LIMIT 100", _PENDING))
+def _parked(spark, sf_dir):
+    return ops.parked_list(_pending(spark, sf_dir), "r2").select("segment_id", "attempts")
+
+
+@_add(
+    "delivery_list",
+    with_sql(
+        """SELECT idempotency_key, status, attempt_count FROM (SELECT event_id AS idempotency_key, occurred_at, cast(n % 6 + 1 AS INT) AS attempt_count,
+  CASE WHEN n % 8 IN (0, 5) THEN 'success' ELSE 'failed' END AS status FROM (SELECT *, cast(substr(event_id, 2) AS BIGINT) AS n FROM log) WHERE tenant_id = 'r1')
+  ORDER BY occurred_at DESC, idempotency_key LIMIT 200"""
+    ),
+)
+def _deliveries(spark, sf_dir):
+    rows = _sends(spark, sf_dir).select("*", F.col("destination_id").alias("tenant_id"), F.lit("p").alias("profile_id"), F.lit("s").alias("source_event_id"), F.col("task_id").alias("idempotency_key"))
+    return activation.deliveries(activation.delivery_log(rows), "r1").select("idempotency_key", "status", "attempt_count")
+
+
+@_add("subscription_view", "SELECT 'r' || t AS tenant_id, subscription_id, destination_status FROM range(5) r(t), (VALUES ('x1', 'active'), ('x2', 'active'), ('x3', 'disabled'), ('x4', 'active')) v(subscription_id, destination_status)")
+def _subscriptions(spark, sf_dir):
+    subs, dests = catalogs(spark)
+    return activation.subscription_view(subs, dests.withColumn("name", F.col("destination_id"))).select("tenant_id", "subscription_id", "destination_status")
+
+
+_VERSIONS = [("r0", "s1", 1, "{}"), ("r0", "s1", 2, '{"a":1}'), ("r0", "s2", 1, "{}"), ("r1", "s1", 1, "{}")]
+_SEGMENTS = [("r0", "s1", "active", 2), ("r0", "s2", "inactive", 1), ("r1", "s1", "active", 1)]
+
+
+def _segment_catalog(spark):
+    segments = spark.createDataFrame([(*r, AT) for r in _SEGMENTS], "tenant_id string, segment_id string, status string, current_version int, updated_at timestamp")
+    return segments, spark.createDataFrame(_VERSIONS, "tenant_id string, segment_id string, version int, rule_json string")
+
+
+@_add("segment_current_versions", "SELECT * FROM (VALUES ('r0', 's1', 2, '{\"a\":1}'), ('r1', 's1', 1, '{}')) v(tenant_id, segment_id, current_version, rule_json)")
+def _current(spark, sf_dir):
+    return membership.current_versions(*_segment_catalog(spark)).select("tenant_id", "segment_id", "current_version", "rule_json")
+
+
+@_add("segment_next_version", "SELECT * FROM (VALUES ('r0', 's1', 3), ('r0', 's2', 2), ('r1', 's1', 2)) v(tenant_id, segment_id, version)")
+def _next(spark, sf_dir):
+    return membership.next_version(_segment_catalog(spark)[1])
+
+
+@_add("segment_epoch", f"SELECT 2::BIGINT AS segments, {AT_SQL} AS updated_at, 3::BIGINT AS versions")
+def _epoch(spark, sf_dir):
+    return ntz(membership.rules_epoch(_segment_catalog(spark)[0]))
+
+
+@_add(
+    "consent_upsert",
+    with_sql(
+        """SELECT tenant_id, profile_id, CASE WHEN n % 4 = 0 THEN 'withdrawn' WHEN n % 7 = 0 THEN 'denied' ELSE 'granted' END AS status
+  FROM (SELECT *, cast(substr(profile_id, 2) AS BIGINT) AS n FROM prof) WHERE n % 7 < 2"""
+    ),
+)
+def _upsert(spark, sf_dir):
+    old = consent(spark, sf_dir)
+    n = F.substring("profile_id", 2, 20).cast("long")
+    new = old.filter(n % 4 == 0).withColumn("status", F.lit("withdrawn"))
+    late = old.filter(n % 4 == 1).withColumns({"status": F.lit("late"), "updated_at": F.col("updated_at") - F.expr("interval 1 day")})
+    return governance.set_consent(old, new.unionByName(late)).select("tenant_id", "profile_id", "status")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars
-from meridia.operators import activation, behavior, deadlines, governance, graph, identity, ingest, journeys, membership, ops, profiles
+from meridia.operators import activation, behavior, deadlines, governance, graph, identity, ingest, journeys, membership, metrics, ops, profiles
 from meridia.plans.rules import RuleError, parse
 from meridia.sources import catalog, readers, sinks
 from meridia.sources.storage import Snapshot
@@ -358,3 +358,30 @@ def test_consent_merge_and_upsert(spark):
     assert {r.profile_id: r.status for r in governance.set_consent(old, new).collect()} == {"a": "unknown", "b": "denied"}
     merged = spark.createDataFrame([("t", "b", "a")], "tenant_id string, profile_id string, survivor_id string")
     assert [(r.profile_id, r.status) for r in governance.merge_consent(old, merged).collect()] == [("a", "denied")]
+
+
+def test_rate_limit(spark):
+    rows = [("s", i, AT + dt.timedelta(milliseconds=5 * i)) for i in range(400)] + [("o", 0, AT)]
+    frame = spark.createDataFrame(rows, "source_id string, seq long, received_at timestamp")
+    got = {(r.source_id, r.seq): r.allowed for r in metrics.rate_limited(frame).collect()}
+    bucket = metrics.Bucket()
+    assert [got["s", i] for i in range(400)] == [bucket.allow(5000 * i) for i in range(400)] and got["o", 0]
+    assert 190 <= sum(got["s", i] for i in range(400)) <= 201
+
+
+def test_observed_counts(spark):
+    rows = spark.createDataFrame([("accepted",), ("accepted",), ("duplicate",), ("conflict",)], "verdict string")
+    watched, seen = metrics.observed_verdicts(rows)
+    watched.collect()
+    assert seen.get == {"events_received": 4, "events_accepted": 2, "events_duplicate": 1, "events_rejected": 1}
+
+
+def test_destinations():
+    assert activation.destination_error("webhook", {}) and activation.destination_error("ftp", {})
+    assert activation.destination_error("kafka", {"topic": "x"}) is None
+    assert activation.with_consent_target({"url": "u"}, "sms") == {"url": "u", "channel": "sms"}
+
+
+def test_audit_ids_follow_content(spark):
+    frame = spark.createDataFrame([("t", "a", "read", "r", AT, "b"), ("t", "a", "read", "r", AT, "c"), ("t", "a", "write", "r", AT, "c")], "tenant_id string, actor string, action string, resource string, created_at timestamp, body string")
+    assert ops.audit_rows(frame).select("audit_id").distinct().count() == 2
