@@ -227,7 +227,7 @@ _add(
   FROM log WHERE event_name = 'view' GROUP BY ALL"""
     ),
 )
-_add("beh_shape_fingerprint", lambda spark, sf_dir: _shapes(spark, sf_dir), with_sql("SELECT event_name, 2 AS properties, count(*) AS n FROM log GROUP BY ALL"))
+_add("beh_shape_fingerprint", lambda spark, sf_dir: _shapes(spark, sf_dir), with_sql("SELECT event_name, 2::BIGINT AS properties, count(*) AS n FROM log GROUP BY ALL"))
 
 
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
