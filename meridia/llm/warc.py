@@ -315,5 +315,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+w AS (
+  SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS head FROM p
+), d AS (
+  SELECT *, head IS NOT NULL AND page_id IS DISTINCT FROM head AS again,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31) + 1)::INTEGER, 1) for i in range(32)], '') AS digest
+  FROM w
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN head END AS refers_to
+FROM d
+"""
+
 QUERIES = {"op7_warc": op7_warc}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_warc": ORACLE}
