@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import identity_hash
+from ..sources.storage import checkpointed
 from .graph import connected_components
 from .ingest import IDENTIFIERS
 
@@ -113,3 +114,18 @@ def merge_history(identifiers: DataFrame, members: DataFrame) -> DataFrame:
 
     schema = "tenant_id string, from_cluster_id string, to_cluster_id string, event_id string, reason string"
     return in_arrival_order(identifiers, members).mapInPandas(replay, schema)
+
+
+def flat_redirects(merges: DataFrame) -> DataFrame:
+    """(tenant_id, cluster_id, survivor_id) with chains of merges followed to their end.
+
+    Each round doubles the length of the chains that are followed, and is checkpointed.
+    """
+    hops = checkpointed(merges.select("tenant_id", "cluster_id", "survivor_id"))
+    while True:
+        ahead = hops.select("tenant_id", F.col("cluster_id").alias("survivor_id"), F.col("survivor_id").alias("_end"))
+        joined = hops.join(ahead, ["tenant_id", "survivor_id"], "left")
+        moved = checkpointed(joined.select("tenant_id", "cluster_id", F.coalesce("_end", "survivor_id").alias("survivor_id"), F.col("_end").isNotNull().alias("_moved")))
+        if moved.filter("_moved").isEmpty():
+            return moved.drop("_moved")
+        hops = moved.drop("_moved")

@@ -142,3 +142,10 @@ def parked_list(pending: DataFrame, tenant: str, limit: int = 100) -> DataFrame:
 def newest(rows: DataFrame, tenant: str, order: str, row_id: str, limit: int) -> DataFrame:
     """A tenant's newest rows: the shape of all catalog lists."""
     return rows.filter(F.col("tenant_id") == tenant).orderBy(F.col(order).desc(), F.col(row_id)).limit(limit)
+
+
+def dlq_retry(dlq: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(payloads of open dead letters to feed in again, the dead letters with those marked as retried)."""
+    again = dlq.filter(F.col("dlq_id").isin(ids) & (F.col("status") == "open"))
+    status = F.when(F.col("dlq_id").isin(ids) & (F.col("status") == "open"), "retried").otherwise(F.col("status"))
+    return again, dlq.withColumn("status", status)

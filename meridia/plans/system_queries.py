@@ -389,6 +389,22 @@ def _lookup(spark, sf_dir):
     return profiles.lookup(rows, members, home or "r0", "email", " User8@Example.com").select("tenant_id", "cluster_id")
 
 
+@_add(
+    "identity_redirect",
+    with_sql(
+        """SELECT tenant_id, 'c' || n AS cluster_id, 'c' || top AS survivor_id FROM (
+  WITH RECURSIVE up(n, top) AS (
+    SELECT c_custkey, c_custkey // 2 FROM customer WHERE c_custkey > 0 AND c_custkey % 3 <> 0
+    UNION ALL SELECT n, top // 2 FROM up WHERE top > 0 AND top % 3 <> 0)
+  SELECT n, min(top) AS top FROM up GROUP BY n) x, (SELECT 't' AS tenant_id) y"""
+    ),
+)
+def _redirect(spark, sf_dir):
+    key = fixtures.table(spark, sf_dir, "customer").select("c_custkey").filter("c_custkey > 0 and c_custkey % 3 <> 0")
+    merges = key.select(F.lit("t").alias("tenant_id"), F.expr("'c' || c_custkey").alias("cluster_id"), F.expr("'c' || (c_custkey div 2)").alias("survivor_id"))
+    return identity.flat_redirects(merges)
+
+
 # --- memberships and deadlines -------------------------------------------------------------------------------------
 
 _VIEWERS = {"behavior": {"kind": "count", "event_name": "view", "window": "7d", "op": "gte", "value": 3}}

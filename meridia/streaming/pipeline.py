@@ -15,12 +15,13 @@ written under a cluster that later merged are redirected when they are read.
 from __future__ import annotations
 
 import datetime as dt
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import behavior, deadlines, identity, ingest, membership, profiles
+from ..operators import activation, behavior, deadlines, identity, ingest, membership, profiles
 from ..operators.graph import connected_components
 from ..plans.compiler import KEYS, evaluate
 from ..plans.rules import Rule
@@ -37,6 +38,11 @@ ENVELOPE = (
 _ENVELOPE = [x.split()[0] for x in ENVELOPE.split(", ")]
 DEAD = "tenant_id string, source_id string, received_at timestamp, arrival long, raw string, error string"
 NODES = "tenant_id string, node_id string, namespace string, value string, cluster_id string, created_at timestamp"
+TASKS = (
+    "tenant_id string, destination_id string, subscription_id string, profile_id string, source_event_id string, "
+    "idempotency_key string, status string, last_error string, attempt_count int, next_attempt_at timestamp, payload string"
+)
+CONSENT = "tenant_id string, profile_id string, channel string, purpose string, status string"
 MERGED = "tenant_id string, cluster_id string, survivor_id string"
 
 
@@ -45,6 +51,10 @@ class Pipeline:
     spark: SparkSession
     root: str
     rules: dict[str, Rule]
+    #: Activation catalogs; without them no tasks are made.
+    subscriptions: DataFrame | None = None
+    destinations: DataFrame | None = None
+    consent: DataFrame | None = None
 
     def __post_init__(self) -> None:
         s, r = self.spark, self.root
@@ -52,6 +62,9 @@ class Pipeline:
         self.dead = Batches(s, f"{r}/dead", DEAD)
         self.nodes = Batches(s, f"{r}/nodes", NODES)
         self.feed = Batches(s, f"{r}/changes", CHANGES)
+        self.tasks = Batches(s, f"{r}/tasks", TASKS)
+        if self.consent is None:
+            self.consent = s.createDataFrame([], CONSENT)
         self.merged = Snapshot(s, f"{r}/merged", MERGED)
         self.state = Snapshot(s, f"{r}/membership", membership.STATE)
 
@@ -112,8 +125,7 @@ class Pipeline:
             "last_seen_at",
         )
         rows = events.withColumns({"profile_id": F.col("cluster_id"), "props": F.col("properties")})
-        consent = self.spark.createDataFrame([], "tenant_id string, profile_id string, channel string, purpose string, status string")
-        return people, behavior.record(rows, consent)
+        return people, behavior.record(rows, self.consent)
 
     def absorb(self, requests: DataFrame, batch: int, at: dt.datetime | None = None) -> None:
         """One micro-batch.  ``at`` is the evaluation instant; by default the latest arrival."""
@@ -129,6 +141,18 @@ class Pipeline:
         touched = self.redirected(self.events.read(only=batch).filter("cluster_id is not null").select("tenant_id", "cluster_id")).distinct()
         self.evaluate(at or fresh.agg(F.max("received_at")).first()[0], batch, checkpointed(touched))
 
+    def guarded(self, requests: DataFrame, batch: int, retries: int = 3, pause: float = 0.1) -> None:
+        """``absorb`` with retries after growing pauses; a batch that keeps failing goes to the dead letters whole."""
+        for attempt in range(1, retries + 1):
+            try:
+                return self.absorb(requests, batch)
+            except Exception as error:  # whatever a poisonous batch raises
+                if attempt == retries:
+                    why = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:500]
+                    dead = requests.select("tenant_id", "source_id", "received_at", "arrival", F.col("body").alias("raw"), F.lit(why).alias("error"))
+                    self.dead.write(batch, dead)
+                time.sleep(pause * attempt)
+
     def evaluate(self, at: dt.datetime, batch: int, touched: DataFrame | None = None) -> None:
         """Evaluate every rule at ``at`` for the touched profiles, or all, and append what changed to the feed."""
         people, log = self.population(touched)
@@ -139,7 +163,11 @@ class Pipeline:
         merged = self.merged.read().select("tenant_id", F.col("cluster_id").alias("profile_id"))
         gone = self.state.read().join(merged, list(KEYS), "left_semi").select(*membership.KEYS, F.lit(False).alias("matched"))
         ahead = checkpointed(membership.advance(self.state.read(), rows.unionByName(gone), at))
-        self.feed.write(batch, membership.changes(ahead))
+        feed = membership.changes(ahead)
+        self.feed.write(batch, feed)
+        if self.subscriptions is not None and self.destinations is not None:
+            made = activation.tasks(feed, self.subscriptions, self.destinations, people, self.consent)
+            self.tasks.write(batch, made.select(*(x.split()[0] for x in TASKS.split(", "))))
         self.state.replace(membership.state_of(ahead))
 
     def sweep(self, at: dt.datetime) -> None:
@@ -159,7 +187,7 @@ class Pipeline:
         """Drain what has landed, in bounded batches, and stop; run again for more."""
         stream = readers.landed_stream(self.spark, landing, files_per_trigger)
         return (
-            stream.writeStream.foreachBatch(lambda df, batch: self.absorb(df, batch))
+            stream.writeStream.foreachBatch(lambda df, batch: self.guarded(df, batch))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()

@@ -44,7 +44,10 @@ def test_stream_agrees_with_batch(spark, tmp_path):
         part = landing / f"part{k}.json"
         part.write_text("\n".join(json.dumps(r) for r in rows[k * 33 : (k + 1) * 33]))
         os.utime(part, (1_700_000_000 + k, 1_700_000_000 + k))  # the source takes older files first
-    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES)
+    tenants = ("t0", "t1")
+    subs = spark.createDataFrame([(t, "x", "d", "viewers", "active") for t in tenants], "tenant_id string, subscription_id string, destination_id string, segment_id string, status string")
+    dests = spark.createDataFrame([(t, "d", "webhook", "active", "{}") for t in tenants], "tenant_id string, destination_id string, type string, status string, config string")
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES, subs, dests)
     work.start(f"file://{landing}", f"file://{tmp_path}/ckpt", files_per_trigger=1).awaitTermination()
     end = AT + dt.timedelta(hours=100)
     work.sweep(end)
@@ -74,6 +77,10 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     for r in sorted(feed, key=lambda r: r.transition_seq):
         last[r.tenant_id, r.segment_id, r.profile_id] = r.change
     assert {k for k, v in last.items() if v == "entered"} == want
+    made = work.tasks.read().collect()
+    assert len({r.idempotency_key for r in made}) == len(made) and all(r.status == "pending" for r in made)
+    on = {(r.tenant_id, r.profile_id, r.reason) for r in feed if r.segment_id == "viewers"}
+    assert {(r.tenant_id, r.profile_id, r.source_event_id) for r in made} <= on and made
     before = len(feed)
     work.absorb(readers.landed(spark, f"file://{landing}"), 99)
     assert work.feed.read().count() == before and work.due(end).columns[:2] == ["tenant_id", "profile_id"]
@@ -90,3 +97,12 @@ def test_bucket_stream_matches_batch(spark, tmp_path):
     want = {(r.bucket_start, r["count"]) for r in behavior.hourly_buckets(log.dropDuplicates(["event_id"])).collect()}
     got = {(r.bucket_start, r["count"]) for r in spark.table("buckets").collect()}
     assert got <= want and len(want) - len(got) <= 2
+
+
+def test_poison_batch_becomes_dead_letters(spark, tmp_path):
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES)
+    work.absorb = lambda *_: 1 / 0
+    rows = spark.createDataFrame([("t", "s", "track", AT, 1, "{}")], readers.LANDED)
+    work.guarded(rows, 5, retries=2, pause=0)
+    dead = work.dead.read().collect()
+    assert [(r.raw, r.error) for r in dead] == [("{}", "ZeroDivisionError: division by zero")]
