@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import PARK_AFTER, park_delay_seconds
 from ..plans.compiler import KEYS, micros, moment
-from ..plans.rules import Behavior, Rule, parse_window
+from ..plans.rules import Behavior, Rule, parse_window, references_event
 
 
 def boundaries(b: Behavior) -> list[int]:
@@ -108,3 +108,18 @@ def safety_page(memberships: DataFrame, pending: DataFrame, limit: int) -> DataF
     """A page of active members without a stored deadline."""
     keys = ["tenant_id", "segment_id", "profile_id"]
     return memberships.filter("status = 'active'").join(pending.select(*keys), keys, "left_anti").select(*keys).orderBy(*keys).limit(limit)
+
+
+def earliest(stored: DataFrame, planned: DataFrame) -> DataFrame:
+    """Stored and planned deadlines merged: the earlier one of each key."""
+    keys = ["tenant_id", "segment_id", "profile_id"]
+    both = stored.select(*keys, "due_at").unionByName(planned.select(*keys, "due_at"))
+    return both.groupBy(*keys).agg(F.min("due_at").alias("due_at"))
+
+
+def sweepable(claimed: DataFrame, segments: DataFrame, rules: dict[str, Rule], profiles: DataFrame) -> DataFrame:
+    """Claimed rows worth evaluating: the segment is active, its rule needs no event, and the profile exists."""
+    free = [name for name, rule in sorted(rules.items()) if not references_event(rule)]
+    live = segments.filter("status = 'active'").select("tenant_id", "segment_id")
+    rows = claimed.filter(F.col("segment_id").isin(free)).join(live, ["tenant_id", "segment_id"], "left_semi")
+    return rows.join(profiles.select(*KEYS), list(KEYS), "left_semi")

@@ -155,3 +155,16 @@ def split_dead_letters(raw: DataFrame, column: str = "raw") -> tuple[DataFrame,
     good = raw.filter(F.coalesce(ok, F.lit(False)))
     dead = raw.filter(~F.coalesce(ok, F.lit(False)))
     return good, dead.withColumns({"payload": body, "status": F.lit("open"), "error": F.lit("invalid JSON")})
+
+
+def payload() -> Column:
+    """An envelope as the JSON that is stored and published."""
+    ids = F.struct(*(F.nullif(F.col(c), F.lit("")).alias(c) for c in IDENTIFIERS))
+    return F.to_json(
+        F.struct(
+            "event_id", "tenant_id", "source_id", "type", "event_name", ids.alias("identifiers"),
+            F.nullif(F.col("previous_id"), F.lit("")).alias("previous_id"), rfc3339_text(F.col("timestamp")).alias("timestamp"),
+            rfc3339_text(F.col("received_at")).alias("received_at"), F.try_parse_json("context").alias("context"),
+            F.try_parse_json("properties").alias("properties"), F.try_parse_json("traits").alias("traits"),
+        )
+    )

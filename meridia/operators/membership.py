@@ -109,3 +109,22 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` and the rows of ``new`` whose key it lacks; of repeated new keys one row goes in."""
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+
+
+def rekeyed(rows: DataFrame, survivors: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of merged profiles under their survivor, which keeps its own row where both have one.
+
+    ``survivors`` has tenant_id, profile_id, survivor_id; ``keys`` identify a row (profile_id among them).
+    """
+    moved = rows.join(survivors, ["tenant_id", "profile_id"], "left").withColumns(
+        {"_own": F.col("survivor_id").isNull(), "_from": F.col("profile_id"), "profile_id": F.coalesce("survivor_id", "profile_id")}
+    )
+    first = Window.partitionBy(*keys).orderBy(F.col("_own").desc(), "_from")
+    kept = moved.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
+    return kept.select(*rows.columns)
+
+
+def deactivated(pending: DataFrame, segments: DataFrame) -> DataFrame:
+    """Deadlines of active segments only; memberships of the others stay as they are, frozen."""
+    live = segments.filter("status = 'active'").select("tenant_id", "segment_id")
+    return pending.join(live, ["tenant_id", "segment_id"], "left_semi")

@@ -969,3 +969,73 @@ def _upsert(spark, sf_dir):
     new = old.filter(n % 4 == 0).withColumn("status", F.lit("withdrawn"))
     late = old.filter(n % 4 == 1).withColumns({"status": F.lit("late"), "updated_at": F.col("updated_at") - F.expr("interval 1 day")})
     return governance.set_consent(old, new.unionByName(late)).select("tenant_id", "profile_id", "status")
+
+
+@_add(
+    "ingest_payload",
+    f"WITH {_ENV} SELECT arrival, event_name, nullif(user_id, '') AS user_id, 'https://x/' || (arrival % 1000000000 % 9) AS url FROM env WHERE error IS NULL",
+)
+def _payload(spark, sf_dir):
+    rows = _envelopes(spark, sf_dir).filter("error is null").withColumn("p", ingest.payload())
+
+    def at(path: str, name: str):
+        return F.get_json_object("p", path).alias(name)
+
+    return rows.select("arrival", at("$.event_name", "event_name"), at("$.identifiers.user_id", "user_id"), at("$.context.page.url", "url"))
+
+
+def _survivors(spark, sf_dir):
+    n = F.substring("profile_id", 2, 20).cast("long")
+    people = fixtures.profiles(spark, sf_dir).filter(n % 2 == 1)
+    return people.select("tenant_id", "profile_id", F.concat(F.lit("p"), n - 1).alias("survivor_id"))
+
+
+@_add(
+    "reparent_memberships",
+    with_sql(
+        """SELECT tenant_id, profile_id, arg_min(n, n) AS owner FROM (SELECT tenant_id, n, 'p' || (n - n % 2) AS profile_id FROM (
+  SELECT tenant_id, cast(substr(profile_id, 2) AS BIGINT) AS n FROM a)) GROUP BY ALL""",
+        f"a AS {_viewers(AT_SQL)}",
+    ),
+)
+def _reparent(spark, sf_dir):
+    rows = verdicts_at(spark, sf_dir, AT).filter("matched").withColumn("owner", F.substring("profile_id", 2, 20).cast("long"))
+    return membership.rekeyed(rows, _survivors(spark, sf_dir), membership.KEYS).select("tenant_id", "profile_id", "owner")
+
+
+@_add("segment_deactivate", with_sql("SELECT tenant_id, count(*) AS pending FROM pend WHERE tenant_id <> 'r0' GROUP BY ALL", _PENDING))
+def _deactivate(spark, sf_dir):
+    pending = _pending(spark, sf_dir).withColumn("segment_id", F.lit("s1"))
+    segments = spark.createDataFrame([(t, "s1", "inactive" if t == "r0" else "active") for t in _TENANTS], "tenant_id string, segment_id string, status string")
+    return membership.deactivated(pending, segments).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("pending"))
+
+
+@_add("due_earliest", with_sql("SELECT tenant_id, profile_id, min(due_at) AS due_at FROM pend GROUP BY ALL", _PENDING))
+def _earliest(spark, sf_dir):
+    rows = _pending(spark, sf_dir).withColumn("segment_id", F.lit("s1"))
+    odd = F.col("attempts") % 2 == 1
+    return ntz(deadlines.earliest(rows.filter(odd), rows.filter(~odd)).select("tenant_id", "profile_id", "due_at"))
+
+
+@_add("sweep_eligible", with_sql("SELECT tenant_id, count(*) AS n FROM pend WHERE tenant_id <> 'r0' AND attempts % 3 = 0 AND cast(substr(profile_id, 2) AS BIGINT) % 2 = 0 GROUP BY ALL", _PENDING))
+def _eligible(spark, sf_dir):
+    rules = {"s0": parse(_VIEWERS), "s1": parse({"field": "event.type", "op": "exists"})}
+    name = F.when(F.col("attempts") % 3 == 0, "s0").when(F.col("attempts") % 3 == 1, "s1").otherwise("s2")
+    segments = spark.createDataFrame([(t, s, "inactive" if t == "r0" else "active") for t in _TENANTS for s in rules], "tenant_id string, segment_id string, status string")
+    people = fixtures.profiles(spark, sf_dir).filter(F.substring("profile_id", 2, 20).cast("long") % 2 == 0)
+    out = deadlines.sweepable(_pending(spark, sf_dir).withColumn("segment_id", name), segments, rules, people)
+    return out.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add("due_coalesced", with_sql("SELECT segment_id, CASE WHEN parked_at IS NULL AND attempts % 2 = 0 THEN due_at ELSE due_at + to_seconds(CASE WHEN attempts % 2 = 0 THEN 50 ELSE 70 END) END AS due_at FROM pend", _PENDING))
+def _coalesced(spark, sf_dir):
+    stored = _pending(spark, sf_dir)
+    planned = stored.withColumn("due_at", F.timestamp_micros(F.unix_micros("due_at") + F.when(F.col("attempts") % 2 == 0, 50_000_000).otherwise(70_000_000)))
+    return ntz(deadlines.coalesced(stored, planned).select("segment_id", "due_at"))
+
+
+@_add("consent_list", "SELECT 'email' AS channel, 'marketing' AS purpose, 'denied' AS status")
+def _consent_list(spark, sf_dir):
+    rows = consent(spark, sf_dir)
+    home = fixtures.profiles(spark, sf_dir).filter("profile_id = 'p14'").first().tenant_id
+    return governance.consent_list(rows, home, "p14")
