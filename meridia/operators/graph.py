@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..sources.storage import checkpointed
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: no node hangs from two others, or from one that hangs itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("top")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("top"))
+    )
+    per = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("top").alias("top"))
+    return per.filter("leaf + top > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,8 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     state = checkpointed(pairs.filter("a < b").distinct())
-    seen = _mark(state)
-    while True:
+    while not _settled(state):
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             state.select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -40,9 +44,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         state = checkpointed(small)
-        now = _mark(state)
-        if now == seen:
-            break
-        seen = now
     heads = state.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     return state.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(heads)
