@@ -210,6 +210,8 @@ def parse(html: str | None) -> Page:
                 close_to(depth)
             elif tag in _BLOCKS and not skip:
                 block += 1
+            elif tag == "br" and not skip:
+                segments.append((block, " ", stack[-1].zone))
             continue
         attrs = m["attrs"]
         if tag in _VOID:
@@ -300,7 +302,11 @@ def _subtrees(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, hashes): the subtrees that recur across the pages of a host."""
+    """(host, hashes): the subtrees that recur across the pages of a host.
+
+    A page holds a bounded number of elements and a template is on a share of its
+    host's pages, so a host's list has at most elements per page / SHARE hashes.
+    """
     rows = _subtrees(pages).distinct()
     counts = rows.groupBy("host", "h", "article").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.filter("h is null").select("host", F.col("n").alias("pages"))
