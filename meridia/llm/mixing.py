@@ -8,10 +8,11 @@ goes to the others by weight (water filling, in closed form).
 Within a source every document has the same expected copies, target / size.  The
 documents stand in a fixed order (larger first, then by doc_id); the prefix sum of
 the expected copies plus one offset per source, drawn from the seed, crosses some
-integers at a document, and each crossing emits it once.  The ordering by size
-keeps a source's words within about one large document of its target.  Prefix
-sums are exact integers in units of 2^-20 copies, so reruns and any partitioning
-agree.
+integers at a document, and each crossing emits it once.  Sizes fall along the
+order, so the words taken miss the target by at most the largest document times
+the offset (or one less the offset).  The offset is drawn from the middle quarter
+of the unit, which keeps that factor under 5/8.  Prefix sums are exact integers in
+units of 2^-20 copies, so reruns and any partitioning agree.
 
 The prefix sum is a rank, found in three levels so that no source is gathered in
 one task: counts by (source, size), counts by block of doc_ids within a size,
@@ -86,7 +87,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, ceiling: int = CEILIN
     return (
         per.withColumn("target", target)
         .withColumn("rate", rate.cast("long"))
-        .withColumn("offset", (((F.col("place") + 1) * 7919 + F.lit(SEED)) * 104729) % F.lit(UNIT))
+        .withColumn("offset", F.lit(UNIT * 3 // 8) + (((F.col("place") + 1) * 7919 + F.lit(SEED)) * 104729) % F.lit(UNIT // 4))
         .select("source", "source_size", "target", "rate", "offset")
     )
 
@@ -198,7 +199,7 @@ l AS (
   FROM l
 ), q AS (
   SELECT *, CASE WHEN source_size > 0 THEN cast(floor(target / source_size * 1048576) AS BIGINT) ELSE 0 END AS rate,
-         (((place + 1) * 7919 + 17) * 104729) % 1048576 AS off
+         393216 + (((place + 1) * 7919 + 17) * 104729) % 262144 AS off
   FROM t
 ), n AS (
   SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id ASC NULLS LAST) - 1 AS rank FROM d

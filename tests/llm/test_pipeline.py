@@ -91,7 +91,7 @@ def test_mixture_emits_reported_copies(spark, corpus):
     assert abs(sum(t for t, _ in targets.values()) - 1.5 * total) < 1e-6 * total
     for s, (target, size) in targets.items():
         taken = sum(r.taken for r in report if r.source == s)
-        assert abs(taken - target) <= max([r.size for r in report if r.source == s]) and target <= 2 * size
+        assert abs(taken - target) <= 0.63 * max([r.size for r in report if r.source == s]) and target <= 2 * size
     assert all(0 <= r.taken <= 2 * r.size for r in report)
     assert mixing.mix_report(docs.limit(0)).count() == 0
     nulls = spark.createDataFrame([(1, None, None), (None, None, "a")], "doc_id long, text string, source string")
