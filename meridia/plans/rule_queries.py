@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import behavior, deadlines
 from . import fixtures
 from .compiler import KEYS, evaluate, shape_drift
-from .fixtures import AT, AT_SQL, LATER, with_sql
+from .fixtures import AT, AT_SQL, LATER, LATER_SQL, with_sql
 from .rules import Behavior, parse
 
 FLAGSHIP = {
@@ -115,6 +115,7 @@ _members("beh_recency", _b(kind="recency", event_name="click", window="24h"), f"
 _members("beh_absence", _b(kind="absence", event_name="click", window="3d"), f"coalesce({_last('click')} < {AT_SQL} - INTERVAL 3 DAY, true)")
 _members("beh_correlated_absence", FLAGSHIP["conditions"][1], _GONE, extra=_ANCHOR_CTE)
 _members("flagship_segment", FLAGSHIP, _GONE, extra=_ANCHOR_CTE)
+_members("flagship_segment_later", FLAGSHIP, _GONE, at=LATER, extra=_ANCHOR_CTE.replace(AT_SQL, LATER_SQL))
 
 
 def _chain(names: list[str], hours: int) -> str:
@@ -254,7 +255,7 @@ def _incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     log = fixtures.behavior_log(spark, sf_dir)
     ahead = F.when(F.substring("event_id", 2, 20).cast("long") % 4 == 0, F.expr("interval 2 hours")).otherwise(F.expr("interval 0 hours"))
     events = log.select(*KEYS, "event_id", F.lit("track").alias("type"), "event_name", (F.col("occurred_at") + ahead).alias("timestamp"), F.col("occurred_at").alias("received_at"), "props")
-    events = events.unionByName(events.filter("event_name = 'view'")).unionByName(events.limit(0))
+    events = events.unionByName(events.filter("event_name = 'view'"))
     number = F.substring("profile_id", 2, 20).cast("long")
     consent = fixtures.profiles(spark, sf_dir).select(
         *KEYS, F.lit("email").alias("channel"), F.lit("analytics").alias("purpose"), F.when(number % 7 == 0, "denied").otherwise("granted").alias("status")
