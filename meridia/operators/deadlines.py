@@ -64,13 +64,17 @@ def next_due(log: DataFrame, rule: Rule, at: dt.datetime) -> DataFrame:
     return out.select(*KEYS, F.timestamp_micros("_due").alias("due_at"))
 
 
-def fair_claim(pending: DataFrame, at: dt.datetime, batch: int, per_tenant: int) -> DataFrame:
+def fair_claim(pending: DataFrame, at: dt.datetime, batch: int, per_tenant: int, lease_seconds: int = 300) -> DataFrame:
     """The earliest due rows, at most ``per_tenant`` of each tenant and ``batch`` in all.
 
-    ``pending`` has tenant_id, segment_id, profile_id, due_at, parked_at.
+    ``pending`` has tenant_id, segment_id, profile_id, due_at, parked_at; where it
+    has claimed_at too, rows under a claim that is no older than the lease are left.
     """
     order = Window.partitionBy("tenant_id").orderBy("due_at", "segment_id", "profile_id")
     due = pending.filter((F.col("due_at") <= moment(at)) & F.col("parked_at").isNull())
+    if "claimed_at" in pending.columns:
+        stale = F.col("claimed_at") < moment(at, -lease_seconds * 1_000_000)
+        due = due.filter(F.col("claimed_at").isNull() | stale)
     fair = due.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per_tenant).drop("_rn")
     return fair.orderBy("due_at", "tenant_id", "segment_id", "profile_id").limit(batch)
 

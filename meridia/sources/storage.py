@@ -35,6 +35,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 class Snapshot:
     """A table that is replaced as a whole: every version is a folder, a pointer file names the current one.
 

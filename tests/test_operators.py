@@ -71,6 +71,9 @@ def test_fair_claim_and_parking(spark):
     frame = spark.createDataFrame(rows, "tenant_id string, segment_id string, profile_id string, due_at timestamp, parked_at timestamp, attempts int")
     got = [r.tenant_id for r in deadlines.fair_claim(frame, AT, 20, 5).collect()]
     assert sorted(got) == ["a"] * 5 + ["b"]
+    claimed = frame.withColumn("claimed_at", F.when(F.col("segment_id") == "s1", F.lit(AT)).when(F.col("segment_id") == "s2", F.lit(AT - HOUR)).cast("timestamp"))
+    got = {r.segment_id for r in deadlines.fair_claim(claimed, AT, 200, 200).collect()}
+    assert "s1" not in got and "s2" in got and len(got) == 100
     after = {r.segment_id: r for r in deadlines.after_failure(frame.filter("tenant_id = 'b'"), AT).collect()}
     assert after["s"].parked_at == AT and after["s"].attempts == 10 and after["s"].due_at == AT + dt.timedelta(seconds=2560)
     assert after["x"].parked_at is None and after["x"].due_at == AT + dt.timedelta(seconds=5)
