@@ -2,8 +2,8 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame that keeps the columns
 of ``docs``; the last one returns every row once per copy with its copy number.
-``run`` writes each stage's rows as Parquet in the shared folder and reads them
-again for the next stage.
+``run`` writes each stage's rows as Parquet in the shared folder, reads them again
+for the next stage, and deletes what the next stage has replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meridia.llm import decontaminate, exact_dedup, langid, mixing, simhash
 from meridia.llm.common import table
-from meridia.sources.storage import shared_folder
+from meridia.sources.storage import remove, shared_folder
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +49,14 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
 
 
