@@ -56,9 +56,11 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Class names that speak of a part's surroundings or state, such as has-sidebar or comments-open.
-_ABOUT = re.compile(r"\b(?:has|with|without|no|is|hide|show)-[\w-]+|[\w-]+-(?:open|closed|free|enabled|disabled|on|off)\b")
+_ABOUT = re.compile(
+    r"\b(?:has|with|without|no|is|hide|show)-[\w-]+|[\w-]+-(?:open|closed|free|enabled|disabled|on|off)\b", re.I
+)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset(
@@ -81,15 +83,18 @@ _SIBLINGS = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
-    "menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice popup modal overlay share sharing "
-    "social related recommended newsletter subscribe subscription signup login comment comments disqus respond "
-    "pagination pager toolbar masthead skip widget paywall".split()
+    "ad ads adbanner adbox adsbygoogle adslot adunit advert adverts advertisement advertising sponsor sponsored promo "
+    "promoted promotion banner outbrain taboola nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer "
+    "colophon copyright cookie cookies consent gdpr notice notices alert announcement popup modal overlay share sharing "
+    "social related recommended newsletter subscribe subscription signup login comment comments disqus respond replies "
+    "responses discussion pagination pager toolbar masthead skip widget paywall".split()
 )
 _PAGE_NAMES = frozenset("header topbar search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: What a stray article inside doesn't bring back.
-_FIRM = frozenset("nav aside footer menu dialog comment comments disqus respond related recommended sidebar".split())
+_FIRM = frozenset(
+    "nav aside footer menu dialog comment comments disqus respond replies responses discussion related recommended sidebar".split()
+)
 _MAIN_NAMES = frozenset("article articlebody content main post entry story".split())
 
 
@@ -134,7 +139,7 @@ class Page:
 
 def _names(found: dict[str, str]) -> set[str]:
     """The words of an element's class and id."""
-    return set(_WORD.findall(_ABOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}".lower())))
+    return {w.lower() for w in _WORD.findall(_ABOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}"))}
 
 
 def _reason(tag: str, attrs: str, zone: int) -> str | None:

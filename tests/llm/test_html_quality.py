@@ -23,6 +23,8 @@ from meridia.llm import html_text, quality  # noqa: E402
         ("<article><p>1</p><section class='comments'><p>c</p></section></article>", "1"),
         ("<div class='page has-sidebar'><article class='post comments-open'><p>kept</p></article><div class='sidebar'>s</div></div>", "kept"),
         ("<div id=main-content><header><h1>T</h1></header><p>x</p></div><div class=newsletter-signup><p>s</p></div>", "T\n\nx"),
+        ("<div id='siteHeader'>h</div><div class=cookieBanner>c</div><div class='postContent'><h1>T</h1><ins class=adsbygoogle>x</ins><p>y</p></div><p class=copyright>z</p>", "T\n\ny"),
+        ("<div class='ADS'>a</div><p>b</p>", "b"),
         ("<p>a</br>b</p></p>c", "a b\n\nc"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\n\nc"),
     ],
