@@ -5,11 +5,12 @@ navigation, header, footer, sidebar, notice, advert, form, comments, script or
 style are left out, and the text of the rest is kept as segments with the block
 and the zone (article, main, or elsewhere) that each belongs to.
 
-Template removal: every remaining block-level element gets a hash of its subtree
-(tag, class, text and the hashes of its children).  Spark counts, per host, the
-different pages on which each hash occurs; copies of one page count once.  A
-subtree that occurs on many pages of its host (MIN_PAGES and a share of the host's
-pages) is template, and its segments are deleted.  In an article only containers
+Template removal: every block-level element, the named parts included, gets a hash
+of its subtree (tag, class, text and the hashes of its children; a named part is no
+child of what holds it, so that a changing advert doesn't hide a template).  Spark
+counts, per host, the different pages on which each hash occurs; copies of one page
+count once.  A subtree on MIN_PAGES pages of its host is template, however many
+pages the host has, and its segments are deleted.  In an article only containers
 are template; its paragraphs, headings and list items stay even when other pages
 quote them.
 
@@ -43,10 +44,7 @@ from ..sources.storage import checkpointed
 from .common import map_batches, table
 
 MIN_PAGES = 4
-SHARE = 0.3
-#: In an article, a container must recur on this share of the host's pages.
-ARTICLE_SHARE = 0.5
-#: Template hashes are broadcast up to this number (8 bytes each); beyond it they are joined by host.
+#: Template hashes are broadcast up to this number (16 bytes each); beyond it they are joined by host and hash.
 BROADCAST_HASHES = 500_000
 
 _RAW = "script|style|title|textarea|noscript|iframe|template|xmp|noembed|noframes"
@@ -117,6 +115,8 @@ class Page:
     segments: list[tuple[int, str, int]] = field(default_factory=list)
     #: (hash, first segment, end segment, zone)
     elements: list[tuple[int, int, int, int]] = field(default_factory=list)
+    #: hashes of the parts left out by name, and of the blocks in them
+    named: list[int] = field(default_factory=list)
 
     def text(self, template: frozenset | set = frozenset()) -> str:
         """Blocks of the best zone, without the template's subtrees."""
@@ -167,6 +167,12 @@ def _main_named(attrs: str) -> bool:
     return bool(attrs) and bool(_MAIN_NAMES & _names(_attributes(attrs)))
 
 
+def _head(tag: str, attrs: str) -> list[bytes]:
+    """What a named part's hash begins with."""
+    name = _attributes(attrs).get("class", "") if attrs else ""
+    return [tag.encode("utf-8", "surrogatepass"), name.encode("utf-8", "surrogatepass")]
+
+
 def parse(html: str | None) -> Page:
     page = Page()
     if not html:
@@ -181,8 +187,12 @@ def parse(html: str | None) -> Page:
         while len(stack) > depth:
             node = stack.pop()
             if skip:
+                h = xxhash.xxh64_digest(b"\x00".join(node.parts))
+                page.named.append(int.from_bytes(h, "big", signed=True))
                 if len(stack) <= skip:
                     skip = 0
+                else:
+                    stack[-1].parts.append(h)
                 continue
             if node.tag in _BLOCKS:
                 block += 1
@@ -194,9 +204,10 @@ def parse(html: str | None) -> Page:
                         page.elements.append((value, node.first, len(segments), node.zone))
 
     def add(text: str) -> None:
-        if text and not skip:
+        if text:
             text = html_lib.unescape(text) if "&" in text else text
-            segments.append((block, text, stack[-1].zone))
+            if not skip:
+                segments.append((block, text, stack[-1].zone))
             if not text.isspace():
                 stack[-1].parts.append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
 
@@ -244,17 +255,19 @@ def parse(html: str | None) -> Page:
         if skip:
             core = tag in ("article", "main") or (why == "form" and _main_named(attrs))
             if core and why not in _FIRM and not _reason(tag, attrs, 0):
-                skip = 0  # a form or an unclosed part around the article
+                for node in stack[skip:]:  # a form or an unclosed part around the article
+                    node.parts.clear()
+                skip = 0
             else:
                 if tag in _BLOCKS or tag in _DROPPED:
-                    stack.append(_Open(tag, 0, [], 0))
+                    stack.append(_Open(tag, len(segments), _head(tag, attrs), 0))
                 continue
         top = stack[-1]
         reason = _reason(tag, attrs, top.zone)
         if reason:
             if tag in _BLOCKS or tag in _DROPPED:
                 block += 1
-            stack.append(_Open(tag, len(segments), [], top.zone))
+            stack.append(_Open(tag, len(segments), _head(tag, attrs), top.zone))
             skip, why = len(stack) - 1, reason
             continue
         if tag in _BLOCKS or tag in ("header",):
@@ -280,44 +293,37 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _host_key(url: str | None) -> int:
-    return int.from_bytes(xxhash.xxh64_digest(host_of(url).encode("utf-8", "surrogatepass")), "big", signed=True)
+def _keys(url: str | None, html: str | None) -> tuple[int, int]:
+    """Hashes of a page's host and of its content."""
+    return tuple(
+        int.from_bytes(xxhash.xxh64_digest(x.encode("utf-8", "surrogatepass")), "big", signed=True)
+        for x in (host_of(url), html or "")
+    )
 
 
-def _subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page, h, article): subtree hashes of every page; h is null in one row of each page, to count pages."""
+def _subtrees(pages: DataFrame, named: bool) -> DataFrame:
+    """(host, page, h): subtree hashes of every page, with or without those of its named parts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, marks, hashes, inside = [], [], [], []
+        hosts, marks, hashes = [], [], []
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            host = _host_key(url)
-            mark = int.from_bytes(xxhash.xxh64_digest((html or "").encode("utf-8", "surrogatepass")), "big", signed=True)
-            found = {(h, zone >= 2) for h, _, _, zone in parse(html).elements}
-            n = len(found) + 1
-            hosts += [host] * n
-            marks += [mark] * n
-            hashes += [None, *(h for h, _ in found)]
-            inside += [False, *(a for _, a in found)]
+            host, mark = _keys(url, html)
+            page = parse(html)
+            found = {h for h, _, _, _ in page.elements}.union(page.named if named else ())
+            hosts += [host] * len(found)
+            marks += [mark] * len(found)
+            hashes += found
         return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(hashes, pa.int64()), pa.array(inside, pa.bool_())],
-            ["host", "page", "h", "article"],
+            [pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "h"]
         )
 
-    return map_batches(pages.select("url", "html"), run, "host long, page long, h long, article boolean")
+    return map_batches(pages.select("url", "html"), run, "host long, page long, h long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, hashes): the subtrees that recur across the pages of a host.
-
-    A page holds a bounded number of elements and a template is on a share of its
-    host's pages, so a host's list has at most elements per page / SHARE hashes.
-    """
-    rows = _subtrees(pages).distinct()
-    counts = rows.groupBy("host", "h", "article").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.filter("h is null").select("host", F.col("n").alias("pages"))
-    share = F.when(F.col("article"), F.lit(ARTICLE_SHARE)).otherwise(F.lit(SHARE))
-    often = counts.filter((F.col("n") >= MIN_PAGES) & F.col("h").isNotNull()).join(totals, "host")
-    return often.filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("h").alias("hashes"))
+    """(host, h): the subtrees that recur on MIN_PAGES different pages of a host."""
+    counts = _subtrees(pages, True).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") >= MIN_PAGES).select("host", "h")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -328,16 +334,19 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.col("`html`").cast("string").alias("html"),
     )
     found = checkpointed(templates(rows))
-    total = found.agg(F.sum(F.size("hashes")).alias("n"), F.count(F.lit(1)).alias("hosts")).first()
-    small = (total.n or 0) + total.hosts <= BROADCAST_HASHES
-    if total.hosts:
+    total = found.count()
+    if total:
         def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hosts = pa.array([_host_key(u) for u in batch.column("url").to_pylist()], pa.int64())
-            return pa.RecordBatch.from_arrays([*batch.columns, hosts], [*batch.schema.names, "host"])
+            made = [_keys(u, x) for u, x in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
+            more = [pa.array([k[i] for k in made], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "host", "page"])
 
+        # Each page meets only the template hashes it holds, so a host's list may grow with its pages.
+        small = F.broadcast(found) if total <= BROADCAST_HASHES else found
+        held = _subtrees(rows, False).join(small, ["host", "h"]).groupBy("host", "page").agg(F.collect_set("h").alias("hashes"))
         id_type = rows.schema["page_id"].dataType.simpleString()
-        keyed = map_batches(rows, keys, f"page_id {id_type}, url string, html string, host long")
-        rows = keyed.join(F.broadcast(found) if small else found, "host", "left").drop("host")
+        keyed = map_batches(rows, keys, f"page_id {id_type}, url string, html string, host long, page long")
+        rows = keyed.join(held, ["host", "page"], "left").drop("host", "page")
     else:
         rows = rows.withColumn("hashes", F.lit(None).cast("array<bigint>"))
 

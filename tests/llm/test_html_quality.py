@@ -57,6 +57,28 @@ def test_template_join_without_broadcast(spark, monkeypatch):
     test_template_removal(spark)
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_template_on_a_small_share_of_a_host(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_text, "BROADCAST_HASHES", broadcast)
+    pages = []
+    for i in range(60):
+        outside = "<div>Terms <b>apply</b></div>" if i < 5 else "<div>three</div>" if i < 8 else ""
+        inside = "<div><p>Read on</p></div>" if 20 <= i < 25 else "<p>quoted</p>" if i < 50 else ""
+        advert = "<div class=ad>%d</div>" % i
+        pages.append((i, "https://a.example/%d" % i, "<div>%s%s</div><article><p>own %d</p>%s</article>" % (outside, advert, i, inside)))
+        pages.append((100 + i, "https://b.example/%d" % i, "%s<p>own %d</p>" % (outside, i)))
+    pages.append(pages[0])
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in html_text.main_text(frame).select("page_id", "text").collect())
+    want = []
+    for i in range(60):
+        want.append((i, "own %d" % i + ("\n\nquoted" if i < 50 and not 20 <= i < 25 else "")))
+        want.append((100 + i, ("three\n\n" if 5 <= i < 8 else "") + "own %d" % i))
+    assert got == sorted(want + [want[0]])
+    page = html_text.parse("<nav><ul><li>m</ul></nav><p>x</p>")
+    assert len(page.named) == 3 and len(page.elements) == 1
+
+
 def test_quality_held_out_accuracy(spark):
     rng = random.Random(4)
     words = "the of and thing thre erond hathe with thand ster oner".split()
