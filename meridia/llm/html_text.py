@@ -14,8 +14,10 @@ pages the host has, and its segments are deleted.  In an article only containers
 are template; its paragraphs, headings and list items stay even when other pages
 quote them.
 
-The text comes from the articles of the page, or else from its main element, or
-else from all that remains.
+The text comes from the articles and the main element of the page, or else from
+all that remains.  In them, words of class or id that text uses as well (discussion,
+related, notice, ...) drop only a container that is mostly links or template, and
+ids of headings and paragraphs say nothing.
 
 Defined results
     null or empty html   empty text
@@ -62,14 +64,17 @@ _ABOUT = re.compile(
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset(
-    "nav header footer aside form svg math button select object canvas video audio menu dialog datalist map".split()
+    "nav header footer aside form svg button select object canvas video audio menu dialog datalist map "
+    "annotation annotation-xml".split()
 )
 _CONTAINERS = frozenset("div section ul ol dl table tbody fieldset details figure center".split())
 _BLOCKS = _CONTAINERS | frozenset(
     "html body article main p h1 h2 h3 h4 h5 h6 li dt dd tr thead tfoot caption blockquote pre address figcaption "
     "summary hr hgroup legend option".split()
 )
-_CLOSES_P = _BLOCKS | _DROPPED - {"svg", "math", "button", "select", "object", "canvas", "video", "audio", "map"}
+_CLOSES_P = _BLOCKS | _DROPPED - {
+    "svg", "button", "select", "object", "canvas", "video", "audio", "map", "annotation", "annotation-xml"
+}
 #: A start tag ends an open element of its family, up to the nearest element that holds the family.
 _SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -87,6 +92,15 @@ _NAMES = frozenset(
     "social related recommended newsletter subscribe subscription signup login comment comments disqus respond replies "
     "responses discussion pagination pager toolbar masthead skip widget paywall".split()
 )
+#: Words that text uses as well: in an article or main they drop only a container that is mostly links; one that recurs
+#: on the host is template anyway.
+_DOUBTFUL = frozenset(
+    "discussion related notice notices alert announcement responses social share sharing menu banner promotion skip copyright".split()
+)
+#: Their ids are often made from the words of a heading.
+_SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
+#: What an id says for sure of a section.
+_THREADS = frozenset("comment comments disqus respond".split())
 _PAGE_NAMES = frozenset("header topbar search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: What a stray article inside doesn't bring back.
@@ -106,7 +120,8 @@ class _Open:
     first: int
     parts: list[bytes]
     zone: int
-    links: int = 0
+    #: characters of text and of link text before it, if its name is doubtful
+    doubt: tuple[int, int] | None = None
 
 
 @dataclass
@@ -117,18 +132,22 @@ class Page:
     elements: list[tuple[int, int, int, int]] = field(default_factory=list)
     #: hashes of the parts left out by name, and of the blocks in them
     named: list[int] = field(default_factory=list)
+    #: (first segment, end segment) of containers with a doubtful name that are mostly links
+    link_lists: list[tuple[int, int]] = field(default_factory=list)
 
     def text(self, template: frozenset | set = frozenset()) -> str:
-        """Blocks of the best zone, without the template's subtrees."""
+        """Blocks of the best zone, without the template's subtrees; articles and main are one zone."""
         keep = [True] * len(self.segments)
         for h, first, end, _ in self.elements:
             if h in template:
                 keep[first:end] = [False] * (end - first)
+        for first, end in self.link_lists:
+            keep[first:end] = [False] * (end - first)
         best = max((z for k, (_, t, z) in zip(keep, self.segments) if k and not t.isspace()), default=0)
         blocks: list[str] = []
         last = None
         for k, (block, text, zone) in zip(keep, self.segments):
-            if k and zone == best:
+            if k and (zone == best or min(zone, best) >= 2):
                 if block == last:
                     blocks[-1] += text
                 else:
@@ -137,9 +156,24 @@ class Page:
         return "\n\n".join(filter(None, (" ".join(b.split()) for b in blocks)))
 
 
+def _words(text: str) -> set[str]:
+    return {w.lower() for w in _WORD.findall(_ABOUT.sub(" ", text))}
+
+
 def _names(found: dict[str, str]) -> set[str]:
     """The words of an element's class and id."""
-    return {w.lower() for w in _WORD.findall(_ABOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}"))}
+    return _words(f"{found.get('class', '')} {found.get('id', '')}")
+
+
+def _hits(tag: str, found: dict[str, str], zone: int) -> tuple[set[str], set[str]]:
+    """Names that drop an element, and in an article or main those that may."""
+    if zone < 2:
+        return _names(found) & (_NAMES if zone else _NAMES | _PAGE_NAMES), set()
+    by_class, by_id = _words(found.get("class", "")) & _NAMES, _words(found.get("id", "")) & _NAMES
+    firm = by_class - _DOUBTFUL | (by_id - _DOUBTFUL if tag not in _SLUGGED else by_id & _THREADS if tag == "section" else set())
+    if tag in _CONTAINERS:
+        firm |= by_class & {"share", "sharing"}
+    return firm, (by_class | by_id) - firm
 
 
 def _reason(tag: str, attrs: str, zone: int) -> str | None:
@@ -154,15 +188,16 @@ def _reason(tag: str, attrs: str, zone: int) -> str | None:
         return "hidden"
     if found.get("role", "").lower() in _ROLES:
         return found["role"].lower()
-    names = _names(found)
     if tag in ("html", "body", "main"):
         return None
-    if tag == "article":
-        names &= {"comment", "comments"}
-    hit = names & (_NAMES if zone else _NAMES | _PAGE_NAMES)
+    hit = _hits(tag, found, zone)[0] if tag != "article" else _names(found) & {"comment", "comments"}
     return min(hit) if hit else None
 
 
+def _doubtful(tag: str, attrs: str, zone: int) -> bool:
+    return zone >= 2 and tag in _CONTAINERS and bool(attrs) and bool(_hits(tag, _attributes(attrs), zone)[1])
+
+
 def _main_named(attrs: str) -> bool:
     return bool(attrs) and bool(_MAIN_NAMES & _names(_attributes(attrs)))
 
@@ -181,9 +216,10 @@ def parse(html: str | None) -> Page:
     segments = page.segments
     block, skip, why = 0, 0, ""  # skip: depth of the stack at which a part that is left out began
     at = 0
+    read, linked, link = 0, 0, False  # characters of text, those in links, and whether a link is open
 
     def close_to(depth: int) -> None:
-        nonlocal skip, block
+        nonlocal skip, block, link
         while len(stack) > depth:
             node = stack.pop()
             if skip:
@@ -194,8 +230,11 @@ def parse(html: str | None) -> Page:
                 else:
                     stack[-1].parts.append(h)
                 continue
+            if node.doubt and (linked - node.doubt[1]) * 2 > read - node.doubt[0]:
+                page.link_lists.append((node.first, len(segments)))
             if node.tag in _BLOCKS:
                 block += 1
+                link = False
                 h = xxhash.xxh64_digest(b"\x00".join(node.parts))
                 stack[-1].parts.append(h)
                 if len(segments) > node.first and node.tag not in ("html", "body", "article", "main"):
@@ -204,10 +243,14 @@ def parse(html: str | None) -> Page:
                         page.elements.append((value, node.first, len(segments), node.zone))
 
     def add(text: str) -> None:
+        nonlocal read, linked
         if text:
             text = html_lib.unescape(text) if "&" in text else text
             if not skip:
                 segments.append((block, text, stack[-1].zone))
+                n = len(text.strip())
+                read += n
+                linked += n * link
             if not text.isspace():
                 stack[-1].parts.append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
 
@@ -217,6 +260,8 @@ def parse(html: str | None) -> Page:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag == "a":
+            link = not m["end"]
         if m["end"]:
             depth = len(stack) - 1
             inside = stack[-1].zone
@@ -265,7 +310,7 @@ def parse(html: str | None) -> Page:
         top = stack[-1]
         reason = _reason(tag, attrs, top.zone)
         if reason:
-            if tag in _BLOCKS or tag in _DROPPED:
+            if tag in _BLOCKS or tag in _DROPPED and not tag.startswith("annotation"):
                 block += 1
             stack.append(_Open(tag, len(segments), _head(tag, attrs), top.zone))
             skip, why = len(stack) - 1, reason
@@ -279,6 +324,8 @@ def parse(html: str | None) -> Page:
             elif not zone and _main_named(attrs):
                 zone = 1
             stack.append(_Open(tag, len(segments), [tag.encode(), found.get("class", "").encode("utf-8", "surrogatepass")], zone))
+            if _doubtful(tag, attrs, zone):
+                stack[-1].doubt = (read, linked)
         elif tag in ("td", "th"):
             segments.append((block, " ", top.zone))
     add(html[at:])

@@ -57,6 +57,31 @@ def test_template_join_without_broadcast(spark, monkeypatch):
     test_template_removal(spark)
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<article><p>a</p><section id='discussion'><h2>Discussion</h2><p>b</p></section></article>", "a\n\nDiscussion\n\nb"),
+        ("<article><h2 id='related-work'>R</h2><p>a</p><h2 id='social-impact'>S</h2><p id=newsletter>b</p></article>", "R\n\na\n\nS\n\nb"),
+        ("<article><p class='alert alert-info'>a</p><div class='notice'><p>b</p></div><h2 class=share>c</h2></article>", "a\n\nb\n\nc"),
+        ("<article><p>a</p><div class=related><p><a href=x>one</a><p><a href=y>two</a></div><p>b</p></article>", "a\n\nb"),
+        ("<article><p>a</p><div class=related>see <a href=x>one</a> for the rest of it</div></article>", "a\n\nsee one for the rest of it"),
+        ("<article><p>a</p><section id=comments><p>c</p></section><div class=sidebar>d</div></article>", "a"),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='application/x-tex'>x=1</annotation></math> be", "let x=1 be"),
+        ("<div>x</div><main><h1>T</h1><p>lead</p><article>teaser</article></main>", "T\n\nlead\n\nteaser"),
+    ],
+)
+def test_article_text_stays(html, want):
+    assert html_text.parse(html).text() == want
+
+
+def test_doubtful_container_on_many_pages(spark):
+    part = "<section id=discussion><p>Join us</p></section>"
+    pages = [(i, "https://a.example/", "<article><p>own %d</p>%s</article>" % (i, part)) for i in range(4)]
+    pages += [(9, "https://b.example/", pages[0][2])]
+    got = dict(html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).select("page_id", "text").collect())
+    assert got == {**{i: "own %d" % i for i in range(4)}, 9: "own 0\n\nJoin us"}
+
+
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_template_on_a_small_share_of_a_host(spark, monkeypatch, broadcast):
     monkeypatch.setattr(html_text, "BROADCAST_HASHES", broadcast)
