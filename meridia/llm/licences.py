@@ -10,10 +10,16 @@ least size * t / (2 - t) bigrams with its template, hence with the union of all
 templates, which a hash set in the plan tests first.  Both are lower bounds, so no
 match is lost.  Everything happens within a row: nothing is exploded or shuffled.
 
+What no whole line or paragraph matches is searched for notices inside: windows of
+a template's length begin at every bigram that some template has.  A window needs
+as many such bigrams as above, which their positions tell, again a lower bound.  Of
+windows that overlap the best counts.  The SQL knows whole lines and paragraphs
+only, and agrees where no text has a notice inside a longer one.
+
 Defined results
     null or empty text   no units, nothing found
     one-word units       no bigrams, never matched
-    ties                 the template whose name sorts last among the best
+    ties                 the template whose name sorts last among the best; of windows, the longer match first
     repeated rows        one output row each
     very long text       all its lines and paragraphs are units, whole
     empty table          an empty result
@@ -22,6 +28,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,12 +89,16 @@ def _quoted(items: list[str]) -> str:
     return ", ".join(f"'{x}'" for x in items)  # normalised words hold no quotes
 
 
-def _plan(templates: list[tuple[str, str]]) -> tuple[str, str]:
-    """(SQL array of templates, SQL list of all their bigrams)."""
-    made = [(name, template_bigrams(text)) for name, text in templates]
-    rows = [f"named_struct('name', '{n}', 'grams', array({_quoted(g)}))" for n, g in made]
-    every = sorted({x for _, g in made for x in g})
-    return f"array({', '.join(rows)})", _quoted(every)
+def _plan(templates: list[tuple[str, str]], t: float) -> tuple[str, str, int]:
+    """(SQL array of templates, SQL list of all their bigrams, the fewest bigrams that a match shares)."""
+    made = [(name, template_bigrams(text), len(_words(text)) - 1) for name, text in templates]
+    needs = [max(1, math.ceil(len(g) * t / (2 - t) - 1e-9)) for _, g, _ in made]
+    rows = [
+        f"named_struct('name', '{n}', 'grams', array({_quoted(g)}), 'len', {k}, 'need', {need})"
+        for (n, g, k), need in zip(made, needs)
+    ]
+    every = sorted({x for _, g, _ in made for x in g})
+    return f"array({', '.join(rows)})", _quoted(every), min(needs)
 
 
 def _matches(units: str, arrays: str, every: str, t: float) -> str:
@@ -106,12 +118,51 @@ def _matches(units: str, arrays: str, every: str, t: float) -> str:
     return f"filter({best}, m -> m.dice >= {t!r}D)"
 
 
+def _windows(paragraphs: str, arrays: str, every: str, need: int, t: float) -> str:
+    """SQL: (dice, name) of the best windows that don't overlap, in what no whole line or paragraph matches."""
+
+    def words(unit: str) -> str:
+        return f"filter(array(filter(split({unit}, '[ \n]+'), x -> x != '')), x -> size(x) > 1)"
+
+    def whole(unit: str) -> str:
+        return f"size({_matches(words(unit), arrays, every, t)}) > 0"
+
+    grams = "transform(sequence(1, size(v) - 1), k -> concat(v[k - 1], ' ', v[k]))"
+    likely = (
+        f"filter({paragraphs}, u -> size(filter(flatten(transform({words('u')}, v -> {grams})), b -> b in ({every}))) >= {need})"
+    )
+    lines = f"transform(split(u, '\n'), l -> if({whole('l')}, '\f', l))"
+    runs = (
+        f"flatten(transform({likely}, u -> if(contains(u, '\n') and {whole('u')}, cast(array() as array<string>), "
+        f"split(array_join({lines}, '\n'), '\f'))))"
+    )
+    listed = f"transform(flatten(transform({runs}, r -> {words('r')})), v -> {grams})"
+    hits = f"transform({listed}, y -> named_struct('y', y, 'h', filter(sequence(0, size(y) - 1), k -> y[k] in ({every}))))"
+    fitting = f"filter({arrays}, p -> get(s.h, j + p.need - 1) - s.h[j] < p.len)"
+    cut = f"transform({fitting}, p -> named_struct('p', p, 'd', array_distinct(slice(s.y, s.h[j] + 1, p.len))))"
+    shared = f"transform({cut}, c -> named_struct('p', c.p, 'size', size(c.d), 'n', size(array_intersect(c.d, c.p.grams))))"
+    scored = (
+        f"transform({shared}, c -> named_struct('dice', 2.0D * c.n / (c.size + size(c.p.grams)), 'n', c.n, 'name', c.p.name, "
+        "'at', -s.h[j], 'end', least(s.h[j] + c.p.len, size(s.y))))"
+    )
+    good = f"filter(flatten(transform(sequence(0, size(s.h) - 1), j -> {scored})), m -> m.dice >= {t!r}D)"
+    none = "array<struct<dice:double,n:int,name:string,at:int,end:int>>"
+    apart = (
+        f"aggregate(sort_array({good}, false), cast(array() as {none}), "
+        "(taken, m) -> if(exists(taken, o -> -o.at <= m.end and -m.at <= o.end), taken, array_append(taken, m)))"
+    )
+    return (
+        f"transform(flatten(transform(filter({hits}, s -> size(s.h) >= {need}), s -> {apart})), "
+        "m -> named_struct('dice', m.dice, 'name', m.name))"
+    )
+
+
 def licence_report(docs: DataFrame, templates: list[tuple[str, str]] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
     """Per row: doc_id, n_matches, licences (names without parts, sorted, comma-joined), best_template, best_dice.
 
     A text that holds a notice twice counts it twice in n_matches.
     """
-    arrays, every = _plan(templates or TEMPLATES)
+    arrays, every, need = _plan(templates or TEMPLATES, min_dice)
     text = F.lower(F.coalesce(F.col("`text`").cast("string"), F.lit("")))
     rows = docs.select(
         F.col("`doc_id`").alias("doc_id"),
@@ -122,10 +173,14 @@ def licence_report(docs: DataFrame, templates: list[tuple[str, str]] | None = No
         return F.filter(F.split(unit, r"[ \n]+"), lambda w: w != "")
 
     lines = F.split("norm", "\n")
-    paragraphs = F.filter(F.split("norm", r"\n ?\n[ \n]*"), lambda p: F.contains(p, F.lit("\n")))
+    parts = F.split("norm", r"\n ?\n[ \n]*")
+    paragraphs = F.filter(parts, lambda p: F.contains(p, F.lit("\n")))
     units = F.filter(F.transform(F.concat(lines, paragraphs), words), lambda w: F.size(w) > 1)
-    rows = rows.select("doc_id", units.alias("units"))
-    rows = rows.select("doc_id", F.expr(_matches("units", arrays, every, min_dice)).alias("found"))
+    rows = rows.select("doc_id", units.alias("units"), parts.alias("parts"))
+    found = F.concat(
+        F.expr(_matches("units", arrays, every, min_dice)), F.expr(_windows("parts", arrays, every, need, min_dice))
+    )
+    rows = rows.select("doc_id", found.alias("found"))
     names = F.array_sort(F.array_distinct(F.transform("found", lambda m: F.substring_index(m["name"], "/", 1))))
     best = F.array_max("found")
     return rows.select(

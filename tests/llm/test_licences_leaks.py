@@ -44,6 +44,26 @@ def test_licences_against_brute_force(spark):
     assert licences.licence_report(frame.limit(0)).count() == 0
 
 
+def test_notices_inside_longer_lines(spark):
+    by = dict(licences.TEMPLATES)
+    mit = " ".join(by["MIT/" + x] for x in ("grant", "condition", "warranty"))
+    rows = [
+        ("This project is released under the MIT License.", "MIT", 1),
+        ("Released under the MIT License. All rights reserved.", "MIT", 1),
+        ("Some prose before it ends here. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 1),
+        (mit, "MIT", 3),
+        ("Copyright some one " + mit + " " + by["GPL-2.0/grant"], "GPL-2.0,MIT", 4),
+        ("words of a text that is released\nunder the MIT License. And more words\nfollow here", "MIT", 1),
+        ("a b c Released under the MIT License. d e f Licensed under CC BY 4.0. g h", "CC-BY-4.0,MIT", 2),
+        ("a b\nReleased under the MIT License.\nc d and it was released under the MIT License. e", "MIT", 2),
+        ("nothing under the sun, the license of the poet is in the text " * 50, "", 0),
+        ("", "", 0),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id int, text string")
+    got = {r.doc_id: (r.licences, r.n_matches) for r in licences.licence_report(frame).collect()}
+    assert got == {i: (names, n) for i, (_, names, n) in enumerate(rows)}
+
+
 def _brute(docs, items):
     split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     windows = []
