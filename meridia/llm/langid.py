@@ -8,7 +8,8 @@ is trained with Adam on windows of labelled rows; embedding, filters and
 classifier are plain arrays that travel with the task.
 
 Training rows: at most TRAIN_ROWS (a parameter), those with the smallest hash of
-doc_id among rows with a language that are not held out; of each at most
+doc_id, language and text among rows with a doc_id and a language that are not held
+out, so that rows of one doc_id don't come or go together; of each at most
 TRAIN_WINDOWS windows, spread evenly over the text.  Everything else covers all
 rows and whole texts.
 
@@ -164,12 +165,15 @@ def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, windows: int = TRAI
     text, n = F.col("`text`"), F.char_length(F.col("`text`"))
     step = F.greatest(F.lit(0), n - WINDOW) / max(1, windows - 1)
     spots = F.array_distinct(F.array(*(F.floor(step * k).cast("int") for k in range(windows))))
-    labelled = docs.filter(~held_out(F.col("`doc_id`")) & F.col("`lang`").isNotNull() & text.isNotNull()).select(
-        F.col("`doc_id`").cast("string").alias("id"),
+    doc_id = F.col("`doc_id`")
+    labelled = docs.filter(
+        ~held_out(doc_id) & doc_id.isNotNull() & F.col("`lang`").isNotNull() & text.isNotNull()
+    ).select(
+        F.xxhash64(doc_id.cast("string"), F.col("`lang`").cast("string"), text).alias("key"),
         F.col("`lang`").cast("string").alias("lang"),
         F.transform(spots, lambda at: F.substring(text, at + 1, F.lit(WINDOW))).alias("parts"),
     )
-    picked = hash_sample(labelled, "id", rows).collect()
+    picked = hash_sample(labelled, "key", rows).collect()
     pairs = [(p, r.lang) for r in picked for p in r.parts]
     return [p for p, _ in pairs], [lang for _, lang in pairs]
 

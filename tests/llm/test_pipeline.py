@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -71,6 +72,19 @@ def test_language_held_out_accuracy(spark, corpus):
     assert langid.accepted(docs).columns == docs.columns
 
 
+def test_training_sample_with_null_and_repeated_ids(spark):
+    low = min((i for i in range(400) if zlib.crc32(b"%d" % i) % 4 != 2), key=lambda i: zlib.crc32(b"%d" % i))
+    rows = [(None, "null %d" % i, "de") for i in range(300)]
+    for name in range(400):
+        rows.append((name, "own %d" % name, ["de", "en"][name % 2]))
+    rows += [(low, "again %d" % i, ["de", "en", "fr"][i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = langid.training_sample(docs, 60)
+    assert len(texts) == 60 and not any(t.startswith("null") for t in texts)
+    assert set(langs) == {"de", "en", "fr"}
+    assert {t.split()[0] for t in texts} == {"own", "again"}
+
+
 def test_long_text_uses_every_window(spark):
     net = langid.train([_texts(random.Random(i), [EN, FR][i % 2], 40) for i in range(200)], ["en", "fr"] * 100)
     rng = random.Random(9)
