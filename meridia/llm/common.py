@@ -10,19 +10,13 @@ from pyspark.sql import functions as F
 
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
-#: Rows per Arrow batch for whole texts: keeps one batch of long documents well under a worker's memory.
-TEXT_BATCH_ROWS = 512
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of at most TEXT_BATCH_ROWS rows."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    """``mapInArrow`` batch by batch; Spark bounds a batch in bytes (spark.sql.execution.arrow.maxBytesPerBatch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,28 +1,37 @@
 """Main text of web pages with site template removal.
 
-A page is read once by a tolerant tag scanner.  Parts that name themselves as
-navigation, header, footer, sidebar, notice, advert, form, comments, script or
-style are left out, and the text of the rest is kept as segments with the block
-and the zone (article, main, or elsewhere) that each belongs to.
-
-Template removal: every block-level element, the named parts included, gets a hash
-of its subtree (tag, class, text and the hashes of its children; a named part is no
-child of what holds it, so that a changing advert doesn't hide a template).  Spark
-counts, per host, the different pages on which each hash occurs; copies of one page
-count once.  A subtree on MIN_PAGES pages of its host is template, however many
-pages the host has, and its segments are deleted.  In an article only containers
-are template; its paragraphs, headings and list items stay even when other pages
-quote them.
+A page is read once by a tolerant tag scanner, in time linear in its length.  Every
+block-level element and every part that its name marks (navigation, advert, ...)
+gets two hashes: one of its content (tag, class, text and the hashes of its
+children) and, where it may be furniture, one of its frame, which holds no text
+(tags and classes of the path to it and the kinds of its descendants), for menus,
+adverts and footers whose words differ from page to page.  A frame is hashed for
+parts with a marking name and, outside articles and main, for containers that are
+mostly links.  A named part is no child of what holds it, so that a changing advert
+doesn't hide a template.
+
+Template removal: Spark counts, per host, the different pages on which each hash
+occurs; copies of one page count once.  A subtree on MIN_PAGES pages of its host is
+template, however many pages the host has, and is deleted.  In an article only
+containers and named parts are template; its paragraphs, headings and list items stay
+even when other pages quote them.  Named parts that don't recur are left out too;
+``Page.removed`` tells how many texts each of the two takes.
 
 The text comes from the articles and the main element of the page, or else from
 all that remains.  In them, words of class or id that text uses as well (discussion,
 related, notice, ...) drop only a container that is mostly links or template, and
 ids of headings and paragraphs say nothing.
 
+Template hashes on the most pages go to the workers as one sorted array of at most
+BROADCAST_HASHES numbers; if there are more, the others (each on few pages then) meet
+the pages that hold them in a join.
+
 Defined results
     null or empty html   empty text
     null or odd url      the page belongs to the host ""
+    null page_id         read like any other page
     unclosed tags        end where HTML ends them (p before a block, li before li, ...)
+    tag without its >    swallows the rest of the page, as in HTML
     repeated rows        one output row each
     very long page       read as a whole
     empty table          an empty result
@@ -33,7 +42,10 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
+from collections.abc import Collection, Iterable
 from dataclasses import dataclass, field
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -46,21 +58,26 @@ from ..sources.storage import checkpointed
 from .common import map_batches, table
 
 MIN_PAGES = 4
-#: Template hashes are broadcast up to this number (16 bytes each); beyond it they are joined by host and hash.
+#: Links that a container needs at least for its frame to count.
+MIN_LINKS = 3
+#: Template hashes that go to every worker (8 bytes each); the rest is joined.
 BROADCAST_HASHES = 500_000
+#: Copies of one page are spread over so many groups in that join.
+SALTS = 16
 
 _RAW = "script|style|title|textarea|noscript|iframe|template|xmp|noembed|noframes"
+#: Attributes up to the tag's end; what is unclosed reaches the end of the page, so no start is scanned twice.
+_INNER = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+)*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{_RAW})(?=[\s/>]){_INNER}(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_INNER})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Class names that speak of a part's surroundings or state, such as has-sidebar or comments-open.
-_ABOUT = re.compile(
-    r"\b(?:has|with|without|no|is|hide|show)-[\w-]+|[\w-]+-(?:open|closed|free|enabled|disabled|on|off)\b", re.I
-)
+_ABOUT_HEAD = tuple(f"{w}-" for w in "has with without no is hide show".split())
+_ABOUT_TAIL = tuple(f"-{w}" for w in "open closed free enabled disabled on off".split())
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset(
@@ -114,50 +131,73 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
+    name: str
     first: int
-    parts: list[bytes]
     zone: int
-    #: characters of text and of link text before it, if its name is doubtful
-    doubt: tuple[int, int] | None = None
+    #: digest of the tags and classes from the root to here
+    path: bytes
+    #: characters of text, of link text, and links before it
+    before: tuple[int, int, int]
+    parts: list[bytes] = field(default_factory=list)
+    shapes: set[bytes] = field(default_factory=set)
+    #: its name is doubtful
+    doubt: bool = False
+    #: an article began in this named part, so its end says nothing
+    broken: bool = False
 
 
 @dataclass
 class Page:
-    #: (block, text, zone) in page order
-    segments: list[tuple[int, str, int]] = field(default_factory=list)
-    #: (hash, first segment, end segment, zone)
-    elements: list[tuple[int, int, int, int]] = field(default_factory=list)
-    #: hashes of the parts left out by name, and of the blocks in them
-    named: list[int] = field(default_factory=list)
+    #: (block, text, zone, whether a name leaves it out) in page order
+    segments: list[tuple[int, str, int, bool]] = field(default_factory=list)
+    #: (content hash, frame hash or None, first segment, end segment)
+    elements: list[tuple[bytes, bytes | None, int, int]] = field(default_factory=list)
     #: (first segment, end segment) of containers with a doubtful name that are mostly links
     link_lists: list[tuple[int, int]] = field(default_factory=list)
 
-    def text(self, template: frozenset | set = frozenset()) -> str:
+    def hashes(self) -> set[bytes]:
+        return {h for content, frame, _, _ in self.elements for h in (content, frame) if h}
+
+    def _covered(self, spans: Iterable[tuple[int, int]]) -> list[int]:
+        """Per segment, in how many of the spans it lies."""
+        steps = [0] * (len(self.segments) + 1)
+        for first, end in spans:
+            steps[first] += 1
+            steps[end] -= 1
+        return list(accumulate(steps))[:-1]
+
+    def _cut(self, template: Collection[bytes]) -> list[int]:
+        return self._covered((a, b) for content, frame, a, b in self.elements if content in template or frame in template)
+
+    def removed(self, template: Collection[bytes]) -> tuple[int, int]:
+        """How many texts the template removes, and how many only names do."""
+        cut = self._cut(template)
+        texts = [(c, dark) for c, (_, text, _, dark) in zip(cut, self.segments) if not text.isspace()]
+        return sum(c > 0 for c, _ in texts), sum(dark and not c for c, dark in texts)
+
+    def text(self, template: Collection[bytes] = frozenset()) -> str:
         """Blocks of the best zone, without the template's subtrees; articles and main are one zone."""
-        keep = [True] * len(self.segments)
-        for h, first, end, _ in self.elements:
-            if h in template:
-                keep[first:end] = [False] * (end - first)
-        for first, end in self.link_lists:
-            keep[first:end] = [False] * (end - first)
-        best = max((z for k, (_, t, z) in zip(keep, self.segments) if k and not t.isspace()), default=0)
-        blocks: list[str] = []
+        cut = zip(self._cut(template), self._covered(self.link_lists), self.segments)
+        kept = [(block, text, zone) for c, links, (block, text, zone, dark) in cut if not (c or links or dark)]
+        best = max((z for _, t, z in kept if not t.isspace()), default=0)
+        blocks: list[list[str]] = []
         last = None
-        for k, (block, text, zone) in zip(keep, self.segments):
-            if k and (zone == best or min(zone, best) >= 2):
+        for block, text, zone in kept:
+            if zone == best or min(zone, best) >= 2:
                 if block == last:
-                    blocks[-1] += text
+                    blocks[-1].append(text)
                 else:
-                    blocks.append(text)
+                    blocks.append([text])
                 last = block
-        return "\n\n".join(filter(None, (" ".join(b.split()) for b in blocks)))
+        return "\n\n".join(filter(None, (" ".join("".join(b).split()) for b in blocks)))
 
 
 def _words(text: str) -> set[str]:
-    return {w.lower() for w in _WORD.findall(_ABOUT.sub(" ", text))}
+    told = (x for x in text.split() if not (x.lower().startswith(_ABOUT_HEAD) or x.lower().endswith(_ABOUT_TAIL)))
+    return {w.lower() for x in told for w in _WORD.findall(x)}
 
 
 def _names(found: dict[str, str]) -> set[str]:
@@ -202,57 +242,84 @@ def _main_named(attrs: str) -> bool:
     return bool(attrs) and bool(_MAIN_NAMES & _names(_attributes(attrs)))
 
 
-def _head(tag: str, attrs: str) -> list[bytes]:
-    """What a named part's hash begins with."""
-    name = _attributes(attrs).get("class", "") if attrs else ""
-    return [tag.encode("utf-8", "surrogatepass"), name.encode("utf-8", "surrogatepass")]
+def _plain_class(name: str) -> str:
+    """The class without words that hold digits, which often number the part."""
+    return " ".join(x for x in name.split() if not any(map(str.isdigit, x)))
+
+
+def _digest(*parts: bytes) -> bytes:
+    return xxhash.xxh64_digest(b"\x00".join(parts))
+
+
+_WHOLE = frozenset(("html", "body", "article", "main"))
 
 
 def parse(html: str | None) -> Page:
     page = Page()
     if not html:
         return page
-    stack: list[_Open] = [_Open("", 0, [], 0)]
+    stack: list[_Open] = [_Open("", "", 0, 0, b"", (0, 0, 0))]
+    places: defaultdict[str, list[int]] = defaultdict(list)  # depths of the open elements of a tag
+    solid: list[int] = []  # depths of the open blocks and parts that end a paragraph's reach
     segments = page.segments
-    block, skip, why = 0, 0, ""  # skip: depth of the stack at which a part that is left out began
+    block, dark, why = 0, 0, ""  # dark: depth of the named part that is left out, if one is open
     at = 0
-    read, linked, link = 0, 0, False  # characters of text, those in links, and whether a link is open
+    read, linked, links, link = 0, 0, 0, False  # characters of text, those in links, links, and whether one is open
+
+    def open_element(tag: str, attrs: str, zone: int) -> _Open:
+        name = _attributes(attrs).get("class", "") if attrs else ""
+        tag_bytes, name_bytes = tag.encode("utf-8", "surrogatepass"), name.encode("utf-8", "surrogatepass")
+        plain = _plain_class(name).encode("utf-8", "surrogatepass")
+        node = _Open(tag, name, len(segments), zone, _digest(stack[-1].path, tag_bytes, plain), (read, linked, links))
+        node.parts += (tag_bytes, name_bytes)
+        node.shapes.add(_digest(tag_bytes, plain))
+        places[tag].append(len(stack))
+        if tag in _BLOCKS or tag in _DROPPED:
+            solid.append(len(stack))
+        stack.append(node)
+        return node
 
     def close_to(depth: int) -> None:
-        nonlocal skip, block, link
+        nonlocal dark, block, link
         while len(stack) > depth:
             node = stack.pop()
-            if skip:
-                h = xxhash.xxh64_digest(b"\x00".join(node.parts))
-                page.named.append(int.from_bytes(h, "big", signed=True))
-                if len(stack) <= skip:
-                    skip = 0
-                else:
-                    stack[-1].parts.append(h)
-                continue
-            if node.doubt and (linked - node.doubt[1]) * 2 > read - node.doubt[0]:
-                page.link_lists.append((node.first, len(segments)))
-            if node.tag in _BLOCKS:
+            places[node.tag].pop()
+            if solid and solid[-1] == len(stack):
+                solid.pop()
+            named = bool(dark) and len(stack) == dark
+            inside = bool(dark) and len(stack) > dark
+            if node.tag in _BLOCKS and not (named or inside):
                 block += 1
                 link = False
-                h = xxhash.xxh64_digest(b"\x00".join(node.parts))
-                stack[-1].parts.append(h)
-                if len(segments) > node.first and node.tag not in ("html", "body", "article", "main"):
-                    if node.zone < 2 or node.tag in _CONTAINERS:
-                        value = int.from_bytes(h, "big", signed=True)
-                        page.elements.append((value, node.first, len(segments), node.zone))
+            chars, in_links, n_links = read - node.before[0], linked - node.before[1], links - node.before[2]
+            if node.doubt and in_links * 2 > chars:
+                page.link_lists.append((node.first, len(segments)))
+            if node.broken:
+                continue
+            content, shape = _digest(*node.parts), _digest(*sorted(node.shapes))
+            if len(segments) > node.first and node.tag not in _WHOLE:
+                menu = node.zone < 2 and node.tag in _CONTAINERS and n_links >= MIN_LINKS and in_links * 2 > chars
+                plain = node.tag in _BLOCKS and (node.zone < 2 or node.tag in _CONTAINERS)
+                if named or inside or plain:
+                    frame = _digest(b"frame", node.path, shape) if named or menu and not inside else None
+                    page.elements.append((content, frame, node.first, len(segments)))
+            if named:
+                dark = 0
+            elif inside or node.tag in _BLOCKS:
+                stack[-1].parts.append(content)
+                stack[-1].shapes.add(shape)
 
     def add(text: str) -> None:
         nonlocal read, linked
         if text:
             text = html_lib.unescape(text) if "&" in text else text
-            if not skip:
-                segments.append((block, text, stack[-1].zone))
+            top = stack[-1]
+            segments.append((block, text, top.zone, bool(dark)))
+            if not text.isspace():
                 n = len(text.strip())
                 read += n
                 linked += n * link
-            if not text.isspace():
-                stack[-1].parts.append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
+                top.parts.append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
 
     for m in _TOKEN.finditer(html):
         add(html[at : m.start()])
@@ -262,72 +329,60 @@ def parse(html: str | None) -> Page:
             continue
         if tag == "a":
             link = not m["end"]
+            links += link
         if m["end"]:
-            depth = len(stack) - 1
+            depth = places[tag][-1] if places[tag] else 0
             inside = stack[-1].zone
-            while depth and stack[depth].tag != tag:
-                depth -= 1
-            if depth and not (inside and stack[depth].zone < inside and tag not in ("article", "main", "body", "html")):
+            if depth and not (inside and stack[depth].zone < inside and tag not in _WHOLE):
                 close_to(depth)
-            elif tag in _BLOCKS and not skip:
+            elif tag in _BLOCKS and not dark:
                 block += 1
-            elif tag == "br" and not skip:
-                segments.append((block, " ", stack[-1].zone))
+            elif tag == "br" and not dark:
+                segments.append((block, " ", stack[-1].zone, False))
             continue
         attrs = m["attrs"]
         if tag in _VOID:
-            if not skip:
+            if not dark:
                 if tag == "hr":
                     block += 1
                 elif tag == "br":
-                    segments.append((block, " ", stack[-1].zone))
+                    segments.append((block, " ", stack[-1].zone, False))
             continue
-        if tag in _CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    close_to(depth)
-                    break
-                if stack[depth].tag in _BLOCKS or stack[depth].tag in _DROPPED:
-                    break
+        if tag in _CLOSES_P and solid and stack[solid[-1]].tag == "p":
+            close_to(solid[-1])
         if tag in _SIBLINGS:
-            family, holders = _SIBLINGS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in family:
-                    close_to(depth)
-                    break
-                if stack[depth].tag in holders:
-                    break
-        if skip:
+            family, holder = (max((places[t][-1] for t in tags if places[t]), default=0) for tags in _SIBLINGS[tag])
+            if family > holder:
+                close_to(family)
+        if dark:
             core = tag in ("article", "main") or (why == "form" and _main_named(attrs))
             if core and why not in _FIRM and not _reason(tag, attrs, 0):
-                for node in stack[skip:]:  # a form or an unclosed part around the article
-                    node.parts.clear()
-                skip = 0
+                for node in stack[dark:]:  # a form or an unclosed part around the article
+                    node.broken = True
+                dark = 0
             else:
-                if tag in _BLOCKS or tag in _DROPPED:
-                    stack.append(_Open(tag, len(segments), _head(tag, attrs), 0))
+                if tag in _BLOCKS or tag in _DROPPED or tag == stack[dark].tag:
+                    open_element(tag, attrs, stack[-1].zone)
                 continue
-        top = stack[-1]
-        reason = _reason(tag, attrs, top.zone)
+        zone = stack[-1].zone
+        reason = _reason(tag, attrs, zone)
         if reason:
             if tag in _BLOCKS or tag in _DROPPED and not tag.startswith("annotation"):
                 block += 1
-            stack.append(_Open(tag, len(segments), _head(tag, attrs), top.zone))
-            skip, why = len(stack) - 1, reason
+            open_element(tag, attrs, zone)
+            dark, why = len(stack) - 1, reason
             continue
-        if tag in _BLOCKS or tag in ("header",):
+        if tag in _BLOCKS or tag == "header":
             block += 1
-            zone = 3 if tag == "article" else max(top.zone, 2) if tag == "main" else top.zone
+            zone = 3 if tag == "article" else max(zone, 2) if tag == "main" else zone
             found = _attributes(attrs) if attrs and zone < 2 else {}
             if zone < 2 and (found.get("role") == "main" or found.get("itemprop", "").lower() == "articlebody"):
                 zone = 2
             elif not zone and _main_named(attrs):
                 zone = 1
-            stack.append(_Open(tag, len(segments), [tag.encode(), found.get("class", "").encode("utf-8", "surrogatepass")], zone))
-            if _doubtful(tag, attrs, zone):
-                stack[-1].doubt = (read, linked)
+            open_element(tag, attrs, zone).doubt = _doubtful(tag, attrs, zone)
         elif tag in ("td", "th"):
-            segments.append((block, " ", top.zone))
+            segments.append((block, " ", zone, False))
     add(html[at:])
     close_to(1)
     return page
@@ -340,75 +395,96 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _keys(url: str | None, html: str | None) -> tuple[int, int]:
-    """Hashes of a page's host and of its content."""
-    return tuple(
-        int.from_bytes(xxhash.xxh64_digest(x.encode("utf-8", "surrogatepass")), "big", signed=True)
-        for x in (host_of(url), html or "")
-    )
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+
+
+def _signed(values: Iterable[int]) -> np.ndarray:
+    return np.fromiter(values, dtype=np.uint64).view(np.int64)
 
 
-def _subtrees(pages: DataFrame, named: bool) -> DataFrame:
-    """(host, page, h): subtree hashes of every page, with or without those of its named parts."""
+def _page_keys(page: Page, host: int) -> dict[bytes, int]:
+    """The page's hashes and their keys, which also hold the host."""
+    return {h: xxhash.xxh64_intdigest(h, host) for h in page.hashes()}
+
+
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """(key, page): every page's hashes, keyed with its host, and a hash of host and html."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, marks, hashes = [], [], []
+        keys, marks = [], []
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            host, mark = _keys(url, html)
-            page = parse(html)
-            found = {h for h, _, _, _ in page.elements}.union(page.named if named else ())
-            hosts += [host] * len(found)
-            marks += [mark] * len(found)
-            hashes += found
-        return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.int64()), pa.array(marks, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "h"]
-        )
+            host = _hash(host_of(url))
+            found = _page_keys(parse(html), host).values()
+            keys += found
+            marks += [_hash(html or "", host)] * len(found)
+        return pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(_signed(marks))], ["key", "page"])
 
-    return map_batches(pages.select("url", "html"), run, "host long, page long, h long")
+    return map_batches(pages.select("url", "html"), run, "key long, page long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, h): the subtrees that recur on MIN_PAGES different pages of a host."""
-    counts = _subtrees(pages, True).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") >= MIN_PAGES).select("host", "h")
+    """(key, n): the subtrees that recur on n >= MIN_PAGES different pages of their host."""
+    counts = _subtrees(pages).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") >= MIN_PAGES)
+
+
+def _common(found: DataFrame) -> tuple[np.ndarray, DataFrame | None]:
+    """(sorted keys on the most pages, at most BROADCAST_HASHES of them; the others, if any)."""
+    size = F.floor(F.log2("n")).cast("int")
+    room, least = BROADCAST_HASHES, 64
+    for r in sorted(found.groupBy(size.alias("size")).count().collect(), reverse=True):  # at most 64 rows
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["size"]
+    keys = np.array([r.key for r in found.filter(size >= least).select("key").collect()], dtype=np.int64)
+    rest = found.filter(size < least)
+    return np.sort(keys), None if rest.isEmpty() else rest
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
+    spark = pages.sparkSession
     rows = pages.select(
         F.col("`page_id`").alias("page_id"),
         F.col("`url`").cast("string").alias("url"),
         F.col("`html`").cast("string").alias("html"),
     )
-    found = checkpointed(templates(rows))
-    total = found.count()
-    if total:
-        def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = [_keys(u, x) for u, x in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
-            more = [pa.array([k[i] for k in made], pa.int64()) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "host", "page"])
-
-        # Each page meets only the template hashes it holds, so a host's list may grow with its pages.
-        small = F.broadcast(found) if total <= BROADCAST_HASHES else found
-        held = _subtrees(rows, False).join(small, ["host", "h"]).groupBy("host", "page").agg(F.collect_set("h").alias("hashes"))
-        id_type = rows.schema["page_id"].dataType.simpleString()
-        keyed = map_batches(rows, keys, f"page_id {id_type}, url string, html string, host long, page long")
-        rows = keyed.join(held, ["host", "page"], "left").drop("host", "page")
+    keys, rest = _common(checkpointed(templates(rows)))
+    common = spark.sparkContext.broadcast(keys)
+    id_type = rows.schema["page_id"].dataType.simpleString()
+    if rest is None:
+        rows = rows.withColumn("held", F.lit(None).cast("array<bigint>"))
     else:
-        rows = rows.withColumn("hashes", F.lit(None).cast("array<bigint>"))
+
+        def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pairs = zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())
+            mark = _signed(_hash(x or "", _hash(host_of(u))) for u, x in pairs)
+            salt = np.arange(len(mark), dtype=np.int32) % SALTS
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(mark), pa.array(salt)], [*batch.schema.names, "page", "salt"])
+
+        held = _subtrees(rows).join(rest, "key").groupBy("page").agg(F.collect_set("key").alias("held"))
+        held = held.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        keyed = map_batches(rows, marked, f"page_id {id_type}, url string, html string, page long, salt int")
+        rows = keyed.join(held, ["page", "salt"], "left").drop("page", "salt")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [
-            parse(html).text(frozenset(hashes or ()))
-            for html, hashes in zip(batch.column("html").to_pylist(), batch.column("hashes").to_pylist())
-        ]
+        texts = []
+        for url, html, held in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "held"))):
+            page = parse(html)
+            keyed = _page_keys(page, _hash(host_of(url)))
+            mine = _signed(keyed.values())
+            known = set(held or ())
+            if len(common.value):
+                at = np.minimum(np.searchsorted(common.value, mine), len(common.value) - 1)
+                known.update(mine[common.value[at] == mine].tolist())
+            texts.append(page.text({h for h, key in zip(keyed, mine.tolist()) if key in known}))
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         return pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes)],
             ["page_id", "url", "text", "n_chars"],
         )
 
-    id_type = rows.schema["page_id"].dataType.simpleString()
     return map_batches(rows, run, f"page_id {id_type}, url string, text string, n_chars long")
 
 

@@ -1,4 +1,7 @@
 import random
+import re
+import time
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -33,8 +36,28 @@ def test_main_text_of_one_page(html, want):
     assert html_text.parse(html).text() == want
 
 
-def test_deep_nesting_is_linear():
-    assert html_text.parse("<div>" * 20_000 + "x" + "</div>" * 20_000).text() == "x"
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<div>" * 50_000 + "x" + "</div>" * 50_000, "x"),
+        ("<a " * 500_000, ""),
+        ("<a " * 300_000 + '"', ""),
+        ("<!" * 500_000, ""),
+        ("<script " * 200_000, ""),
+        ("<div>" * 100_000 + "x" + "</p></span></li>" * 100_000, "x"),
+        ("<div>" * 50_000 + "<li>x</li>" * 10, "\n\n".join("x" * 10)),
+        ("<span class=ad>" + "<span>" * 50_000 + "<div>x</div>" * 50_000, ""),
+        ("<div class='" + "a-" * 500_000 + "'>x</div>", "x"),
+        ("<p>" + "<b>x</b>" * 100_000, "x" * 100_000),
+    ],
+    ids=str,
+)
+def test_odd_long_pages_are_read_in_linear_time(html, want):
+    start = time.process_time()
+    page = html_text.parse(html)
+    assert page.text() == want
+    page.text(page.hashes())
+    assert time.process_time() - start < 4
 
 
 def test_template_removal(spark):
@@ -101,7 +124,66 @@ def test_template_on_a_small_share_of_a_host(spark, monkeypatch, broadcast):
         want.append((100 + i, ("three\n\n" if 5 <= i < 8 else "") + "own %d" % i))
     assert got == sorted(want + [want[0]])
     page = html_text.parse("<nav><ul><li>m</ul></nav><p>x</p>")
-    assert len(page.named) == 3 and len(page.elements) == 1
+    assert len(page.elements) == 4 and sum(frame is not None for _, frame, _, _ in page.elements) == 1
+
+
+def _site(rng, host, n):
+    """Pages of a host: parts that recur word for word, a menu and a footer whose words differ, and own text."""
+    common = [f"Part {host} {k}" for k in range(5)]
+    for _ in range(n):
+        menu = "".join(f"<li><a href=x>{rng.random()}</a></li>" for _ in range(rng.randrange(3, 6)))
+        parts = [f"<div class=box><p>{c}</p></div>" for c in common if rng.random() < 0.4]
+        own = [f"<p>own {rng.random()}</p>" for _ in range(rng.randrange(1, 4))]
+        body = [f"<div class=m><ul>{menu}</ul></div>", *parts, *own, f"<div class=ad>{rng.random()}</div>"]
+        rng.shuffle(body)
+        yield f"https://{host}.example/{rng.random()}", "".join(body)
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 3, 0])
+def test_template_removal_against_counting_by_hand(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_text, "BROADCAST_HASHES", broadcast)
+    rng = random.Random(8)
+    rows = [row for host, n in (("a", 40), ("b", 9), ("c", 3), ("d", 1)) for row in _site(rng, host, n)]
+    rows += rows[:5] * 3
+    cut = re.compile(r"<div class=(box|m|ad)>(.*?)</div>")
+    pages: dict[str, set[str]] = defaultdict(set)
+    menus: Counter = Counter()
+    for url, html in set(rows):
+        host = html_text.host_of(url)
+        menus[host] += 1
+        for kind, inner in cut.findall(html):
+            if kind == "box":
+                pages[f"{host} {inner}"].add(html)
+
+    def by_hand(url, html):
+        host = html_text.host_of(url)
+
+        def stays(m):
+            if m[1] == "m":
+                return m[0] if menus[host] < html_text.MIN_PAGES else ""
+            return m[0] if m[1] == "box" and len(pages[f"{host} {m[2]}"]) < html_text.MIN_PAGES else ""
+
+        return "\n\n".join(re.findall(r">([^<]+)<", cut.sub(stays, html)))
+
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(frame).collect()}
+    assert got == {i: by_hand(*r) for i, r in enumerate(rows)}
+
+
+def test_registered_pages_lose_their_furniture_to_the_template(spark):
+    """On the given pages the counted subtrees, not the names, remove what is no article."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url", "html").collect()
+    made, seen = [], defaultdict(set)
+    for url, html in rows:
+        host = html_text._hash(html_text.host_of(url))
+        page = html_text.parse(html)
+        made.append((page, html_text._page_keys(page, host)))
+        for key in made[-1][1].values():
+            seen[key].add(html)
+    template = {k for k, pages in seen.items() if len(pages) >= html_text.MIN_PAGES}
+    removed = [page.removed({h for h, k in keys.items() if k in template}) for page, keys in made]
+    by_template, by_name = (sum(r[i] for r in removed) for i in (0, 1))
+    assert by_template > 20 * by_name
 
 
 def test_quality_held_out_accuracy(spark):
