@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, drop_checkpoint
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -20,8 +20,10 @@ def _settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b); the root is the smallest node of the component.
 
-    A round costs a few shuffles of the remaining edges and is checkpointed; the
-    number of rounds grows with the logarithm of the longest chain.
+    A round costs a few shuffles of the remaining edges and is checkpointed, and the
+    round before is deleted; the number of rounds grows with the logarithm of the
+    longest chain.  Least neighbours are combined before the shuffle, and a hub's edges
+    meet its one row in an inner join that adaptive execution splits.
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     state = checkpointed(pairs.filter("a < b").distinct())
@@ -43,6 +45,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .filter("a < b")
             .distinct()
         )
-        state = checkpointed(small)
+        last, state = state, checkpointed(small)
+        drop_checkpoint(last)
     heads = state.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     return state.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(heads)
