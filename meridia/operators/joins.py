@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def attach(left: DataFrame, right: DataFrame, on: list[str], weight: str, spread: Column, how: str = "left") -> DataFrame:
+def attach(
+    left: DataFrame, right: DataFrame, on: list[str], weight: str, spread: Column, how: str = "left", rows: int | None = None
+) -> DataFrame:
     """``left`` with the columns of ``right``, which has one row per key ``on`` and in ``weight`` the rows of ``left`` with it.
 
-    Keys over the average load of BROADCAST_ROWS keys (fewer than BROADCAST_ROWS can
-    be) are broadcast; only the others, each with a bounded share of the rows, meet in
+    Keys over the average load of ``rows`` keys (BROADCAST_ROWS by default; fewer than
+    that can be) are broadcast; only the others, each with a bounded share of the rows, meet in
     a shuffle, where rows that have found their key are spread by ``spread``.  ``right``
     is read several times, so it should be a checkpoint.  ``how`` is left, inner or anti.
     """
     payload = [c for c in right.columns if c not in on and c != weight]
+    rows = rows or BROADCAST_ROWS
     n, total = right.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    limit = -1 if n <= BROADCAST_ROWS else -(-total // BROADCAST_ROWS)
+    limit = -1 if n <= rows else -(-total // rows)
     packed = right.select(*on, F.struct(F.lit(1).alias("_one"), *payload).alias("_cold"), F.col(weight).alias("_weight"))
     hot = packed.filter(F.col("_weight") > limit).select(*on, F.col("_cold").alias("_hot"))
     out = left.join(F.broadcast(hot), on, "left")
