@@ -6,17 +6,19 @@ item; an item of fewer words is one window.  Every word of a document inside an
 occurrence of a window is hit.
 
 Winnowing: of the hashes of GRAM consecutive words, the smallest in each run of
-WINDOW - GRAM + 1 neighbours is kept.  Two texts that share WINDOW words share
-all hashes in that run, hence also its smallest, so every occurrence of a window
-holds a kept fingerprint of the item.  Document fingerprints that are also kept in
-the benchmark are extended: each window around them is compared word for word
-with the windows of the benchmark.  Windows of short items have fewer words than
+WINDOW - GRAM + 1 neighbours is kept (the leftmost of equal ones).  Two texts that
+share WINDOW words share all hashes in that run, hence also its smallest, so every
+occurrence of a window holds a kept fingerprint of the item.  A hash and its place
+are packed in one number, 32 bits each; what a shorter hash lets through by chance
+the comparison of words drops.  Windows of short items have fewer words than
 winnowing guarantees; each of their lengths is looked up by a hash of its own.
 
-The benchmark's fingerprints go into the plan as a hash set while there are at
-most LITERALS of them.  Beyond that bound no set is used, and every kept
-fingerprint of the documents is extended; results are the same.  The windows of
-the benchmark are joined by their text, by whatever strategy their size allows.
+The kept fingerprints of the documents are exploded and joined with those of the
+benchmark.  Hits gather by content of the document (a 96-bit key, so that copies
+share one answer and a lost task gives the same rows again).  Texts with hits are
+extended: the windows around each hit are compared word for word with the windows
+of the benchmark.  Items are joined only to the windows that were really found.
+Each small side is measured first and broadcast or shuffled accordingly.
 
 Defined results
     null text      no words, not contaminated
@@ -29,46 +31,61 @@ Defined results
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import attach, small_enough
+from ..sources.storage import checkpointed
 from .common import ascii_lower, table
 
 WINDOW = 10
 GRAM = 6
 RUN = WINDOW - GRAM + 1
-LITERALS = 20_000
+#: Largest side in bytes that a join broadcasts, and keys of contaminated texts that ``clean`` does.
+BROADCAST_BYTES = 32 << 20
+BROADCAST_KEYS = 1_000_000
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+_KEY = ["k1", "k2"]
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _BREAK), lambda w: w != "")
 
 
-def _gram_hashes(hashes: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words, given the words' hashes."""
+def _key(text: Column) -> list[Column]:
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")]
+
+
+def _packed(hashes: Column, size: int) -> Column:
+    """All runs of ``size`` words, given the words' hashes: 32 bits of the run's hash over 32 bits of its place."""
     n = F.size(hashes) - size + 1
-    return F.when(
-        n > 0,
-        F.transform(
-            F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size)))
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def _kept(grams: Column, at: Column) -> Column:
-    """Whether the hash at ``at`` is the smallest of some run of RUN hashes around it (or of all, if there are fewer)."""
-    n = F.size(grams)
-    value = F.get(grams, at)
-    last = F.greatest(F.lit(0), n - RUN)
-    first = F.greatest(F.lit(0), at - (RUN - 1))
-    return F.exists(
-        F.sequence(first, F.greatest(first, F.least(at, last))),
-        lambda s: F.array_min(F.slice(grams, s + 1, RUN)) == value,
-    )
+
+    def at(i: Column) -> Column:
+        salt = [] if size == GRAM else [F.lit(size)]
+        h = F.xxhash64(*salt, *(F.get(hashes, i + k) for k in range(size)))
+        return h.bitwiseAND(F.lit(-1 << 32)).bitwiseOR(i.cast("long"))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _kept(grams: str) -> Column:
+    """The smallest of each run of RUN neighbours in column ``grams``, each place once."""
+    n = F.size(grams) - RUN + 1
+    least = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.least(*(F.get(grams, i + k) for k in range(RUN))))
+    return F.array_distinct(F.when(n > 0, least).otherwise(F.array().cast("array<bigint>")))
+
+
+def _prints(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """Replaces column ``text`` by ``prints``: kept fingerprints, and all runs of the ``lengths`` of short items."""
+    rest = [c for c in texts.columns if c != "text"]
+    hashed = texts.select(*rest, F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    grams = hashed.select(*rest, "h", _packed(F.col("h"), GRAM).alias("g"))
+    short = [_packed(F.col("h"), size) for size in lengths]
+    return grams.select(*rest, F.concat(_kept("g"), *short).alias("prints"))
 
 
 def _windows(benchmark: DataFrame) -> DataFrame:
@@ -84,106 +101,88 @@ def _windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _benchmark_prints(benchmark: DataFrame) -> tuple[set | None, dict[int, set | None]]:
-    """Kept fingerprints of the items, and the hashes of short items by length; None beyond LITERALS."""
-    items = benchmark.select(words_of(F.col("`text`")).alias("words")).select(
-        F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("h")
-    )
-    grams = (
-        items.filter(F.col("n") >= WINDOW)
-        .select(_gram_hashes(F.col("h"), GRAM).alias("g"))
-        .select(F.explode(F.filter("g", lambda x, i: _kept(F.col("g"), i))).alias("f"))
-        .distinct()
+def _short_lengths(benchmark: DataFrame) -> list[int]:
+    """The numbers of words of the items that have fewer than WINDOW, at most WINDOW - 1 numbers."""
+    sizes = benchmark.select(F.size(words_of(F.col("`text`"))).alias("n")).filter(F.col("n").between(1, WINDOW - 1))
+    return sorted(r.n for r in sizes.distinct().collect())
+
+
+def _benchmark_prints(benchmark: DataFrame, lengths: list[int]) -> DataFrame:
+    """One row per fingerprint of the items: f, and the lengths of the windows that may hold it."""
+    items = benchmark.select(F.col("`text`").alias("text"), F.size(words_of(F.col("`text`"))).alias("n"))
+    parts = [_prints(items.filter(F.col("n") >= WINDOW).select("text"), []).select(F.lit(WINDOW).alias("len"), F.explode_outer("prints").alias("v"))]
+    for size in lengths:
+        hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
+        run = items.filter(F.col("n") == size).select(hashes.alias("h")).select(F.get(_packed(F.col("h"), size), F.lit(0)).alias("v"))
+        parts.append(run.select(F.lit(size).alias("len"), "v"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.filter("v is not null").groupBy(F.shiftright("v", 32).alias("f")).agg(F.collect_set("len").alias("lens"))
+
+
+def _sized(df: DataFrame, text: str | None = None) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, BROADCAST_BYTES, text) else df
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per content with a fingerprint of the benchmark: k1, k2, spots (place, len) and its number of rows."""
+    lengths = _short_lengths(benchmark)
+    mine = checkpointed(_benchmark_prints(benchmark, lengths))
+    text = F.col("`text`")
+    prints = _prints(docs.select(*_key(text), text.alias("text")), lengths)
+    # An inner explode would infer a filter that computes the fingerprints anew for every word.
+    exploded = prints.select(*_KEY, F.explode_outer("prints").alias("v")).withColumn("f", F.shiftright("v", 32))
+    hits = exploded.filter("v is not null").join(_sized(mine), "f")
+    place = F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at")
+    return (
+        hits.select(*_KEY, place, F.explode("lens").alias("len"))
+        .groupBy(*_KEY, "at", "len")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .groupBy(*_KEY)
+        .agg(F.collect_list(F.struct("at", "len")).alias("spots"), F.max("copies").alias("copies"))
     )
-    found = grams.limit(LITERALS + 1).collect()
-    long = {r.f for r in found} if len(found) <= LITERALS else None
-    short: dict[int, set | None] = {}
-    lengths = [r.n for r in items.filter((F.col("n") > 0) & (F.col("n") < WINDOW)).select("n").distinct().collect()]
-    for size in sorted(lengths):  # at most WINDOW - 1 of them
-        rows = items.filter(F.col("n") == size).select(F.get(_gram_hashes(F.col("h"), size), F.lit(0)).alias("f"))
-        found = rows.distinct().limit(LITERALS + 1).collect()
-        short[size] = {r.f for r in found} if len(found) <= LITERALS else None
-    return long, short
-
-
-def _places(grams: str, hashes: set | None) -> Column:
-    """0-based places of column ``grams`` whose hash is in the set; all places without a set."""
-    test = f"x in ({', '.join(map(str, sorted(hashes)))})" if hashes else "true"
-    return F.expr(f"filter(transform({grams}, (x, i) -> if({test}, i, null)), i -> i is not null)")
-
-
-def _span(length: Column, at: Column) -> Column:
-    return F.struct(at.alias("at"), length)
-
-
-def _candidates(df: DataFrame, long: set | None, short: dict[int, set | None]) -> DataFrame:
-    """Adds ``found``: (at, len) of the document's windows to compare, from column ``h`` (word hashes)."""
-    nothing = F.array().cast("array<struct<at:int,len:int>>")
-    n = F.size("h")
-    df = df.withColumn("g", _gram_hashes(F.col("h"), GRAM))
-    parts = []
-    if long is None or long:
-        at = F.filter(_places("g", long), lambda i: _kept(F.col("g"), i))
-        around = F.transform(
-            at,
-            lambda i: F.sequence(
-                F.greatest(F.lit(0), i - (WINDOW - GRAM)), F.greatest(F.lit(0), F.least(i, n - WINDOW))
-            ),
-        )
-        starts = F.array_distinct(F.flatten(around))
-        parts.append(
-            F.when(n >= WINDOW, F.transform(starts, lambda s: F.struct(s.alias("at"), F.lit(WINDOW).alias("len")))).otherwise(nothing)
+
+
+def _extended(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(k1, k2, at, len, window): the windows around every hit."""
+    spots = hits.agg(F.sum(F.size("spots") * 16 + 64)).first()[0] or 0
+    texts = docs.select(*_key(F.col("`text`")), F.col("`text`").alias("text"))
+    found = texts.join(F.broadcast(hits) if spots <= BROADCAST_BYTES else hits, _KEY)
+    words = found.select(*_KEY, "spots", words_of(F.col("text")).alias("words"))
+
+    def around(s: Column) -> Column:
+        first = F.when(s["len"] == WINDOW, F.greatest(F.lit(0), s["at"] - (WINDOW - GRAM))).otherwise(s["at"])
+        last = F.when(s["len"] == WINDOW, F.least(s["at"], F.col("n") - WINDOW)).otherwise(s["at"])
+        return F.transform(
+            F.sequence(first, F.greatest(first, last)), lambda i: F.struct(i.alias("at"), s["len"].alias("len"))
         )
-    for size, hashes in short.items():
-        df = df.withColumn(f"g{size}", _gram_hashes(F.col("h"), size))
-        at = _places(f"g{size}", hashes)
-        length = F.lit(size).alias("len")
-        parts.append(F.transform(at, partial(_span, length)))
-    return df.withColumn("found", F.concat(*parts) if parts else nothing)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, ``carry`` columns, n_words, n_hit, n_items, items_sha256, contaminated."""
-    long, short = _benchmark_prints(benchmark)
-    windows = (
-        _windows(benchmark)
-        .groupBy("len", "window")
-        .agg(F.collect_set("item_id").alias("items"))
-        .withColumnRenamed("len", "len_b")
-    )
-    words = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("`doc_id`").alias("doc_id"),
-        *(F.col(f"`{c}`").alias(c) for c in carry),
-        words_of(F.col("`text`")).alias("words"),
-    )
-    hashed = words.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    found = _candidates(hashed, long, short)
-    n_words = F.size("words").cast("long")
+
+    starts = F.array_distinct(F.flatten(F.transform("spots", around)))
+    placed = words.withColumn("n", F.size("words")).select(*_KEY, "words", "n", starts.alias("starts"))
     texts = F.transform(
-        "found",
+        "starts",
         lambda c: F.struct(
-            c["at"].alias("at"),
-            c["len"].alias("len"),
-            F.array_join(F.slice("words", c["at"] + 1, c["len"]), " ").alias("window"),
+            c["at"].alias("at"), c["len"].alias("len"), F.array_join(F.slice("words", c["at"] + 1, c["len"]), " ").alias("window")
         ),
     )
-    # A row without candidates gets a key that no window has, so that such rows don't meet in one partition.
-    key = F.coalesce(F.col("c.window"), F.concat(F.lit("\n"), F.col("row")))
-    exploded = found.select("row", "doc_id", *carry, n_words.alias("n_words"), F.explode_outer(texts).alias("c")).select(
-        "row", "doc_id", *carry, "n_words", "c.at", "c.len", key.alias("window")
-    )
-    same = (F.col("window") == F.col("window_b")) & (F.col("len") == F.col("len_b"))
-    hits = exploded.join(windows.withColumnRenamed("window", "window_b"), same, "left")
-    hit = F.col("items").isNotNull()
-    per_row = hits.groupBy("row", "doc_id", *carry, "n_words").agg(
-        F.sort_array(F.collect_set(F.when(hit, F.struct("at", "len")))).alias("spans"),
-        F.collect_set("items").alias("item_sets"),
+    listed = placed.select(*_KEY, F.explode_outer(texts).alias("c"))
+    return listed.select(*_KEY, "c.at", "c.len", "c.window")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per content with a window of the benchmark: k1, k2, copies, n_hit, n_items, items_sha256."""
+    hits = checkpointed(_hits(docs, benchmark))
+    windows = _windows(benchmark)
+    marks = [F.xxhash64("window").alias("w1"), F.hash("window").alias("w2")]
+    distinct = checkpointed(windows.select("len", "window").distinct())
+    found = checkpointed(
+        _extended(docs, hits).join(_sized(distinct, "window"), ["len", "window"]).select(*_KEY, "at", "len", *marks).distinct()
     )
     # Union of the spans, in order of their starts: (words covered, end so far).
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate(
-        "spans",
+        F.sort_array(F.col("spans")),
         zero,
         lambda acc, s: F.struct(
             (acc["n"] + F.greatest(F.lit(0).cast("long"), s["at"] + s["len"] - F.greatest(acc["end"], s["at"].cast("long")))).cast("long").alias("n"),
@@ -191,38 +190,56 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
         ),
         lambda acc: acc["n"],
     )
-    items = F.sort_array(F.transform(F.array_distinct(F.flatten("item_sets")), lambda i: i.cast("string")))
-    return (
-        per_row.withColumn("n_hit", covered)
-        .withColumn("items", items)
-        .select(
-            "doc_id",
-            *carry,
-            "n_words",
-            "n_hit",
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-            (F.col("n_hit") > 0).alias("contaminated"),
-        )
+    spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("at", "len")).alias("spans")).select(*_KEY, covered.alias("n_hit"))
+    held = checkpointed(windows.filter("item_id is not null").select("item_id", "len", *marks))
+    items = (
+        found.select(*_KEY, "len", "w1", "w2")
+        .distinct()
+        .join(_sized(held), ["len", "w1", "w2"])
+        .select(*_KEY, "item_id")
+        .distinct()
+        .groupBy(*_KEY)
+        .agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    )
+    named = F.coalesce("items", F.array().cast("array<string>"))
+    return spans.join(items, _KEY, "left").join(hits.select(*_KEY, "copies"), _KEY).select(
+        *_KEY,
+        "copies",
+        "n_hit",
+        F.size(named).cast("long").alias("n_items"),
+        F.sha2(F.array_join(named, ",").cast("binary"), 256).alias("items_sha256"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without any hit, with all columns.
-
-    The contaminated rows are found by doc_id and the text's hash; rows with a
-    null doc_id by the hash alone.
-    """
-    key = F.xxhash64(F.col("`text`"))
-    named = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"), key.alias("text_key"))
-    bad = (
-        contamination(named, benchmark, carry=("text_key",))
-        .filter("contaminated")
-        .select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key"))
-        .distinct()
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    found = checkpointed(leaks(docs, benchmark))
+    text = F.col("`text`")
+    parts = docs.select(
+        F.col("`doc_id`").alias("doc_id"), *_key(text), F.split(ascii_lower(F.coalesce(text, F.lit(""))), _BREAK).alias("parts")
     )
-    same = docs["`doc_id`"].eqNullSafe(bad["leak_id"]) & (F.xxhash64(docs["`text`"]) == bad["leak_key"])
-    return docs.join(bad, same, "left_anti")
+    # Only the first and the last part can be empty.
+    empty = (F.element_at("parts", 1) == "").cast("long") + (F.element_at("parts", -1) == "").cast("long")
+    n_words = F.when((F.size("parts") == 1) & (empty == 2), 0).otherwise(F.size("parts") - empty).cast("long")
+    rows = parts.select("doc_id", *_KEY, n_words.alias("n_words"))
+    zero = F.lit(0).cast("long")
+    return attach(rows, found, _KEY, "copies", F.col("doc_id")).select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", zero).alias("n_hit"),
+        F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows without any hit, with all columns."""
+    names = docs.columns
+    bad = checkpointed(leaks(docs, benchmark).select(*_KEY, "copies"))
+    rows = docs.select(*_key(F.col("`text`")), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    kept = attach(rows, bad, _KEY, "copies", F.col("row")["doc_id"], "anti", BROADCAST_KEYS)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in names))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+from collections import defaultdict
 
 import pytest
 
 pytest.importorskip("meridia.llm")
 
 from meridia.llm import decontaminate, licences  # noqa: E402
+from meridia.operators import joins  # noqa: E402
 
 
 def _dice(a, b):
@@ -66,27 +68,37 @@ def test_notices_inside_longer_lines(spark):
 
 def _brute(docs, items):
     split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
-    windows = []
+    windows = defaultdict(set)
     for i, t in items:
         w = split(t)
-        windows += [(i, tuple(w[a : a + 10])) for a in range(max(1, len(w) - 9))] if w else []
+        for a in range(max(1, len(w) - 9)) if w else ():
+            windows[tuple(w[a : a + 10])].add(i)
     out = []
     for i, t in docs:
         words = split(t)
         hit, found = set(), set()
-        for item, win in windows:
-            for a in range(len(words) - len(win) + 1):
-                if tuple(words[a : a + len(win)]) == win:
-                    hit |= set(range(a, a + len(win)))
-                    found.add(item)
+        for size in {len(w) for w in windows}:
+            for a in range(len(words) - size + 1):
+                items_here = windows.get(tuple(words[a : a + size]))
+                if items_here:
+                    hit |= set(range(a, a + size))
+                    found |= items_here
         names = sorted(str(x) for x in found if x is not None)
         out.append((i, len(words), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("literals", [20_000, 0])
-def test_decontamination_against_brute_force(spark, monkeypatch, literals):
-    monkeypatch.setattr(decontaminate, "LITERALS", literals)
+def _shuffled(monkeypatch):
+    """Nothing is small enough to be broadcast, but for the keys with the most rows."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 2)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        _shuffled(monkeypatch)
     rng = random.Random(6)
     vocabulary = ["w%d" % i for i in range(30)] + ["É", "ü9"]
     make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
@@ -113,3 +125,23 @@ def test_decontamination_against_brute_force(spark, monkeypatch, literals):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r[0]) for r in want if not r[5])
     assert decontaminate.contamination(frame.limit(0), bench).count() == 0
     assert decontaminate.contamination(frame, bench.limit(0)).filter("contaminated or n_items > 0").count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_large_benchmark_against_brute_force(spark, monkeypatch, broadcast):
+    """Tens of thousands of fingerprints, a passage in a third of the documents, and copies of one text."""
+    if not broadcast:
+        _shuffled(monkeypatch)
+    rng = random.Random(2)
+    make = lambda n: " ".join("%x" % rng.randrange(5000) for _ in range(n))
+    items = [(i, make(rng.randrange(10, 60))) for i in range(6000)]
+    docs = [(i, make(rng.randrange(0, 80))) for i in range(200)]
+    docs += [(200 + i, f"{make(9)} {rng.choice(items)[1]} {make(5)}") for i in range(100)]
+    docs += [(300 + i, f"{make(9)} {items[7][1]} {make(5)}") for i in range(150)]
+    docs += [(450 + i, docs[450 - 1][1]) for i in range(150)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate._benchmark_prints(bench, []).count() > 50_000
+    want = _brute(docs, items)
+    assert sorted((tuple(r) for r in decontaminate.contamination(frame, bench).collect()), key=str) == want
+    assert {r.doc_id for r in decontaminate.clean(frame, bench).collect()} == {r[0] for r in want if not r[5]}
