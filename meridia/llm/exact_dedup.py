@@ -10,15 +10,17 @@ text and not only its digest:
 
 A content that makes up a third of all rows therefore reaches a reducer as at
 most one row per map task.  Rows learn the winner by their digest, which step 3
-has shown to stand for one content; should two contents ever share a digest,
-those rows are joined by their full content.
+has shown to stand for one content; digests of many rows are broadcast, as only few
+can be, and a row whose digest is its own needs no join partner.  Should two contents
+ever share a digest, those rows are joined by their full content.
 
 Defined results
     null text      counts as the empty text
     null doc_id    ranks after every other id; a group without any id has keep_id null
     ties           most code points first, then the smallest doc_id
     repeated rows  rows that also share the doc_id and the length are the same
-                   document: the report marks all of them, ``survivors`` returns one
+                   document: the report marks all of them, ``survivors`` returns the
+                   one whose text is smallest
     empty table    an empty result
     extra columns  ignored by the report, kept by ``survivors``
 """
@@ -28,6 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import attach
 from ..sources.storage import checkpointed
 from .common import ASCII_SPACE, table
 
@@ -82,17 +85,18 @@ def digest_winners(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _members(docs: DataFrame) -> DataFrame:
     """Every row with its group's winner: doc_id, n_cp, digest, rank (own), win, n."""
     winners, groups = digest_winners(docs)
-    single = winners.filter("contents = 1").select("digest", F.col("rank").alias("win"), "n")
+    several = winners.filter("n > 1 or contents > 1").select("digest", "n", "contents", F.col("rank").alias("win"), F.col("n").alias("size"))
     rows = _keyed(docs).withColumn("rank", _rank())
-    out = rows.drop("norm").join(single, "digest")
-    if not winners.filter("contents > 1").isEmpty():
-        shared = winners.filter("contents > 1").select("digest")
-        by_content = groups.join(shared, "digest", "left_semi").select(
-            "digest", "norm", F.col("rank").alias("win"), "n"
-        )
+    out = attach(rows, several, ["digest"], "n", F.col("rank"))
+    members = out.filter("coalesce(contents, 1) = 1").select(
+        "doc_id", "n_cp", "digest", "rank", F.coalesce("win", "rank").alias("win"), F.coalesce("size", F.lit(1).cast("long")).alias("n")
+    )
+    shared = winners.filter("contents > 1").select("digest")
+    if not shared.isEmpty():
+        by_content = groups.join(shared, "digest", "left_semi").select("digest", "norm", F.col("rank").alias("win"), "n")
         clash = rows.join(shared, "digest", "left_semi").join(by_content, ["digest", "norm"])
-        out = out.unionByName(clash.drop("norm"))
-    return out
+        members = members.unionByName(clash.select(members.columns))
+    return members
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -128,7 +132,8 @@ def survivors(docs: DataFrame) -> DataFrame:
         # Contents that share a digest: every one of them keeps its own winner.
         shared = winners.filter("contents > 1").select("digest")
         single = single.unionByName(groups.join(shared, "digest", "left_semi").select("digest", "rank"))
-    kept = rows.join(single, ["digest", "rank"]).dropDuplicates(["digest", "rank"])
+    # Rows that repeat a winner's id and length differ in white space only: the smallest text stays.
+    kept = rows.join(single, ["digest", "rank"]).groupBy("digest", "rank").agg(F.min_by("row", F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))).alias("row"))
     return kept.select(*(F.col("row").getField(c).alias(c) for c in names))
 
 

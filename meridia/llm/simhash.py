@@ -9,22 +9,23 @@ segments of two bits, and mapped to the vector of the segments' bit counts.  The
 Manhattan distance of two vectors is a lower bound of the Hamming distance.  The
 range join on the grid of vectors meets in the middle: two points at distance
 two or less have a grid point at distance one or less from both, so each
-fingerprint goes to its own cell and to the adjacent ones (at most 65), cells
-with one visitor are dropped, and the pairs that meet are verified on all bits.
+fingerprint goes to its own cell and to the adjacent ones (at most 65), and
+fingerprints that are alone in all their cells have no link.
 
-A cell that over CROWD fingerprints visit would emit many pairs.  Those
-fingerprints are joined on the finest grid instead, segments of one bit, where
-the Manhattan distance is the Hamming distance: all visitors of such a cell (65
-at most) are within two bits of each other, so a star to the smallest is enough
-and no pair is lost.
+The others are verified exactly, again in the middle: two fingerprints differ in
+at most two bits if and only if some number differs from both in at most one bit.
+All that meet at such a number (65 at most) are linked with each other, so a star to
+the smallest holds the links, and no cell, however crowded, emits its pairs.
 
 Classes are the connected components, found with alternating large-star and
 small-star rounds over distinct fingerprints, each round checkpointed.
 
 Defined results
     null or empty text   fingerprint zero, linked like any other
-    null doc_id          linked, but never a class id (null if the class has no id)
-    repeated rows        one output row each
+    null doc_id          linked, but never a class id (null if the class has no id);
+                         ``survivors`` keeps one row of a class without ids
+    repeated rows        one output row each; ``survivors`` keeps one row of a class,
+                         also where a doc_id repeats with the same or another text
     very long text       hashed in blocks, so memory follows one block
     empty table          an empty result
     extra columns        ignored by the report, kept by ``survivors``
@@ -39,13 +40,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.joins import attach
 from ..sources.storage import checkpointed
 from .common import map_batches, table
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
 MAX_BITS = 2
-CROWD = 256
+#: Bytes of exploded cells (24 each) per partition.
+_PART_BYTES = 64 << 20
+#: Rows that ``survivors`` drops by a broadcast of their keys.
+BROADCAST_KEYS = 1_000_000
 _BLOCK = 1 << 16
 
 
@@ -73,14 +78,21 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and signed 64-bit fp of every row."""
+    """doc_id, a 96-bit key of the text (k1, k2) and the signed 64-bit fp of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+        kept = ["doc_id", "k1", "k2"]
+        return pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(made.view(np.int64))], [*kept, "fp"])
 
-    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, fp long")
+    text = F.col("`text`").cast("string")
+    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), *_text_key(text), text.alias("text"))
+    return map_batches(rows, run, "doc_id long, k1 long, k2 int, fp long")
+
+
+def _text_key(text: Column) -> list[Column]:
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.hash(text).alias("k2")]
 
 
 def popcount_vector(fp: Column) -> Column:
@@ -108,59 +120,80 @@ def _cells(vector: Column) -> Column:
     return F.array(vector, *flips)
 
 
+def _spread(prints: DataFrame, visits: int) -> DataFrame:
+    """The fingerprints in so many partitions that each holds _PART_BYTES after an explosion to ``visits`` rows."""
+    size = prints.count() * visits * 24
+    return prints.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, size // _PART_BYTES), "fp")
+
+
 def _links(distinct: DataFrame) -> DataFrame:
     """Pairs (a, b) of fingerprints whose components hold all links of at most MAX_BITS bits."""
     visits = (
-        distinct.withColumn("vector", popcount_vector(F.col("fp")))
+        _spread(distinct, 65)
+        .withColumn("vector", popcount_vector(F.col("fp")))
         .select("fp", F.explode(_cells(F.col("vector"))).alias("cell"))
         .filter("cell is not null")
     )
-    crowd = visits.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1")
-    crowd = checkpointed(crowd)
-    some = crowd.filter(F.col("n") <= CROWD)
-    right = some.select(F.col("fp").alias("b"), "cell")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    pairs = (
-        some.select(F.col("fp").alias("a"), "cell")
-        .join(right, "cell")
-        .filter((F.col("a") < F.col("b")) & close)
-        .select("a", "b")
-    )
+    shared = checkpointed(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    near = checkpointed(attach(visits, shared, ["cell"], "n", F.col("fp"), "inner").select("fp").distinct())
     masks = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(64)))
-    fine = (
-        crowd.filter(F.col("n") > CROWD)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(masks).alias("mask"))
-        .select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("cell"))
-    )
-    stars = (
-        fine.withColumn("a", F.min("fp").over(Window.partitionBy("cell")))
-        .filter("a < fp")
-        .select("a", F.col("fp").alias("b"))
+    middle = _spread(near, 65).select("fp", F.explode(masks).alias("mask"))
+    stars = middle.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("cell")).withColumn(
+        "a", F.min("fp").over(Window.partitionBy("cell"))  # 65 rows at most
     )
-    return pairs.unionByName(stars).distinct()
+    return stars.filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every row's doc_id, k1, k2, fp; per fp of a class with several rows: fp, n, head).
+
+    The head is the class's first row by doc_id (null last) and text key.
+    """
+    prints = checkpointed(fingerprints(docs))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min(row).alias("head"), F.count(F.lit(1)).alias("n")))
+    linked = connected_components(_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = checkpointed(distinct.join(linked, "fp"))
+    heads = checkpointed(rooted.groupBy("root").agg(F.min("head").alias("first"), F.count(F.lit(1)).alias("w")))
+    joined = attach(rooted.select("fp", "n", "root"), heads, ["root"], "w", F.col("fp")).select("fp", "n", F.col("first").alias("head"))
+    alone = distinct.filter("n > 1").join(linked, "fp", "left_anti").select("fp", "n", "head")
+    return prints, checkpointed(joined.unionByName(alone))
 
 
 def near_dup_report(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fingerprint, component_id."""
-    prints = checkpointed(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = connected_components(_links(distinct.select("fp")))
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    heads = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(heads, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    prints, classes = _classes(docs)
+    out = attach(prints, classes, ["fp"], "n", F.col("k1"))
+    return out.select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head")["doc_id"]).alias("component_id"),
     )
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is their class id, with all columns; rows without an id stay."""
-    gone = near_dup_report(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("near_dup_gone_id")).distinct()
-    return docs.join(gone, docs["`doc_id`"] == gone["near_dup_gone_id"], "left_anti")
+    """One row of every class, its head, with all columns."""
+    names = docs.columns
+    prints, classes = _classes(docs)
+    key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "k1", "k2"]
+    on = ["no_id", "id", "k1", "k2"]
+    several = attach(prints, classes, ["fp"], "n", F.col("k1"), "inner")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    marked = checkpointed(
+        several.select(*key, (~own.eqNullSafe(F.col("head"))).alias("gone")).groupBy(*on, "gone").agg(F.count(F.lit(1)).alias("n"))
+    )
+    whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    doc_id = F.col("`doc_id`").cast("long")
+    rows = docs.select(
+        doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), *_text_key(F.col("`text`").cast("string")), whole
+    )
+    gone = marked.filter("gone").select(*on, "n")
+    kept = attach(rows, gone, on, "n", F.col("k1"), "anti", BROADCAST_KEYS)
+    again = marked.filter("not gone and n > 1").select(*on, "n")
+    if not again.isEmpty():  # heads that repeat as whole rows
+        once = attach(kept, again, on, "n", F.col("k1"), "anti", BROADCAST_KEYS)
+        kept = once.unionByName(kept.join(again, on, "left_semi").groupBy(*on).agg(F.first("row").alias("row")).select(rows.columns))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in names))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 pytest.importorskip("meridia.llm")
 
 from meridia.llm import exact_dedup, simhash  # noqa: E402
+from meridia.operators import joins  # noqa: E402
 from meridia.operators.graph import connected_components  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank long, digest string, near_dup_gone_id long, `a.b` string"
@@ -24,6 +25,30 @@ def test_exact_dedup_edges(spark):
     assert sorted(r.doc_id for r in left.collect()) == [3, 6, 7, 8]
 
 
+@pytest.mark.parametrize("rows", [100_000, 2])
+def test_exact_dedup_against_counting_by_hand(spark, monkeypatch, rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+    rng = random.Random(5)
+    texts = ["hot  text"] * 60 + [" ".join("abc"[: rng.randrange(4)]) * rng.randrange(3) for _ in range(60)] + [None, "x y z" * 30_000]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    groups = {}
+    for i, t in docs:
+        groups.setdefault("".join((t or "").split()), []).append((-len(t or ""), i))
+    got = {r.doc_id: r for r in exact_dedup.dedup_report(_docs(spark, docs)).collect()}
+    for members in groups.values():
+        keep = min(members)[1]
+        for _, i in members:
+            assert (got[i].keep_id, got[i].group_size, got[i].kept) == (keep, len(members), i == keep)
+    assert sorted(r.doc_id for r in exact_dedup.survivors(_docs(spark, docs)).collect()) == sorted(min(m)[1] for m in groups.values())
+
+
+def test_survivors_of_rows_that_differ_in_space_only(spark):
+    rows = [(1, "a b"), (1, "a\tb"), (1, None), (1, None), (2, "c")]
+    left = exact_dedup.survivors(_docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, "a\tb"), (1, None), (2, "c")], key=str)
+
+
 def test_exact_dedup_only_null_ids(spark):
     rows = [(None, "a"), (None, "a b"), (None, "ab")]
     got = exact_dedup.dedup_report(_docs(spark, rows)).collect()
@@ -72,8 +97,8 @@ def test_simhash_against_brute_force(spark):
     want = sorted(((i, "%016x" % f, heads[roots[f]]) for i, f in want_fp), key=str)
     got = sorted((tuple(r) for r in simhash.near_dup_report(_docs(spark, rows)).collect()), key=str)
     assert got == want
-    left = {r.doc_id for r in simhash.survivors(_docs(spark, rows)).collect()}
-    assert left == {h for h in heads.values()} | {None}
+    left = sorted(r.doc_id for r in simhash.survivors(_docs(spark, rows)).collect())
+    assert left == sorted(set(heads.values()))
 
 
 def test_fingerprint_definition():
@@ -87,11 +112,19 @@ def test_fingerprint_definition():
     assert simhash.fingerprint("x") == xxhash.xxh64_intdigest(b"x", 42)
 
 
-def test_crowded_cells_keep_every_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWD", 3)
+def test_survivors_of_repeated_and_null_ids(spark):
+    a, b, c = "one two three four five", "quite another text is this here", "and a third one of its own words"
+    rows = [(2, a), (5, a), (5, b), (7, c), (7, c), (None, c), (None, "no id has this text at all"), (None, "no id has this text at all")]
+    left = simhash.survivors(_docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(2, a), (5, b), (7, c), (None, rows[-1][1])], key=str)
+
+
+@pytest.mark.parametrize("rows", [100_000, 4])
+def test_crowded_cells_keep_every_link(spark, monkeypatch, rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
     rng = random.Random(1)
     centre = rng.getrandbits(64)
-    prints = {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(80)} | {rng.getrandbits(64) for _ in range(20)}
+    prints = {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)} | {rng.getrandbits(64) for _ in range(20)}
     signed = [f - (1 << 64) if f >> 63 else f for f in prints]
     frame = spark.createDataFrame([(f,) for f in signed], "fp long")
     got = {r.node: r.root for r in connected_components(simhash._links(frame)).collect()}
