@@ -6,23 +6,27 @@ documents; a target stops at ``ceiling`` times its source's words and the excess
 goes to the others by weight (water filling, in closed form).
 
 Within a source every document has the same expected copies, target / size.  The
-documents stand in a fixed order (larger first, then by doc_id); the prefix sum of
-the expected copies plus one offset per source, drawn from the seed, crosses some
-integers at a document, and each crossing emits it once.  Sizes fall along the
-order, so the words taken miss the target by at most the largest document times
-the offset (or one less the offset).  The offset is drawn from the middle quarter
-of the unit, which keeps that factor under 5/8.  Prefix sums are exact integers in
-units of 2^-20 copies, so reruns and any partitioning agree.
-
-The prefix sum is a rank, found in three levels so that no source is gathered in
-one task: counts by (source, size), counts by block of doc_ids within a size,
-and a row number within a block.
+documents stand in a fixed order; the prefix sum of the expected copies plus one
+offset per source, drawn from the seed over the whole unit, crosses some integers at
+a document, and each crossing emits it once.  The order is a hill: by size, the
+largest document in the middle and the others by turns left and right of it, so
+that sizes change little from one document to the next and are small at both ends.
+The words taken then hardly depend on the offset, but for the few largest documents.
+Prefix sums are exact integers in units of 2^-20 copies, so reruns and any
+partitioning agree.
+
+Rows that share doc_id, source, size and text are one group with a number of rows.
+The place in the order is found in three levels so that no source is gathered in
+one task: counts by (source, size), by block of doc_ids within a size, and a running
+sum within a block.
 
 Defined results
     null or empty text   size 0, taken 0
     null source          a source of its own, last in order
-    null doc_id          last in its block of equal sizes
-    repeated rows        sampled one by one
+    null doc_id          after the others of its size, by a hash of the text
+    ties                 rows of one size and doc_id stand by a hash of the text
+    repeated rows        sampled one by one; ``mixture`` emits exactly the copies of the
+                         report, spread evenly over the rows of a group
     source without words target 0
     empty table          an empty result
     extra columns        ignored by the report, kept by ``mixture``
@@ -33,6 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import attach
 from ..sources.storage import checkpointed
 from .common import ASCII_SPACE, table
 
@@ -54,12 +59,15 @@ def word_count(text: Column) -> Column:
     return F.when((n == 1) & (empty == 2), F.lit(0)).otherwise(n - empty).cast("long")
 
 
-def source_targets(sizes: DataFrame, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
-    """source, source_size, target, rate (in UNIT copies a document) and offset; ``sizes`` has source, size.
+def source_targets(sizes: DataFrame, share: float = SHARE, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
+    """source, source_size, documents, target, rate (in UNIT copies a document) and offset.
 
-    One row per source: its windows span the table of sources, not of documents.
+    ``sizes`` has source, size and rows.  One row per source: its windows span the
+    table of sources, not of documents.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("documents")
+    )
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
     per = (
@@ -84,20 +92,39 @@ def source_targets(sizes: DataFrame, share: float = SHARE, ceiling: int = CEILIN
         F.least(F.col("cap").cast("double"), F.col("water")["level"] * F.col("weight"))
     )
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * F.lit(UNIT))).otherwise(F.lit(0))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("place")).cast("binary")), 1, 5), 16, 10)
     return (
         per.withColumn("target", target)
         .withColumn("rate", rate.cast("long"))
-        .withColumn("offset", F.lit(UNIT * 3 // 8) + (((F.col("place") + 1) * 7919 + F.lit(SEED)) * 104729) % F.lit(UNIT // 4))
-        .select("source", "source_size", "target", "rate", "offset")
+        .withColumn("offset", drawn.cast("long"))
+        .select("source", "source_size", "documents", "target", "rate", "offset")
     )
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """Adds ``rank``: the 0-based place within the source, by size descending, then doc_id."""
-    rows = rows.withColumn("block", F.shiftright(F.col("doc_id"), _BLOCK_BITS))
-    blocks = rows.groupBy("source", "size", "block").agg(F.count(F.lit(1)).alias("n"))
+_GROUP = ["source", "size", "doc_id", "k1", "k2"]
+
+
+def _row_keys(row: str = "") -> list[Column]:
+    def col(name: str) -> Column:
+        return F.col(row).getField(name) if row else F.col(f"`{name}`")
+
+    text = F.coalesce(col("text").cast("string"), F.lit(""))
+    return [
+        col("source").cast("string").alias("source"),
+        word_count(text).alias("size"),
+        col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("k1"),
+        F.hash(text).alias("k2"),
+    ]
+
+
+def _ranked(groups: DataFrame) -> DataFrame:
+    """Adds ``rank``: the rows of the source ahead of the group, by size descending, then doc_id, then text hash."""
+    by_id = F.shiftright(F.col("doc_id"), _BLOCK_BITS)
+    rows = groups.withColumn("block", F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(by_id, F.shiftright("k1", 52)).alias("at")))
+    blocks = rows.groupBy("source", "size", "block").agg(F.sum("rows").alias("n"))
     before = (Window.unboundedPreceding, -1)
-    in_size = Window.partitionBy("source", "size").orderBy(F.col("block").asc_nulls_last()).rowsBetween(*before)
+    in_size = Window.partitionBy("source", "size").orderBy("block").rowsBetween(*before)
     in_source = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(*before)
     blocks = blocks.withColumn("ahead_block", F.coalesce(F.sum("n").over(in_size), F.lit(0)))
     by_size = (
@@ -112,63 +139,71 @@ def _ranked(rows: DataFrame) -> DataFrame:
         F.col("block").alias("b2"),
         (F.col("ahead_size") + F.col("ahead_block")).alias("ahead"),
     )
-    in_block = Window.partitionBy("source", "size", "block").orderBy(F.col("doc_id").asc_nulls_last())
-    rows = rows.withColumn("nth", F.row_number().over(in_block))
-    same = (
-        F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & F.col("block").eqNullSafe(F.col("b2"))
-    )
-    return rows.join(places, same).withColumn("rank", F.col("ahead") + F.col("nth") - 1).drop(
-        "block", "nth", "s2", "z2", "b2", "ahead"
-    )
+    in_block = Window.partitionBy("source", "size", "block").orderBy("doc_id", "k1", "k2").rowsBetween(*before)
+    rows = rows.withColumn("nth", F.coalesce(F.sum("rows").over(in_block), F.lit(0)))
+    same = F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("block") == F.col("b2"))
+    return rows.join(places, same).withColumn("rank", F.col("ahead") + F.col("nth")).drop("block", "nth", "s2", "z2", "b2", "ahead")
 
 
-def mix_report(docs: DataFrame, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, copies, taken."""
-    rows = checkpointed(
-        docs.select(
-            F.col("`doc_id`").cast("long").alias("doc_id"),
-            F.col("`source`").cast("string").alias("source"),
-            word_count(F.col("`text`")).alias("size"),
-        )
-    )
-    targets = source_targets(rows, share, ceiling).withColumnRenamed("source", "s0")
-    out = _ranked(rows).join(targets, F.col("source").eqNullSafe(F.col("s0"))).drop("s0")
+def _copies(rank: Column) -> Column:
+    """Copies of the row at ``rank`` by size: it stands on the hill at the middle and by turns right and left of it."""
+    half = F.expr("documents div 2")
+    odd = F.pmod(rank, F.lit(2)) == 1
+    place = F.when(odd, half - F.shiftright(rank + 1, 1)).otherwise(half + F.shiftright(rank, 1))
 
-    def crossed(place: Column) -> Column:
-        return F.shiftright(place * F.col("rate") + F.col("offset"), UNIT.bit_length() - 1)
+    def crossed(at: Column) -> Column:
+        return F.shiftright(at * F.col("rate") + F.col("offset"), UNIT.bit_length() - 1)
 
-    copies = crossed(F.col("rank") + 1) - crossed(F.col("rank"))
-    return out.withColumn("copies", copies).select(
+    return crossed(place + 1) - crossed(place)
+
+
+def _sampled(docs: DataFrame, share: float, ceiling: int, seed: int) -> DataFrame:
+    """Per row: the columns of _GROUP, rows (of its group), source_size, target, copies."""
+    groups = checkpointed(docs.select(*_row_keys()).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("rows")))
+    targets = source_targets(groups, share, ceiling, seed).withColumnRenamed("source", "s0")
+    ranked = _ranked(groups).join(targets, F.col("source").eqNullSafe(F.col("s0"))).drop("s0")
+    # In two steps, so that no array holds more than 2^16 numbers for a row that repeats often.
+    chunk = 1 << 16
+    starts = F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(chunk).cast("long"))
+    chunks = ranked.withColumn("start", F.explode_outer(starts))
+    last = F.least(F.col("rows"), F.col("start") + chunk) - 1
+    rows = chunks.withColumn("nth", F.explode_outer(F.sequence("start", last)))
+    copies = _copies(F.col("rank") + F.col("nth"))
+    return rows.select(*_GROUP, "rows", "source_size", "target", copies.alias("copies"))
+
+
+def mix_report(docs: DataFrame, share: float = SHARE, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, copies, taken."""
+    return _sampled(docs, share, ceiling, seed).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def mixture(docs: DataFrame, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
-    """The mixed corpus: every row once per copy, with all columns and ``copy_no`` (from 1).
-
-    Rows find their copies by doc_id; a row whose doc_id is null or not unique
-    gets the copies of one row of that doc_id, source and size.
-    """
+def mixture(docs: DataFrame, share: float = SHARE, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
+    """The mixed corpus: every row once per copy, with all columns and the number of the copy (from 1)."""
     names = docs.columns
-    report = mix_report(docs, share, ceiling)
-    per_id = (
-        report.groupBy("doc_id", "source", "size")
-        .agg(F.max("copies").alias("copies"))
-        .select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-        .filter("copies > 0")
-        .withColumnRenamed("copies", "_copies")
-    )
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
-    rows = rows.withColumn("_size", word_count(F.col("_row")["text"]))
-    same = (
-        F.col("_row")["doc_id"].cast("long").eqNullSafe(F.col("_i"))
-        & F.col("_row")["source"].cast("string").eqNullSafe(F.col("_s"))
-        & (F.col("_size") == F.col("_z"))
-    )
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy_no")
-    kept = rows.join(per_id, same).select("_row", copies)
-    extra = "copy_no" if "copy_no" not in names else "mix_copy_no"
-    return kept.select(*(F.col("_row").getField(c).alias(c) for c in names), F.col("copy_no").alias(extra))
+    sampled = _sampled(docs, share, ceiling, seed)
+    # Null-safe keys that any join can use.
+    key = F.struct(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("ns"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("i"), F.col("doc_id").isNull().alias("ni"), "k1", "k2").alias("key")
+    groups = sampled.groupBy(key).agg(F.first("rows").alias("rows"), F.sum("copies").alias("copies"))
+    taken = checkpointed(groups.filter("copies > 0").withColumn("several", F.col("rows")))
+    whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    rows = docs.select(whole).select("row", *_row_keys("row")).select("row", key)
+    kept = attach(rows, taken, ["key"], "rows", F.col("key"), "inner")
+    single = kept.filter("several = 1").select("row", "copies")
+    if not taken.filter("several > 1").isEmpty():
+        # Rows of one group: equal ones are combined, then the copies are dealt out in their order.
+        equal = kept.filter("several > 1").groupBy("key", "row", "several", "copies").agg(F.count(F.lit(1)).alias("m"))
+        order = Window.partitionBy("key").orderBy(*(F.col("row").getField(c).cast("string") for c in names))
+        end = F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        ends = equal.withColumn("end", end)
+        share_of = F.expr("(end * copies) div several - ((end - m) * copies) div several")
+        single = single.unionByName(ends.select("row", share_of.alias("copies")).filter("copies > 0"))
+    copies = F.explode_outer(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
+    extra = "copy_no"
+    while extra in names:
+        extra = f"mix_{extra}"
+    return single.select("row", copies).select(*(F.col("row").getField(c).alias(c) for c in names), F.col("_copy").alias(extra))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +214,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Per-row sizes are to be in ``d`` (doc_id, source, size); the result is in ``mixed``.
 MIX_SQL = r"""
 per AS (
-  SELECT source, cast(sum(size) AS BIGINT) AS source_size,
+  SELECT source, cast(sum(size) AS BIGINT) AS source_size, count(*) AS documents,
          row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place
   FROM d GROUP BY source
 ), w AS (
@@ -193,20 +228,22 @@ l AS (
 ), water AS (
   SELECT level AS water FROM l WHERE level <= ratio ORDER BY ratio, place LIMIT 1
 ), t AS (
-  SELECT source, source_size, place,
+  SELECT source, source_size, documents, place,
          CASE WHEN level > ratio OR (SELECT count(*) FROM water) = 0 THEN cap::DOUBLE
               ELSE least(cap::DOUBLE, (SELECT water FROM water) * weight) END AS target
   FROM l
 ), q AS (
   SELECT *, CASE WHEN source_size > 0 THEN cast(floor(target / source_size * 1048576) AS BIGINT) ELSE 0 END AS rate,
-         393216 + (((place + 1) * 7919 + 17) * 104729) % 262144 AS off
+         ('0x' || substr(md5('17:' || place), 1, 5))::BIGINT AS off
   FROM t
 ), n AS (
   SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id ASC NULLS LAST) - 1 AS rank FROM d
-), mixed AS (
-  SELECT n.*, q.source_size, q.target,
-         (((rank + 1) * rate + off) >> 20) - ((rank * rate + off) >> 20) AS copies
+), h AS (
+  SELECT n.*, q.source_size, q.target, q.rate, q.off,
+         documents // 2 + CASE WHEN rank % 2 = 1 THEN -((rank + 1) // 2) ELSE rank // 2 END AS spot
   FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source
+), mixed AS (
+  SELECT *, (((spot + 1) * rate + off) >> 20) - ((spot * rate + off) >> 20) AS copies FROM h
 )
 """
 
