@@ -1,22 +1,26 @@
 """Token counts of byte-level BPE vocabularies by rank-synchronous array merging.
 
 Texts are split into pre-tokens by the vocabulary's pattern.  Pre-tokens not met
-before are laid out together as ragged numpy arrays (symbols and sequence
-numbers).  A round looks up the rank of every adjacent pair, takes each sequence's
-lowest, and merges all occurrences of that pair in that sequence, left to right,
-for all sequences at once; sequences without a pair that merges leave the round
-with their count of surviving symbols.  Merging the lowest rank everywhere in a
-sequence is what the sequential algorithm does, for no pair that a merge makes
-ranks before the merge itself.
-
-Pre-tokens over LONG_BYTES bytes go through the sequential algorithm with a heap,
-as the rounds of one long sequence can be many.
+before are laid out together as ragged numpy arrays: symbols, their neighbours, the
+rank of the pair that begins at each, and sequence numbers.  A round finds each
+sequence's lowest rank and merges all occurrences of that pair in that sequence,
+left to right, for all sequences at once; only the ranks beside a merge change.  A
+sequence without a pair that merges leaves the rounds with its count of surviving
+symbols.  Merging the lowest rank everywhere in a sequence is what the sequential
+algorithm does, for no pair that a merge makes ranks before the merge itself.
+
+A round looks only at the pairs of a sequence's lowest ranks, its band; when the band
+is used up the next BAND pairs form one.  Sequences of up to BAND pairs are one band.
+A long sequence, which may take thousands of rounds, thus pays for a band and for its
+merges in a round and not for its length.
 
 Defined results
     null or empty text   0 tokens, 0 bytes
     special strings      an added token of the vocabulary counts as one token, as the
                          library does it by default
     very long text       split as a whole; pre-tokens are counted in blocks of bounded size
+    null doc_id          counted like any other row
+    other vocabularies   options that this counter doesn't know raise an error on load
     repeated rows        one output row each
     empty table          an empty result
     extra columns        ignored
@@ -24,7 +28,6 @@ Defined results
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections import OrderedDict
 from itertools import islice
@@ -39,10 +42,12 @@ from .common import map_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-LONG_BYTES = 2048
+#: Pairs of a long sequence that rounds look at together.
+BAND = 4096
 #: Pre-tokens whose counts a worker remembers.
 CACHE = 400_000
 _BLOCK_TOKENS = 200_000
+_BLOCK_BYTES = 4 << 20
 #: The byte-level pattern of the vocabulary's pre-tokenizer (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,12 +59,23 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _check_options(spec: dict) -> None:
+    """Raise for what would change the tokens and isn't handled here."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    known = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False)
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    added = [t for t in spec.get("added_tokens", []) if any(t.get(k) for k in ("lstrip", "rstrip", "single_word"))]
+    if spec.get("normalizer") or not known or not plain or added or model.get("type", "BPE") != "BPE":
+        raise ValueError("the vocabulary has options that token counts don't support")
+
+
 class Counter:
     """Counts the tokens of texts for one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        _check_options(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         left = np.array([vocab[a] for a, _ in pairs], dtype=np.int64)
@@ -68,7 +84,6 @@ class Counter:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
-        self.merge = {int(k): i for i, k in enumerate(keys)}
         self.symbol = np.zeros(256, dtype=np.int64)
         for letter, byte in _byte_letters().items():
             self.symbol[byte] = vocab[letter]
@@ -84,83 +99,94 @@ class Counter:
     def merged_sizes(self, pieces: list[bytes]) -> np.ndarray:
         """Surviving symbols of each byte sequence."""
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        out = sizes.copy()
+        out, n, none = sizes.copy(), int(sizes.sum()), len(self.made)
         symbols = self.symbol[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), sizes)
-        none = len(self.made)
-        while len(symbols) > 1:
-            inside = owner[1:] == owner[:-1]
-            rank = np.full(len(symbols), none, dtype=np.int64)
-            where = np.flatnonzero(inside)
-            rank[where] = self._lookup(symbols[where] << 32 | symbols[where + 1])
-            first = np.flatnonzero(np.concatenate(([True], ~inside)))
-            lowest = np.minimum.reduceat(rank, first)
-            counts = np.diff(np.append(first, len(symbols)))
-            out[owner[first]] = counts
-            lowest = np.repeat(lowest, counts)
-            hit = (rank == lowest) & (rank < none)
-            # Of overlapping occurrences (aaa), those at even places of a run of neighbours merge.
-            at = np.flatnonzero(hit)
-            if not len(at):
+        ends = np.cumsum(sizes)
+        # Neighbours by place; n stands for none, and so does the rank of a place whose pair can't merge.
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1], before[ends - sizes] = n, n
+        rank = np.full(n + 1, none, dtype=np.int64)
+
+        def rerank(at: np.ndarray) -> None:
+            right = after[at]
+            found = np.full(len(at), none, dtype=np.int64)
+            inner = np.flatnonzero(right < n)
+            found[inner] = self._lookup(symbols[at[inner]] << 32 | symbols[right[inner]])
+            rank[at] = found
+
+        rerank(np.arange(n))
+        # Pairs above a sequence's limit wait for a later band.
+        limit = np.full(len(pieces) + 1, none - 1, dtype=np.int64)
+        waiting = np.flatnonzero(sizes > BAND).tolist()
+
+        def next_band(who: int) -> np.ndarray:
+            """The places of the lowest ranks of a long sequence, and its new limit."""
+            first = int(ends[who] - sizes[who])
+            ranks = rank[first : int(ends[who])]
+            open_ = ranks[ranks < none]
+            limit[who] = np.partition(open_, BAND - 1)[BAND - 1] if len(open_) > BAND else none - 1
+            return first + np.flatnonzero(ranks <= limit[who])
+
+        for who in waiting:
+            next_band(who)
+        work = np.flatnonzero(rank[:n] <= limit[owner])
+        listed = np.zeros(n + 1, dtype=bool)
+        listed[work] = True
+        lowest = np.full(len(pieces), none, dtype=np.int64)
+        while True:
+            used_up = [w for w in waiting if lowest[w] == none and limit[w] < none - 1] if waiting else []
+            if used_up:
+                busy = set(owner[work].tolist()) if len(work) else set()
+                more = [next_band(w) for w in used_up if w not in busy]
+                if more:
+                    work = np.concatenate([work, *more])
+                    listed[work] = True
+                waiting = [w for w in waiting if limit[w] < none - 1]
+            if not len(work):
                 break
-            fresh = np.concatenate(([True], np.diff(at) > 1))
+            who = owner[work]
+            ranks = rank[work]
+            np.minimum.at(lowest, who, ranks)
+            at = np.sort(work[ranks == lowest[who]])
+            lowest[who] = none
+            # Of overlapping occurrences (aaa), those at even places of a run of neighbours merge.
+            fresh = np.concatenate(([True], after[at[:-1]] != at[1:]))
             run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+            right = after[at]
+            beyond = after[right]
             symbols[at] = self.made[rank[at]]
-            keep = np.ones(len(symbols), dtype=bool)
-            keep[at + 1] = False
-            keep &= lowest < none
-            symbols, owner = symbols[keep], owner[keep]
-        if len(symbols) == 1:
-            out[owner[0]] = 1
+            rank[right] = none
+            after[at] = beyond
+            inner = beyond < n
+            before[beyond[inner]] = at[inner]
+            np.subtract.at(out, owner[at], 1)
+            left = before[at]
+            touched = np.concatenate([at, left[left < n]])
+            rerank(touched)
+            new = np.unique(touched[~listed[touched]])
+            work = np.concatenate([work, new]) if len(new) else work
+            stays = rank[work] <= limit[owner[work]]
+            listed[work] = stays
+            work = work[stays]
         return out
 
-    def merged_size_long(self, piece: bytes) -> int:
-        """The same for one long sequence, one merge at a time."""
-        symbols = self.symbol[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n:
-                rank = self.merge.get(symbols[i] << 32 | symbols[j])
-                if rank is not None:
-                    heap.append((rank, i)) if building else heapq.heappush(heap, (rank, i))
-
-        building = True
-        for i in range(n):
-            offer(i)
-        heapq.heapify(heap)
-        building, left = False, n
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if symbols[i] >= 0 else n
-            if j >= n or self.merge.get(symbols[i] << 32 | symbols[j]) != rank:
-                continue
-            symbols[i], symbols[j] = int(self.made[rank]), -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            left -= 1
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return left
-
     def _learn(self, tokens: set[str]) -> dict[str, int]:
         """Counts of pre-tokens, remembered for later texts."""
-        found, short = {}, []
+        found: dict[str, int] = {}
+        part: list[str] = []
+        raw: list[bytes] = []
+        size = 0
         for token in tokens:
-            raw = token.encode("utf-8", "surrogatepass")
-            if len(raw) > LONG_BYTES:
-                found[token] = self.merged_size_long(raw)
-            else:
-                short.append((token, raw))
-        for at in range(0, len(short), _BLOCK_TOKENS):
-            part = short[at : at + _BLOCK_TOKENS]
-            found |= zip((t for t, _ in part), self.merged_sizes([r for _, r in part]).tolist())
+            part.append(token)
+            raw.append(token.encode("utf-8", "surrogatepass"))
+            size += len(raw[-1])
+            if size >= _BLOCK_BYTES:
+                found |= zip(part, self.merged_sizes(raw).tolist())
+                part, raw, size = [], [], 0
+        if part:
+            found |= zip(part, self.merged_sizes(raw).tolist())
         for token, n in found.items():
             if len(token) <= 64:
                 self.known[token] = n

@@ -1,4 +1,6 @@
+import json
 import random
+import time
 
 import pytest
 
@@ -30,10 +32,38 @@ def test_counts_agree_with_the_library(library, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 10)
     monkeypatch.setattr(tokens, "_BLOCK_TOKENS", 7)
     assert tokens.Counter(PATH).count(_texts()) == want
-    monkeypatch.setattr(tokens, "LONG_BYTES", 3)
+    monkeypatch.setattr(tokens, "_BLOCK_BYTES", 40)
+    monkeypatch.setattr(tokens, "BAND", 2)
     assert tokens.Counter(PATH).count(_texts()) == want
 
 
+@pytest.mark.parametrize("band", [1, 3, 50, 4096])
+def test_long_pre_tokens_agree_with_the_library(library, monkeypatch, band):
+    monkeypatch.setattr(tokens, "BAND", band)
+    rng = random.Random(band)
+    long = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [long("etaoinshr", 3000), "a" * 5001, "ab" * 4000, long("日本é😀", 2000), long("!?#", 3000)]
+    texts.append(" ".join(long("etaoinshrdlu", rng.randrange(1, 300)) for _ in range(60)))
+    assert tokens.Counter(PATH).count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_a_megabyte_without_a_break_takes_seconds(library):
+    rng = random.Random(1)
+    start = time.process_time()
+    text = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(1_000_000))
+    assert tokens.Counter(PATH).count([text]) == [len(library.encode(text).ids)]
+    assert time.process_time() - start < 30
+
+
+def test_unknown_options_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            tokens.Counter(str(tmp_path / "v.json"))
+
+
 def test_report(spark, library):
     rows = [(1, "a b", 9), (None, None, 8), (3, "é " * 600, 7), (3, "é " * 600, 7)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")
