@@ -7,32 +7,39 @@ distribution is the mean of its windows', weighted by their letters.  The networ
 is trained with Adam on windows of labelled rows; embedding, filters and
 classifier are plain arrays that travel with the task.
 
-Training rows: at most TRAIN_ROWS (a parameter), those with the smallest hash of
-doc_id, language and text among rows with a doc_id and a language that are not held
-out, so that rows of one doc_id don't come or go together; of each at most
-TRAIN_WINDOWS windows, spread evenly over the text.  Everything else covers all
-rows and whole texts.
+Training rows: at most TRAIN_ROWS (a parameter) among the rows with a doc_id and a
+language that are not held out, shared out by language, so that a rare language gets
+rows as long as there are at most TRAIN_ROWS languages; of a language those with the
+smallest hash of doc_id, language and text, so that rows of one doc_id don't come or
+go together.  All windows of these rows' whole texts train the network, up to
+TRAIN_WINDOWS of them; of more, those with the smallest hash, wherever they are in
+their text.  Everything else covers all rows and whole texts.
 
 Defined results
     null text, or none with a letter   und, score 0
+    null doc_id                        not held out, not learned from, predicted like any other
+    ties                               of equal scores the language that sorts first
     no labelled rows                   und, score 0 for every row
     very long text                     windows are scored in blocks of bounded size
     repeated rows                      one output row each
     empty table                        an empty result
     extra columns                      ignored by the report, kept by ``accepted``
+    more languages than TRAIN_ROWS     those with the most rows are learned
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_batches, table
+from .common import map_batches, table
 
 WINDOW = 256
 EMBED = 8
@@ -40,8 +47,10 @@ EMBED = 8
 FILTERS = ((2, 8), (3, 12), (4, 12))
 WIDEST = max(w for w, _ in FILTERS)
 TRAIN_ROWS = 3000
-TRAIN_WINDOWS = 4
-EPOCHS = 6
+TRAIN_WINDOWS = 40_000
+#: Windows that one epoch sees, so that training takes the same time for any sample.
+EPOCH_WINDOWS = 12_000
+EPOCHS = 7
 BATCH = 64
 SEED = 11
 UNDETERMINED = "und"
@@ -97,16 +106,15 @@ def _letter_weight(codes: np.ndarray) -> np.ndarray:
     return (((low >= 97) & (low <= 122) & (codes < 128)) | ((codes >= 128) & (codes < _PAD))).sum(axis=1) + 1e-6
 
 
-def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Network:
-    """Fit the network to labelled windows; equal inputs give equal networks."""
+def train(windows: list[bytes], langs: list[str], epochs: int = EPOCHS) -> Network:
+    """Fit the network to labelled windows of at most WINDOW bytes; equal inputs give equal networks."""
     rng = np.random.default_rng(SEED)
     labels = sorted(set(langs))
-    rows, target = [], []
-    for text, lang in zip(texts, langs):
-        if _LETTER.search(text):
-            rows.append(windows_of(text.encode("utf-8", "surrogatepass")[:WINDOW])[0])
-            target.append(labels.index(lang))
-    codes, target = np.array(rows, dtype=np.int16).reshape(-1, WINDOW), np.array(target, dtype=np.int64)
+    place = {lang: k for k, lang in enumerate(labels)}
+    codes = np.full((len(windows), WINDOW), _PAD, dtype=np.int16)
+    for row, window in zip(codes, windows):
+        row[: len(window)] = np.frombuffer(window, dtype=np.uint8)
+    target = np.array([place[lang] for lang in langs], dtype=np.int64)
     n_filters = sum(n for _, n in FILTERS)
     mask = np.zeros((WIDEST * EMBED, n_filters), dtype=np.float32)
     at = 0
@@ -128,7 +136,7 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Network:
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     steps = WINDOW - WIDEST + 1
     for epoch in range(epochs):
-        order = rng.permutation(len(codes))
+        order = rng.permutation(len(codes))[:EPOCH_WINDOWS]
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
             x, y = codes[pick], target[pick]
@@ -160,22 +168,50 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Network:
     return net
 
 
-def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> tuple[list[str], list[str]]:
-    """Windows (as texts) and languages of at most ``rows`` labelled rows."""
-    text, n = F.col("`text`"), F.char_length(F.col("`text`"))
-    step = F.greatest(F.lit(0), n - WINDOW) / max(1, windows - 1)
-    spots = F.array_distinct(F.array(*(F.floor(step * k).cast("int") for k in range(windows))))
-    doc_id = F.col("`doc_id`")
+def _row_sample(docs: DataFrame, rows: int) -> DataFrame:
+    """(key, lang, text) of at most ``rows`` labelled rows, shared out by language."""
+    doc_id, text = F.col("`doc_id`"), F.col("`text`").cast("string")
     labelled = docs.filter(
-        ~held_out(doc_id) & doc_id.isNotNull() & F.col("`lang`").isNotNull() & text.isNotNull()
+        ~held_out(doc_id) & doc_id.isNotNull() & F.col("`lang`").isNotNull() & text.isNotNull() & text.rlike(r"\p{L}")
     ).select(
         F.xxhash64(doc_id.cast("string"), F.col("`lang`").cast("string"), text).alias("key"),
         F.col("`lang`").cast("string").alias("lang"),
-        F.transform(spots, lambda at: F.substring(text, at + 1, F.lit(WINDOW))).alias("parts"),
+        text.alias("text"),
     )
-    picked = hash_sample(labelled, "key", rows).collect()
-    pairs = [(p, r.lang) for r in picked for p in r.parts]
-    return [p for p, _ in pairs], [lang for _, lang in pairs]
+    # The languages with the most rows, at most ``rows`` of them.
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
+    quota, left = {}, rows
+    for k, r in enumerate(reversed(counts)):  # rare ones first; what they leave goes to the others
+        quota[r.lang] = (r["count"], min(r["count"], left // (len(counts) - k)))
+        left -= quota[r.lang][1]
+    unit = 1 << 31
+    # A threshold on the hash passes some more rows than wanted, so that what is sorted stays bounded.
+    shares = [(lang, n, min(unit, int((1.3 * n + 50) / total * unit) + 1)) for lang, (total, n) in quota.items()]
+    if not shares:
+        return labelled.limit(0)
+    table_of = docs.sparkSession.createDataFrame(shares, "wanted string, n long, below long")
+    hashed = labelled.withColumn("place", F.pmod("key", F.lit(unit)))
+    passed = hashed.join(F.broadcast(table_of), (F.col("lang") == F.col("wanted")) & (F.col("place") < F.col("below")))
+    best = Window.partitionBy("lang").orderBy("place", "key", "text")  # about 1.3 times the wanted rows
+    return passed.withColumn("nth", F.row_number().over(best)).filter("nth <= n").select("key", "lang", "text")
+
+
+def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> tuple[list[bytes], list[str]]:
+    """Windows and their languages: all of at most ``rows`` labelled rows, but at most ``windows``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = text.encode("utf-8", "surrogatepass")
+                for at in range(0, len(raw), WINDOW * _BLOCK):
+                    parts = [raw[a : a + WINDOW] for a in range(at, min(len(raw), at + WINDOW * _BLOCK), WINDOW)]
+                    marks = np.array([xxhash.xxh64_intdigest(p, (key + at + k) % 2**63) for k, p in enumerate(parts)], dtype=np.uint64)
+                    columns = [pa.array((marks >> np.uint64(1)).astype(np.int64)), pa.array([lang] * len(parts), pa.string()), pa.array(parts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["mark", "lang", "window"])
+
+    pieces = _row_sample(docs, rows).mapInArrow(cut, "mark long, lang string, window binary")
+    picked = pieces.orderBy("mark", "lang", "window").limit(windows).collect()
+    return [bytes(r.window) for r in picked], [r.lang for r in picked]
 
 
 def _classify(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -228,8 +264,8 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
-    texts, langs = training_sample(docs, rows)
-    return train(texts, langs) if texts else None
+    windows, langs = training_sample(docs, rows)
+    return train(windows, langs) if windows else None
 
 
 def lang_report(docs: DataFrame) -> DataFrame:

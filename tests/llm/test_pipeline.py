@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,14 +82,64 @@ def test_training_sample_with_null_and_repeated_ids(spark):
         rows.append((name, "own %d" % name, ["de", "en"][name % 2]))
     rows += [(low, "again %d" % i, ["de", "en", "fr"][i % 3]) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    texts, langs = langid.training_sample(docs, 60)
-    assert len(texts) == 60 and not any(t.startswith("null") for t in texts)
-    assert set(langs) == {"de", "en", "fr"}
-    assert {t.split()[0] for t in texts} == {"own", "again"}
+    windows, langs = langid.training_sample(docs, 60)
+    assert len(windows) == 60 and not any(w.startswith(b"null") for w in windows)
+    assert Counter(langs) == {"de": 20, "en": 20, "fr": 20}
+    assert {w.split()[0] for w in windows} == {b"own", b"again"}
+
+
+def test_training_sample_holds_rare_languages_and_whole_texts(spark):
+    rows = [(4 * i, "en words %d " % i * 60, "en") for i in range(500)] + [(5001, "seul texte " * 90, "fr"), (5003, "?!", "xx")]
+    docs = spark.createDataFrame([(i, t, lang, 1) for i, t, lang in rows], "doc_id long, text string, lang string, key int")
+    windows, langs = langid.training_sample(docs, 30)
+    taken = [t for i, t, _ in rows if zlib.crc32(b"%d" % i) % 4 != 2]
+    assert set(langs) <= {"en", "fr"} and ("fr" in langs) == (zlib.crc32(b"5001") % 4 != 2)
+    cut = {t: [t.encode()[a : a + langid.WINDOW] for a in range(0, len(t), langid.WINDOW)] for t in taken}
+    some = {t for t in taken if cut[t][0] in windows}
+    assert sorted(windows) == sorted(w for t in some for w in cut[t]) and len(some) <= 30
+    assert len(langid.training_sample(docs, 30, 7)[0]) == 7
+    assert langid.training_sample(docs.limit(0)) == ([], [])
+
+
+def test_scores_against_a_plain_network(spark):
+    """The unfolded, batched network gives what a loop over windows, filters and places gives."""
+    texts = ["the cat sat", "é" * 300 + " und so weiter", "x" * 700]
+    net = langid.train([t.encode()[: langid.WINDOW] for t in texts] * 20, ["a", "b", "c"] * 20, epochs=2)
+
+    def window_probabilities(window):
+        codes = list(window) + [256] * (langid.WINDOW - len(window))
+        hidden = []
+        for f in range(net.kernel.shape[1]):
+            best = -np.inf
+            for at in range(langid.WINDOW - langid.WIDEST + 1):
+                unfolded = np.concatenate([net.embed[c] for c in codes[at : at + langid.WIDEST]])
+                best = max(best, float(unfolded @ net.kernel[:, f]))
+            hidden.append(max(best + net.bias[f], 0))
+        logits = np.array(hidden) @ net.out + net.out_bias
+        e = np.exp(logits - logits.max())
+        return e / e.sum()
+
+    langs, scores = langid._classify(net, texts)
+    for text, lang, score in zip(texts, langs, scores):
+        raw = text.encode()
+        windows = [raw[a : a + langid.WINDOW] for a in range(0, len(raw), langid.WINDOW)]
+        weights = [sum(chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in w) + 1e-6 for w in windows]
+        mean = sum(p * w for p, w in zip(map(window_probabilities, windows), weights)) / sum(weights)
+        assert lang == net.labels[int(mean.argmax())] and abs(score - mean.max()) < 1e-4
+
+
+def test_language_of_repeated_rows_and_clashing_columns(spark, corpus):
+    folder, rows, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.unionByName(docs.filter("doc_id in (1, 2)")).selectExpr("*", "1 as score", "'zz' as lang_pred", "2 as `key`", "3 as mark")
+    got = langid.lang_report(odd).collect()
+    assert len(got) == len(rows) + 2 and {len({(r.lang_pred, r.score) for r in got if r.doc_id == i}) for i in (1, 2)} == {1}
+    assert langid.accepted(odd).columns == odd.columns
 
 
 def test_long_text_uses_every_window(spark):
-    net = langid.train([_texts(random.Random(i), [EN, FR][i % 2], 40) for i in range(200)], ["en", "fr"] * 100)
+    windows = [_texts(random.Random(i), [EN, FR][i % 2], 40).encode()[: langid.WINDOW] for i in range(200)]
+    net = langid.train(windows, ["en", "fr"] * 100)
     rng = random.Random(9)
     text = _texts(rng, EN, 20) + " " + _texts(rng, FR, 40_000)
     assert langid._classify(net, [text, None, "", "?!"])[0] == ["fr", "und", "und", "und"]
