@@ -13,9 +13,11 @@ joins the pieces again where a payload holds that sequence.  Memory follows one
 record, not one archive.  Payload digests are recomputed and compared.
 
 Index: each reader task sorts its captures by URL key, timestamp and page_id in
-runs of at most RUN_ROWS and writes them.  The runs are dealt out by key range, and
-within a range a loser tree merges the runs, so the concatenated partitions are
-the capture histories in global order.
+runs of at most RUN_ROWS and writes them.  The runs are cut into blocks of BLOCK_ROWS
+captures at the bounds of key ranges.  A range's task receives the blocks of all runs in
+the order of their first captures, so a block arrives when the merge reaches it and
+not before: a loser tree merges the runs with one block of each run in memory.  The
+concatenated partitions are the capture histories in global order.
 
 Defined results
     null html      an empty payload
@@ -32,22 +34,30 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import checkpointed, shared_folder
+from ..operators.joins import attach
+from ..sources.storage import checkpointed, remove, shared_folder
 from .common import table
 
 MIN_REVISIT_BYTES = 0
 RUN_ROWS = 50_000
+BLOCK_ROWS = 500
+#: Captures of a key range, and the most ranges.
 MERGE_ROWS = 100_000
-RECORDS_PER_FILE = 50_000
-#: Winners of repeated payloads are broadcast up to this number of rows (40 bytes each).
-BROADCAST_ROWS = 200_000
+MAX_RANGES = 4096
+#: Sampled captures per range, from which its bounds are taken.
+_SAMPLE = 20
+#: Uncompressed bytes of an archive, on average; one task reads one archive.
+FILE_BYTES = 256 << 20
 FIRST_DATE = 1704067200  # 2024-01-01T00:00:00Z
 _DATES = 315_360_000
 _END = "\r\n\r\n"
@@ -64,13 +74,12 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def _winners(rows: DataFrame, min_bytes: int) -> DataFrame:
-    """(same, first_id) of payloads that occur more than once."""
+    """(same, first_id, n) of payloads that occur more than once."""
     return (
         rows.filter(F.octet_length("html") >= min_bytes)
         .groupBy("same")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 and first_id is not null")
-        .select(F.col("same").alias("_same"), "first_id")
     )
 
 
@@ -82,8 +91,7 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
         F.coalesce(F.col("`html`").cast("string"), F.lit("")).alias("html"),
     ).withColumn("same", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
     winners = checkpointed(_winners(rows, min_bytes))
-    small = winners.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(winners) if small else winners, F.col("same") == F.col("_same"), "left")
+    joined = attach(rows, winners, ["same"], "n", F.struct("page_id", "url"))
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
     size = F.octet_length("html")
     date = F.date_format(
@@ -123,11 +131,12 @@ def records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
+    mean = pages.agg(F.avg(F.octet_length(F.col("`html`").cast("string")))).first()[0] or 0
     (
         records(pages, min_bytes)
         .write.option("lineSep", _END)
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", int(FILE_BYTES // (mean + 500)) + 1)
         .text(path)
     )
 
@@ -154,24 +163,26 @@ def _fields(head: str) -> dict[str, str]:
 
 def parse_pieces(pieces: Iterator[tuple[str, str]]) -> Iterator[tuple[str, int, dict[str, str], bytes]]:
     """(file, offset, fields, block) of the records in pieces (file, text) in reading order."""
-    current, offset = None, 0
-    for file, piece in pieces:
+    current, offset, ahead = None, 0, None
+    while ahead or (ahead := next(pieces, None)):
+        (file, piece), ahead = ahead, None
         if file != current:
             current, offset = file, 0
             piece = piece.removeprefix(_MAGIC)
         head, _, body = piece.partition(_END)
         found = _fields(head)
-        parts, block = [body], body.encode("utf-8")
-        have, want = len(block), int(found["content-length"])
+        parts = [body.encode("utf-8")]
+        have, want = len(parts[0]), int(found["content-length"])
         while have < want:
-            _, more = next(pieces)
-            more = _CUT + more
-            parts.append(more)
-            have += len(more.encode("utf-8"))
-        block = "".join(parts).encode("utf-8")
+            parts.append((_CUT + next(pieces)[1]).encode("utf-8"))
+            have += len(parts[-1])
+        block = b"".join(parts)
         size = len(_MAGIC) + len(head.encode("utf-8")) + len(_END) + want + len(_END)
         yield file, offset, found, block[:want]
         offset += size
+        # A payload that ends in the separator's beginning draws the next record in: it is read from there.
+        if block.startswith(_CUT.encode(), want):
+            ahead = file, block[want + len(_CUT) :].decode("utf-8")
 
 
 _ENTRY = (
@@ -198,7 +209,7 @@ def _entry(file: str, offset: int, found: dict[str, str], block: bytes) -> tuple
 
 
 def _order(entry: tuple) -> tuple:
-    return entry[0], entry[1], entry[2] is None, entry[2] or 0
+    return entry[0], entry[1], entry[2] is None, entry[2] or 0, entry[8], entry[9]
 
 
 def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -236,20 +247,18 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LoserTree:
-    """Merges sorted sequences: inner nodes hold the loser of their match, the root the overall winner."""
+    """Merges sorted runs that arrive in blocks: inner nodes hold the loser of their match, the root the winner."""
 
-    def __init__(self, runs: list[list], key: Callable):
-        self.runs = [iter(r) for r in runs]
+    def __init__(self, key: Callable):
         self.key = key
-        self.k = len(runs)
-        self.heads = [self._next(i) for i in range(self.k)]
-        self.tree = [-1] * max(1, self.k)
-        for i in range(self.k):
-            self._replay(i)
+        self.places: dict[str, int] = {}
+        self.queues: list[deque] = []
+        self.heads: list[tuple | None] = []
+        self.tree: list[int] = [-1]
 
-    def _next(self, i: int):
-        entry = next(self.runs[i], None)
-        return None if entry is None else (self.key(entry), i, entry)
+    def _next(self, i: int) -> None:
+        entry = self.queues[i].popleft() if self.queues[i] else None
+        self.heads[i] = None if entry is None else (self.key(entry), i, entry)
 
     def _beats(self, a: int, b: int) -> bool:
         if b == -1 or a == -1:
@@ -258,57 +267,133 @@ class LoserTree:
         return y is None or (x is not None and x[:2] < y[:2])
 
     def _replay(self, i: int) -> None:
-        winner, at = i, (i + self.k) // 2
+        winner, at = i, (i + len(self.heads)) // 2
         while at > 0:
             if self._beats(self.tree[at], winner):
                 winner, self.tree[at] = self.tree[at], winner
             at //= 2
         self.tree[0] = winner
 
-    def __iter__(self):
-        while self.k and self.heads[self.tree[0]] is not None:
-            i = self.tree[0]
-            yield self.heads[i][2]
-            self.heads[i] = self._next(i)
-            self._replay(i)
+    def feed(self, run: str, entries: Iterable) -> None:
+        """The next block of a run; no block may begin before what ``until`` has passed."""
+        i = self.places.setdefault(run, len(self.places))
+        if i == len(self.queues):
+            self.queues.append(deque())
+            self.heads.append(None)
+        self.queues[i].extend(entries)
+        if self.heads[i] is None:  # the run enters again: one match per run, once a block
+            self._next(i)
+            self.tree = [-1] * max(1, len(self.heads))
+            for k in range(len(self.heads)):
+                self._replay(k)
+
+    def until(self, bound=None) -> Iterator:
+        """The entries in order, up to the first whose key isn't below ``bound``."""
+        while self.heads and (head := self.heads[self.tree[0]]) is not None and (bound is None or head[0] < bound):
+            yield head[2]
+            self._next(head[1])
+            self._replay(head[1])
+
+
+def merge_blocks(blocks: Iterable[tuple[str, list]], key: Callable) -> Iterator:
+    """Entries in order, from (run, block) in the order of the blocks' first entries; holds one block of each run."""
+    tree = LoserTree(key)
+    for run, entries in blocks:
+        yield from tree.until(key(entries[0]))
+        tree.feed(run, entries)
+    yield from tree.until()
+
+
+def _bounds(runs: DataFrame) -> list[tuple]:
+    """Keys that part the captures in ranges of about MERGE_ROWS; at most MAX_RANGES of them."""
+    n = runs.count()
+    parts = min(MAX_RANGES, -(-n // MERGE_ROWS))
+    if parts < 2:
+        return []
+    unit = 1 << 31
+    below = min(unit, int(parts * _SAMPLE / n * unit) + 1)
+    place = F.pmod(F.xxhash64("url_key", "timestamp", "page_id", "file", "offset"), F.lit(unit))
+    sample = sorted(_order(tuple(r)) for r in runs.filter(place < below).select(*_NAMES).collect())
+    return [sample[k * len(sample) // parts] for k in range(1, parts)] if len(sample) >= parts else []
+
+
+_BLOCKS = f"part int, first_key string, first_time string, no_page boolean, first_page long, run string, nth long, entries array<struct<{_ENTRY.replace(' ', ':').replace(',:', ',')}>>"
+_BLOCK_TYPES = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct(list(_SCHEMA)))]
+_BLOCK_NAMES = [x.split()[0] for x in _BLOCKS.split(", ")[:7]] + ["entries"]
+
+
+def _cut_runs(rows: Iterable[tuple], bounds: list[tuple]) -> Iterator[tuple]:
+    """Blocks (in the order of _BLOCK_NAMES) of (entry, run) rows; where a reader breaks a run's order, another begins."""
+    entries: list[tuple] = []
+    state: list = [None, None, 0, 0]  # run, last order, part, number of the block
+
+    def block(number: int) -> tuple:
+        first = entries[0]
+        return (state[2], first[0], first[1], first[2] is None, first[2] or 0, f"{state[0]}#{number}", state[3], list(entries))
+
+    number = 0
+    for *entry, run in rows:
+        order = _order(tuple(entry))
+        part = bisect_right(bounds, order)
+        broken = run != state[0] or (state[1] is not None and order < state[1])
+        if entries and (broken or part != state[2] or len(entries) >= BLOCK_ROWS):
+            yield block(number)
+            entries.clear()
+            state[3] += 1
+        if broken:
+            number += 1
+        state[:3] = run, order, part
+        entries.append(tuple(entry))
+    if entries:
+        yield block(number)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The capture histories in global order of URL key, timestamp and page_id."""
-    parts = max(1, -(-runs.count() // MERGE_ROWS))
+    bounds = runs.sparkSession.sparkContext.broadcast(_bounds(runs))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[tuple]] = {}
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for *entry, name in zip(*columns):
-                found.setdefault(name, []).append(tuple(entry))
-        for entries in found.values():
-            entries.sort(key=_order)  # linear where the exchange kept a run's order
-        out: list[tuple] = []
-        for entry in LoserTree(list(found.values()), _order):
-            out.append(entry)
-            if len(out) >= 10_000:
-                yield _as_batch(out, _SCHEMA)
-                out = []
-        if out:
-            yield _as_batch(out, _SCHEMA)
-
-    key = [F.col("url_key"), F.col("timestamp"), F.col("page_id").asc_nulls_last()]
-    return runs.repartitionByRange(parts, *key).mapInArrow(merge, _ENTRY)
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _cut_runs(rows_of(batches), bounds.value)
+        while some := list(islice(found, 20)):
+            columns = list(zip(*some))
+            columns[7] = [[dict(zip(_NAMES, e)) for e in block] for block in columns[7]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK_TYPES)], _BLOCK_NAMES)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = ((f"{row[0]}#{row[5]}", [tuple(e[n] for n in _NAMES) for e in row[7]]) for row in rows_of(batches))
+        merged = merge_blocks(blocks, _order)
+        while some := list(islice(merged, 10_000)):
+            yield _as_batch(some, _SCHEMA)
+
+    order = ["part", "first_key", "first_time", "no_page", "first_page", "run", "nth"]
+    blocks = runs.select(*_NAMES, "run").mapInArrow(cut, _BLOCKS)
+    dealt = blocks.repartitionByRange(len(bounds.value) + 1, "part").sortWithinPartitions(*order)
+    return dealt.mapInArrow(merge, _ENTRY)
 
 
 def archive_and_index(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Write archives and runs below ``folder``; the merged capture index of what was read back."""
+    """Write archives and runs below ``folder``; the merged capture index of what was read back.
+
+    The index is read from ``folder``/runs, so the folder stays until it has been used.
+    """
     spark = pages.sparkSession
     write_archives(pages, f"{folder}/archives", min_bytes)
     capture_runs(spark, f"{folder}/archives").write.parquet(f"{folder}/runs")
-    return merge_runs(spark.read.parquet(f"{folder}/runs"))
+    runs = spark.read.parquet(f"{folder}/runs")
+    written, found = pages.count(), runs.count()
+    if written != found:
+        raise ValueError(f"{written} pages were written and {found} captures read")
+    return merge_runs(runs)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     index = archive_and_index(table(spark, sf_dir, "pages"), folder)
+    remove(spark, f"{folder}/archives")  # the index holds what the query returns
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
