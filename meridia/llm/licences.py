@@ -1,7 +1,7 @@
 """Licence scans: text units against licence templates, in DataFrame operations only.
 
-The units of a text are its lines, and its paragraphs of several lines.  Units and
-templates are normalised (lower case, letters and digits, single spaces) and
+The units of a text are its lines, its paragraphs of several lines, and the whole
+text, which is compared with whole licences.  Units and templates are normalised (lower case, letters and digits, single spaces) and
 compared by the Dice coefficient of their sets of word bigrams.
 
 Size bounds prune twice.  Dice >= t needs sizes within a factor (2 - t) / t, so a
@@ -13,14 +13,15 @@ match is lost.  Everything happens within a row: nothing is exploded or shuffled
 What no whole line or paragraph matches is searched for notices inside: windows of
 a template's length begin at every bigram that some template has.  A window needs
 as many such bigrams as above, which their positions tell, again a lower bound.  Of
-windows that overlap the best counts.  The SQL knows whole lines and paragraphs
-only, and agrees where no text has a notice inside a longer one.
+windows that overlap the best counts.  The SQL knows whole lines, paragraphs and
+texts only, and agrees where no text has a notice inside a longer one.
 
 Defined results
     null or empty text   no units, nothing found
     one-word units       no bigrams, never matched
     ties                 the template whose name sorts last among the best; of windows, the longer match first
     repeated rows        one output row each
+    null doc_id          scanned like any other row
     very long text       all its lines and paragraphs are units, whole
     empty table          an empty result
     extra columns        ignored
@@ -29,6 +30,7 @@ Defined results
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,8 @@ TEMPLATES = [
     ("BSD-2-Clause/binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause/endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause/line", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD/warranty", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC/warranty", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("ISC/grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("GPL-3.0/line", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0/line-2", "Licensed under the GNU General Public License v3.0."),
@@ -76,6 +80,21 @@ TEMPLATES = [
 ]
 
 
+def _whole_licences() -> list[tuple[str, str]]:
+    """Whole licences: the files of ``licence_texts``, and short ones put together from their paragraphs."""
+    by = dict(TEMPLATES)
+    bsd = ["BSD-2-Clause/grant", "BSD-2-Clause/source", "BSD-2-Clause/binary"]
+    made = {
+        "MIT": ["MIT/grant", "MIT/condition", "MIT/warranty"],
+        "BSD-2-Clause": [*bsd, "BSD/warranty"],
+        "BSD-3-Clause": [*bsd, "BSD-3-Clause/endorse", "BSD/warranty"],
+        "ISC": ["ISC/grant", "ISC/warranty"],
+    }
+    texts = [(f"{name}/whole", "\n\n".join(by[p] for p in parts)) for name, parts in made.items()]
+    files = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return texts + [(f"{f.stem}/whole", f.read_text(encoding="utf-8")) for f in files]
+
+
 def _words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
@@ -91,6 +110,8 @@ def _quoted(items: list[str]) -> str:
 
 def _plan(templates: list[tuple[str, str]], t: float) -> tuple[str, str, int]:
     """(SQL array of templates, SQL list of all their bigrams, the fewest bigrams that a match shares)."""
+    if any(set(name) & set("'\\") for name, _ in templates):
+        raise ValueError("names of templates hold no quotes or backslashes")
     made = [(name, template_bigrams(text), len(_words(text)) - 1) for name, text in templates]
     needs = [max(1, math.ceil(len(g) * t / (2 - t) - 1e-9)) for _, g, _ in made]
     rows = [
@@ -157,12 +178,18 @@ def _windows(paragraphs: str, arrays: str, every: str, need: int, t: float) -> s
     )
 
 
-def licence_report(docs: DataFrame, templates: list[tuple[str, str]] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
+def licence_report(
+    docs: DataFrame,
+    templates: list[tuple[str, str]] | None = None,
+    min_dice: float = MIN_DICE,
+    wholes: list[tuple[str, str]] | None = None,
+) -> DataFrame:
     """Per row: doc_id, n_matches, licences (names without parts, sorted, comma-joined), best_template, best_dice.
 
-    A text that holds a notice twice counts it twice in n_matches.
+    A text that holds a notice twice counts it twice in n_matches; a text that is a whole licence counts it too.
     """
     arrays, every, need = _plan(templates or TEMPLATES, min_dice)
+    whole_arrays, whole_every, whole_need = _plan(wholes or WHOLES, min_dice)
     text = F.lower(F.coalesce(F.col("`text`").cast("string"), F.lit("")))
     rows = docs.select(
         F.col("`doc_id`").alias("doc_id"),
@@ -176,9 +203,12 @@ def licence_report(docs: DataFrame, templates: list[tuple[str, str]] | None = No
     parts = F.split("norm", r"\n ?\n[ \n]*")
     paragraphs = F.filter(parts, lambda p: F.contains(p, F.lit("\n")))
     units = F.filter(F.transform(F.concat(lines, paragraphs), words), lambda w: F.size(w) > 1)
-    rows = rows.select("doc_id", units.alias("units"), parts.alias("parts"))
+    whole = F.filter(F.array(words(F.col("norm"))), lambda w: F.size(w) > whole_need)
+    rows = rows.select("doc_id", units.alias("units"), parts.alias("parts"), whole.alias("whole"))
     found = F.concat(
-        F.expr(_matches("units", arrays, every, min_dice)), F.expr(_windows("parts", arrays, every, need, min_dice))
+        F.expr(_matches("units", arrays, every, min_dice)),
+        F.expr(_windows("parts", arrays, every, need, min_dice)),
+        F.expr(_matches("whole", whole_arrays, whole_every, min_dice)),
     )
     rows = rows.select("doc_id", found.alias("found"))
     names = F.array_sort(F.array_distinct(F.transform("found", lambda m: F.substring_index(m["name"], "/", 1))))
@@ -197,26 +227,30 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    rows = ",\n    ".join(f"('{n}', [{_quoted(template_bigrams(x))}])" for n, x in TEMPLATES)
+    rows = ",\n    ".join(
+        f"({kind}, '{n}', [{_quoted(template_bigrams(x))}])" for kind, made in ((0, TEMPLATES), (1, WHOLES)) for n, x in made
+    )
     return rf"""
-WITH t(name, grams) AS (VALUES
+WITH t(kind, name, grams) AS (VALUES
     {rows}
 ), d AS (
   SELECT row_number() OVER () AS rid, doc_id,
          regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS norm
   FROM documents
 ), u AS (
-  SELECT rid, unnest(string_split(norm, chr(10))) AS unit FROM d
+  SELECT rid, 0 AS kind, unnest(string_split(norm, chr(10))) AS unit FROM d
   UNION ALL
-  SELECT rid, unit FROM (SELECT rid, unnest(regexp_split_to_array(norm, '\n ?\n[ \n]*')) AS unit FROM d)
+  SELECT rid, 1, norm FROM d
+  UNION ALL
+  SELECT rid, 0, unit FROM (SELECT rid, unnest(regexp_split_to_array(norm, '\n ?\n[ \n]*')) AS unit FROM d)
   WHERE contains(unit, chr(10))
 ), w AS (
-  SELECT rid, row_number() OVER () AS uid, list_filter(regexp_split_to_array(unit, '[ \n]+'), lambda x: x <> '') AS w FROM u
+  SELECT rid, kind, row_number() OVER () AS uid, list_filter(regexp_split_to_array(unit, '[ \n]+'), lambda x: x <> '') AS w FROM u
 ), g AS (
-  SELECT rid, uid, list_distinct([concat(w[i], ' ', w[i + 1]) for i in range(1, len(w))]) AS grams FROM w WHERE len(w) > 1
+  SELECT rid, kind, uid, list_distinct([concat(w[i], ' ', w[i + 1]) for i in range(1, len(w))]) AS grams FROM w WHERE len(w) > 1
 ), s AS (
   SELECT rid, uid, name, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-  FROM g, t WHERE len(g.grams) <= 1000
+  FROM g JOIN t ON g.kind = t.kind AND 3 * len(t.grams) >= 2 * len(g.grams) AND 3 * len(g.grams) >= 2 * len(t.grams)
 ), m AS (
   SELECT rid, uid, name, dice FROM s WHERE dice >= 0.8
   QUALIFY row_number() OVER (PARTITION BY uid ORDER BY dice DESC, name DESC) = 1
@@ -233,5 +267,7 @@ FROM d LEFT JOIN a USING (rid) LEFT JOIN b USING (rid)
 """
 
 
+WHOLES = _whole_licences()
+
 QUERIES = {"op6_licences": op6_licences}
 ORACLES = {"op6_licences": _oracle()}
