@@ -63,7 +63,7 @@ def test_notices_inside_longer_lines(spark):
         ("Released under the MIT License. All rights reserved.", "MIT", 1),
         ("Some prose before it ends here. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 1),
         (mit, "MIT", 4),
-        ("Copyright some one " + mit + " " + by["GPL-2.0/grant"], "GPL-2.0,MIT", 4),
+        ("Copyright some one " + mit + " " + by["GPL-2.0/grant"], "GPL-2.0,MIT", 5),
         ("words of a text that is released\nunder the MIT License. And more words\nfollow here", "MIT", 1),
         ("a b c Released under the MIT License. d e f Licensed under CC BY 4.0. g h", "CC-BY-4.0,MIT", 2),
         ("a b\nReleased under the MIT License.\nc d and it was released under the MIT License. e", "MIT", 2),
