@@ -35,6 +35,8 @@ from ..sources.storage import checkpointed
 from .common import ASCII_SPACE, table
 
 SALTS = 16
+#: Contents with several rows whose keys ``survivors`` broadcasts.
+BROADCAST_KEYS = 1_000_000
 #: One more than the largest id; a null id takes the place after all others.
 _ID_END = "cast(9223372036854775808 as decimal(20,0))"
 _RANK_BASE = "cast(100000000000000000000 as decimal(21,0))"
@@ -115,25 +117,33 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns.
 
-    The join key holds the winner's own id and length beside the digest, so the
-    copies of a frequent content spread over all partitions, and the rows that
-    repeat a winner entirely meet there without a further exchange.
+    Rows whose content is theirs alone stay without a partner; the keys of the other
+    contents are broadcast up to BROADCAST_KEYS, beyond which only those of the most
+    rows are and the rest meets in a shuffle.
     """
-    winners, groups = digest_winners(docs)
     names = docs.columns
+    winners, groups = digest_winners(docs)
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
         F.col("`doc_id`").cast("long").alias("doc_id"),
-        F.char_length(F.coalesce(F.col("`text`"), F.lit(""))).cast("long").alias("n_cp"),
-        F.sha2(normalised(F.col("`text`")).cast("binary"), 256).alias("digest"),
+        F.char_length(F.coalesce(F.col("`text`").cast("string"), F.lit(""))).cast("long").alias("n_cp"),
+        F.sha2(normalised(F.col("`text`").cast("string")).cast("binary"), 256).alias("digest"),
     ).withColumn("rank", _rank())
-    single = winners.filter("contents = 1").select("digest", "rank")
-    if not winners.filter("contents > 1").isEmpty():
-        # Contents that share a digest: every one of them keeps its own winner.
-        shared = winners.filter("contents > 1").select("digest")
-        single = single.unionByName(groups.join(shared, "digest", "left_semi").select("digest", "rank"))
-    # Rows that repeat a winner's id and length differ in white space only: the smallest text stays.
-    kept = rows.join(single, ["digest", "rank"]).groupBy("digest", "rank").agg(F.min_by("row", F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))).alias("row"))
+    several = winners.filter("n > 1 or contents > 1").select("digest", "n", "contents", F.col("rank").alias("win"))
+    marked = attach(rows, several, ["digest"], "n", F.col("rank"), rows=BROADCAST_KEYS)
+    shared = winners.filter("contents > 1").select("digest")
+    clash = not shared.isEmpty()
+    if not clash and docs.groupBy(F.col("`doc_id`")).count().filter("count > 1").isEmpty():
+        kept = marked.filter("win is null or rank = win")
+    else:
+        # Rows that repeat a winner's id and length differ in white space only: the smallest text stays.
+        chosen = marked.filter("contents = 1 and rank = win").select("row", "digest", "rank")
+        if clash:  # contents that share a digest: every one of them keeps its own winner
+            each = groups.join(shared, "digest", "left_semi").select("digest", "rank")
+            chosen = chosen.unionByName(rows.join(each, ["digest", "rank"], "left_semi").select("row", "digest", "rank"))
+        text = F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))
+        once = chosen.groupBy("digest", "rank").agg(F.min_by("row", text).alias("row"))
+        kept = marked.filter("win is null").select("row").unionByName(once.select("row"))
     return kept.select(*(F.col("row").getField(c).alias(c) for c in names))
 
 
