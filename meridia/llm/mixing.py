@@ -189,7 +189,8 @@ def mixture(docs: DataFrame, share: float = SHARE, ceiling: int = CEILING, seed:
     taken = checkpointed(groups.filter("copies > 0").withColumn("several", F.col("rows")))
     whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
     rows = docs.select(whole).select("row", *_row_keys("row")).select("row", key)
-    kept = attach(rows, taken, ["key"], "rows", F.col("key"), "inner")
+    # About as many keys as rows, so only those of the most rows are broadcast.
+    kept = attach(rows, taken, ["key"], "rows", F.col("key"), "inner", 1000)
     single = kept.filter("several = 1").select("row", "copies")
     if not taken.filter("several > 1").isEmpty():
         # Rows of one group: equal ones are combined, then the copies are dealt out in their order.
