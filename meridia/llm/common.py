@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Rows whose texts are Python objects at a time.
+SLICE_ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` batch by batch; Spark bounds a batch in bytes (spark.sql.execution.arrow.maxBytesPerBatch)."""
+    """``mapInArrow`` in slices of batches, whose bytes Spark bounds (spark.sql.execution.arrow.maxBytesPerBatch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield fn(batch)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield fn(batch.slice(at, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 
