@@ -6,18 +6,22 @@ is numeric only.  A missing value makes every comparison false; a JSON null is
 present and prints as ``<nil>``.
 
 Known limits: maps and nested lists print as JSON; hexadecimal number texts count
-as text; of duplicate keys, the parser rejects the document.
+as text; of duplicate keys, the parser rejects the document; a number of 16 digits may
+print with a seventeenth.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import let
+
 #: Decimal numbers with optional exponent, and the named ones; no blanks or suffixes.
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
 NIL = "<nil>"
@@ -35,9 +39,52 @@ def parse_number(text: Column) -> Column:
 
 
 def print_number(x: Column) -> Column:
-    """Shortest text of a double; whole numbers below a million without a point."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e6)
-    return F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    """Shortest text of a double: with an exponent of at least two digits below 1e-4 and from 1e6 on."""
+    size = F.abs(x)
+    # The JVM's own text is not always the shortest: fewer digits do if they read as the same number.
+    tries = F.array(*(F.format_string(f"%.{n}e", size) for n in (14, 15, 16)))
+
+    def parts(t: Column) -> Column:
+        made = F.when(t[0].cast("double") == size, t[0]).when(t[1].cast("double") == size, t[1]).otherwise(t[2])
+        return let(made, lambda m: F.struct(digits_of(m).alias("digits"), F.substring_index(m, "e", -1).cast("int").alias("power")))
+
+    def digits_of(m: Column) -> Column:
+        return F.rtrim(F.replace(F.substring_index(m, "e", 1), F.lit("."), F.lit("")), F.lit("0"))
+
+    def laid_out(p: Column) -> Column:
+        digits, power = p["digits"], p["power"]
+        width = F.abs(power).cast("string")
+        long = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.when(F.length(width) < 2, "0").otherwise(""), width)
+        return (
+            F.when((power < -4) | (power >= 6), F.concat(F.left(digits, F.lit(1)), _tail(digits, F.lit(2)), long))
+            .when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+            .otherwise(F.concat(F.rpad(F.left(digits, power + 1), power + 1, F.lit("0")), _tail(digits, power + 2)))
+        )
+
+    text = (
+        F.when(F.isnan(x), "NaN")
+        .when(size == float("inf"), F.when(x > 0, "+Inf").otherwise("Inf"))
+        .when(x == 0, "0")
+        .otherwise(let(let(tries, parts), laid_out))
+    )
+    return F.concat(F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise(""), text)
+
+
+def _tail(digits: Column, start: Column) -> Column:
+    """The digits from ``start`` on after a point, if there are any."""
+    return F.when(F.length(digits) >= start, F.concat(F.lit("."), F.substr(digits, start))).otherwise("")
+
+
+def _number_text(x: float) -> str:
+    """The same for a rule's own number."""
+    if not math.isfinite(x):
+        return {math.inf: "+Inf", -math.inf: "-Inf"}.get(x, "NaN")
+    sign, digits, shift = Decimal(repr(x)).normalize().as_tuple()
+    power = len(digits) - 1 + shift
+    if x == 0 or -4 <= power < 6:
+        return f"{Decimal(repr(x)).normalize():f}"
+    rest = "".join(map(str, digits[1:]))
+    return f"{'-' * sign}{digits[0]}{'.' + rest if rest else ''}e{power:+03d}"
 
 
 def literal_text(value: Any) -> str:
@@ -47,17 +94,7 @@ def literal_text(value: Any) -> str:
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, (int, float)):
-        x = float(value)
-        if x.is_integer() and abs(x) < 1e6:
-            return str(int(x))
-        if not math.isfinite(x):
-            return {math.inf: "+Inf", -math.inf: "-Inf"}.get(x, "NaN")
-        digits, _, exponent = f"{x:e}".partition("e")
-        shortest = repr(x)
-        if -4 <= int(exponent) < 6:
-            return shortest
-        mantissa = repr(x / 10 ** int(exponent)) if "e" not in shortest else shortest.split("e")[0]
-        return f"{mantissa.removesuffix('.0')}e{exponent}"
+        return _number_text(float(value))
     if isinstance(value, list):
         return "[" + " ".join(map(literal_text, value)) + "]"
     if isinstance(value, dict):

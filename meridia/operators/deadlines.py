@@ -64,31 +64,38 @@ def next_due(log: DataFrame, rule: Rule, at: dt.datetime) -> DataFrame:
     return out.select(*KEYS, F.timestamp_micros("_due").alias("due_at"))
 
 
-def fair_claim(pending: DataFrame, at: dt.datetime, batch: int, per_tenant: int, lease_seconds: int = 300) -> DataFrame:
+def fair_claim(
+    pending: DataFrame,
+    at: dt.datetime,
+    batch: int,
+    per_tenant: int,
+    lease_seconds: int = 300,
+    keys: tuple[str, ...] = ("segment_id", "profile_id"),
+) -> DataFrame:
     """The earliest due rows, at most ``per_tenant`` of each tenant and ``batch`` in all.
 
-    ``pending`` has tenant_id, segment_id, profile_id, due_at, parked_at; where it
-    has claimed_at too, rows under a claim that is no older than the lease are left.
+    ``pending`` has tenant_id, ``keys``, due_at, parked_at; where it has claimed_at
+    too, rows under a claim that is no older than the lease are left.
     """
-    order = Window.partitionBy("tenant_id").orderBy("due_at", "segment_id", "profile_id")
+    order = Window.partitionBy("tenant_id").orderBy("due_at", *keys)
     due = pending.filter((F.col("due_at") <= moment(at)) & F.col("parked_at").isNull())
     if "claimed_at" in pending.columns:
         stale = F.col("claimed_at") < moment(at, -lease_seconds * 1_000_000)
         due = due.filter(F.col("claimed_at").isNull() | stale)
     fair = due.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per_tenant).drop("_rn")
-    return fair.orderBy("due_at", "tenant_id", "segment_id", "profile_id").limit(batch)
+    return fair.orderBy("due_at", "tenant_id", *keys).limit(batch)
 
 
 def after_failure(pending: DataFrame, at: dt.datetime, base: int = 5, cap: int = 3600) -> DataFrame:
-    """Failed rows: one more attempt, a doubling delay, parked after PARK_AFTER attempts."""
+    """Failed rows: one more attempt and a doubling delay, or parked, with their due time, after PARK_AFTER attempts."""
     attempts = F.col("attempts") + 1
-    return pending.withColumns(
-        {
-            "attempts": attempts,
-            "due_at": F.timestamp_micros(F.lit(micros(at)) + park_delay_seconds(F.col("attempts"), base, cap) * 1_000_000),
-            "parked_at": F.when(attempts >= PARK_AFTER, moment(at)),
-        }
-    )
+    later = F.timestamp_micros(F.lit(micros(at)) + park_delay_seconds(F.col("attempts"), base, cap) * 1_000_000)
+    new = {
+        "attempts": attempts,
+        "due_at": F.when(attempts >= PARK_AFTER, F.col("due_at")).otherwise(later),
+        "parked_at": F.when(attempts >= PARK_AFTER, moment(at)),
+    }
+    return pending.withColumns(new | ({"claimed_at": F.lit(None).cast("timestamp")} if "claimed_at" in pending.columns else {}))
 
 
 def unparked(pending: DataFrame, at: dt.datetime) -> DataFrame:

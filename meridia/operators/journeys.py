@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import idempotency_key, split_target
+from . import deadlines
 from ..plans.compiler import evaluate_rows, moment
 from ..plans.rules import Rule, RuleError, analyze, parse_window, references_event, validate
 
@@ -169,13 +170,14 @@ def advance(
         elif s.type == "split":
             state = state.withColumns(move(split_target(split_key(), s.branches)))
         elif s.type == "send":
-            alive = profiles.select("tenant_id", "profile_id").withColumn("_alive", F.lit(True))
+            customer = ["canonical_user_id", "traits", "computed_attributes"]
+            alive = profiles.select("tenant_id", "profile_id", *(F.col(c).alias(f"_{c}") for c in customer)).withColumn("_alive", F.lit(True))
             state = state.join(alive, ["tenant_id", "profile_id"], "left")
             sends.append(state.filter(here & F.col("_alive")).select(*_send(i, s)))
             erased = here & F.col("_alive").isNull()
             moved = move(onward, here=here & F.col("_alive"))
             moved["status"] = F.when(erased, "exited").otherwise(moved["status"])
-            state = state.withColumns(moved).drop("_alive")
+            state = state.withColumns(moved).drop("_alive", *(f"_{c}" for c in customer))
         else:
             ready = state.filter(here).join(profiles, ["tenant_id", "profile_id"], "left")
             verdict = evaluate_rows(ready, events, s.condition, "due_at").select(*KEYS, "hit")
@@ -200,9 +202,79 @@ def _send(i: int, s: Step) -> list[Column]:
         source.alias("source_event_id"),
         change.alias("change"),
         key.alias("idempotency_key"),
+        payload(i, "_").alias("payload"),
     ]
 
 
+def payload(step: int, prefix: str = "") -> Column:
+    """What a send delivers: its step and the customer (a fixed format that destinations read)."""
+    customer = F.struct(
+        F.col(f"{prefix}canonical_user_id").alias("id"),
+        F.parse_json(F.col(f"{prefix}traits")).alias("traits"),
+        F.parse_json(F.col(f"{prefix}computed_attributes")).alias("computed_attributes"),
+    )
+    step_index = F.lit(step).alias("step_index")
+    return F.to_json(F.struct(F.lit("journey_step").alias("type"), "tenant_id", "journey_id", step_index, customer.alias("customer")))
+
+
+_RUN = ("journey_id", "profile_id", "enrollment_seq")
+
+
+def claim(enrollments: DataFrame, at: dt.datetime, batch: int, per_tenant: int, lease_seconds: int = 300) -> DataFrame:
+    """The earliest due active enrolments, a bounded number of each tenant, with ``claimed_at`` as the fence of what follows."""
+    due = deadlines.fair_claim(enrollments.filter("status = 'active'"), at, batch, per_tenant, lease_seconds, _RUN)
+    return due.withColumn("claimed_at", moment(at))
+
+
+def fenced(enrollments: DataFrame, claimed: DataFrame, advanced: DataFrame) -> DataFrame:
+    """``enrollments`` with the advanced rows of a claim, where the claim still holds.
+
+    A row that ended, was claimed again or moved meanwhile keeps what it has.
+    """
+    keys = ["tenant_id", *_RUN]
+    moved = ("status", "current_step_index", "step_seq", "due_at")
+    fence = claimed.select(*keys, F.col("claimed_at").alias("_fence"), F.col("step_seq").alias("_seq"))
+    new = advanced.select(*keys, *(F.col(c).alias(f"_{c}") for c in moved))
+    joined = enrollments.join(fence.join(new, keys), keys, "left")
+    holds = F.coalesce((F.col("status") == "active") & (F.col("claimed_at") == F.col("_fence")) & (F.col("step_seq") == F.col("_seq")), F.lit(False))
+    cleared = {"claimed_at": F.lit(None).cast("timestamp"), "attempts": F.lit(0)}
+    values = {c: F.col(f"_{c}") for c in moved} | {c: v for c, v in cleared.items() if c in enrollments.columns}
+    return joined.select(*(F.when(holds, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in enrollments.columns))
+
+
+def after_failure(enrollments: DataFrame, at: dt.datetime) -> DataFrame:
+    """Active failed enrolments with a longer delay or parked; ended ones as they are."""
+    failed = deadlines.after_failure(enrollments.filter("status = 'active'"), at)
+    return failed.unionByName(enrollments.filter("status <> 'active'"))
+
+
+def parked(enrollments: DataFrame, tenant: str, journey: str, limit: int = 100) -> DataFrame:
+    """Parked enrolments of a journey, the latest parked first."""
+    mine = enrollments.filter((F.col("tenant_id") == tenant) & (F.col("journey_id") == journey) & F.col("parked_at").isNotNull())
+    return mine.orderBy(F.col("parked_at").desc(), "profile_id").limit(limit)
+
+
+def backfill(memberships: DataFrame, journeys: DataFrame, existing: DataFrame, at: dt.datetime) -> DataFrame:
+    """First enrolments of everyone who is in the entry segment of an active journey already.
+
+    All pages of the population at once; who has an enrolment of the journey keeps it.
+    """
+    j = journeys.filter("status = 'active' and entry_segment_id is not null").select(
+        "tenant_id", "journey_id", F.col("entry_segment_id").alias("segment_id"), "current_version"
+    )
+    inside = memberships.filter("status = 'active'").select("tenant_id", "segment_id", "profile_id")
+    fresh = inside.join(j, ["tenant_id", "segment_id"]).join(existing.select(*KEYS), KEYS, "left_anti")
+    return fresh.select(
+        *KEYS,
+        F.lit(0).alias("enrollment_seq"),
+        F.col("current_version").cast("int").alias("journey_version"),
+        F.lit("active").alias("status"),
+        F.lit(0).alias("current_step_index"),
+        F.lit(0).cast("long").alias("step_seq"),
+        moment(at).alias("due_at"),
+    )
+
+
 def prune(enrollments: DataFrame, at: dt.datetime, days: int = 90) -> DataFrame:
     """Drop ended enrolments older than the retention."""
     old = (F.col("status") != "active") & (F.col("due_at") < moment(at, -days * 86_400_000_000))

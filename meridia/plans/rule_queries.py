@@ -76,6 +76,40 @@ _members("logic_and", {"operator": "and", "conditions": [leaf(_COUNTRY, "eq", "N
 _members("logic_or", {"operator": "or", "conditions": [leaf(_COUNTRY, "eq", "NATION_1"), leaf("profile.traits.segment", "eq", "BUILDING")]}, "country = 'NATION_1' OR segment = 'BUILDING'")
 _members("logic_not", {"operator": "not", "conditions": [leaf(_ORDERS, "gt", 9)]}, "coalesce(NOT total_orders > 9, true)")
 
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with a number of their own digits and one of 30 powers of ten."""
+    own = F.substring("profile_id", 2, 20)
+    power = (own.cast("long") % 30 - 9).cast("string")
+    return fixtures.profiles(spark, sf_dir).withColumn("traits", F.concat(F.lit('{"x":'), own, F.lit("e"), power, F.lit("}")))
+
+
+#: How such a number prints: without an exponent from 1e-4 up to a million, else as digit, point, digits and exponent.
+_PRINTED = """
+raw AS (SELECT tenant_id, profile_id, c_custkey::VARCHAR AS d, c_custkey % 30 - 9 AS e FROM prof),
+num AS (SELECT *, rtrim(d, '0') AS m, len(d) - 1 + e AS x FROM raw),
+printed AS (SELECT tenant_id, profile_id, CASE
+    WHEN x >= 6 OR x < -4 THEN m[1] || CASE WHEN len(m) > 1 THEN '.' || m[2:] ELSE '' END || 'e' || CASE WHEN x < 0 THEN '-' ELSE '+' END || lpad(abs(x)::VARCHAR, 2, '0')
+    WHEN x < 0 THEN '0.' || repeat('0', (-x - 1)::INT) || m
+    WHEN len(m) > x + 1 THEN m[1:x + 1] || '.' || m[x + 2:]
+    ELSE m || repeat('0', (x + 1 - len(m))::INT) END AS t FROM num)
+"""
+_SOME = [2e7, 0.01, 25, 4e-06, 1e21]
+
+
+def _number_query(op: str, operator: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rule = parse({"operator": operator, "conditions": [leaf("profile.traits.x", op, x) for x in _SOME]})
+        return evaluate(_numbered(spark, sf_dir), fixtures.behavior_log(spark, sf_dir), {"hit": rule}, AT).filter("hit").select(*KEYS)
+
+    return query
+
+
+_ANY = " OR ".join(f"contains(t, '{x}')" for x in ("2e+07", "0.01", "25", "4e-06", "1e+21"))
+_add("op_contains_number", _number_query("contains", "or"), with_sql(f"SELECT tenant_id, profile_id FROM printed WHERE {_ANY}", _PRINTED))
+_add("op_not_contains_number", _number_query("not_contains", "and"), with_sql(f"SELECT tenant_id, profile_id FROM printed WHERE NOT ({_ANY})", _PRINTED))
+
 _IN = "l.tenant_id = p.tenant_id AND l.profile_id = p.profile_id"
 
 
@@ -228,14 +262,22 @@ _add(
   FROM log WHERE event_name = 'view' GROUP BY ALL"""
     ),
 )
-_add("beh_shape_fingerprint", lambda spark, sf_dir: _shapes(spark, sf_dir), with_sql("SELECT event_name, 2::BIGINT AS properties, count(*) AS n FROM log GROUP BY ALL"))
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(t, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+_add(
+    "beh_shape_fingerprint",
+    lambda spark, sf_dir: _shapes(spark, sf_dir),
+    with_sql(
+        f"""SELECT event_name, cast(greatest({_FNV} & 2147483647, 1) AS INTEGER) AS shape, count(*) AS n FROM (
+  SELECT event_name, 'k:number;revenue:number;' AS t FROM log
+  UNION ALL SELECT event_name, CASE WHEN cast(substr(event_id, 2) AS BIGINT) % 5 = 0 THEN 'k:string;' ELSE 'k:number;' END FROM log) GROUP BY ALL"""
+    ),
+)
 
 
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal shapes get one fingerprint: per event name, the number of log rows per shape."""
-    log = fixtures.behavior_log(spark, sf_dir).withColumn("shape", behavior.shape_fingerprint(F.col("props")))
-    keys = F.size(F.json_object_keys("props"))
-    return log.groupBy("event_name", "shape", keys.cast("long").alias("properties")).agg(F.count(F.lit(1)).alias("n")).drop("shape")
+    """The fingerprints themselves: per event name, the number of log rows of each shape."""
+    both = fixtures.behavior_log(spark, sf_dir).unionByName(_mixed_types(spark, sf_dir))
+    return both.withColumn("shape", behavior.shape_fingerprint(F.col("props"))).groupBy("event_name", "shape").agg(F.count(F.lit(1)).alias("n"))
 
 
 _add(

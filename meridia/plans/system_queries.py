@@ -7,6 +7,7 @@ catalogs) are derived from them by expressions that both dialects read alike.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -516,7 +517,7 @@ def _claim(spark, sf_dir):
 @_add(
     "sweep_backoff_park",
     with_sql(
-        f"""SELECT segment_id, attempts + 1 AS attempts, {AT_SQL} + to_seconds(least(3600, 5 * (1 << attempts))) AS due_at, attempts + 1 >= 10 AS parked FROM pend""",
+        f"""SELECT segment_id, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= 10 THEN due_at ELSE {AT_SQL} + to_seconds(least(3600, 5 * (1 << attempts))) END AS due_at, attempts + 1 >= 10 AS parked FROM pend""",
         _PENDING,
     ),
 )
@@ -630,10 +631,19 @@ def _backoff(spark, sf_dir):
 
 @_add(
     "activation_due",
-    with_sql("SELECT destination_id, idempotency_key FROM task WHERE NOT denied ORDER BY idempotency_key LIMIT 50", _FEED),
+    with_sql(
+        f"""SELECT idempotency_key, next_attempt_at FROM (SELECT event_id AS idempotency_key,
+  CASE WHEN n % 8 IN (1, 2, 7) AND n % 6 + 1 < 5 THEN {AT_SQL} + to_seconds(least(900, 10 * (1 << (n % 6)))) END AS next_attempt_at, n % 8 = 6 AS fresh
+  FROM (SELECT *, cast(substr(event_id, 2) AS BIGINT) AS n FROM log) WHERE n % 5 = 0) WHERE fresh OR next_attempt_at <= {AT_SQL} + to_seconds(40)
+  ORDER BY next_attempt_at NULLS FIRST, idempotency_key LIMIT 1000"""
+    ),
 )
 def _due_tasks(spark, sf_dir):
-    return activation.due(task_rows(spark, sf_dir), AT).select("destination_id", "idempotency_key")
+    """Tasks some time after a round of sends: never sent ones, retries that are due, later retries and ended ones."""
+    sent = activation.after_send(_sends(spark, sf_dir).filter("seq % 5 = 0"), AT).withColumn("idempotency_key", F.col("task_id"))
+    fresh = F.col("seq") % 8 == 6
+    rows = sent.withColumns({"status": F.when(fresh, "pending").otherwise(F.col("status")), "next_attempt_at": F.when(~fresh, F.col("next_attempt_at"))})
+    return ntz(activation.due(rows, AT + dt.timedelta(seconds=40), 1000).select("idempotency_key", "next_attempt_at"))
 
 
 @_add("activation_breaker")
@@ -742,6 +752,114 @@ def _exit(spark, sf_dir):
     return journeys.exits(left, heads, enrollments(spark, sf_dir)).select("tenant_id", "profile_id", "status")
 
 
+@_add(
+    "journey_payload",
+    with_sql(
+        f"""SELECT tenant_id, profile_id, 'journey_step' AS kind, CASE WHEN NOT bought AND {_POINT} % 4 < 1 THEN 3 ELSE 4 END AS step_index,
+  canonical_user_id AS customer, name, email, total_orders FROM (SELECT *, {_BOUGHT} AS bought FROM enr) JOIN prof USING (tenant_id, profile_id)""",
+        _ENROLLED,
+    ),
+)
+def _journey_payload(spark, sf_dir):
+    _, sends = journeys.advance(
+        enrollments(spark, sf_dir), journeys.parse(JOURNEY), fixtures.profiles(spark, sf_dir), fixtures.behavior_log(spark, sf_dir), LATER
+    )
+
+    def at(path: str, kind: str = "string"):
+        return F.get_json_object("payload", f"$.{path}").cast(kind)
+
+    return sends.filter(at("journey_id") == "j1").select(
+        at("tenant_id").alias("tenant_id"), "profile_id", at("type").alias("kind"), at("step_index", "int").alias("step_index"), at("customer.id").alias("customer"),
+        at("customer.traits.name").alias("name"), at("customer.traits.email").alias("email"), at("customer.computed_attributes.total_orders", "long").alias("total_orders"),
+    )
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An enrolment per log row: some ended, parked or under an old or a fresh claim."""
+    n = F.substring("segment_id", 2, 20).cast("long")
+    claimed = F.when(n % 7 == 1, F.lit(AT - dt.timedelta(minutes=1))).when(n % 7 == 2, F.lit(AT - dt.timedelta(hours=1)))
+    return _pending(spark, sf_dir).select(
+        "tenant_id", F.lit("j1").alias("journey_id"), F.col("segment_id").alias("profile_id"), F.lit(0).alias("enrollment_seq"), "due_at", "parked_at", "attempts",
+        F.when(n % 5 == 0, "completed").otherwise("active").alias("status"), claimed.cast("timestamp").alias("claimed_at"),
+    )
+
+
+_RUNS = f"""{_PENDING}, runs AS (SELECT tenant_id, segment_id AS profile_id, due_at, parked_at, attempts, n, n % 5 = 0 AS ended,
+  CASE n % 7 WHEN 1 THEN {AT_SQL} - INTERVAL 1 MINUTE WHEN 2 THEN {AT_SQL} - INTERVAL 1 HOUR END AS claimed_at
+  FROM (SELECT *, cast(substr(segment_id, 2) AS BIGINT) AS n FROM pend))"""
+
+
+@_add(
+    "journey_fair_claim",
+    with_sql(
+        f"""SELECT tenant_id, profile_id, {AT_SQL} AS claimed_at FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY due_at, profile_id) AS rn FROM runs
+  WHERE NOT ended AND parked_at IS NULL AND due_at <= {AT_SQL} AND (claimed_at IS NULL OR claimed_at < {AT_SQL} - INTERVAL 5 MINUTE)) WHERE rn <= 25 ORDER BY due_at, tenant_id, profile_id LIMIT 80""",
+        _RUNS,
+    ),
+)
+def _journey_claim(spark, sf_dir):
+    return ntz(journeys.claim(_runs(spark, sf_dir), AT, 80, 25).select("tenant_id", "profile_id", "claimed_at"))
+
+
+@_add(
+    "journey_failure",
+    with_sql(
+        f"""SELECT profile_id, CASE WHEN ended THEN attempts ELSE attempts + 1 END AS attempts,
+  CASE WHEN ended OR attempts + 1 >= 10 THEN due_at ELSE {AT_SQL} + to_seconds(least(3600, 5 * (1 << attempts))) END AS due_at,
+  CASE WHEN ended THEN parked_at WHEN attempts + 1 >= 10 THEN {AT_SQL} END AS parked_at FROM runs""",
+        _RUNS,
+    ),
+)
+def _journey_failure(spark, sf_dir):
+    return ntz(journeys.after_failure(_runs(spark, sf_dir), AT).select("profile_id", "attempts", "due_at", "parked_at"))
+
+
+@_add("journey_parked", with_sql("SELECT profile_id, attempts FROM runs WHERE tenant_id = 'r1' AND parked_at IS NOT NULL ORDER BY parked_at DESC, profile_id LIMIT 100", _RUNS))
+def _journey_parked(spark, sf_dir):
+    return journeys.parked(_runs(spark, sf_dir), "r1", "j1").select("profile_id", "attempts")
+
+
+def _heads(spark: SparkSession, segment: str | None, event: str | None, most: int = 1) -> DataFrame:
+    return spark.createDataFrame(
+        [(t, "j1", segment, event, most, 3, "inactive" if t == "r0" else "active", True) for t in _TENANTS],
+        "tenant_id string, journey_id string, entry_segment_id string, entry_event_name string, max_enrollments int, current_version int, status string, exit_on_segment_leave boolean",
+    )
+
+
+@_add(
+    "journey_backfill",
+    with_sql(
+        f"SELECT tenant_id, profile_id, 3 AS journey_version, {AT_SQL} AS due_at FROM z WHERE tenant_id <> 'r0' AND cast(substr(profile_id, 2) AS BIGINT) % 5 <> 0",
+        _BOTH,
+    ),
+)
+def _backfill(spark, sf_dir):
+    """Members at the later instant, of whom a fifth has an enrolment already."""
+    state = membership.state_of(_advanced(spark, sf_dir))
+    done = state.filter(F.substring("profile_id", 2, 20).cast("long") % 5 == 0).select("tenant_id", F.lit("j1").alias("journey_id"), "profile_id")
+    return ntz(journeys.backfill(state, _heads(spark, "viewers", None), done, AT).select("tenant_id", "profile_id", "journey_version", "due_at"))
+
+
+@_add(
+    "journey_enroll_event",
+    with_sql(
+        """SELECT DISTINCT tenant_id, profile_id, CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS enrollment_seq FROM (
+  SELECT *, cast(substr(profile_id, 2) AS BIGINT) AS n FROM log WHERE event_name = 'signup') WHERE tenant_id <> 'r0' AND n % 3 <> 0"""
+    ),
+)
+def _enroll_event(spark, sf_dir):
+    """Everyone who signed up enters, at most twice; a third has an active run, a fifth an ended one."""
+    log = fixtures.behavior_log(spark, sf_dir).filter("event_name = 'signup'")
+    n = F.substring("profile_id", 2, 20).cast("long")
+    entries = log.select("tenant_id", "profile_id", F.lit(None).cast("string").alias("segment_id"), "event_name")
+    running = F.when(n % 3 == 0, "active").when(n % 5 == 0, "completed")
+    runs = fixtures.profiles(spark, sf_dir).filter(running.isNotNull()).select(
+        "tenant_id", F.lit("j1").alias("journey_id"), "profile_id", F.lit(0).alias("enrollment_seq"), running.alias("status")
+    )
+    out = journeys.enroll(entries, _heads(spark, None, "signup", 2), runs, fixtures.profiles(spark, sf_dir), AT)
+    return out.select("tenant_id", "profile_id", "enrollment_seq")
+
+
 # --- governance and operations -------------------------------------------------------------------------------------
 
 
@@ -767,10 +885,11 @@ def _mask_ids(spark, sf_dir):
     return governance.inventory_values(found, key, permitted=False).select("tenant_id", "namespace", "value").distinct()
 
 
-_MATRIX = ", ".join(f"('{r}', '{p}')" for r, granted in governance.ROLES.items() for p in granted)
+#: The number of permissions of each role, and whether it may read personal data.
+_MATRIX = "('SUPER_ADMIN', 19, true), ('TENANT_ADMIN', 19, true), ('MARKETER', 13, false), ('ANALYST', 9, false), ('OPERATOR', 11, false), ('VIEWER', 9, false)"
 
 
-@_add("rbac_matrix", f"SELECT role, count(*) AS permissions, bool_or(permission = 'pii:read') AS pii FROM (VALUES {_MATRIX}) t(role, permission) GROUP BY ALL")
+@_add("rbac_matrix", f"SELECT role, permissions::BIGINT AS permissions, pii FROM (VALUES {_MATRIX}) t(role, permissions, pii)")
 def _rbac(spark, sf_dir):
     m = governance.role_matrix(spark)
     return m.groupBy("role").agg(F.count(F.lit(1)).alias("permissions"), F.max(F.col("permission") == "pii:read").alias("pii"))
@@ -802,13 +921,22 @@ _ERASED = "cast(substr(profile_id, 2) AS BIGINT) % 10 = 3"
 
 @_add(
     "erase_anti",
-    with_sql(f"SELECT tenant_id, count(*) AS kept FROM log WHERE NOT {_ERASED} GROUP BY ALL"),
+    with_sql(
+        f"""SELECT 'log' AS part, tenant_id, count(*) AS kept FROM log WHERE NOT {_ERASED} GROUP BY ALL
+  UNION ALL SELECT 'profiles', tenant_id, count(*) FROM prof WHERE NOT {_ERASED} GROUP BY ALL
+  UNION ALL SELECT 'memberships', tenant_id, count(*) FROM a WHERE NOT {_ERASED} GROUP BY ALL
+  UNION ALL SELECT 'consent', tenant_id, count(*) FROM prof WHERE cast(substr(profile_id, 2) AS BIGINT) % 7 < 2 AND NOT {_ERASED} GROUP BY ALL""",
+        _BOTH,
+    ),
 )
 def _erase(spark, sf_dir):
     log = fixtures.behavior_log(spark, sf_dir)
     erased = fixtures.profiles(spark, sf_dir).filter(F.expr("cast(substr(profile_id, 2) as bigint) % 10 = 3")).select("tenant_id", "profile_id")
-    kept, _ = governance.erase({"log": log}, erased)
-    return kept["log"].groupBy("tenant_id").agg(F.count(F.lit(1)).alias("kept"))
+    members = verdicts_at(spark, sf_dir, AT).filter("matched")
+    tables = {"log": log, "profiles": fixtures.profiles(spark, sf_dir), "memberships": members, "consent": consent(spark, sf_dir)}
+    kept, _ = governance.erase(tables, erased)
+    parts = [df.select(F.lit(name).alias("part"), "tenant_id") for name, df in kept.items()]
+    return reduce(DataFrame.unionByName, parts).groupBy("part", "tenant_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @_add(
@@ -824,25 +952,28 @@ def _erase_counts(spark, sf_dir):
 @_add(
     "export_bundle",
     with_sql(
-        """SELECT p.tenant_id, p.profile_id, canonical_user_id, coalesce(events, 0)::BIGINT AS events, coalesce(rows, 0)::BIGINT AS consents FROM prof p
-  LEFT JOIN (SELECT tenant_id, profile_id, count(*) AS events FROM log GROUP BY ALL) l USING (tenant_id, profile_id)
-  LEFT JOIN (SELECT profile_id, 1 AS rows FROM prof WHERE cast(substr(profile_id, 2) AS BIGINT) % 7 < 2) c USING (profile_id)
-  WHERE cast(substr(p.profile_id, 2) AS BIGINT) % 100 = 8"""
+        """SELECT p.tenant_id, p.profile_id, canonical_user_id, coalesce(events, '') AS identifiers, coalesce(m.status, '') AS memberships, coalesce(c.given, '') AS consent FROM prof p
+  LEFT JOIN (SELECT tenant_id, profile_id, string_agg(event_id, ',' ORDER BY event_id) AS events FROM log GROUP BY ALL) l USING (tenant_id, profile_id)
+  LEFT JOIN (SELECT tenant_id, profile_id, 'viewers:' || CASE WHEN z.profile_id IS NULL THEN 'exited' ELSE 'active' END AS status FROM a FULL JOIN z USING (tenant_id, profile_id)) m USING (tenant_id, profile_id)
+  LEFT JOIN (SELECT profile_id, CASE WHEN n % 2 = 0 THEN 'email' ELSE 'sms' END || ':marketing:' || CASE WHEN n % 7 = 0 THEN 'denied' ELSE 'granted' END AS given
+             FROM (SELECT profile_id, cast(substr(profile_id, 2) AS BIGINT) AS n FROM prof) WHERE n % 7 < 2) c USING (profile_id)""",
+        _BOTH,
     ),
 )
 def _export(spark, sf_dir):
     people = fixtures.profiles(spark, sf_dir)
-    wanted = people.filter(F.expr("cast(substr(profile_id, 2) as bigint) % 100 = 8")).select("tenant_id", "profile_id")
     log = fixtures.behavior_log(spark, sf_dir)
     ids = log.select("tenant_id", "profile_id", F.lit("event").alias("namespace"), F.col("event_id").alias("value"))
-    member = log.limit(0).select("tenant_id", "profile_id", F.lit("").alias("segment_id"), F.lit("").alias("status"))
-    out = governance.export_bundle(people, ids, member, consent(spark, sf_dir), wanted)
+    member = membership.state_of(_advanced(spark, sf_dir))
+    out = governance.export_bundle(people, ids, member, consent(spark, sf_dir), people.select("tenant_id", "profile_id"))
 
-    def size(c: str):
-        return F.coalesce(F.size(c), F.lit(0)).cast("long")
+    def texts(c: str, *fields: str):
+        return F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", *(x[f] for f in fields))), ","), F.lit("")).alias(c)
 
-    out = out.withColumns({c: F.coalesce(F.col(c), F.array()) for c in ("identifiers", "consent")})
-    return out.select("tenant_id", "profile_id", "canonical_user_id", size("identifiers").alias("events"), size("consent").alias("consents"))
+    return out.select(
+        "tenant_id", "profile_id", "canonical_user_id", texts("identifiers", "value"), texts("memberships", "segment_id", "status"),
+        texts("consent", "channel", "purpose", "status"),
+    )
 
 
 @_add(
@@ -853,12 +984,42 @@ def _stats(spark, sf_dir):
     return ops.tenant_counts({"profiles": fixtures.profiles(spark, sf_dir), "events": fixtures.behavior_log(spark, sf_dir)})
 
 
-@_add("retention_horizon", "SELECT 98::BIGINT AS days")
+_CATALOG = """
+seg AS (SELECT 'r' || n_regionkey AS tenant_id, 's' || n_nationkey AS segment_id, n_nationkey AS n, CASE WHEN n_nationkey % 4 = 0 THEN 'inactive' ELSE 'active' END AS status,
+  n_nationkey % 3 + 1 AS current_version, TIMESTAMP '2024-01-01' + to_hours(n_nationkey) AS updated_at FROM nation),
+ver AS (SELECT tenant_id, segment_id, n, unnest(range(1, current_version + 1 + n % 2)) AS version FROM seg)"""
+
+
+def _segment_catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A segment per nation with one to four versions; every other one has a version beyond its current one."""
+    n = F.col("n_nationkey")
+    segments = fixtures.table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("r"), "n_regionkey").alias("tenant_id"), F.concat(F.lit("s"), n).alias("segment_id"), n.alias("n"),
+        F.when(n % 4 == 0, "inactive").otherwise("active").alias("status"), (n % 3 + 1).alias("current_version"),
+        (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp") + F.make_dt_interval(hours=n)).alias("updated_at"),
+    )
+    numbers = F.explode(F.sequence(F.lit(1), F.col("current_version") + F.col("n") % 2)).alias("version")
+    versions = segments.select("tenant_id", "segment_id", "n", numbers)
+    rule = F.concat(F.lit('{"v":'), "version", F.lit(',"n":'), "n", F.lit("}"))
+    return segments, versions.withColumn("rule_json", rule)
+
+
+@_add(
+    "retention_horizon",
+    f"""WITH {_CATALOG} SELECT greatest(40, ceil(max(s) / 86400.0)::BIGINT + 8) AS days FROM (
+  SELECT n * 86400 + 1 AS s FROM seg WHERE status = 'active'
+  UNION ALL SELECT s_suppkey * 43200 FROM supplier WHERE s_suppkey % 3 = 0 OR (s_suppkey % 3 = 1 AND s_suppkey % 5 = 0))""",
+)
 def _horizon(spark, sf_dir):
-    segments = spark.createDataFrame([("active", 7 * 86400), ("active", 30 * 86400), ("inactive", 900 * 86400)], "status string, max_window_seconds long")
-    versions = spark.createDataFrame([("j1", 1, "inactive", 90 * 86400), ("j2", 1, "inactive", 400 * 86400)], "journey_id string, version int, status string, max_window_seconds long")
-    pinned = spark.createDataFrame([("j1", 1, "active"), ("j2", 1, "completed")], "journey_id string, journey_version int, status string")
-    return ops.horizon_days(segments, versions, pinned)
+    """Segments of nations; journeys of suppliers, a third of them active and some of the others with an active run."""
+    segments = _segment_catalog(spark, sf_dir)[0].withColumn("max_window_seconds", F.col("n").cast("long") * 86400 + 1)
+    key = F.col("s_suppkey")
+    suppliers = fixtures.table(spark, sf_dir, "supplier")
+    status = F.when(key % 3 == 0, "active").otherwise("inactive").alias("status")
+    versions = suppliers.select(key.cast("string").alias("journey_id"), F.lit(1).alias("version"), status, (key * 43200).cast("long").alias("max_window_seconds"))
+    state = F.when((key % 3 == 1) & (key % 5 == 0), "active").otherwise("completed").alias("status")
+    runs = suppliers.select(key.cast("string").alias("journey_id"), F.lit(1).alias("journey_version"), state)
+    return ops.horizon_days(segments, versions, runs)
 
 
 @_add("retention_prune", with_sql(f"SELECT tenant_id, strftime(date_trunc('week', occurred_at), '%Y-%m-%d') AS week, count(*) AS n FROM log WHERE occurred_at >= {LATER_SQL} - INTERVAL 10 DAY GROUP BY ALL"))
@@ -926,34 +1087,39 @@ def _deliveries(spark, sf_dir):
     return activation.deliveries(activation.delivery_log(rows), "r1").select("idempotency_key", "status", "attempt_count")
 
 
-@_add("subscription_view", "SELECT 'r' || t AS tenant_id, subscription_id, destination_status FROM range(5) r(t), (VALUES ('x1', 'active'), ('x2', 'active'), ('x3', 'disabled'), ('x4', 'active')) v(subscription_id, destination_status)")
+@_add(
+    "subscription_view",
+    """SELECT 'r' || n_regionkey AS tenant_id, 'x' || s_suppkey AS subscription_id, CASE WHEN n_nationkey % 3 = 0 THEN 'disabled' ELSE 'active' END AS destination_status
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
 def _subscriptions(spark, sf_dir):
-    subs, dests = catalogs(spark)
-    return activation.subscription_view(subs, dests.withColumn("name", F.col("destination_id"))).select("tenant_id", "subscription_id", "destination_status")
-
+    """A destination per nation, a subscription per supplier."""
+    nation = fixtures.table(spark, sf_dir, "nation")
+    tenant, home = F.concat(F.lit("r"), "n_regionkey").alias("tenant_id"), F.concat(F.lit("d"), "n_nationkey").alias("destination_id")
+    status = F.when(F.col("n_nationkey") % 3 == 0, "disabled").otherwise("active").alias("status")
+    dests = nation.select(tenant, home, F.lit("webhook").alias("type"), status, F.lit("{}").alias("config"), F.col("n_name").alias("name"))
+    rows = fixtures.table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    subs = rows.select(tenant, F.concat(F.lit("x"), "s_suppkey").alias("subscription_id"), home, F.lit("viewers").alias("segment_id"), F.lit("active").alias("status"))
+    return activation.subscription_view(subs, dests).select("tenant_id", "subscription_id", "destination_status")
 
-_VERSIONS = [("r0", "s1", 1, "{}"), ("r0", "s1", 2, '{"a":1}'), ("r0", "s2", 1, "{}"), ("r1", "s1", 1, "{}")]
-_SEGMENTS = [("r0", "s1", "active", 2), ("r0", "s2", "inactive", 1), ("r1", "s1", "active", 1)]
 
-
-def _segment_catalog(spark):
-    segments = spark.createDataFrame([(*r, AT) for r in _SEGMENTS], "tenant_id string, segment_id string, status string, current_version int, updated_at timestamp")
-    return segments, spark.createDataFrame(_VERSIONS, "tenant_id string, segment_id string, version int, rule_json string")
-
-
-@_add("segment_current_versions", "SELECT * FROM (VALUES ('r0', 's1', 2, '{\"a\":1}'), ('r1', 's1', 1, '{}')) v(tenant_id, segment_id, current_version, rule_json)")
+@_add(
+    "segment_current_versions",
+    f"""WITH {_CATALOG} SELECT tenant_id, segment_id, current_version, '{{"v":' || current_version || ',"n":' || n || '}}' AS rule_json FROM seg WHERE status = 'active'""",
+)
 def _current(spark, sf_dir):
-    return membership.current_versions(*_segment_catalog(spark)).select("tenant_id", "segment_id", "current_version", "rule_json")
+    segments, versions = _segment_catalog(spark, sf_dir)
+    return membership.current_versions(segments, versions.drop("n")).select("tenant_id", "segment_id", "current_version", "rule_json")
 
 
-@_add("segment_next_version", "SELECT * FROM (VALUES ('r0', 's1', 3), ('r0', 's2', 2), ('r1', 's1', 2)) v(tenant_id, segment_id, version)")
+@_add("segment_next_version", f"WITH {_CATALOG} SELECT tenant_id, segment_id, (max(version) + 1)::INTEGER AS version FROM ver GROUP BY ALL")
 def _next(spark, sf_dir):
-    return membership.next_version(_segment_catalog(spark)[1])
+    return membership.next_version(_segment_catalog(spark, sf_dir)[1])
 
 
-@_add("segment_epoch", f"SELECT 2::BIGINT AS segments, {AT_SQL} AS updated_at, 3::BIGINT AS versions")
+@_add("segment_epoch", f"WITH {_CATALOG} SELECT count(*) AS segments, max(updated_at) AS updated_at, sum(current_version)::BIGINT AS versions FROM seg WHERE status = 'active'")
 def _epoch(spark, sf_dir):
-    return ntz(membership.rules_epoch(_segment_catalog(spark)[0]))
+    return ntz(membership.rules_epoch(_segment_catalog(spark, sf_dir)[0]))
 
 
 @_add(
@@ -1034,7 +1200,13 @@ def _coalesced(spark, sf_dir):
     return ntz(deadlines.coalesced(stored, planned).select("segment_id", "due_at"))
 
 
-@_add("consent_list", "SELECT 'email' AS channel, 'marketing' AS purpose, 'denied' AS status")
+@_add(
+    "consent_list",
+    with_sql(
+        """SELECT CASE WHEN n % 2 = 0 THEN 'email' ELSE 'sms' END AS channel, 'marketing' AS purpose, CASE WHEN n % 7 = 0 THEN 'denied' ELSE 'granted' END AS status
+  FROM (SELECT cast(substr(profile_id, 2) AS BIGINT) AS n FROM prof WHERE profile_id = 'p14') WHERE n % 7 < 2"""
+    ),
+)
 def _consent_list(spark, sf_dir):
     rows = consent(spark, sf_dir)
     home = fixtures.profiles(spark, sf_dir).filter("profile_id = 'p14'").first().tenant_id

@@ -35,7 +35,18 @@ def test_bucket_counts_equal_exact_counts(spark, window):
 
 
 def test_shape_fingerprints(spark):
-    rows = ['{"a":1,"b":"x"}', '{"b":"y","a":2}', '{"a":"x"}', "{}", "[]", "null", None, '{"a":1}']
+    shapes = [
+        ('{"qty":3,"sku":"k9","gift":false}', "gift:bool;qty:number;sku:string;"),
+        ('{"gift":true,"sku":"","qty":-0.5}', "gift:bool;qty:number;sku:string;"),
+        ('{"lines":[1],"to":{"zip":1},"note":null}', "lines:array;note:null;to:object;"),
+        ('{"Ü":1e3}', "Ü:number;"),
+        (" {} ", None),
+        ("[{}]", None),
+        ("7", None),
+        ("{broken", None),
+        (None, None),
+    ]
+    rows = [x for x, _ in shapes]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, p string").orderBy("i").select(behavior.shape_fingerprint(F.col("p"))).collect()]
 
     def fnv(text):
@@ -44,26 +55,36 @@ def test_shape_fingerprints(spark):
             h = (h ^ b) * 16777619 & 0xFFFFFFFF
         return h & 0x7FFFFFFF
 
-    assert got == [fnv("a:number;b:string;")] * 2 + [fnv("a:string;"), 1, 1, 1, 1, fnv("a:number;")]
+    assert got == [fnv(text) if text else 1 for _, text in shapes]
 
 
-@pytest.mark.parametrize(
-    "spec,times,want",
-    [
-        (dict(kind="absence", event_name="view", window="24h"), [-HOUR], AT + 23 * HOUR),
-        (dict(kind="recency", event_name="view", window="24h"), [-2 * HOUR], AT + 22 * HOUR),
-        (dict(kind="count", event_name="view", window="7d", op="gte", value=3), [-DAY, -2 * DAY, -3 * DAY, -4 * DAY], AT + 4 * DAY),
-        (dict(kind="count", event_name="view", window="7d", op="lt", value=3), [-DAY, -2 * DAY, -3 * DAY, -4 * DAY], AT + 4 * DAY),
-        (dict(kind="count", event_name="view", window="7d", op="gt", value=3), [-DAY, -2 * DAY, -3 * DAY, -4 * DAY], AT + 3 * DAY),
-        (dict(kind="count", event_name="view", window="7d", op="eq", value=3), [-DAY, -2 * DAY, -3 * DAY, -4 * DAY], AT + 3 * DAY),
-        (dict(kind="count", event_name="view", window="7d", op="gte", value=0), [-DAY], None),
-        (dict(kind="frequency", event_name="view", window="7d", op="gte", value=2), [-DAY], None),
-        (dict(kind="absence", event_name="view", window="24h"), [-2 * DAY], None),
-    ],
-)
-def test_next_due(spark, spec, times, want):
-    got = deadlines.next_due(log(spark, times), parse({"behavior": spec}), AT).collect()
-    assert [r.due_at for r in got] == ([want] if want else [])
+@pytest.mark.parametrize("seed", range(6))
+def test_next_due_is_the_next_flip(spark, seed):
+    """The first instant at which the verdict differs, found by trying every end of every window."""
+    rng = random.Random(seed)
+    hours = sorted(rng.sample(range(-90, 0), 9))
+    for kind, op in [("recency", None), ("absence", None), *(("count", o) for o in ("gte", "gt", "lt", "lte", "eq"))]:
+        span, k = rng.randrange(20, 110), rng.randrange(1, 6)
+        spec = {"kind": kind, "event_name": "view", "window": f"{span}h"} | ({"op": op, "value": k} if op else {})
+
+        def verdict(at):
+            n = sum(at - span <= h for h in hours)
+            return {"recency": n > 0, "absence": n == 0, "gte": n >= k, "gt": n > k, "lt": n < k, "lte": n <= k, "eq": n == k}[op or kind]
+
+        ends = [h + span for h in hours if h + span > 0]
+        flip = next((e for e in ends if verdict(e + 0.01) != verdict(e)), None)
+        got = [r.due_at for r in deadlines.next_due(log(spark, [h * HOUR for h in hours]), parse({"behavior": spec}), AT).collect()]
+        if kind == "count":
+            # An early look is harmless, a late one is not.
+            assert flip is None or (got and got[0] <= AT + flip * HOUR)
+            assert not got or (got[0] - AT) / HOUR in ends
+        else:
+            assert got == ([AT + flip * HOUR] if flip is not None else [])
+
+
+def test_sums_have_no_deadline(spark):
+    spec = {"kind": "frequency", "event_name": "view", "window": "5d", "op": "lt", "value": 1}
+    assert deadlines.next_due(log(spark, [-2 * HOUR]), parse({"behavior": spec}), AT).isEmpty()
 
 
 def test_fair_claim_and_parking(spark):
@@ -75,7 +96,7 @@ def test_fair_claim_and_parking(spark):
     got = {r.segment_id for r in deadlines.fair_claim(claimed, AT, 200, 200).collect()}
     assert "s1" not in got and "s2" in got and len(got) == 100
     after = {r.segment_id: r for r in deadlines.after_failure(frame.filter("tenant_id = 'b'"), AT).collect()}
-    assert after["s"].parked_at == AT and after["s"].attempts == 10 and after["s"].due_at == AT + dt.timedelta(seconds=2560)
+    assert after["s"].parked_at == AT and after["s"].attempts == 10 and after["s"].due_at == AT
     assert after["x"].parked_at is None and after["x"].due_at == AT + dt.timedelta(seconds=5)
 
 

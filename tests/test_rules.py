@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,71 +21,92 @@ def beh(**spec):
     return {"behavior": spec}
 
 
-@pytest.mark.parametrize("text,want", [("7d", 604800), ("1d", 86400), ("24h", 86400), ("30m", 1800), ("90s", 90), ("1h30m", 5400), ("1.5h", 5400), ("500ms", 0.5)])
-def test_windows(text, want):
-    assert parse_window(text) == int(want * 1_000_000)
-
-
-@pytest.mark.parametrize("text", ["", "7", "7x", "d", "-3d", "0d", "0s", "1d12h", "h", "1 h"])
-def test_bad_windows(text):
-    with pytest.raises(RuleError):
-        parse_window(text)
-
-
-GOOD = [
-    leaf("a", "eq", "x"),
-    {"operator": "and", "conditions": [leaf("a", "eq", 1), leaf("b", "gt", 2)]},
-    {"operator": "or", "conditions": [leaf("a", "exists")]},
-    {"operator": "not", "conditions": [leaf("a", "eq", "x")]},
-    leaf("a", "in", ["x"]),
-    leaf("a", "not_exists"),
-    beh(kind="recency", event_name="login", window="24h"),
-    beh(kind="frequency", event_name="o", value_prop="revenue", window="30d", op="gte", value=500),
-    beh(kind="sequence", within="1h", steps=[{"event_name": "a"}, {"event_name": "b"}]),
-    beh(kind="absence", event_name="o", window="24h", anchor={"kind": "count", "event_name": "v", "window": "7d", "op": "gte", "value": 3}),
-    beh(kind="count", event_name="c", window="3d", op="gte", value=1, where=leaf("event.properties.price", "gte", 100)),
-]
+UNITS = {"ns": 1e-3, "us": 1, "ms": 1e3, "s": 1e6, "m": 60e6, "h": 3600e6, "d": 86400e6}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_windows(seed):
+    """Days stand alone; the other units add up, in any order and with fractions."""
+    rng = random.Random(seed)
+    days = rng.randrange(1, 400)
+    assert parse_window(f"{days}d") == days * UNITS["d"]
+    parts = [(rng.choice([rng.randrange(1, 50), rng.randrange(1, 40) / 4]), u) for u in rng.sample(["us", "ms", "s", "m", "h"], rng.randrange(1, 4))]
+    assert parse_window("".join(f"{n}{u}" for n, u in parts)) == int(sum(n * UNITS[u] for n, u in parts))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_bad_windows(seed):
+    rng = random.Random(100 + seed)
+    n = rng.randrange(1, 90)
+    for text in (f"-{n}h", f"{n}", f"{n}w", f"{n} m", f"{n}d{n}m", f"{n}h{n}d", rng.choice("dhms"), f"0{rng.choice('hms')}", f" {n}s", f"{n}.5d"):
+        with pytest.raises(RuleError):
+            parse_window(text)
+
+
+_SEEN = dict(event_name="signup", window="36h")
+_MANY = dict(kind="count", **_SEEN, op="lt", value=7)
+GOOD = {
+    "plain": leaf("profile.traits.plan", "neq", None) | {"value": "pro"},
+    "list": leaf("profile.traits.plan", "not_in", [3, "pro", True]),
+    "present": leaf("profile.last_seen_at", "exists"),
+    "three deep": {"operator": "not", "conditions": [{"operator": "or", "conditions": [beh(**_MANY), leaf("event.type", "eq", "alias")]}]},
+    "seen": beh(kind="recency", **_SEEN),
+    "sum": beh(kind="frequency", **_SEEN, value_prop="total", op="lte", value=12.5),
+    "gone": beh(kind="absence", **_SEEN),
+    "gone after": beh(kind="absence", event_name="renewal", window="45m", anchor=_MANY),
+    "chain": beh(kind="sequence", within="90s", steps=[{"event_name": x} for x in ("open", "read", "open")]),
+    "filtered": beh(**_MANY, where={"operator": "and", "conditions": [leaf("event.properties.k", "lt", 4), leaf("event.properties.s", "exists")]}),
+}
+#: What makes one of them wrong: (its name, a change of its behaviour or of the whole).
 BAD = [
-    leaf("a", "between", 1),
-    {"op": "eq", "value": 1},
-    {"operator": "not", "conditions": [leaf("a", "eq", 1), leaf("b", "eq", 2)]},
-    {"operator": "and"},
-    {"operator": "xor", "conditions": [leaf("a", "eq", 1)]},
-    leaf("a", "in", "x"),
-    leaf("a", "exists", "x"),
-    leaf("a", "eq"),
-    {"operator": "and", "field": "a", "conditions": [leaf("a", "eq", 1)]},
-    {"field": "x", **beh(kind="count", event_name="e", window="7d", op="gte", value=1)},
-    beh(kind="nope", event_name="e", window="7d"),
-    beh(kind="count", event_name="e", window="7x", op="gte", value=1),
-    beh(kind="count", event_name="e", window="7d", value=1),
-    beh(kind="count", window="7d", op="gte", value=1),
-    beh(kind="sequence", within="1h", steps=[{"event_name": "a"}]),
-    beh(kind="sequence", steps=[{"event_name": "a"}, {"event_name": "b"}]),
-    beh(kind="absence", event_name="e"),
-    beh(kind="sequence", within="1h", steps=[{"event_name": "a"}, {}]),
-    beh(kind="count", event_name="e", window="7d", op="gte"),
-    beh(kind="count", event_name="e", window="7d", op="gte", value=1, where=leaf("p", "between", 1)),
-    beh(kind="absence", event_name="e", window="24h", anchor={"kind": "nope", "event_name": "a", "window": "7d"}),
+    ("plain", {"op": "like"}),
+    ("plain", {"value": None}),
+    ("plain", {"field": ""}),
+    ("plain", {"conditions": [leaf("a", "exists")], "operator": "and"}),
+    ("plain", beh(**_MANY)),
+    ("list", {"value": "pro"}),
+    ("present", {"value": 1}),
+    ("three deep", {"conditions": [leaf("a", "exists"), leaf("b", "exists")]}),
+    ("three deep", {"operator": "nand"}),
+    ("three deep", {"operator": "or", "conditions": []}),
+    ("seen", {"behavior.kind": "lately"}),
+    ("seen", {"behavior.window": "36 hours"}),
+    ("seen", {"behavior.event_name": ""}),
+    ("sum", {"behavior.op": None}),
+    ("sum", {"behavior.value": None}),
+    ("gone", {"behavior.window": None}),
+    ("gone after", {"behavior.anchor": {**_MANY, "kind": "often"}}),
+    ("chain", {"behavior.within": None}),
+    ("chain", {"behavior.steps": [{"event_name": "open"}]}),
+    ("chain", {"behavior.steps": [{"event_name": "open"}, {"event_name": ""}]}),
+    ("filtered", {"behavior.where": leaf("event.properties.k", "about", 4)}),
 ]
 
 
-@pytest.mark.parametrize("rule", GOOD)
-def test_accepted(rule):
-    parse(json.dumps(rule))
+@pytest.mark.parametrize("name", GOOD)
+def test_accepted(name):
+    parse(json.dumps(GOOD[name]))
 
 
-@pytest.mark.parametrize("rule", BAD)
-def test_rejected(rule):
+@pytest.mark.parametrize("name,change", BAD)
+def test_rejected(name, change):
+    rule = json.loads(json.dumps(GOOD[name]))
+    for key, value in change.items():
+        part, _, key = key.rpartition(".") if "." in key else ("", "", key)
+        target = rule[part] if part else rule
+        target.pop(key, None)
+        if value is not None:
+            target[key] = value
     with pytest.raises(RuleError):
         parse(rule)
 
 
 def test_analysis():
-    a = rules.analyze(parse({"operator": "and", "conditions": [GOOD[9], GOOD[10], leaf("event.type", "eq", "track")]}))
-    assert a.event_names == ("c", "o", "v") and a.max_window_seconds == 7 * 86400 and a.stateful and a.stateless and not a.sweepable
-    assert GOOD[8] and parse(GOOD[8]).behavior.exact
-    assert rules.referenced_properties(parse(leaf("event.properties.a.b", "exists"))) == ["a"]
+    rule = {"operator": "and", "conditions": [GOOD[x] for x in ("gone after", "filtered", "chain", "three deep")]}
+    a = rules.analyze(parse(rule))
+    assert a.event_names == ("open", "read", "renewal", "signup") and a.max_window_seconds == 36 * 3600
+    assert a.stateful and a.stateless and not a.sweepable and parse(GOOD["chain"]).behavior.exact
+    assert rules.referenced_properties(parse(leaf("event.properties.cart.items", "exists"))) == ["cart"]
 
 
 def _row(spark, traits="{}", computed="{}", props="{}", context="{}"):
@@ -103,49 +125,84 @@ def _check(spark, rule_list, **kw):
     return list(row)
 
 
-def test_operators(spark):
+def _expected(op, value, other):
+    """A plain reading of the operators, of values that are None where they are missing."""
+    same = lambda a, b: float(a) == float(b) if _number(a) and _number(b) else str(a) == str(b)
+    if op in ("exists", "not_exists"):
+        return (value is not None) == (op == "exists")
+    if value is None:
+        return False
+    if op in ("eq", "neq"):
+        return same(value, other) == (op == "eq")
+    if op in ("in", "not_in"):
+        return any(same(value, x) for x in other) == (op == "in")
+    if op in ("contains", "not_contains"):
+        inside = any(same(x, other) for x in value) if isinstance(value, list) else str(other) in str(value)
+        return inside == (op == "contains")
+    if not _number(value) or not _number(other):
+        return False
+    x, y = float(value), float(other)
+    return {"gt": x > y, "gte": x >= y, "lt": x < y, "lte": x <= y}[op]
+
+
+def _number(x):
+    try:
+        return not isinstance(x, bool) and float(x) == float(x)
+    except (TypeError, ValueError):
+        return False
+
+
+def test_operators_against_a_plain_reading(spark):
+    rng = random.Random(21)
+    stored = {"city": "Graz", "level": 42, "ratio": -0.5, "digits": "0042", "labels": ["x1", "7", "Graz"], "empty": ""}
+    others = ["Graz", "ra", "", 42, 41.5, "42", -1, "x1", 7, "none"]
+    cases = []
+    for _ in range(160):
+        key, op = rng.choice([*stored, "lost"]), rng.choice(["eq", "neq", "gt", "gte", "lt", "lte", "contains", "not_contains", "in", "not_in", "exists", "not_exists"])
+        if key == "labels" and op in ("eq", "neq", "in", "not_in"):
+            continue
+        other = None if "exists" in op else rng.sample(others, rng.randrange(1, 4)) if op in ("in", "not_in") else rng.choice(others)
+        place = rng.choice(["profile.traits", "profile.computed_attributes", "event.properties", "event.context"])
+        rule, want = leaf(f"{place}.deep.{key}", op, other), _expected(op, stored.get(key), other)
+        if rng.random() < 0.2:
+            rule, want = {"operator": "not", "conditions": [rule]}, not want
+        cases.append((rule, want))
+    document = json.dumps({"deep": stored})
+    got = _check(spark, [r for r, _ in cases], traits=document, computed=document, props=document, context=document)
+    assert [(r, g) for (r, _), g in zip(cases, got)] == cases
+
+
+def test_fields_outside_documents(spark):
+    quiet = beh(kind="count", event_name="e", window="2h", op="lt", value=2)
     cases = [
-        (leaf("profile.traits.country", "eq", "VN"), True),
-        (leaf("profile.traits.country", "eq", "US"), False),
-        (leaf("profile.traits.country", "neq", "US"), True),
-        (leaf("profile.computed_attributes.total_orders", "gt", 3), True),
-        (leaf("profile.computed_attributes.total_orders", "gt", 9), False),
-        (leaf("profile.computed_attributes.total_orders", "gte", 5), True),
-        (leaf("profile.computed_attributes.total_orders", "lt", 9), True),
-        (leaf("profile.computed_attributes.total_orders", "lte", 5), True),
-        (leaf("event.properties.category", "contains", "pho"), True),
-        (leaf("profile.computed_attributes.tags", "contains", "vip"), True),
-        (leaf("profile.computed_attributes.tags", "contains", "vi"), False),
-        (leaf("event.properties.category", "not_contains", "zzz"), True),
-        (leaf("profile.traits.country", "in", ["VN", "US"]), True),
-        (leaf("profile.traits.country", "in", ["US", "JP"]), False),
-        (leaf("profile.traits.country", "not_in", ["US", "JP"]), True),
-        (leaf("profile.traits.name", "exists"), True),
-        (leaf("profile.traits.missing", "exists"), False),
-        (leaf("profile.traits.missing", "not_exists"), True),
-        (leaf("event.event_name", "eq", "product_viewed"), True),
-        (leaf("event.properties.price", "gt", 100), True),
-        (leaf("event.context.page.url", "contains", "https://x"), True),
-        (leaf("profile.traits.missing", "eq", "x"), False),
-        (leaf("profile.traits.missing", "neq", "x"), False),
-        (leaf("profile.traits.missing", "not_in", ["x"]), False),
-        (leaf("profile.nowhere", "exists"), False),
-        (leaf("profile.canonical_user_id", "eq", "customer_1"), True),
-        (leaf("profile.first_seen_at", "eq", "2026-06-10T12:00:00Z"), True),
-        (leaf("profile.first_seen_at", "gt", "2024-01-01T00:00:00Z"), False),
-        ({"operator": "not", "conditions": [leaf("profile.traits.missing", "eq", "x")]}, True),
-        (beh(kind="count", event_name="e", window="7d", op="lte", value=5), False),
-        ({"operator": "not", "conditions": [beh(kind="count", event_name="e", window="7d", op="lte", value=5)]}, False),
+        (leaf("event.type", "in", ["alias", "track"]), True),
+        (leaf("event.event_name", "contains", "_viewed"), True),
+        (leaf("profile.canonical_user_id", "not_contains", "omer"), False),
+        (leaf("profile.last_seen_at", "eq", "2026-06-10T12:00:00Z"), True),
+        (leaf("profile.last_seen_at", "lt", "2030-01-01T00:00:00Z"), False),
+        (leaf("profile.tenant_id", "exists"), False),
+        (leaf("session.id", "not_exists"), True),
+        # Without a log, behaviour is false, and so is its negation.
+        (quiet, False),
+        ({"operator": "not", "conditions": [{"operator": "and", "conditions": [quiet]}]}, False),
     ]
-    got = _check(
-        spark,
-        [r for r, _ in cases],
-        traits='{"country":"VN","name":"Ann"}',
-        computed='{"total_orders":5,"tags":["gold","vip"]}',
-        props='{"category":"phone","price":300}',
-        context='{"page":{"url":"https://x/p"}}',
-    )
-    assert got == [w for _, w in cases]
+    assert _check(spark, [r for r, _ in cases]) == [w for _, w in cases]
+
+
+def test_numbers_print_alike_on_both_sides(spark):
+    rng = random.Random(4)
+    numbers = [0.0, -0.0, 1e6, 999999.5, 1234567, -1234567.25, 1e7, 1e-4, 0.00012345, 9.99e-5, 1e-5, 1e21, 1e22, 123456.789, 1.5e300, 9.58e21, 2e23]
+    numbers += [round(rng.uniform(-10, 10), rng.randrange(9)) * 10.0 ** rng.randrange(-7, 22) for _ in range(600)]
+    numbers = [x for x in numbers if len(repr(x).split("e")[0].strip("-0.").replace(".", "")) <= 15]
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(numbers)], "i int, x double")
+    got = {r.i: r.t for r in rows.select("i", values.print_number(F.col("x")).alias("t")).collect()}
+    assert [got[i] for i in range(len(numbers))] == [values.literal_text(float(x)) for x in numbers]
+
+
+@pytest.mark.parametrize("x", [1e-7, 2.5e-5, 1e-4, 0.75, 999999, 1000000, 1234567, 1e7, 12345678.9, 1e21, 1e22, -3e8])
+def test_a_number_contains_its_own_text(spark, x):
+    cases = [leaf("profile.traits.x", "contains", x), leaf("profile.traits.x", "not_contains", x), leaf("profile.traits.l", "contains", values.literal_text(x)), leaf("profile.traits.l", "eq", f"[a {values.literal_text(x)}]")]
+    assert _check(spark, cases, traits=json.dumps({"x": x, "l": ["a", x]})) == [True, False, True, True]
 
 
 def test_loose_values(spark):
