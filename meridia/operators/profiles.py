@@ -55,21 +55,58 @@ _TEXTS = (*(f"trait_{t}" for t in TRAITS), *LAST)
 
 def fold(seen: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row per cluster from ``observed`` rows; version counts the applied events."""
-    rows = seen.dropDuplicates(["tenant_id", "event_id"]).join(clusters, ["tenant_id", "event_id"])
+    return folded(partial(seen.dropDuplicates(["tenant_id", "event_id"]).join(clusters, ["tenant_id", "event_id"])))
+
+
+_ORDERED = ("received_at timestamp", "event_id string")
+#: State of ``partial``: the newest values with their place in the order, so that states of any events can be merged.
+PARTIAL = (
+    "tenant_id string, cluster_id string, "
+    + ", ".join(f"{c} struct<{', '.join(_ORDERED)}, {c} string>" for c in _TEXTS)
+    + f", last_order struct<{', '.join(_ORDERED)}, timestamp timestamp>, total_events long, total_orders long, "
+    "first_seen_at timestamp, last_seen_at timestamp"
+)
+
+
+def partial(rows: DataFrame) -> DataFrame:
+    """The state of ``observed`` rows (one per event, with cluster_id), which ``merged`` adds up."""
 
     def latest(c: str) -> Column:
-        # the newest non-empty value by arrival
-        return F.max(F.when(F.col(c) != "", F.struct("received_at", "event_id", c)))[c].alias(c)
+        return F.max(F.when(F.col(c) != "", F.struct("received_at", "event_id", c))).alias(c)
 
-    n = F.count(F.lit(1))
     return rows.groupBy("tenant_id", "cluster_id").agg(
         *map(latest, _TEXTS),
-        n.alias("total_events"),
+        F.max(F.when(F.col("is_order"), F.struct("received_at", "event_id", "timestamp"))).alias("last_order"),
+        F.count(F.lit(1)).alias("total_events"),
         F.count_if("is_order").alias("total_orders"),
-        F.max(F.when(F.col("is_order"), F.struct("received_at", "event_id", "timestamp")))["timestamp"].alias("last_order_at"),
         F.min("timestamp").alias("first_seen_at"),
         F.max("timestamp").alias("last_seen_at"),
-        n.alias("version"),
+    )
+
+
+def merged(states: DataFrame) -> DataFrame:
+    """One state per cluster from several."""
+    return states.groupBy("tenant_id", "cluster_id").agg(
+        *(F.max(c).alias(c) for c in (*_TEXTS, "last_order")),
+        F.sum("total_events").alias("total_events"),
+        F.sum("total_orders").alias("total_orders"),
+        F.min("first_seen_at").alias("first_seen_at"),
+        F.max("last_seen_at").alias("last_seen_at"),
+    )
+
+
+def folded(states: DataFrame) -> DataFrame:
+    """What ``fold`` gives, from states."""
+    return states.select(
+        "tenant_id",
+        "cluster_id",
+        *(F.col(c)[c].alias(c) for c in _TEXTS),
+        "total_events",
+        "total_orders",
+        F.col("last_order")["timestamp"].alias("last_order_at"),
+        "first_seen_at",
+        "last_seen_at",
+        F.col("total_events").alias("version"),
     )
 
 

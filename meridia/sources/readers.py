@@ -22,8 +22,12 @@ def landed_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
 
 
 def single_events(requests: DataFrame) -> DataFrame:
-    """Track, identify and alias requests: the endpoint decides the type."""
+    """Track, identify and alias requests: the endpoint decides the type.
+
+    ``arrival`` is on the scale of batches, so that both kinds stand in one order.
+    """
     rows = requests.filter(F.col("endpoint").isin("track", "identify", "alias"))
+    rows = rows.withColumn("arrival", F.col("arrival") * ingest.MAX_BATCH_EVENTS)
     parsed = ingest.parse_bodies(rows)
     out = ingest.normalize(parsed.withColumn("type", F.col("endpoint")).drop("endpoint"))
     return out.withColumn("error", F.coalesce("_bad", "error")).drop("_bad")
@@ -32,7 +36,7 @@ def single_events(requests: DataFrame) -> DataFrame:
 def batch_events(requests: DataFrame) -> DataFrame:
     """Batch requests, one row per event with ``batch_id`` and ``position``.
 
-    A batch over its limits is rejected as a whole, one bad event on its own.
+    A batch over its limits is rejected as a whole, with its body, one bad event on its own.
     """
     rows = requests.filter("endpoint = 'batch'").withColumn("batch_id", F.col("arrival"))
     events = F.try_variant_get(F.try_parse_json("body"), "$.events", "array<variant>")
@@ -44,8 +48,9 @@ def batch_events(requests: DataFrame) -> DataFrame:
     )
     rows = rows.withColumns({"_batch_bad": bad, "_events": F.when(bad.isNull(), events)})
     flat = rows.select(
-        "tenant_id", "source_id", "received_at", "batch_id", "_batch_bad", F.posexplode_outer("_events").alias("position", "_event")
-    ).withColumn("body", F.coalesce(F.to_json("_event"), F.lit("{}")))
+        "tenant_id", "source_id", "received_at", "batch_id", "_batch_bad", F.when(F.col("_batch_bad").isNotNull(), F.col("body")).alias("_whole"),
+        F.posexplode_outer("_events").alias("position", "_event"),
+    ).withColumn("body", F.coalesce(F.to_json("_event"), "_whole", F.lit("{}"))).drop("_whole")
     flat = flat.withColumn("arrival", F.col("batch_id") * ingest.MAX_BATCH_EVENTS + F.coalesce("position", F.lit(0))).drop("_event")
     out = ingest.normalize(ingest.parse_bodies(flat))
     return out.withColumn("error", F.coalesce("_batch_bad", "_bad", "error")).drop("_bad", "_batch_bad")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,41 +66,56 @@ class Snapshot:
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return sorted((int(n.split("=")[0]), n.split("=")[1]) for n in names if "=" in n)
 
-    def read(self) -> DataFrame:
-        found = self._pointers()
+    def read(self, but: int | None = None) -> DataFrame:
+        """The current version; ``but`` leaves out what a first run of that batch wrote."""
+        found = [v for v in self._pointers() if but is None or not v[1].startswith(f"{but}.")]
         if not found:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1][1]}")
 
-    def replace(self, df: DataFrame, keep: int = 2) -> None:
+    def replace(self, df: DataFrame, keep: int = 2, batch: int | None = None) -> None:
+        """Write a version and drop old ones; versions of a first run of ``batch`` go before older ones."""
         found = self._pointers()
-        name = uuid.uuid4().hex
+        name = f"{'' if batch is None else batch}.{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
         number = found[-1][0] + 1 if found else 1
         fs, p = _fs(self.spark, f"{self.path}/_versions/{number}={name}")
         if not fs.createNewFile(p):
             raise RuntimeError(f"version {number} of {self.path} was written by another writer")
-        for _, old in found[: max(0, len(found) + 1 - keep)]:
+        again = [v for v in found if batch is not None and v[1].startswith(f"{batch}.")]
+        others = [v for v in found if v not in again]
+        for n, old in again + others[: max(0, len(others) + 1 - keep)]:
+            fs.delete(_fs(self.spark, f"{self.path}/_versions/{n}={old}")[1], False)
             fs.delete(_fs(self.spark, f"{self.path}/{old}")[1], True)
 
 
 class Batches:
-    """An append-only table in one folder per batch; writing a batch again overwrites its folder."""
+    """An append-only table in one folder per batch; writing a batch again overwrites its folder.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    With ``week``, the name of a timestamp column, a batch is parted by the Monday of
+    its week, and ``since`` reads no older folders.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, week: str | None = None):
+        self.spark, self.path, self.schema, self.week = spark, path.rstrip("/"), schema, week
 
     def write(self, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        if self.week:
+            df = df.withColumn("week", F.date_trunc("week", self.week).cast("date"))
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy("week") if self.week else writer).parquet(f"{self.path}/batch={batch}")
 
-    def read(self, only: int | None = None, but: int | None = None) -> DataFrame:
-        """All batches, one, or all but one; the folder's batch number prunes what is read."""
+    def read(self, only: int | None = None, but: int | None = None, since: Column | None = None) -> DataFrame:
+        """All batches, one, or all but one, from a time on; the folders' names prune what is read."""
         fs, p = _fs(self.spark, self.path)
         if not fs.exists(p):
             return self.spark.createDataFrame([], self.schema)
-        df = self.spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
+        week = ", week date" if self.week else ""
+        df = self.spark.read.schema(f"{self.schema}, batch long{week}").parquet(self.path)
         if only is not None:
             df = df.filter(F.col("batch") == only)
         if but is not None:
             df = df.filter(F.col("batch") != but)
-        return df.drop("batch")
+        if since is not None and self.week:
+            df = df.filter((F.col("week") >= F.date_trunc("week", since).cast("date")) & (F.col(self.week) >= since))
+        return df.drop("batch", "week")

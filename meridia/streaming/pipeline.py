@@ -6,24 +6,31 @@ evaluated.  All of that goes through the operators of the set-wise queries, so a
 drained stream followed by a sweep agrees with one batch evaluation.
 
 What grows with the events is append-only, in one folder per batch that a repeated
-run of the batch overwrites.  What is replaced is keyed state: merged clusters
-(one row per merge) and memberships.  Identity work covers the batch's
-identifiers and the clusters they already belong to, not the whole graph; rows
-written under a cluster that later merged are redirected when they are read.
+run of the batch overwrites, parted by week.  What is replaced is keyed state: merged
+clusters (one row per merge), profiles, memberships and deadlines; a repeated run of a
+batch starts from the state before it.  A batch reads the state, the weeks of events
+that the rules' longest window reaches back to, and the identifiers of the last
+DEDUPE_DAYS; a rule with a sequence has no window and reads all weeks of the profiles
+it touches.  Identity work covers the batch's identifiers and the clusters they already
+belong to, not the whole graph; rows written under a cluster that later merged are
+redirected when they are read.
+
+Requests that can't be read, and events whose id was used before with other content,
+become dead letters with their body.  Any other failure fails the query, which runs
+the batch again when it is started again.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import activation, behavior, deadlines, identity, ingest, membership, profiles
 from ..operators.graph import connected_components
-from ..plans.compiler import KEYS, evaluate
+from ..plans.compiler import KEYS, evaluate, leaves, moment, scan_bound
 from ..plans.rules import Rule
 from ..sources import readers
 from ..sources.storage import Batches, Snapshot, checkpointed
@@ -43,6 +50,9 @@ TASKS = (
     "idempotency_key string, status string, last_error string, attempt_count int, next_attempt_at timestamp, payload string"
 )
 CONSENT = "tenant_id string, profile_id string, channel string, purpose string, status string"
+PENDING = "tenant_id string, segment_id string, profile_id string, due_at timestamp"
+#: How long a reused event id is recognised: as long as events are kept at least.
+DEDUPE_DAYS = 40
 MERGED = "tenant_id string, cluster_id string, survivor_id string"
 
 
@@ -58,7 +68,7 @@ class Pipeline:
 
     def __post_init__(self) -> None:
         s, r = self.spark, self.root
-        self.events = Batches(s, f"{r}/events", ENVELOPE)
+        self.events = Batches(s, f"{r}/events", ENVELOPE, week="received_at")
         self.dead = Batches(s, f"{r}/dead", DEAD)
         self.nodes = Batches(s, f"{r}/nodes", NODES)
         self.feed = Batches(s, f"{r}/changes", CHANGES)
@@ -67,6 +77,8 @@ class Pipeline:
             self.consent = s.createDataFrame([], CONSENT)
         self.merged = Snapshot(s, f"{r}/merged", MERGED)
         self.state = Snapshot(s, f"{r}/membership", membership.STATE)
+        self.profiles = Snapshot(s, f"{r}/profiles", profiles.PARTIAL)
+        self.pending = Snapshot(s, f"{r}/pending", PENDING)
 
     def redirected(self, rows: DataFrame) -> DataFrame:
         """Rows with the surviving cluster in ``cluster_id``."""
@@ -107,12 +119,19 @@ class Pipeline:
         mine = per_event.select("tenant_id", "event_id", F.col("a").alias("node_id")).join(owner, ["tenant_id", "node_id"])
         return fresh.join(mine.select("tenant_id", "event_id", "cluster_id"), ["tenant_id", "event_id"], "left")
 
-    def population(self, touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(profiles, behavioural log), of all or only of touched (tenant_id, cluster_id)."""
-        events = self.redirected(self.events.read().filter("cluster_id is not null"))
+    def _since(self, at: dt.datetime) -> Column | None:
+        """The time that the rules' windows reach back to at ``at``; None where a rule sees everything."""
+        bound = scan_bound(leaves(list(self.rules.values())), at)
+        return None if bound is None else F.timestamp_micros(F.lit(bound))
+
+    def population(self, at: dt.datetime, touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(profiles, the behavioural log that the rules need at ``at``), of all or only of touched (tenant_id, cluster_id)."""
+        states = self.redirected(self.profiles.read())
+        # What occurred in a window arrived no earlier than it begins.
+        events = self.redirected(self.events.read(since=self._since(at)).filter("cluster_id is not null"))
         if touched is not None:
-            events = events.join(touched, ["tenant_id", "cluster_id"], "left_semi")
-        folded = profiles.fold(profiles.observed(events), events.select("tenant_id", "event_id", "cluster_id"))
+            states, events = (df.join(touched, ["tenant_id", "cluster_id"], "left_semi") for df in (states, events))
+        folded = profiles.folded(profiles.merged(states))
         traits = F.struct(*(F.col(f"trait_{t}").alias(t) for t in profiles.TRAITS))
         computed = F.struct("total_events", "total_orders", *profiles.LAST)
         people = folded.select(
@@ -127,67 +146,92 @@ class Pipeline:
         rows = events.withColumns({"profile_id": F.col("cluster_id"), "props": F.col("properties")})
         return people, behavior.record(rows, self.consent)
 
+    def _judged(self, made: DataFrame, batch: int) -> DataFrame:
+        """Readable events with their verdict, against each other and what is stored."""
+        good = ingest.verdicts(made.filter("error is null"))
+        first = made.agg(F.min("received_at")).first()[0]
+        if first is None:
+            return good
+        recent = self.events.read(but=batch, since=moment(first, -DEDUPE_DAYS * 86_400_000_000))
+        stored = recent.select("tenant_id", "event_id", F.col("payload_hash").alias("_stored"))
+        same = F.col("payload_hash") == F.col("_stored")
+        verdict = F.when(F.col("_stored").isNull(), F.col("verdict")).when(same, "duplicate").otherwise("conflict")
+        return good.join(stored, ["tenant_id", "event_id"], "left").withColumn("verdict", verdict).drop("_stored")
+
     def absorb(self, requests: DataFrame, batch: int, at: dt.datetime | None = None) -> None:
         """One micro-batch.  ``at`` is the evaluation instant; by default the latest arrival."""
         made = readers.single_events(requests).unionByName(readers.batch_events(requests), allowMissingColumns=True)
         made = checkpointed(made)
-        self.dead.write(batch, made.filter("error is not null").select(*(x.split()[0] for x in DEAD.split(", "))))
-        stored = self.events.read(but=batch).select("tenant_id", "event_id")
-        fresh = ingest.verdicts(made).filter("verdict = 'accepted'").join(stored, ["tenant_id", "event_id"], "left_anti")
-        fresh = checkpointed(fresh.select(*_ENVELOPE[:-1]))
+        judged = checkpointed(self._judged(made, batch))
+        letters = [x.split()[0] for x in DEAD.split(", ")]
+        reused = judged.filter("verdict = 'conflict'").withColumn("error", F.lit("event_id: used before with other content"))
+        self.dead.write(batch, made.filter("error is not null").select(*letters).unionByName(reused.select(*letters)))
+        fresh = checkpointed(judged.filter("verdict = 'accepted'").select(*_ENVELOPE[:-1]))
         if fresh.isEmpty():
             return
-        self.events.write(batch, self._resolve(fresh, batch).select(*_ENVELOPE))
-        touched = self.redirected(self.events.read(only=batch).filter("cluster_id is not null").select("tenant_id", "cluster_id")).distinct()
+        resolved = checkpointed(self._resolve(fresh, batch).select(*_ENVELOPE))
+        self.events.write(batch, resolved)
+        mine = resolved.filter("cluster_id is not null")
+        seen = profiles.observed(mine).join(mine.select("tenant_id", "event_id", "cluster_id"), ["tenant_id", "event_id"])
+        states = self.profiles.read(but=batch).unionByName(profiles.partial(seen))
+        self.profiles.replace(profiles.merged(self.redirected(states)), batch=batch)
+        touched = self.redirected(mine.select("tenant_id", "cluster_id")).distinct()
         self.evaluate(at or fresh.agg(F.max("received_at")).first()[0], batch, checkpointed(touched))
 
-    def guarded(self, requests: DataFrame, batch: int, retries: int = 3, pause: float = 0.1) -> None:
-        """``absorb`` with retries after growing pauses; a batch that keeps failing goes to the dead letters whole."""
-        for attempt in range(1, retries + 1):
-            try:
-                return self.absorb(requests, batch)
-            except Exception as error:  # whatever a poisonous batch raises
-                if attempt == retries:
-                    why = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:500]
-                    dead = requests.select("tenant_id", "source_id", "received_at", "arrival", F.col("body").alias("raw"), F.lit(why).alias("error"))
-                    self.dead.write(batch, dead)
-                time.sleep(pause * attempt)
-
     def evaluate(self, at: dt.datetime, batch: int, touched: DataFrame | None = None) -> None:
-        """Evaluate every rule at ``at`` for the touched profiles, or all, and append what changed to the feed."""
-        people, log = self.population(touched)
+        """Evaluate every rule at ``at`` for the touched profiles, or all; append what changed to the feed, store new deadlines."""
+        people, log = self.population(at, touched)
+        people, log = checkpointed(people), checkpointed(log)
         verdicts = evaluate(people, log, self.rules, at)
         flat = F.array(*(F.struct(F.lit(n).alias("segment_id"), F.col(n).alias("matched")) for n in self.rules))
         rows = verdicts.select(*KEYS, F.inline(flat))
         # A profile that merged into another leaves its segments.
         merged = self.merged.read().select("tenant_id", F.col("cluster_id").alias("profile_id"))
-        gone = self.state.read().join(merged, list(KEYS), "left_semi").select(*membership.KEYS, F.lit(False).alias("matched"))
-        ahead = checkpointed(membership.advance(self.state.read(), rows.unionByName(gone), at))
+        before = self.state.read(but=batch)
+        gone = before.join(merged, list(KEYS), "left_semi").select(*membership.KEYS, F.lit(False).alias("matched"))
+        ahead = checkpointed(membership.advance(before, rows.unionByName(gone), at))
         feed = membership.changes(ahead)
         self.feed.write(batch, feed)
         if self.subscriptions is not None and self.destinations is not None:
             made = activation.tasks(feed, self.subscriptions, self.destinations, people, self.consent)
             self.tasks.write(batch, made.select(*(x.split()[0] for x in TASKS.split(", "))))
-        self.state.replace(membership.state_of(ahead))
-
-    def sweep(self, at: dt.datetime) -> None:
-        """Evaluate everyone at an instant without events: what only time changes."""
-        self.evaluate(at, -int(at.replace(tzinfo=dt.timezone.utc).timestamp()))
+        self.state.replace(membership.state_of(ahead), batch=batch)
+        self._arm(people, log, merged, at, batch)
 
-    def due(self, at: dt.datetime) -> DataFrame:
-        """(tenant, profile, segment, due_at): when each rule can flip next without an event."""
-        _, log = self.population()
-        parts = None
+    def _arm(self, people: DataFrame, log: DataFrame, merged: DataFrame, at: dt.datetime, batch: int) -> None:
+        """Replace the deadlines of the evaluated profiles, and drop those of merged ones."""
+        stored = self.pending.read(but=batch)
+        planned = None
         for name, rule in self.rules.items():
             rows = deadlines.next_due(log, rule, at).withColumn("segment_id", F.lit(name))
-            parts = rows if parts is None else parts.unionByName(rows)
-        return parts
+            planned = rows if planned is None else planned.unionByName(rows)
+        kept = stored.join(people.select(*KEYS), list(KEYS), "left_anti").join(merged, list(KEYS), "left_anti")
+        columns = [x.split()[0] for x in PENDING.split(", ")]
+        if planned is not None:
+            # A deadline that moved by less than the slack stays, if it is still to come.
+            ahead = stored.filter(F.col("due_at") > moment(at)).withColumn("parked_at", F.lit(None).cast("timestamp"))
+            kept = kept.select(*columns).unionByName(deadlines.coalesced(ahead, planned).select(*columns))
+        self.pending.replace(kept.select(*columns), batch=batch)
+
+    def sweep(self, at: dt.datetime, everyone: bool = False) -> None:
+        """Evaluate without events what only time changes: the profiles with a deadline before ``at``, or all.
+
+        Sums have no deadline; rules with one need ``everyone``.
+        """
+        due = self.pending.read().filter(F.col("due_at") < moment(at))
+        touched = None if everyone else checkpointed(due.select("tenant_id", F.col("profile_id").alias("cluster_id")).distinct())
+        if touched is None or not touched.isEmpty():
+            self.evaluate(at, -int(at.replace(tzinfo=dt.timezone.utc).timestamp()), touched)
+
+    def due(self) -> DataFrame:
+        """(tenant, segment, profile, due_at): when each rule can flip next without an event, as of the last evaluation."""
+        return self.pending.read()
 
     def start(self, landing: str, checkpoint: str, files_per_trigger: int = 100):
         """Drain what has landed, in bounded batches, and stop; run again for more."""
         stream = readers.landed_stream(self.spark, landing, files_per_trigger)
         return (
-            stream.writeStream.foreachBatch(lambda df, batch: self.guarded(df, batch))
+            stream.writeStream.foreachBatch(lambda df, batch: self.absorb(df, batch))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
