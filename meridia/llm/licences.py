@@ -7,8 +7,11 @@ compared by the Dice coefficient of their sets of word bigrams.
 Size bounds prune twice.  Dice >= t needs sizes within a factor (2 - t) / t, so a
 unit is compared only with the templates of fitting size; and a unit shares at
 least size * t / (2 - t) bigrams with its template, hence with the union of all
-templates, which a hash set in the plan tests first.  Both are lower bounds, so no
-match is lost.  Everything happens within a row: nothing is exploded or shuffled.
+templates, which a hash set in the plan tests first.  The least such number holds for
+whole paragraphs already: one that has fewer of the templates' bigrams, or of their
+words, has no match in any of its lines or windows and is dropped at once.  All are
+lower bounds, so no match is lost.  Everything happens within a row: nothing is
+exploded or shuffled.
 
 What no whole line or paragraph matches is searched for notices inside: windows of
 a template's length begin at every bigram that some template has.  A window needs
@@ -108,8 +111,8 @@ def _quoted(items: list[str]) -> str:
     return ", ".join(f"'{x}'" for x in items)  # normalised words hold no quotes
 
 
-def _plan(templates: list[tuple[str, str]], t: float) -> tuple[str, str, int]:
-    """(SQL array of templates, SQL list of all their bigrams, the fewest bigrams that a match shares)."""
+def _plan(templates: list[tuple[str, str]], t: float) -> tuple[str, str, str, int]:
+    """(SQL array of templates, SQL lists of all their bigrams and words, the fewest bigrams that a match shares)."""
     if any(set(name) & set("'\\") for name, _ in templates):
         raise ValueError("names of templates hold no quotes or backslashes")
     made = [(name, template_bigrams(text), len(_words(text)) - 1) for name, text in templates]
@@ -119,7 +122,15 @@ def _plan(templates: list[tuple[str, str]], t: float) -> tuple[str, str, int]:
         for (n, g, k), need in zip(made, needs)
     ]
     every = sorted({x for _, g, _ in made for x in g})
-    return f"array({', '.join(rows)})", _quoted(every), min(needs)
+    known = sorted({w for _, text in templates for w in _words(text)})
+    return f"array({', '.join(rows)})", _quoted(every), _quoted(known), min(needs)
+
+
+def _able(words: str, every: str, known: str, need: int) -> str:
+    """SQL: whether a word array has as many of the templates' words and bigrams as any match needs."""
+    grams = f"transform(sequence(1, size({words}) - 1), i -> concat({words}[i - 1], ' ', {words}[i]))"
+    enough = f"size(filter({words}, x -> x in ({known}))) > {need} and size(filter({grams}, b -> b in ({every}))) >= {need}"
+    return f"size({words}) > {need} and {enough}"
 
 
 def _matches(units: str, arrays: str, every: str, t: float) -> str:
@@ -139,25 +150,24 @@ def _matches(units: str, arrays: str, every: str, t: float) -> str:
     return f"filter({best}, m -> m.dice >= {t!r}D)"
 
 
-def _windows(paragraphs: str, arrays: str, every: str, need: int, t: float) -> str:
-    """SQL: (dice, name) of the best windows that don't overlap, in what no whole line or paragraph matches."""
+def _unit(text: str) -> str:
+    """SQL: an array of the text's words, empty if it has no bigram."""
+    return f"filter(array(filter(split({text}, '[ \n]+'), x -> x != '')), x -> size(x) > 1)"
+
 
-    def words(unit: str) -> str:
-        return f"filter(array(filter(split({unit}, '[ \n]+'), x -> x != '')), x -> size(x) > 1)"
+def _judged(paragraphs: str, arrays: str, every: str, t: float) -> str:
+    """SQL: per paragraph its lines (l) with their matches (m), and its own matches (m) if it has several lines."""
+    lines = f"transform(split(u, '\n'), l -> named_struct('l', l, 'm', {_matches(_unit('l'), arrays, every, t)}))"
+    own = f"if(contains(u, '\n'), {_matches(_unit('u'), arrays, every, t)}, cast(array() as array<struct<dice:double,name:string>>))"
+    return f"transform({paragraphs}, u -> named_struct('lines', {lines}, 'm', {own}))"
 
-    def whole(unit: str) -> str:
-        return f"size({_matches(words(unit), arrays, every, t)}) > 0"
 
+def _windows(judged: str, arrays: str, every: str, need: int, t: float) -> str:
+    """SQL: (dice, name) of the best windows that don't overlap, in what no whole line or paragraph matches."""
     grams = "transform(sequence(1, size(v) - 1), k -> concat(v[k - 1], ' ', v[k]))"
-    likely = (
-        f"filter({paragraphs}, u -> size(filter(flatten(transform({words('u')}, v -> {grams})), b -> b in ({every}))) >= {need})"
-    )
-    lines = f"transform(split(u, '\n'), l -> if({whole('l')}, '\f', l))"
-    runs = (
-        f"flatten(transform({likely}, u -> if(contains(u, '\n') and {whole('u')}, cast(array() as array<string>), "
-        f"split(array_join({lines}, '\n'), '\f'))))"
-    )
-    listed = f"transform(flatten(transform({runs}, r -> {words('r')})), v -> {grams})"
+    left = "array_join(transform(q.lines, y -> if(size(y.m) > 0, '\f', y.l)), '\n')"
+    runs = f"flatten(transform({judged}, q -> if(size(q.m) > 0, cast(array() as array<string>), split({left}, '\f'))))"
+    listed = f"transform(flatten(transform({runs}, r -> {_unit('r')})), v -> {grams})"
     hits = f"transform({listed}, y -> named_struct('y', y, 'h', filter(sequence(0, size(y) - 1), k -> y[k] in ({every}))))"
     fitting = f"filter({arrays}, p -> get(s.h, j + p.need - 1) - s.h[j] < p.len)"
     cut = f"transform({fitting}, p -> named_struct('p', p, 'd', array_distinct(slice(s.y, s.h[j] + 1, p.len))))"
@@ -188,8 +198,8 @@ def licence_report(
 
     A text that holds a notice twice counts it twice in n_matches; a text that is a whole licence counts it too.
     """
-    arrays, every, need = _plan(templates or TEMPLATES, min_dice)
-    whole_arrays, whole_every, whole_need = _plan(wholes or WHOLES, min_dice)
+    arrays, every, known, need = _plan(templates or TEMPLATES, min_dice)
+    whole_arrays, whole_every, whole_known, whole_need = _plan(wholes or WHOLES, min_dice)
     text = F.lower(F.coalesce(F.col("`text`").cast("string"), F.lit("")))
     rows = docs.select(
         F.col("`doc_id`").alias("doc_id"),
@@ -199,15 +209,16 @@ def licence_report(
     def words(unit: Column) -> Column:
         return F.filter(F.split(unit, r"[ \n]+"), lambda w: w != "")
 
-    lines = F.split("norm", "\n")
-    parts = F.split("norm", r"\n ?\n[ \n]*")
-    paragraphs = F.filter(parts, lambda p: F.contains(p, F.lit("\n")))
-    units = F.filter(F.transform(F.concat(lines, paragraphs), words), lambda w: F.size(w) > 1)
+    split = "filter(split(u, '[ \n]+'), x -> x != '')"
+    parts = F.expr(f"filter(split(norm, '\\n ?\\n[ \\n]*'), u -> exists(array({split}), w -> {_able('w', every, known, need)}))")
     whole = F.filter(F.array(words(F.col("norm"))), lambda w: F.size(w) > whole_need)
-    rows = rows.select("doc_id", units.alias("units"), parts.alias("parts"), whole.alias("whole"))
+    rows = rows.select("doc_id", parts.alias("parts"), whole.alias("whole"))
+    able = F.expr(f"filter(whole, w -> {_able('w', whole_every, whole_known, whole_need)})")
+    judged = F.expr(_judged("parts", arrays, every, min_dice))
+    rows = rows.select("doc_id", judged.alias("judged"), able.alias("whole"))
     found = F.concat(
-        F.expr(_matches("units", arrays, every, min_dice)),
-        F.expr(_windows("parts", arrays, every, need, min_dice)),
+        F.expr("flatten(transform(judged, q -> concat(flatten(transform(q.lines, y -> y.m)), q.m)))"),
+        F.expr(_windows("judged", arrays, every, need, min_dice)),
         F.expr(_matches("whole", whole_arrays, whole_every, min_dice)),
     )
     rows = rows.select("doc_id", found.alias("found"))
