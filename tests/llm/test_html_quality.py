@@ -3,6 +3,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("meridia.llm")
@@ -206,3 +207,71 @@ def test_quality_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values()) and len(got) == 604
     assert quality.quality_report(docs, marks.limit(0)).filter("score = 0.5").count() == 604
     assert quality.quality_report(docs.limit(0), marks).count() == 0
+
+
+def _plain_split(grad, hess):
+    """The best cut of bins by trying each one: (gain, cut)."""
+    score = lambda g, h: sum(g) ** 2 / (sum(h) + quality._RIDGE)
+    gains = [score(grad[:c], hess[:c]) + score(grad[c:], hess[c:]) - score(grad, hess) for c in range(1, len(grad))]
+    best = max(range(len(gains)), key=lambda c: gains[c], default=None)
+    return (0.0, 0) if best is None else (gains[best], best + 1)
+
+
+def _plain_tree(grad, hess, depth):
+    gain, cut = _plain_split(grad, hess) if depth else (0.0, 0)
+    if gain <= 1e-6:
+        return [sum(grad) / (sum(hess) + quality._RIDGE)] * len(grad)
+    return _plain_tree(grad[:cut], hess[:cut], depth - 1) + _plain_tree(grad[cut:], hess[cut:], depth - 1)
+
+
+def test_trees_against_a_naive_gain_search():
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randrange(1, 12)
+        grad, hess = [rng.uniform(-3, 3) for _ in range(n)], [rng.uniform(0.01, 2) for _ in range(n)]
+        got = quality._tree(np.array(grad), np.array(hess), 2)
+        assert np.allclose(got, _plain_tree(grad, hess, 2))
+
+
+def test_scores_and_training_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 3)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 2)
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    y = (x[:, 0] * x[:, 1] + 0.3 * x[:, 2] > 0).astype(float)
+    model = quality.train(x, y)
+
+    def bin_of(f, v):
+        return sum(v >= e for e in model.edges[f])
+
+    def logit(row):
+        b = [bin_of(f, v) for f, v in enumerate(row)]
+        return model.base + sum(t[b[f]] for f, t in enumerate(model.tables)) + sum(t[b[f], b[g]] for f, g, t in model.pairs)
+
+    assert np.allclose(model.score(x), [1 / (1 + np.exp(-logit(r))) for r in x])
+    # The tables of single features by the same rounds, one row at a time.
+    total, tables = [model.base] * len(y), [[0.0] * (len(e) + 1) for e in model.edges]
+    for _ in range(3):
+        for f, table in enumerate(tables):
+            at = [bin_of(f, v) for v in x[:, f]]
+            p = [1 / (1 + np.exp(-t)) for t in total]
+            grad, hess = [0.0] * len(table), [0.0] * len(table)
+            for i, b in enumerate(at):
+                grad[b] += y[i] - p[i]
+                hess[b] += max(p[i] * (1 - p[i]), 1e-6)
+            step = [quality.RATE * v for v in _plain_tree(grad, hess, 2)]
+            tables[f] = [a + b for a, b in zip(table, step)]
+            total = [t + step[b] for t, b in zip(total, at)]
+    assert all(np.allclose(a, b) for a, b in zip(model.tables, tables))
+    assert len(model.pairs) == 3 and all(np.isfinite(t).all() for _, _, t in model.pairs)
+
+
+def test_quality_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(i % 7, "good words of a text %d" % i if i % 2 else "!!! ### |||" * i) for i in range(40)] + [(3, None), (3, None)]
+    docs = spark.createDataFrame([(*r, 0.5, "z", 1) for r in rows], "doc_id long, text string, score double, x string, labelled int")
+    marks = spark.createDataFrame([(i, i % 2, 9) for i in range(7)] * 2, "doc_id long, quality int, y int")
+    got = quality.quality_report(docs, marks).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 3}) >= 1
+    again = quality.quality_report(docs.repartition(5), marks).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))

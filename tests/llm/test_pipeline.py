@@ -230,3 +230,29 @@ def test_repeated_rows_share_the_copies_of_their_group(spark):
     assert Counter((r.doc_id, len((r.text or "").split())) for r in got) == +want
     again = Counter((r.copy_no) for r in got if r.doc_id == 7)
     assert abs(again[0] - again[1]) <= 1
+
+
+@pytest.mark.parametrize("with_rows", [True, False])
+def test_pipeline_of_odd_tables(spark, tmp_path, with_rows):
+    """Nulls in every column, repeated ids and rows, clashing names, a very long text; and an empty table."""
+    rng = random.Random(4)
+    clean = [_texts(rng, EN, 60) for _ in range(20)]
+    rows = [(i, t, "en", f"s{i % 2}", None, 7) for i, t in enumerate(clean)]
+    rows += [(3, _texts(rng, EN, 55), "en", "s1", 5, 8), (3, clean[3], "en", "s0", 5, 7), (None, _texts(rng, EN, 50), None, None, None, None)]
+    rows += [(None, None, None, None, None, None)] * 3 + [(50, "", "en", "s1", 0, 0), (51, _texts(rng, EN, 60_000), "en", "s1", 0, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy_no int, row string, rank string, h string"
+    made = [(*r, "x", "y", "z") for r in rows] if with_rows else []
+    spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (2, _texts(rng, FR, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*(x.split()[0] for x in schema.split(", ")), "mix_copy_no"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == out.columns[:-1], name
+    kept = Counter((r.doc_id, r.text) for r in docs.collect())
+    if with_rows:
+        # Each text once; the empty ones have no language.
+        assert kept == Counter({(r[0], r[1]): 1 for r in rows if r[1]})
+    else:
+        assert not kept and out.count() == 0
