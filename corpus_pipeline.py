@@ -4,6 +4,17 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame that keeps the colum
 of ``docs``; the last one returns every row once per copy with its copy number.
 ``run`` writes each stage's rows as Parquet in the shared folder, reads them again
 for the next stage, and deletes what the next stage has replaced.
+
+Defined results
+    null or empty text   has no language and goes in the first stage
+    null doc_id          kept like any other row; of exact or near copies, rows with an id are kept first
+    null lang            not learned from; null in other columns is kept as it is
+    very long text       processed whole by every stage
+    ties                 the smallest doc_id, then the smallest text, stays
+    repeated rows        one of them stays, also where a doc_id repeats; another text of the same id is a document of its own
+    empty tables         no documents: an empty result; no benchmark items: nothing is contaminated; no labelled
+                         rows: the language stage keeps everything
+    extra columns        kept, whatever their names; the copy number is called mix_copy_no if copy_no is taken
 """
 
 from __future__ import annotations
