@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -136,9 +136,11 @@ def _identifier_key(spark, sf_dir):
     return _envelopes(spark, sf_dir).select("arrival", "event_name", "identifier_key", "partition_key")
 
 
-@_add("ingest_payload_hash", f"WITH {_ENV} SELECT tenant_id, count(*) AS n, count(DISTINCT body) AS contents FROM env GROUP BY ALL")
+@_add("ingest_payload_hash", f"WITH {_ENV} SELECT arrival, min(arrival) OVER (PARTITION BY tenant_id, body) AS first_arrival FROM env")
 def _payload_hash(spark, sf_dir):
-    return _envelopes(spark, sf_dir).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("payload_hash").alias("contents"))
+    """Every event with the first one of its tenant that has the same hash: equal contents and no others share one."""
+    same = Window.partitionBy("tenant_id", "payload_hash")
+    return _envelopes(spark, sf_dir).select("arrival", F.min("arrival").over(same).alias("first_arrival"))
 
 
 @_add("ingest_verdict", f"WITH {_ENV} SELECT tenant_id, event_id, arrival, event_name, verdict FROM verdict")
