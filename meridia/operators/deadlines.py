@@ -36,6 +36,12 @@ def _candidates(rule: Rule) -> list[tuple[str, str, list[int] | None]]:
     return out
 
 
+def depth(rules: list[Rule]) -> tuple[set[str], int, int]:
+    """(event names, longest window in microseconds, largest rank) that the deadlines of the rules look at."""
+    wanted = [c for rule in rules for c in _candidates(rule)]
+    return {n for n, _, _ in wanted}, max((parse_window(w) for _, w, _ in wanted), default=0), max((max(r) if r else 1 for *_, r in wanted), default=1)
+
+
 def next_due(log: DataFrame, rule: Rule, at: dt.datetime) -> DataFrame:
     """(tenant, profile, due_at): the earliest due time strictly after ``at``, for profiles that have one.
 

@@ -166,6 +166,26 @@ def simple_leaf(b: Behavior, at: Instant) -> Simple | None:
     return None
 
 
+def sliceable(b: Behavior) -> bool:
+    """Whether a leaf only asks how often or when last an event occurred."""
+    if b.kind in ("count", "frequency"):
+        return b.where is None and not b.value_prop
+    return b.kind == "recency" or b.kind == "absence" and b.anchor is None
+
+
+def sliced_leaf(b: Behavior, at: Instant) -> Simple:
+    """The leaf over hourly slices: whole slices by their count and ends, a slice across a bound by its exact times."""
+    named, now = F.col("event_name") == b.event_name, moment(at)
+    first, last, times = F.col("first_at"), F.col("last_at"), F.col("times")
+    if b.kind in ("count", "frequency"):
+        since = moment(at, -parse_window(b.window))
+        part = F.size(F.filter(times, lambda t: t.between(since, now))).cast("long")
+        n = F.when((first >= since) & (last <= now), F.col("count")).when((last < since) | (first > now), F.lit(0)).otherwise(part)
+        return Simple(F.sum(F.when(named, n)), simple_leaf(b, at).test)
+    newest = F.when(last <= now, last).otherwise(F.array_max(F.filter(times, lambda t: t <= now)))
+    return Simple(F.max(F.when(named, newest)), simple_leaf(b, at).test)
+
+
 def _ordered_leaf(events: DataFrame, b: Behavior, name: str, at: Instant) -> tuple[DataFrame, Column]:
     """(events with helper columns, aggregate that is true where the leaf holds)."""
     mine = Window.partitionBy(*KEYS)
@@ -206,11 +226,23 @@ def scan_bound(found: list[Behavior], at: dt.datetime) -> int | None:
     return micros(at) - max(spans, default=0)
 
 
-def leaf_table(events: DataFrame, rules: list[Rule], at: Instant) -> tuple[list[DataFrame], dict[str, Column]]:
-    """(tables keyed by tenant and profile to left-join, column of each leaf by its key)."""
+def leaf_table(
+    events: DataFrame, rules: list[Rule], at: Instant, slices: DataFrame | None = None
+) -> tuple[list[DataFrame], dict[str, Column]]:
+    """(tables keyed by tenant and profile to left-join, column of each leaf by its key).
+
+    With ``slices``, hourly slices of the log, leaves that they can answer don't read the log.
+    """
     found: dict[str, Behavior] = {leaf_key(b, at): b for b in leaves(rules)}
     columns: dict[str, Column] = {}
     tables: list[DataFrame] = []
+    if slices is not None:
+        quick = {k: sliced_leaf(b, at) for k, b in found.items() if sliceable(b)}
+        if quick:
+            mine = slices.filter(F.col("event_name").isin(sorted({found[k].event_name for k in quick})))
+            tables.append(mine.groupBy(*KEYS).agg(*(s.aggregate.alias(k) for k, s in quick.items())))
+            columns |= {k: s.test(F.col(k)) for k, s in quick.items()}
+        found = {k: b for k, b in found.items() if k not in quick}
     simple = {k: s for k, b in found.items() if (s := simple_leaf(b, at)) is not None}
     ordered = {k: b for k, b in found.items() if k not in simple}
 
@@ -245,9 +277,10 @@ def evaluate(
     rules: dict[str, Rule],
     at: dt.datetime,
     event: dict[str, Column] | None = None,
+    slices: DataFrame | None = None,
 ) -> DataFrame:
-    """The profiles with one boolean column per rule."""
-    tables, columns = leaf_table(events, list(rules.values()), at)
+    """The profiles with one boolean column per rule; ``slices`` serve the leaves that they can."""
+    tables, columns = leaf_table(events, list(rules.values()), at, slices)
     out = with_documents(profiles)
     for t in tables:
         out = out.join(t, list(KEYS), "left")

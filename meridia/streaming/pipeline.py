@@ -1,19 +1,25 @@
 """The event pipeline as a stream of micro-batches.
 
-A batch of landed requests is normalised, judged against what is stored, resolved
+A batch of landed requests is normalised, judged against what was seen before, resolved
 to clusters, and appended; then the memberships of the profiles it touched are
 evaluated.  All of that goes through the operators of the set-wise queries, so a
 drained stream followed by a sweep agrees with one batch evaluation.
 
 What grows with the events is append-only, in one folder per batch that a repeated
-run of the batch overwrites, parted by week.  What is replaced is keyed state: merged
-clusters (one row per merge), profiles, memberships and deadlines; a repeated run of a
-batch starts from the state before it.  A batch reads the state, the weeks of events
-that the rules' longest window reaches back to, and the identifiers of the last
-DEDUPE_DAYS; a rule with a sequence has no window and reads all weeks of the profiles
-it touches.  Identity work covers the batch's identifiers and the clusters they already
-belong to, not the whole graph; rows written under a cluster that later merged are
-redirected when they are read.
+run of the batch overwrites, parted by week.  What is kept per key lies in buckets of the
+key: profiles, hourly slices of the behavioural log, memberships and deadlines are in
+buckets of the profile, and a batch reads and rewrites the buckets of the profiles it
+touches.  A repeated run of a batch starts from the state before it.
+
+* Event ids: a stream remembers every id with the hash of its content, at any age, in the
+  state store (``state.remembered``), so a batch reads no stored events to find reused ids.
+  ``absorb`` on its own, without a stream, compares with the ids of all stored events.
+* Rules: counts, recency and absence are read from slices, whole ones and the exact times
+  at a window's bounds; only leaves with a filter, a sum, a sequence or an anchor read
+  events, of the weeks that their windows reach back to.
+* Identity: a batch covers its own identifiers and the clusters they belong to, not the
+  whole graph; rows written under a cluster that later merged are redirected when they
+  are read.
 
 Requests that can't be read, and events whose id was used before with other content,
 become dead letters with their body.  Any other failure fails the query, which runs
@@ -28,12 +34,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import activation, behavior, deadlines, identity, ingest, membership, profiles
+from ..operators import activation, behavior, deadlines, identity, ingest, membership, profiles, slices
 from ..operators.graph import connected_components
-from ..plans.compiler import KEYS, evaluate, leaves, moment, scan_bound
+from ..plans.compiler import KEYS, evaluate, leaves, micros, moment, scan_bound, sliceable
 from ..plans.rules import Rule
 from ..sources import readers
-from ..sources.storage import Batches, Snapshot, checkpointed
+from ..sources.storage import Batches, Buckets, Snapshot, checkpointed
+from . import state
 
 CHANGES = "tenant_id string, segment_id string, profile_id string, change string, transition_seq long, changed_at timestamp, reason string"
 ENVELOPE = (
@@ -50,9 +57,10 @@ TASKS = (
     "idempotency_key string, status string, last_error string, attempt_count int, next_attempt_at timestamp, payload string"
 )
 CONSENT = "tenant_id string, profile_id string, channel string, purpose string, status string"
+LOG = "tenant_id string, profile_id string, event_id string, event_name string, occurred_at timestamp, props string, schema_version int"
 PENDING = "tenant_id string, segment_id string, profile_id string, due_at timestamp"
-#: How long a reused event id is recognised: as long as events are kept at least.
-DEDUPE_DAYS = 40
+#: Slices are kept so long beyond the longest window; an evaluation that is further behind the newest one reads events.
+SLACK = 86_400_000_000
 MERGED = "tenant_id string, cluster_id string, survivor_id string"
 
 
@@ -65,32 +73,43 @@ class Pipeline:
     subscriptions: DataFrame | None = None
     destinations: DataFrame | None = None
     consent: DataFrame | None = None
+    #: Buckets of the keyed state; fixed once the state is there.
+    buckets: int = 64
 
     def __post_init__(self) -> None:
         s, r = self.spark, self.root
         self.events = Batches(s, f"{r}/events", ENVELOPE, week="received_at")
         self.dead = Batches(s, f"{r}/dead", DEAD)
-        self.nodes = Batches(s, f"{r}/nodes", NODES)
+        self.nodes = Batches(s, f"{r}/nodes", NODES, keys=["tenant_id", "node_id"], count=self.buckets)
         self.feed = Batches(s, f"{r}/changes", CHANGES)
         self.tasks = Batches(s, f"{r}/tasks", TASKS)
         if self.consent is None:
             self.consent = s.createDataFrame([], CONSENT)
         self.merged = Snapshot(s, f"{r}/merged", MERGED)
-        self.state = Snapshot(s, f"{r}/membership", membership.STATE)
-        self.profiles = Snapshot(s, f"{r}/profiles", profiles.PARTIAL)
-        self.pending = Snapshot(s, f"{r}/pending", PENDING)
+        self.state = Buckets(s, f"{r}/membership", membership.STATE, list(KEYS), self.buckets)
+        self.profiles = Buckets(s, f"{r}/profiles", profiles.PARTIAL, ["tenant_id", "cluster_id"], self.buckets)
+        self.slices = Buckets(s, f"{r}/slices", slices.SLICES, list(KEYS), self.buckets)
+        self.pending = Buckets(s, f"{r}/pending", PENDING, list(KEYS), self.buckets)
+        rules = list(self.rules.values())
+        self.sliced_names, self.sliced_span = slices.needs(rules)
+        #: What needs the events themselves.
+        self.deep = [b for b in leaves(rules) if not sliceable(b)]
 
     def redirected(self, rows: DataFrame) -> DataFrame:
         """Rows with the surviving cluster in ``cluster_id``."""
-        out = rows.join(self.merged.read(), ["tenant_id", "cluster_id"], "left")
+        return self._led(rows, self.merged.read())
+
+    def _led(self, rows: DataFrame, merged: DataFrame) -> DataFrame:
+        out = rows.join(merged, ["tenant_id", "cluster_id"], "left")
         return out.withColumn("cluster_id", F.coalesce("survivor_id", "cluster_id")).drop("survivor_id")
 
-    def _resolve(self, fresh: DataFrame, batch: int) -> DataFrame:
-        """Events of the batch with clusters; stores new nodes and merges."""
+    def _resolve(self, fresh: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
+        """(events of the batch with clusters, clusters that merged into others); stores new nodes and merges."""
         ids = checkpointed(identity.extract(fresh))
         order = F.struct("received_at", "event_id")
         touched = ids.select("tenant_id", "node_id").distinct()
-        known = self.redirected(self.nodes.read(but=batch).join(touched, ["tenant_id", "node_id"], "left_semi"))
+        stored = self.nodes.read(but=batch, buckets=self.nodes.numbers(touched))
+        known = self._led(stored.join(touched, ["tenant_id", "node_id"], "left_semi"), self.merged.read(but=batch))
         known = checkpointed(known.select("tenant_id", "node_id", "cluster_id", "created_at"))
         per_event = ids.groupBy("tenant_id", "event_id").agg(F.min("node_id").alias("a"), F.collect_set("node_id").alias("all"))
         star = per_event.select("a", F.explode("all").alias("b"))
@@ -110,31 +129,29 @@ class Pipeline:
         losers = checkpointed(losers)
         if not losers.isEmpty():
             again = losers.select("tenant_id", F.col("cluster_id").alias("survivor_id"), F.col("survivor_id").alias("_new"))
-            kept = self.merged.read().join(again, ["tenant_id", "survivor_id"], "left").select(
+            kept = self.merged.read(but=batch).join(again, ["tenant_id", "survivor_id"], "left").select(
                 "tenant_id", "cluster_id", F.coalesce("_new", "survivor_id").alias("survivor_id")
             )
-            self.merged.replace(kept.unionByName(losers).dropDuplicates(["tenant_id", "cluster_id"]))
+            self.merged.replace(kept.unionByName(losers).dropDuplicates(["tenant_id", "cluster_id"]), batch=batch)
         new = identity.nodes(ids).join(known.select("tenant_id", "node_id").distinct(), ["tenant_id", "node_id"], "left_anti")
         self.nodes.write(batch, new.join(owner.drop("root"), ["tenant_id", "node_id"]))
         mine = per_event.select("tenant_id", "event_id", F.col("a").alias("node_id")).join(owner, ["tenant_id", "node_id"])
-        return fresh.join(mine.select("tenant_id", "event_id", "cluster_id"), ["tenant_id", "event_id"], "left")
+        return fresh.join(mine.select("tenant_id", "event_id", "cluster_id"), ["tenant_id", "event_id"], "left"), losers
 
     def _since(self, at: dt.datetime) -> Column | None:
-        """The time that the rules' windows reach back to at ``at``; None where a rule sees everything."""
-        bound = scan_bound(leaves(list(self.rules.values())), at)
+        """The time that the windows of ``deep`` leaves reach back to at ``at``; None where one sees everything."""
+        bound = scan_bound(self.deep, at)
         return None if bound is None else F.timestamp_micros(F.lit(bound))
 
-    def population(self, at: dt.datetime, touched: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(profiles, the behavioural log that the rules need at ``at``), of all or only of touched (tenant_id, cluster_id)."""
-        states = self.redirected(self.profiles.read())
-        # What occurred in a window arrived no earlier than it begins.
-        events = self.redirected(self.events.read(since=self._since(at)).filter("cluster_id is not null"))
+    def people(self, touched: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The profiles, all or only of touched (tenant_id, cluster_id) in these buckets."""
+        states = self.redirected(self.profiles.read(buckets))
         if touched is not None:
-            states, events = (df.join(touched, ["tenant_id", "cluster_id"], "left_semi") for df in (states, events))
+            states = states.join(touched, ["tenant_id", "cluster_id"], "left_semi")
         folded = profiles.folded(profiles.merged(states))
         traits = F.struct(*(F.col(f"trait_{t}").alias(t) for t in profiles.TRAITS))
         computed = F.struct("total_events", "total_orders", *profiles.LAST)
-        people = folded.select(
+        return folded.select(
             "tenant_id",
             F.col("cluster_id").alias("profile_id"),
             F.concat(F.lit("customer_"), F.substring("cluster_id", 3, 1_000)).alias("canonical_user_id"),
@@ -143,51 +160,95 @@ class Pipeline:
             "first_seen_at",
             "last_seen_at",
         )
+
+    def log(self, since: Column | None, touched: DataFrame | None = None) -> DataFrame:
+        """The behavioural log of the events that arrived since then, of all or only of touched profiles."""
+        # What occurred in a window arrived no earlier than it begins.
+        events = self.redirected(self.events.read(since=since).filter("cluster_id is not null"))
+        if touched is not None:
+            events = events.join(touched, ["tenant_id", "cluster_id"], "left_semi")
         rows = events.withColumns({"profile_id": F.col("cluster_id"), "props": F.col("properties")})
-        return people, behavior.record(rows, self.consent)
+        return behavior.record(rows, self.consent)
+
+    def _slice(self, mine: DataFrame, at: dt.datetime, batch: int, buckets: list[int]) -> None:
+        """Merge the slices of a batch's events into the state; build it from the stored events where it doesn't cover the rules."""
+        note = self.slices.note(but=batch)
+        newest = max(micros(at), note.get("at", micros(at)))
+        oldest = newest - self.sliced_span - SLACK
+        whole = not (self.sliced_names <= set(note.get("names", ())) and self.sliced_span <= note.get("span", -1))
+        if whole:
+            made = slices.sliced(self.log(F.timestamp_micros(F.lit(oldest))), self.sliced_names)
+        else:
+            rows = mine.withColumns({"profile_id": F.col("cluster_id"), "props": F.col("properties")})
+            fresh = slices.sliced(behavior.record(rows, self.consent), self.sliced_names)
+            held = self.slices.read(buckets, but=batch).unionByName(fresh).withColumnRenamed("profile_id", "cluster_id")
+            made = slices.merged(self.redirected(held).withColumnRenamed("cluster_id", "profile_id"))
+        kept = made.filter(F.col("last_at") >= F.timestamp_micros(F.lit(oldest)))
+        note = {"names": sorted(self.sliced_names), "span": self.sliced_span, "at": newest}
+        self.slices.update(kept, None if whole else buckets, batch=batch, note=note)
+
+    def _slices(self, at: dt.datetime, touched: DataFrame | None, buckets: list[int] | None) -> DataFrame:
+        """The slices that the rules need at ``at``: stored ones, or made from events for an instant long before the newest."""
+        note = self.slices.note()
+        covered = self.sliced_names <= set(note.get("names", ())) and self.sliced_span <= note.get("span", -1)
+        if covered and micros(at) >= note["at"] - SLACK:
+            rows = self.slices.read(buckets)
+            if touched is not None:
+                rows = rows.join(touched.withColumnRenamed("cluster_id", "profile_id"), list(KEYS), "left_semi")
+            return rows
+        since = F.timestamp_micros(F.lit(micros(at) - self.sliced_span))
+        return slices.sliced(self.log(since, touched), self.sliced_names)
 
     def _judged(self, made: DataFrame, batch: int) -> DataFrame:
-        """Readable events with their verdict, against each other and what is stored."""
-        good = ingest.verdicts(made.filter("error is null"))
-        first = made.agg(F.min("received_at")).first()[0]
-        if first is None:
-            return good
-        recent = self.events.read(but=batch, since=moment(first, -DEDUPE_DAYS * 86_400_000_000))
-        stored = recent.select("tenant_id", "event_id", F.col("payload_hash").alias("_stored"))
-        same = F.col("payload_hash") == F.col("_stored")
-        verdict = F.when(F.col("_stored").isNull(), F.col("verdict")).when(same, "duplicate").otherwise("conflict")
-        return good.join(stored, ["tenant_id", "event_id"], "left").withColumn("verdict", verdict).drop("_stored")
+        """The events of a batch with the hash that their id was stored with before, from all stored events."""
+        stored = self.events.read(but=batch).select("tenant_id", "event_id", F.col("payload_hash").alias("stored_hash"))
+        return made.join(stored, ["tenant_id", "event_id"], "left")
 
     def absorb(self, requests: DataFrame, batch: int, at: dt.datetime | None = None) -> None:
-        """One micro-batch.  ``at`` is the evaluation instant; by default the latest arrival."""
-        made = readers.single_events(requests).unionByName(readers.batch_events(requests), allowMissingColumns=True)
-        made = checkpointed(made)
-        judged = checkpointed(self._judged(made, batch))
+        """One micro-batch of requests.  ``at`` is the evaluation instant; by default the latest arrival."""
+        self._take(checkpointed(self._judged(checkpointed(state.envelopes(requests)), batch)), batch, at)
+
+    def _take(self, made: DataFrame, batch: int, at: dt.datetime | None = None) -> None:
+        """The events of a batch, each with ``stored_hash``."""
+        same = F.col("payload_hash") == F.col("stored_hash")
+        verdict = F.when(F.col("stored_hash").isNull(), F.col("verdict")).when(same, "duplicate").otherwise("conflict")
+        judged = checkpointed(ingest.verdicts(made.filter("error is null")).withColumn("verdict", verdict))
         letters = [x.split()[0] for x in DEAD.split(", ")]
         reused = judged.filter("verdict = 'conflict'").withColumn("error", F.lit("event_id: used before with other content"))
         self.dead.write(batch, made.filter("error is not null").select(*letters).unionByName(reused.select(*letters)))
         fresh = checkpointed(judged.filter("verdict = 'accepted'").select(*_ENVELOPE[:-1]))
         if fresh.isEmpty():
             return
-        resolved = checkpointed(self._resolve(fresh, batch).select(*_ENVELOPE))
+        at = at or fresh.agg(F.max("received_at")).first()[0]
+        resolved, losers = self._resolve(fresh, batch)
+        resolved = checkpointed(resolved.select(*_ENVELOPE))
         self.events.write(batch, resolved)
         mine = resolved.filter("cluster_id is not null")
+        touched = checkpointed(self.redirected(mine.select("tenant_id", "cluster_id")).distinct())
+        buckets = self.profiles.numbers(touched.unionByName(losers.select("tenant_id", "cluster_id")))
         seen = profiles.observed(mine).join(mine.select("tenant_id", "event_id", "cluster_id"), ["tenant_id", "event_id"])
-        states = self.profiles.read(but=batch).unionByName(profiles.partial(seen))
-        self.profiles.replace(profiles.merged(self.redirected(states)), batch=batch)
-        touched = self.redirected(mine.select("tenant_id", "cluster_id")).distinct()
-        self.evaluate(at or fresh.agg(F.max("received_at")).first()[0], batch, checkpointed(touched))
-
-    def evaluate(self, at: dt.datetime, batch: int, touched: DataFrame | None = None) -> None:
-        """Evaluate every rule at ``at`` for the touched profiles, or all; append what changed to the feed, store new deadlines."""
-        people, log = self.population(at, touched)
-        people, log = checkpointed(people), checkpointed(log)
-        verdicts = evaluate(people, log, self.rules, at)
+        states = self.profiles.read(buckets, but=batch).unionByName(profiles.partial(seen))
+        self.profiles.update(profiles.merged(self.redirected(states)), buckets, batch=batch)
+        self._slice(mine, at, batch, buckets)
+        self.evaluate(at, batch, touched, buckets)
+
+    def evaluate(self, at: dt.datetime, batch: int, touched: DataFrame | None = None, buckets: list[int] | None = None) -> None:
+        """Evaluate every rule at ``at`` for the touched profiles, or all; append what changed to the feed, store new deadlines.
+
+        ``buckets`` are those of the touched profiles and of the ones that merged into them.
+        """
+        if touched is not None and buckets is None:
+            buckets = self.profiles.numbers(touched)
+        people = checkpointed(self.people(touched, buckets))
+        parts = checkpointed(self._slices(at, touched, buckets))
+        empty = self.spark.createDataFrame([], LOG)
+        log = checkpointed(self.log(self._since(at), touched)) if self.deep else empty
+        verdicts = evaluate(people, log, self.rules, at, slices=parts)
         flat = F.array(*(F.struct(F.lit(n).alias("segment_id"), F.col(n).alias("matched")) for n in self.rules))
         rows = verdicts.select(*KEYS, F.inline(flat))
         # A profile that merged into another leaves its segments.
         merged = self.merged.read().select("tenant_id", F.col("cluster_id").alias("profile_id"))
-        before = self.state.read(but=batch)
+        before = self.state.read(buckets, but=batch)
         gone = before.join(merged, list(KEYS), "left_semi").select(*membership.KEYS, F.lit(False).alias("matched"))
         ahead = checkpointed(membership.advance(before, rows.unionByName(gone), at))
         feed = membership.changes(ahead)
@@ -195,15 +256,16 @@ class Pipeline:
         if self.subscriptions is not None and self.destinations is not None:
             made = activation.tasks(feed, self.subscriptions, self.destinations, people, self.consent)
             self.tasks.write(batch, made.select(*(x.split()[0] for x in TASKS.split(", "))))
-        self.state.replace(membership.state_of(ahead), batch=batch)
-        self._arm(people, log, merged, at, batch)
+        self.state.update(membership.state_of(ahead), buckets, batch=batch)
+        self._arm(people, parts, merged, at, batch, buckets)
 
-    def _arm(self, people: DataFrame, log: DataFrame, merged: DataFrame, at: dt.datetime, batch: int) -> None:
+    def _arm(self, people: DataFrame, parts: DataFrame, merged: DataFrame, at: dt.datetime, batch: int, buckets: list[int] | None) -> None:
         """Replace the deadlines of the evaluated profiles, and drop those of merged ones."""
-        stored = self.pending.read(but=batch)
+        stored = self.pending.read(buckets, but=batch)
         planned = None
+        recent = slices.newest(parts, at, deadlines.depth(list(self.rules.values()))[2])
         for name, rule in self.rules.items():
-            rows = deadlines.next_due(log, rule, at).withColumn("segment_id", F.lit(name))
+            rows = deadlines.next_due(recent, rule, at).withColumn("segment_id", F.lit(name))
             planned = rows if planned is None else planned.unionByName(rows)
         kept = stored.join(people.select(*KEYS), list(KEYS), "left_anti").join(merged, list(KEYS), "left_anti")
         columns = [x.split()[0] for x in PENDING.split(", ")]
@@ -211,7 +273,7 @@ class Pipeline:
             # A deadline that moved by less than the slack stays, if it is still to come.
             ahead = stored.filter(F.col("due_at") > moment(at)).withColumn("parked_at", F.lit(None).cast("timestamp"))
             kept = kept.select(*columns).unionByName(deadlines.coalesced(ahead, planned).select(*columns))
-        self.pending.replace(kept.select(*columns), batch=batch)
+        self.pending.update(kept.select(*columns), buckets, batch=batch)
 
     def sweep(self, at: dt.datetime, everyone: bool = False) -> None:
         """Evaluate without events what only time changes: the profiles with a deadline before ``at``, or all.
@@ -228,10 +290,18 @@ class Pipeline:
         return self.pending.read()
 
     def start(self, landing: str, checkpoint: str, files_per_trigger: int = 100):
-        """Drain what has landed, in bounded batches, and stop; run again for more."""
+        """Drain what has landed, in bounded batches, and stop; run again for more.
+
+        The session needs the RocksDB state store.  The ids of events that were stored
+        before the stream's first batch are its initial state; batches absorbed without
+        the stream have other numbers than its own, from 0 on.
+        """
         stream = readers.landed_stream(self.spark, landing, files_per_trigger)
+        # A repeated first batch must not remember what its first run stored.
+        known = self.events.read(but=0).select("tenant_id", "event_id", "payload_hash")
+        judged = state.remembered(state.envelopes(stream), known)
         return (
-            stream.writeStream.foreachBatch(lambda df, batch: self.absorb(df, batch))
+            judged.writeStream.foreachBatch(lambda df, batch: self._take(checkpointed(df), batch))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()

@@ -49,7 +49,7 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     tenants = ("t0", "t1")
     subs = spark.createDataFrame([(t, "x", "d", "viewers", "active") for t in tenants], "tenant_id string, subscription_id string, destination_id string, segment_id string, status string")
     dests = spark.createDataFrame([(t, "d", "webhook", "active", "{}") for t in tenants], "tenant_id string, destination_id string, type string, status string, config string")
-    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES, subs, dests)
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES, subs, dests, buckets=4)
     work.start(f"file://{landing}", f"file://{tmp_path}/ckpt", files_per_trigger=1).awaitTermination()
     end = AT + dt.timedelta(hours=100)
     work.sweep(end)
@@ -118,7 +118,7 @@ def _track(i, event_id, **body):
 def test_a_failed_batch_runs_again_without_loss(spark, tmp_path):
     rows = [_track(i, f"e{i}") for i in range(20)]
     _land(tmp_path / "in", "a.json", rows)
-    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES)
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES, buckets=4)
     whole = work._arm
     work._arm = lambda *_: 1 / 0  # after events, profiles, feed and memberships are stored
     with pytest.raises(StreamingQueryException):
@@ -136,7 +136,7 @@ def test_dead_letters_keep_their_body(spark, tmp_path):
     rows = [_track(1, "a"), {**_track(2, "a"), "body": _track(1, "a")["body"]}, _track(3, "a", event_name="other"), {**_track(4, ""), "body": "{broken"}]
     rows += [{**_track(5 + k, ""), "endpoint": "batch", "body": body} for k, body in enumerate((many, "[no", json.dumps({"events": [{"event_id": "b", "event_name": "view", "user_id": "u"}, 7]})))]
     _land(tmp_path / "in", "a.json", rows)
-    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES)
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES, buckets=4)
     work.absorb(readers.landed(spark, f"file://{tmp_path}/in"), 0)
     dead = {r.raw: r.error for r in work.dead.read().collect()}
     assert dead[many] == "too many events" and dead["[no"] == "batch requires events" and "{broken" in dead and len(dead) == 5
@@ -145,14 +145,127 @@ def test_dead_letters_keep_their_body(spark, tmp_path):
     assert work.dead.read(only=1).count() == 1 and work.events.read().count() == 2
 
 
+FILTERED = {"filtered": parse({"behavior": {"kind": "count", "event_name": "view", "window": "2d", "op": "gte", "value": 2, "where": {"field": "event.properties.x", "op": "exists"}}})}
+
+
 def test_a_batch_reads_only_the_weeks_of_its_windows(spark, tmp_path):
-    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES)
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", FILTERED, buckets=4)
     for week in range(4):
         shift = dt.timedelta(weeks=week)
         rows = [("t", "s", "track", AT + shift, week * 10 + i, json.dumps({"event_id": f"w{week}e{i}", "event_name": "view", "user_id": f"u{i}"})) for i in range(6)]
         work.absorb(spark.createDataFrame(rows, readers.LANDED), week)
-        people, log = work.population(AT + shift)
-        assert log.count() == 6 and people.count() == 6
+        assert work.log(work._since(AT + shift)).count() == 6 and work.people().count() == 6
         plan = work.events.read(since=work._since(AT + shift))._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(week" in plan and "(week#" in plan
     assert profiles.folded(work.profiles.read()).agg(F.sum("total_events")).first()[0] == 24
+
+
+SLICED = {
+    "often": parse({"behavior": {"kind": "count", "event_name": "view", "window": "5h", "op": "gte", "value": 3}}),
+    "once": parse({"behavior": {"kind": "count", "event_name": "buy", "window": "90m", "op": "eq", "value": 1}}),
+    "recent": parse({"behavior": {"kind": "recency", "event_name": "view", "window": "100m"}}),
+    "away": parse({"behavior": {"kind": "absence", "event_name": "buy", "window": "4h"}}),
+}
+
+
+def test_batches_neither_read_old_events_nor_rewrite_untouched_profiles(spark, tmp_path):
+    """Random logs with merging clusters: slices give what all events give, and a batch's work doesn't grow."""
+    rng = random.Random(11)
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", SLICED, buckets=8)
+    everyone, n, sizes, reads = 40, 0, [], []
+    read = work.events.read
+
+    def counted(*args, **kwargs):
+        reads.append((args, kwargs))
+        return read(*args, **kwargs)
+
+    for batch in range(4):
+        rows = []
+        people = range(everyone) if batch == 0 else rng.sample(range(everyone), 3)
+        for u in people:
+            for _ in range(3):
+                ids = {"device_id": f"d{u}"} | ({"user_id": f"u{u // 2}"} if batch > 1 and rng.random() < 0.5 else {})
+                body = {"event_id": f"e{n}", "event_name": rng.choice(["view", "view", "buy", "other"]), **ids}
+                rows.append(("t", "s", "track", AT + dt.timedelta(minutes=37 * batch + n % 30), n, json.dumps(body)))
+                n += 1
+        work.events.read = counted
+        reads.clear()
+        made = pipeline.state.envelopes(spark.createDataFrame(rows, readers.LANDED)).withColumn("stored_hash", F.lit(None).cast("string"))
+        before = {f for f in tmp_path.rglob("*.parquet")}
+        work._take(pipeline.checkpointed(made), batch)
+        work.events.read = read
+        assert not reads or batch == 0  # the first batch builds the slices
+        sizes.append(sum(f.stat().st_size for name in ("profiles", "slices", "membership", "pending") for f in (tmp_path / "state" / name).rglob("*.parquet") if f not in before))
+        at = max(r[3] for r in rows)
+        clusters = {r.cluster_id for r in work.profiles.read().collect()}
+        touched = {c for (c,) in work.redirected(work.events.read(only=batch)).select("cluster_id").distinct().collect()}
+        state = {(r.segment_id, r.profile_id): r.status for r in work.state.read().collect()}
+        want = evaluate(work.people(), work.log(None), SLICED, at).collect()
+        assert {r.profile_id for r in want} == clusters
+        for r in want:
+            if r.profile_id in touched:
+                assert all((state.get((k, r.profile_id)) == "active") == r[k] for k in SLICED)
+        assert not any(s == "active" and p not in clusters for (_, p), s in state.items())
+        log = work.log(None)
+        due = {(r.segment_id, r.profile_id): r.due_at for r in work.due().collect()}
+        for k, rule in SLICED.items():
+            planned = {r.profile_id: r.due_at for r in deadlines.next_due(log, rule, at).collect() if r.profile_id in touched}
+            mine = {p: d for (s, p), d in due.items() if s == k and p in touched and d > at}
+            # A deadline that moves by a minute or less stays.
+            assert mine.keys() == planned.keys() and all(abs(mine[p] - planned[p]) <= dt.timedelta(seconds=60) for p in planned)
+    assert max(sizes[1:]) < 0.6 * sizes[0]
+    work.rules = work.rules | {"wide": parse({"behavior": {"kind": "count", "event_name": "other", "window": "3d", "op": "gte", "value": 1}})}
+    work.__post_init__()
+    late = AT + dt.timedelta(hours=9)
+    work.sweep(late, everyone=True)  # slices don't cover the new rule: it is read from the events
+    got = {(r.segment_id, r.profile_id) for r in work.state.read().filter("status = 'active'").collect()}
+    want = evaluate(work.people(), work.log(None), work.rules, late).collect()
+    assert got == {(k, r.profile_id) for r in want for k in work.rules if r[k]}
+
+
+def test_a_stream_remembers_ids_at_any_age(spark, tmp_path):
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES, buckets=4)
+    early = _track(1, "early")
+    work.absorb(spark.createDataFrame([("t", "s", "track", AT, 1, early["body"])], readers.LANDED), 1000)
+    later = (AT + dt.timedelta(days=400)).isoformat() + "Z"
+    files = [
+        [early, _track(2, "a"), _track(3, "a", event_name="other"), {**_track(4, "x"), "body": "{broken"}],
+        [{**_track(5, "a"), "received_at": later}, {**_track(6, "a"), "received_at": later, "body": _track(2, "a")["body"]}, {**_track(2, "b"), "received_at": later}],
+        [{**_track(7, "a", event_name="third"), "received_at": later}],
+    ]
+    for k, rows in enumerate(files):
+        _land(tmp_path / "in", f"{k}.json", rows)
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    reads = []
+    read = work.events.read
+    work.events.read = lambda *a, **k: reads.append(k) or read(*a, **k)
+    work.start(f"file://{tmp_path}/in", f"file://{tmp_path}/ckpt", files_per_trigger=1).awaitTermination()
+    assert all(k.get("since") is not None or k.get("but") == 0 for k in reads)
+    assert sorted(r.event_id for r in read().collect()) == ["a", "b", "early"]
+    dead = sorted((r.error.split(":")[0], json.loads(r.raw)["event_name"] if "{broken" not in r.raw else "") for r in work.dead.read().collect())
+    assert [e for e, _ in dead].count("event_id") == 3 and len(dead) == 4
+
+
+def test_bucketed_state_keeps_versions_and_other_buckets(spark, tmp_path):
+    from meridia.sources.storage import Buckets
+
+    table = Buckets(spark, f"file://{tmp_path}/b", "k string, v long", ["k"], 5)
+    assert table.read().count() == 0 and table.note() == {}
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v long")
+    table.update(rows, None, batch=0, note={"x": 1})
+    mine = table.numbers(spark.createDataFrame([("k1",), ("k2",)], "k string"))
+    part = table.read(mine)
+    names = {r.k for r in part.collect()}
+    assert {"k1", "k2"} <= names and len(names) < 50
+    for run in range(3):  # a batch that is repeated starts from the state before it
+        table.update(table.read(mine, but=1).withColumn("v", F.col("v") + 100), mine, batch=1)
+    got = {r.k: r.v for r in table.read().collect()}
+    assert got == {f"k{i}": i + 100 * (f"k{i}" in names) for i in range(50)}
+    assert {r.k: r.v for r in table.read(but=1).collect()} == {f"k{i}": i for i in range(50)} and table.note(but=1) == {"x": 1}
+    with pytest.raises(ValueError):
+        table.update(rows, mine[:1], batch=2)
+    table.update(spark.createDataFrame([], "k string, v long"), mine, batch=3)
+    assert {r.k for r in table.read().collect()} == set(got) - names
+    table.update(table.read(), None, batch=4)
+    table.update(table.read(), None, batch=5)
+    assert len(list((tmp_path / "b" / "_versions").glob("[0-9]*"))) == 2
