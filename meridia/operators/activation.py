@@ -7,11 +7,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAX_ATTEMPTS, idempotency_key, retry_delay_seconds
 from ..plans.compiler import moment
+from .prefix import recent
 
 #: HTTP statuses worth a retry.
 RETRYABLE = (408, 429, 500, 502, 503, 504)
@@ -174,10 +175,9 @@ def breaker(attempts: DataFrame) -> DataFrame:
 
 
 def hot_destinations(deliveries: DataFrame) -> DataFrame:
-    """Failures of the last WINDOW_SECONDS before each failed delivery, by a range window."""
-    w = Window.partitionBy("destination_id").orderBy(F.col("_us")).rangeBetween(-(WINDOW_SECONDS * 1_000_000 - 1), 0)
+    """Failures of the last WINDOW_SECONDS before each failed delivery; a destination's failures are counted in slices of time."""
     failed = deliveries.filter("not success").withColumn("_us", F.unix_micros("sent_at"))
-    return failed.withColumn("recent_failures", F.count(F.lit(1)).over(w)).drop("_us")
+    return recent(failed, ["destination_id"], "_us", WINDOW_SECONDS * 1_000_000, "recent_failures").drop("_us")
 
 
 def destination_error(kind: str, config: dict) -> str | None:

@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.scalars import identity_hash
 from .identity import Clusters
+from .prefix import before
 
 #: The traits and event names that profiles know.
 TRAITS = ("email", "phone", "name", "country")
@@ -185,28 +186,38 @@ def exact_fold(ordered: DataFrame) -> DataFrame:
 
 
 def changed_fields(seen: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(tenant_id, event_id, changed): the fields that each event changed on its profile."""
+    """(tenant_id, event_id, cluster_id, changed): the fields that each event changed on its profile, by a two-level scan of its events."""
     rows = seen.join(clusters, ["tenant_id", "event_id"])
-    before = Window.partitionBy("tenant_id", "cluster_id").orderBy("received_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = {f"held_{c}": ("last", F.nullif(F.col(c), F.lit(""))) for c in _TEXTS}
+    held |= {"held_first": ("min", F.col("timestamp")), "held_last": ("max", F.col("timestamp"))}
+    rows = before(rows, ["tenant_id", "cluster_id"], ["received_at", "event_id"], held)
 
     def text(c: str, path: str) -> Column:
-        held = F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(before)
-        return F.when((F.col(c) != "") & ~F.col(c).eqNullSafe(held), F.lit(path))
+        return F.when((F.col(c) != "") & ~F.col(c).eqNullSafe(F.col(f"held_{c}")), F.lit(path))
 
-    first, last = F.min("timestamp").over(before), F.max("timestamp").over(before)
     parts = [
         *(text(f"trait_{t}", f"traits.{t}") for t in TRAITS),
         F.lit("computed_attributes.total_events"),
         *(text(c, f"computed_attributes.{c}") for c in LAST),
         F.when(F.col("is_order"), F.lit("computed_attributes.total_orders")),
         F.when(F.col("is_order"), F.lit("computed_attributes.last_order_at")),
-        F.when(first.isNull() | (F.col("timestamp") < first), F.lit("first_seen_at")),
-        F.when(last.isNull() | (F.col("timestamp") > last), F.lit("last_seen_at")),
+        F.when(F.col("held_first").isNull() | (F.col("timestamp") < F.col("held_first")), F.lit("first_seen_at")),
+        F.when(F.col("held_last").isNull() | (F.col("timestamp") > F.col("held_last")), F.lit("last_seen_at")),
     ]
     changed = F.filter(F.array(*parts), lambda x: x.isNotNull())
     return rows.select("tenant_id", "event_id", "cluster_id", changed.alias("changed"))
 
 
+def by_canonical_id(people: DataFrame, tenant: str, canonical_user_id: str) -> DataFrame:
+    """The profile with a canonical user id, in one tenant."""
+    return people.filter((F.col("tenant_id") == tenant) & (F.col("canonical_user_id") == canonical_user_id))
+
+
+def by_id(people: DataFrame, tenant: str, profile_id: str) -> DataFrame:
+    """The profile with an id, in one tenant."""
+    return people.filter((F.col("tenant_id") == tenant) & (F.col("profile_id") == profile_id))
+
+
 def lookup(profiles: DataFrame, members: DataFrame, tenant: str, namespace: str, value: str, limit: int = 100) -> DataFrame:
     """Profiles that ever had an identifier, or have it as a trait; newest first.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import activation, deadlines, governance, identity, ingest, journeys, membership, metrics, ops, profiles
+from ..operators import activation, deadlines, governance, identity, ingest, journeys, membership, metrics, ops, profiles, relay
 from . import fixtures
 from .compiler import evaluate, evaluate_rows, in_window, moment
 from .fixtures import AT, AT_SQL, LATER, LATER_SQL, ntz, with_sql
@@ -367,16 +367,40 @@ def exact_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add(
     "profile_changed_fields",
     with_sql(
-        """SELECT tenant_id, cluster_id, count(*) AS events, count(*) FILTER (rn = 1) AS first_events FROM (
-  SELECT *, row_number() OVER (PARTITION BY tenant_id, cluster_id ORDER BY ts, event_id) AS rn FROM evc) GROUP BY ALL""",
+        """SELECT tenant_id, event_id, cluster_id, concat_ws(',',
+  CASE WHEN email IS NOT NULL AND email IS DISTINCT FROM last_value(email IGNORE NULLS) OVER w THEN 'traits.email' END,
+  CASE WHEN name IS DISTINCT FROM last_value(name IGNORE NULLS) OVER w THEN 'traits.name' END,
+  CASE WHEN country IS NOT NULL AND country IS DISTINCT FROM last_value(country IGNORE NULLS) OVER w THEN 'traits.country' END,
+  'computed_attributes.total_events',
+  CASE WHEN event_type IS DISTINCT FROM last_value(event_type) OVER w THEN 'computed_attributes.last_event_name' END,
+  CASE WHEN source IS DISTINCT FROM last_value(source) OVER w THEN 'computed_attributes.last_source_id' END,
+  CASE WHEN url IS DISTINCT FROM last_value(url) OVER w THEN 'computed_attributes.last_page_url' END,
+  CASE WHEN event_type = 'purchase' THEN 'computed_attributes.total_orders,computed_attributes.last_order_at' END,
+  CASE WHEN coalesce(ts < min(ts) OVER w, true) THEN 'first_seen_at' END,
+  CASE WHEN coalesce(ts > max(ts) OVER w, true) THEN 'last_seen_at' END) AS changed
+FROM (SELECT *, CASE WHEN n % 7 = 0 THEN 'user' || user_id || '@example.com' END AS email, 'N' || user_id AS name,
+  CASE WHEN n % 4 = 0 THEN 'VN' END AS country, 's' || (user_id % 3) AS source, 'https://x/' || (n % 9) AS url FROM evc)
+WINDOW w AS (PARTITION BY tenant_id, cluster_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
         _ID,
     ),
 )
 def _changed(spark, sf_dir):
     ids, members = _resolved(spark, sf_dir)
     rows = profiles.changed_fields(profiles.observed(envelopes(spark, sf_dir), **_FOLD), identity.event_clusters(ids, members))
-    first = F.count_if(F.array_contains("changed", "first_seen_at"))
-    return rows.groupBy("tenant_id", "cluster_id").agg(F.count(F.lit(1)).alias("events"), first.alias("first_events"))
+    return rows.withColumn("changed", F.array_join("changed", ","))
+
+
+@_add(
+    "profile_by_id",
+    with_sql("SELECT 'id' AS found_by, tenant_id, profile_id, canonical_user_id, name FROM prof WHERE profile_id = 'p8' UNION ALL SELECT 'canonical_id', tenant_id, profile_id, canonical_user_id, name FROM prof WHERE canonical_user_id = 'customer_9'"),
+)
+def _by_id(spark, sf_dir):
+    """Point reads of two profiles, asked of every tenant: only their own finds them."""
+    people = fixtures.profiles(spark, sf_dir)
+    found = [profiles.by_id(people, t, "p8").withColumn("found_by", F.lit("id")) for t in _TENANTS]
+    found += [profiles.by_canonical_id(people, t, "customer_9").withColumn("found_by", F.lit("canonical_id")) for t in _TENANTS]
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.select("found_by", "tenant_id", "profile_id", "canonical_user_id", F.get_json_object("traits", "$.name").alias("name"))
 
 
 @_add(
@@ -636,13 +660,13 @@ def _backoff(spark, sf_dir):
     with_sql(
         f"""SELECT idempotency_key, next_attempt_at FROM (SELECT event_id AS idempotency_key,
   CASE WHEN n % 8 IN (1, 2, 7) AND n % 6 + 1 < 5 THEN {AT_SQL} + to_seconds(least(900, 10 * (1 << (n % 6)))) END AS next_attempt_at, n % 8 = 6 AS fresh
-  FROM (SELECT *, cast(substr(event_id, 2) AS BIGINT) AS n FROM log) WHERE n % 5 = 0) WHERE fresh OR next_attempt_at <= {AT_SQL} + to_seconds(40)
+  FROM (SELECT *, cast(substr(event_id, 2) AS BIGINT) AS n FROM log)) WHERE fresh OR next_attempt_at <= {AT_SQL} + to_seconds(40)
   ORDER BY next_attempt_at NULLS FIRST, idempotency_key LIMIT 1000"""
     ),
 )
 def _due_tasks(spark, sf_dir):
     """Tasks some time after a round of sends: never sent ones, retries that are due, later retries and ended ones."""
-    sent = activation.after_send(_sends(spark, sf_dir).filter("seq % 5 = 0"), AT).withColumn("idempotency_key", F.col("task_id"))
+    sent = activation.after_send(_sends(spark, sf_dir), AT).withColumn("idempotency_key", F.col("task_id"))
     fresh = F.col("seq") % 8 == 6
     rows = sent.withColumns({"status": F.when(fresh, "pending").otherwise(F.col("status")), "next_attempt_at": F.when(~fresh, F.col("next_attempt_at"))})
     return ntz(activation.due(rows, AT + dt.timedelta(seconds=40), 1000).select("idempotency_key", "next_attempt_at"))
@@ -669,6 +693,45 @@ def _failures(spark, sf_dir):
     return activation.hot_destinations(_sends(spark, sf_dir).withColumn("success", ok)).select("task_id", "recent_failures")
 
 
+_OUTBOX = "SELECT event_id AS id, tenant_id, profile_id, occurred_at AS created_at, cast(substr(event_id, 2) AS BIGINT) AS n FROM log"
+
+
+def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log rows as an outbox."""
+    rows = fixtures.behavior_log(spark, sf_dir)
+    return rows.select(
+        F.col("event_id").alias("id"), "tenant_id", "profile_id", F.col("occurred_at").alias("created_at"), F.substring("event_id", 2, 20).cast("long").alias("n")
+    )
+
+
+@_add(
+    "relay_prefix",
+    with_sql(
+        f"""SELECT id, CASE WHEN stop IS NULL OR {{'t': created_at, 'i': id}} < stop THEN 'published' ELSE 'pending' END AS status FROM (
+  SELECT *, min(CASE WHEN n % 11 = 3 THEN {{'t': created_at, 'i': id}} END) OVER (PARTITION BY tenant_id, profile_id) AS stop FROM ({_OUTBOX}))"""
+    ),
+)
+def _relay(spark, sf_dir):
+    """Sends of which some fail: of each profile, what was sent before its first failure is published, the rest waits."""
+    rows = _outbox(spark, sf_dir).withColumn("ok", F.col("n") % 11 != 3)
+    return relay.committed(rows, ["tenant_id", "profile_id"]).select("id", "status")
+
+
+@_add(
+    "relay_claim",
+    with_sql(
+        f"""SELECT id, CASE WHEN stop IS NULL OR {{'t': created_at, 'i': id}} < stop THEN 'published' ELSE 'pending' END AS status FROM (
+  SELECT *, min(CASE WHEN n % 53 = 7 THEN {{'t': created_at, 'i': id}} END) OVER () AS stop FROM (
+    SELECT * FROM ({_OUTBOX}) WHERE n % 3 <> 0 ORDER BY created_at, id LIMIT 100))"""
+    ),
+)
+def _relay_claim(spark, sf_dir):
+    """One run over an outbox in one order: the oldest pending rows, up to the first that can't be sent."""
+    status = F.when(F.col("n") % 3 != 0, relay.PENDING).otherwise(relay.PUBLISHED)
+    rows = relay.claimed(_outbox(spark, sf_dir).withColumn("status", status)).drop("status")
+    return relay.committed(rows.withColumn("ok", F.col("n") % 53 != 7), []).select("id", "status")
+
+
 # --- journeys ------------------------------------------------------------------------------------------------------
 
 JOURNEY = {
@@ -891,10 +954,21 @@ def _mask_ids(spark, sf_dir):
 _MATRIX = "('SUPER_ADMIN', 19, true), ('TENANT_ADMIN', 19, true), ('MARKETER', 13, false), ('ANALYST', 9, false), ('OPERATOR', 11, false), ('VIEWER', 9, false)"
 
 
-@_add("rbac_matrix", f"SELECT role, permissions::BIGINT AS permissions, pii FROM (VALUES {_MATRIX}) t(role, permissions, pii)")
+@_add(
+    "rbac_matrix",
+    f"""SELECT role, permissions::BIGINT AS permissions, pii, count(c_custkey) AS users, count(c_custkey) * permissions::BIGINT AS grants
+FROM (VALUES {_MATRIX}) t(role, permissions, pii) LEFT JOIN customer
+  ON role = CASE c_custkey % 7 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'TENANT_ADMIN' WHEN 2 THEN 'MARKETER' WHEN 3 THEN 'ANALYST' WHEN 4 THEN 'OPERATOR' ELSE 'VIEWER' END
+GROUP BY role, permissions, pii""",
+)
 def _rbac(spark, sf_dir):
-    m = governance.role_matrix(spark)
-    return m.groupBy("role").agg(F.count(F.lit(1)).alias("permissions"), F.max(F.col("permission") == "pii:read").alias("pii"))
+    """Customers as users with a role by their key: how many hold each role, and what they are granted together."""
+    role = F.expr("CASE c_custkey % 7 WHEN 0 THEN 'SUPER_ADMIN' WHEN 1 THEN 'TENANT_ADMIN' WHEN 2 THEN 'MARKETER' WHEN 3 THEN 'ANALYST' WHEN 4 THEN 'OPERATOR' ELSE 'VIEWER' END")
+    users = fixtures.table(spark, sf_dir, "customer").groupBy(role.alias("role")).agg(F.count(F.lit(1)).alias("users"))
+    matrix = governance.role_matrix(spark).groupBy("role").agg(F.count(F.lit(1)).alias("permissions"), F.max(F.col("permission") == "pii:read").alias("pii"))
+    users = F.broadcast(users)  # one row per role
+    found = matrix.join(users, "role", "left").withColumn("users", F.coalesce("users", F.lit(0)))
+    return found.withColumn("grants", F.col("users") * F.col("permissions"))
 
 
 @_add(
