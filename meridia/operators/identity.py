@@ -3,20 +3,26 @@
 The final clusters don't depend on the order of events: they are the connected
 components of events and identifiers.  A cluster is named after its first event,
 which is the one whose cluster survives every merge.
+
+What happened on the way is found set-wise as well.  A line is what an event without
+known identifiers begins; it lives until it merges into an older one.  ``merges`` halves
+time again and again: the components of the first half of a span are contracted in its
+second half, so after a logarithmic number of rounds every event stands alone, between
+the lines that it merged.  ``resolved_feed`` follows those merges up to each event's own
+time by jumps of doubling length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import identity_hash
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, drop_checkpoint
 from .graph import connected_components
 from .ingest import IDENTIFIERS
+from .joins import attach
+from .prefix import before
 
 
 def extract(events: DataFrame) -> DataFrame:
@@ -61,59 +67,130 @@ def event_clusters(identifiers: DataFrame, members: DataFrame) -> DataFrame:
     return any_node.join(members.select("tenant_id", "node_id", "cluster_id"), ["tenant_id", "node_id"]).drop("node_id")
 
 
-def in_arrival_order(identifiers: DataFrame, members: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """One row per event with its nodes, whole clusters per partition, sorted by cluster and arrival."""
-    per_event = identifiers.groupBy("tenant_id", "event_id", "received_at", *(extra or [])).agg(
-        F.sort_array(F.collect_set("node_id")).alias("nodes")
+_EVENT = ["tenant_id", "event_id", "received_at"]
+
+
+def _lines(identifiers: DataFrame) -> DataFrame:
+    """(event's keys, node_id, line) per identifier of an event; a line is (at, event_id) of the event that began it."""
+    order = F.struct(F.col("received_at").alias("at"), "event_id")
+    rows = identifiers.select(*_EVENT, "node_id").distinct()
+    firsts = rows.groupBy("tenant_id", "node_id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = checkpointed(firsts)
+    seen = checkpointed(attach(rows, firsts, ["tenant_id", "node_id"], "n", F.col("event_id")))
+    known = F.col("first") < order
+    per = seen.groupBy(*_EVENT).agg(
+        F.min(F.when(known, F.struct("first", "node_id")))["node_id"].alias("anchor"),
+        F.min(F.when(~known, F.col("node_id"))).alias("fresh"),
     )
-    tied = per_event.join(event_clusters(identifiers, members), ["tenant_id", "event_id"])
-    return tied.repartition("tenant_id", "cluster_id").sortWithinPartitions("tenant_id", "cluster_id", "received_at", "event_id")
-
-
-class Clusters:
-    """Clusters of one component while its events are replayed: memory grows with its identifiers, not its events."""
-
-    def __init__(self) -> None:
-        self.parent: dict[str, str] = {}
-        self.owner: dict[str, str] = {}
-        self.age: dict[str, int] = {}
-
-    def root(self, cluster: str) -> str:
-        while self.parent[cluster] != cluster:
-            self.parent[cluster] = cluster = self.parent[self.parent[cluster]]
-        return cluster
-
-    def take(self, event: str, nodes: list[str]) -> tuple[str, list[str]]:
-        """(surviving cluster, clusters merged into it) when an event with these nodes arrives."""
-        found = sorted({self.root(self.owner[n]) for n in nodes if n in self.owner}, key=self.age.__getitem__)
-        if not found:
-            made = f"c_{event}"
-            self.parent[made], self.age[made] = made, len(self.age)
-            found = [made]
-        survivor, losers = found[0], found[1:]
-        for loser in losers:
-            self.parent[loser] = survivor
-        for n in nodes:
-            self.owner[n] = survivor
-        return survivor, losers
+    # A new identifier belongs with the oldest known one of its event, or with the least of the new ones.
+    lead = per.filter("fresh is not null").select("tenant_id", F.col("event_id").alias("_e"), F.coalesce("anchor", "fresh").alias("survivor_id"))
+    owned = firsts.withColumn("_e", F.col("first")["event_id"]).join(lead, ["tenant_id", "_e"])
+    hops = owned.select("tenant_id", F.col("node_id").alias("cluster_id"), "survivor_id").filter("cluster_id <> survivor_id")
+    ends = flat_redirects(hops).select("tenant_id", F.col("cluster_id").alias("node_id"), F.col("survivor_id").alias("_root"))
+    born = firsts.select("tenant_id", F.col("node_id").alias("_root"), F.col("first").alias("line"))
+    led = firsts.join(ends, ["tenant_id", "node_id"], "left").withColumn("_root", F.coalesce("_root", "node_id")).select("tenant_id", "node_id", "n", "_root")
+    led = checkpointed(led.join(born, ["tenant_id", "_root"]).drop("_root"))
+    return attach(rows, led, ["tenant_id", "node_id"], "n", F.col("event_id"))
+
+
+def merges(identifiers: DataFrame, members: DataFrame) -> DataFrame:
+    """(tenant_id, loser, survivor, event_id, received_at): the lines that each event merged away, with the oldest, which stays."""
+    return _merges(checkpointed(_lines(identifiers)), members)
+
+
+def _merges(lines: DataFrame, members: DataFrame) -> DataFrame:
+    per = lines.groupBy(*_EVENT).agg(F.sort_array(F.collect_set("line")).alias("all"), F.min("node_id").alias("node_id")).filter(F.size("all") > 1)
+    home = members.select("tenant_id", "node_id", F.col("cluster_id").alias("part"))
+    star = per.join(home, ["tenant_id", "node_id"]).select(
+        "tenant_id", "part", F.struct("received_at", "event_id").alias("e"), F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, 1 << 30)).alias("b")
+    )
+    edges = checkpointed(star.groupBy("tenant_id", "part", "a", "b").agg(F.min("e").alias("e")))
+    part = ["tenant_id", "part"]
+    ranks = before(edges.select(*part, "e").distinct(), part, ["e"], {"r": ("sum", F.lit(1))}).withColumn("r", F.coalesce("r", F.lit(0)).cast("long"))
+    edges = checkpointed(edges.join(ranks, [*part, "e"]))
+    most = edges.agg(F.max("r")).first()[0] or 0
+
+    def at(vertex: str):
+        return F.struct(*part, "_span", F.col(vertex).alias("v"))
+
+    for k in range(most.bit_length() - 1, -1, -1):
+        spans = edges.withColumn("_span", F.shiftright("r", k + 1))
+        late = F.shiftright("r", k).bitwiseAND(F.lit(1)) == 1
+        early = spans.filter(~late)
+        roots = connected_components(early.select(at("a").alias("a"), at("b").alias("b")))
+        later = spans.filter(late)
+        roots = roots.select(F.col("node").alias("_node"), F.col("root")["v"].alias("_root"))
+        for v in ("a", "b"):
+            later = later.withColumn("_node", at(v)).join(roots, "_node", "left").withColumn(v, F.coalesce("_root", v)).drop("_node", "_root")
+        # Lines that are one by now need no edge, and of equal edges of a span the first does.
+        kept = later.filter("a <> b").groupBy(*part, "_span", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("r", "e")).alias("m"))
+        later = kept.select(*part, "a", "b", F.col("m")["e"].alias("e"), F.col("m")["r"].alias("r"))
+        last, edges = edges, checkpointed(early.select(*part, "a", "b", "e", "r").unionByName(later))
+        drop_checkpoint(last)
+    done = edges.select(*part, "e", F.explode(F.array("a", "b")).alias("v")).distinct()
+    oldest = done.groupBy(*part, "e").agg(F.min("v").alias("survivor"))
+    return (
+        done.join(oldest, [*part, "e"])
+        .filter("v <> survivor")
+        .select("tenant_id", F.col("v").alias("loser"), "survivor", F.col("e")["event_id"].alias("event_id"), F.col("e")["received_at"].alias("received_at"))
+    )
+
+
+def _name(line: Column) -> Column:
+    return F.concat(F.lit("c_"), line["event_id"])
 
 
 def merge_history(identifiers: DataFrame, members: DataFrame) -> DataFrame:
     """(tenant_id, from_cluster_id, to_cluster_id, event_id, reason): one row per cluster that was merged away."""
+    found = merges(identifiers, members)
+    return found.select(
+        "tenant_id", _name(F.col("loser")).alias("from_cluster_id"), _name(F.col("survivor")).alias("to_cluster_id"), "event_id", F.lit("deterministic_match").alias("reason")
+    )
+
+
+def jump_tables(hops: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """Tables (keys, line, to, by) of jumps of 1, 2, 4, ... hops along a forest given by its hops; ``by`` is that of the last hop."""
+    jumps, jump = [], hops
+    while not jump.isEmpty():
+        jumps.append(jump)
+        ahead = jump.select(*keys, F.col("line").alias("to"), F.col("to").alias("_to"), F.col("by").alias("_by"))
+        jump = checkpointed(jump.join(ahead, [*keys, "to"]).select(*keys, "line", F.col("_to").alias("to"), F.col("_by").alias("by")))
+    return jumps
+
 
-    def replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, Clusters()
-        for pdf in parts:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if (r.tenant_id, r.cluster_id) != current:
-                    current, state = (r.tenant_id, r.cluster_id), Clusters()
-                survivor, losers = state.take(r.event_id, list(r.nodes))
-                out += [(r.tenant_id, x, survivor, r.event_id, "deterministic_match") for x in losers]
-            yield pd.DataFrame(out, columns=["tenant_id", "from_cluster_id", "to_cluster_id", "event_id", "reason"])
-
-    schema = "tenant_id string, from_cluster_id string, to_cluster_id string, event_id string, reason string"
-    return in_arrival_order(identifiers, members).mapInPandas(replay, schema)
+def timeline(identifiers: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tenant_id, event_id, received_at, line: the oldest line of its cluster when the event arrived; ``merges``)."""
+    lines = checkpointed(_lines(identifiers))
+    found = checkpointed(_merges(lines, members))
+    order = F.struct("received_at", "event_id")
+    events = lines.groupBy(*_EVENT).agg(F.min("line").alias("line"))
+    hops = checkpointed(found.select("tenant_id", F.col("loser").alias("line"), F.col("survivor").alias("to"), order.alias("by")))
+    # A line dies before the line that it went to, so the longest jump that ended by the event's time comes first.
+    for jump in reversed(jump_tables(hops, ["tenant_id"])):
+        step = jump.select("tenant_id", "line", F.col("to").alias("_to"), F.col("by").alias("_by"))
+        weights = events.groupBy("tenant_id", "line").agg(F.count(F.lit(1)).alias("_n"))
+        step = checkpointed(step.join(weights, ["tenant_id", "line"]))
+        moved = attach(events, step, ["tenant_id", "line"], "_n", F.col("event_id"))
+        events = checkpointed(moved.withColumn("line", F.when(F.col("_by") <= order, F.col("_to")).otherwise(F.col("line"))).select(*_EVENT, "line"))
+    return events, found
+
+
+def resolved_feed(identifiers: DataFrame, members: DataFrame) -> DataFrame:
+    """Per event with identifiers: tenant_id, event_id, received_at, cluster_id, canonical_user_id, merge_occurred, merged_canonical_user_ids.
+
+    The cluster is the one that the event was resolved to when it arrived, which may have
+    merged into an older one since; the merged ids are those of the clusters that it merged away.
+    """
+    events, found = timeline(identifiers, members)
+    customer = lambda line: F.concat(F.lit("customer_"), line["event_id"])
+    gone = found.groupBy("tenant_id", "event_id").agg(F.transform(F.sort_array(F.collect_list("loser")), customer).alias("merged"))
+    return events.join(gone, ["tenant_id", "event_id"], "left").select(
+        *_EVENT,
+        _name(F.col("line")).alias("cluster_id"),
+        customer(F.col("line")).alias("canonical_user_id"),
+        F.col("merged").isNotNull().alias("merge_occurred"),
+        F.coalesce("merged", F.array().cast("array<string>")).alias("merged_canonical_user_ids"),
+    )
 
 
 def flat_redirects(merges: DataFrame) -> DataFrame:

@@ -3,20 +3,20 @@
 ``fold`` is declarative: each attribute is an aggregate of its cluster's events in
 arrival order, in one shuffle.  It is exact for clusters that never merged.  A
 merge keeps the survivor's traits even where the loser's are newer, so
-``exact_fold`` replays a cluster's events in order, merges included.
+``exact_fold`` folds what was a cluster of its own apart and combines along the merges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.scalars import identity_hash
-from .identity import Clusters
+from ..sources.storage import checkpointed
+from .identity import jump_tables
 from .prefix import before
 
 #: The traits and event names that profiles know.
@@ -111,78 +111,96 @@ def folded(states: DataFrame) -> DataFrame:
     )
 
 
-FOLDED = (
-    "tenant_id string, cluster_id string, "
-    + ", ".join(f"{c} string" for c in _TEXTS)
-    + ", total_events long, total_orders long, last_order_at timestamp, first_seen_at timestamp, last_seen_at timestamp, version long"
-)
+_LINE = ["tenant_id", "line"]
+
 
+def _below(values: DataFrame, jumps: list[DataFrame], aggregates: dict[str, Callable]) -> DataFrame:
+    """Per line, the aggregates over its own row and those of all lines that merged into it, in doubling steps."""
+    made = values
+    for jump in jumps:
+        # What hangs within the jump's length below a line is complete by now, so the next as much joins it.
+        lower = made.join(jump.select(*_LINE, "to"), _LINE).select("tenant_id", F.col("to").alias("line"), *aggregates)
+        made = checkpointed(made.select(*_LINE, *aggregates).unionByName(lower).groupBy(*_LINE).agg(*(f(n).alias(n) for n, f in aggregates.items())))
+    return made
 
-class Profile:
-    """One profile during a replay."""
-
-    def __init__(self) -> None:
-        self.values: dict[str, str] = {}
-        self.events = self.orders = self.version = 0
-        self.last_order = self.first = self.last = None
-
-    def apply(self, r) -> None:
-        for c in _TEXTS:
-            if v := getattr(r, c):
-                self.values[c] = v
-        self.events += 1
-        if r.is_order:
-            self.orders += 1
-            self.last_order = r.timestamp
-        self.first = r.timestamp if self.first is None else min(self.first, r.timestamp)
-        self.last = r.timestamp if self.last is None else max(self.last, r.timestamp)
-        self.version += 1
-
-    def absorb(self, other: Profile) -> None:
-        """Take over a profile whose cluster merged into this one."""
-        newer = other.last is not None and (self.last is None or other.last > self.last)
-        for c, v in other.values.items():
-            if c not in self.values or (newer and c in LAST):
-                self.values[c] = v
-        self.events += other.events
-        self.orders += other.orders
-        orders = [t for t in (self.last_order, other.last_order) if t is not None]
-        self.last_order = max(orders, default=None)
-        self.first = min((t for t in (self.first, other.first) if t is not None), default=None)
-        self.last = max((t for t in (self.last, other.last) if t is not None), default=None)
-
-    def row(self, tenant: str, cluster: str) -> tuple:
-        texts = (self.values.get(c) for c in _TEXTS)
-        return (tenant, cluster, *texts, self.events, self.orders, self.last_order, self.first, self.last, self.version)
-
-
-def exact_fold(ordered: DataFrame) -> DataFrame:
-    """Replay per component.  ``ordered`` holds observed columns, nodes and cluster_id (the final one), sorted by
-    cluster and arrival within its partitions; a component's live profiles are all that is held."""
-    names = [x.split()[0] for x in FOLDED.split(", ")]
-
-    def replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, live = None, Clusters(), {}
-
-        def done() -> list[tuple]:
-            return [p.row(key[0], c) for c, p in live.items()]
-
-        for pdf in parts:
-            out: list[tuple] = []
-            for r in pdf.itertuples(index=False):
-                if (r.tenant_id, r.cluster_id) != key:
-                    out += done()
-                    key, state, live = (r.tenant_id, r.cluster_id), Clusters(), {}
-                survivor, losers = state.take(r.event_id, list(r.nodes))
-                mine = live.setdefault(survivor, Profile())
-                for x in losers:
-                    mine.absorb(live.pop(x))
-                mine.apply(r)
-            yield pd.DataFrame(out, columns=names)
-        if key:
-            yield pd.DataFrame(done(), columns=names)
-
-    return ordered.mapInPandas(replay, FOLDED)
+
+def exact_fold(seen: DataFrame, events: DataFrame, merges: DataFrame) -> DataFrame:
+    """What applying every event to its cluster as of then gives, merges included: the columns of ``folded``.
+
+    ``events`` and ``merges`` are those of ``identity.timeline``.  Every line folds its own
+    events apart.  A merge keeps the survivor's traits, fills what it lacks, and takes over
+    the last activity of a loser that was seen later.  So each value of a line is its own or
+    that of one line that merged into it, and following those links, which double in length
+    every round, gives the values of the last survivors.
+    """
+    order = F.struct("received_at", "event_id")
+    rows = checkpointed(seen.dropDuplicates(["tenant_id", "event_id"]).drop("received_at").join(events, ["tenant_id", "event_id"]))
+    places = {c: F.max(F.when(F.col(c) != "", F.struct(order.alias("at"), F.col(c).alias("v")))).alias(c) for c in _TEXTS}
+    own = checkpointed(
+        rows.groupBy(*_LINE).agg(
+            *places.values(),
+            F.max(F.when(F.col("is_order"), F.struct(order.alias("at"), "timestamp"))).alias("order"),
+            F.count(F.lit(1)).alias("total_events"),
+            F.count_if("is_order").alias("total_orders"),
+            F.min("timestamp").alias("first_seen_at"),
+            F.max("timestamp").alias("last_seen_at"),
+        )
+    )
+    by = F.struct("received_at", "event_id").alias("by")
+    hops = checkpointed(merges.select("tenant_id", F.col("loser").alias("line"), F.col("survivor").alias("to"), by))
+    jumps = jump_tables(hops, ["tenant_id"])
+    has = {f"has_{c}": F.max for c in _TEXTS}
+    sums = {"total_events": F.sum, "total_orders": F.sum, "first_seen_at": F.min, "last_seen_at": F.max}
+    flags = own.withColumns({f"has_{c}": F.col(c).isNotNull() for c in _TEXTS})
+    whole = checkpointed(_below(flags, jumps, has | sums))
+
+    # When a loser comes in, had the survivor been seen before it?  Its own events and what merged into it earlier tell.
+    into = hops.join(whole.select(*_LINE, F.col("last_seen_at").alias("ts"), *has), _LINE)
+    into = into.select("tenant_id", F.col("to").alias("line"), F.col("line").alias("loser"), "by", "ts", F.lit(True).alias("is_merge"), *has)
+    mine = rows.join(hops.select("tenant_id", F.col("to").alias("line")).distinct(), _LINE, "left_semi")
+    mine = mine.select(*_LINE, F.lit(None).cast(into.schema["loser"].dataType).alias("loser"), by, F.col("timestamp").alias("ts"), F.lit(False).alias("is_merge"), *((F.col(c) != "").alias(f"has_{c}") for c in _TEXTS))
+    # An event comes after the merges that it causes; of those, older losers come first.
+    steps = mine.unionByName(into).withColumn("kind", F.when(F.col("is_merge"), 0).otherwise(1))
+    held = {"held": ("max", F.col("ts"))} | {f"held_{c}": ("max", F.when(F.col(f"has_{c}"), True)) for c in _TEXTS}
+    steps = before(steps, _LINE, ["by", "kind", "loser"], held).filter("is_merge")
+    later = F.col("held").isNull() | (F.col("ts") > F.col("held"))
+    taken = checkpointed(steps.withColumns({f"take_{c}": F.col(f"has_{c}") & (F.col(f"held_{c}").isNull() | (later if c in LAST else F.lit(False))) for c in _TEXTS}))
+
+    # Per line and field: its own latest value, or the loser whose value it took last.
+    picks = taken.groupBy(*_LINE).agg(*(F.max(F.when(F.col(f"take_{c}"), F.struct("by", "loser"))).alias(f"pick_{c}") for c in _TEXTS))
+    found = own.join(picks, _LINE, "left")
+    fields = []
+    for c in _TEXTS:
+        pick, mine_at = F.col(f"pick_{c}"), F.col(c)["at"]
+        # A loser that came in by the event that set the value came in before it.
+        takes = pick.isNotNull() & (mine_at.isNull() | (pick["by"] > F.struct(mine_at["received_at"].alias("received_at"), mine_at["event_id"].alias("event_id"))))
+        fields.append(F.struct(F.lit(c).alias("field"), F.when(~takes, F.col(c)["v"]).alias("v"), F.when(takes, pick["loser"]).alias("to")))
+    links = checkpointed(found.select(*_LINE, F.inline(F.array(*fields))))
+    while not links.filter("to is not null").isEmpty():
+        ahead = links.select("tenant_id", "field", F.col("line").alias("to"), F.col("v").alias("_v"), F.col("to").alias("_to"))
+        moved = links.join(ahead, ["tenant_id", "field", "to"], "left")
+        links = checkpointed(moved.select(*_LINE, "field", F.coalesce("v", "_v").alias("v"), F.col("_to").alias("to")))
+    texts = links.groupBy(*_LINE).agg(*(F.max(F.when(F.col("field") == c, F.col("v"))).alias(c) for c in _TEXTS))
+
+    # The last order: a line's own, or a later one of what merged in after it.
+    orders = own.select(*_LINE, "order")
+    after = hops.join(orders.select("tenant_id", F.col("line").alias("to"), F.col("order").alias("o")), ["tenant_id", "to"])
+    last = F.struct(F.col("o")["at"]["received_at"].alias("received_at"), F.col("o")["at"]["event_id"].alias("event_id"))
+    open_ = checkpointed(after.filter(F.col("o").isNull() | (F.col("by") > last)).select(*_LINE, "to", "by"))
+    ordered = _below(orders.select(*_LINE, F.col("order")["timestamp"].alias("last_order_at")), jump_tables(open_, ["tenant_id"]), {"last_order_at": F.max})
+    alive = whole.select(*_LINE, *sums).join(hops.select(*_LINE), _LINE, "left_anti")
+    out = alive.join(texts, _LINE).join(ordered, _LINE).join(own.select(*_LINE, F.col("total_events").alias("version")), _LINE)
+    return out.select(
+        "tenant_id",
+        F.concat(F.lit("c_"), F.col("line")["event_id"]).alias("cluster_id"),
+        *_TEXTS,
+        "total_events",
+        "total_orders",
+        "last_order_at",
+        "first_seen_at",
+        "last_seen_at",
+        "version",
+    )
 
 
 def changed_fields(seen: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -208,6 +226,24 @@ def changed_fields(seen: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.select("tenant_id", "event_id", "cluster_id", changed.alias("changed"))
 
 
+def updated_feed(seen: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Per applied event: tenant_id, event_id, received_at, cluster_id, canonical_user_id, changed_fields, profile_version.
+
+    The version counts the cluster's events up to this one, over the clusters as they are at last.
+    """
+    rows = changed_fields(seen.dropDuplicates(["tenant_id", "event_id"]), clusters).join(seen.select("tenant_id", "event_id", "received_at"), ["tenant_id", "event_id"])
+    rows = before(rows, ["tenant_id", "cluster_id"], ["received_at", "event_id"], {"past": ("sum", F.lit(1))})
+    return rows.select(
+        "tenant_id",
+        "event_id",
+        "received_at",
+        "cluster_id",
+        F.concat(F.lit("customer_"), F.substring("cluster_id", 3, 1_000)).alias("canonical_user_id"),
+        F.col("changed").alias("changed_fields"),
+        (F.coalesce("past", F.lit(0)) + 1).cast("long").alias("profile_version"),
+    )
+
+
 def by_canonical_id(people: DataFrame, tenant: str, canonical_user_id: str) -> DataFrame:
     """The profile with a canonical user id, in one tenant."""
     return people.filter((F.col("tenant_id") == tenant) & (F.col("canonical_user_id") == canonical_user_id))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import activation, deadlines, governance, identity, ingest, journeys, membership, metrics, ops, profiles, relay
+from ..sources.storage import checkpointed
 from . import fixtures
 from .compiler import evaluate, evaluate_rows, in_window, moment
 from .fixtures import AT, AT_SQL, LATER, LATER_SQL, ntz, with_sql
@@ -286,7 +287,7 @@ def _nodes(spark, sf_dir):
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ids = identity.extract(envelopes(spark, sf_dir))
+    ids = checkpointed(identity.extract(envelopes(spark, sf_dir)))
     return ids, identity.resolve(ids)
 
 
@@ -302,11 +303,57 @@ def _inventory(spark, sf_dir):
     return governance.identifier_inventory(identity.nodes(ids), members)
 
 
-@_add("identity_merge_history")
+#: Users of one remainder meet at a shared device: ``joined`` is when, ``core`` the first of them; a user whose first event
+#: is that meeting begins no line of its own, unless it is the first to come.
+_LINES = _ID + """, f AS (
+  SELECT tenant_id, user_id, user_id % 20 AS s, min({'t': ts, 'i': event_id}) AS born, min({'t': ts, 'i': event_id}) FILTER (n % 50 = 0) AS joined FROM ev GROUP BY ALL
+), j AS (
+  SELECT *, min(joined) OVER (PARTITION BY tenant_id, s) AS core FROM f WHERE joined IS NOT NULL
+), k AS (
+  SELECT *, CASE WHEN born <> joined OR joined = core THEN born END AS line FROM j
+), m AS (
+  SELECT *, min(line) OVER (PARTITION BY tenant_id, s ORDER BY joined ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held,
+         min(line) OVER (PARTITION BY tenant_id, s ORDER BY joined) AS holds FROM k
+)"""
+
+
+#: Every event with the line that its cluster was called after when it arrived.
+_AT_TIME = """, w AS (
+  SELECT e.tenant_id, e.event_id, CASE WHEN f.joined <= {'t': e.ts, 'i': e.event_id}
+    THEN min(CASE WHEN k.joined.i = e.event_id THEN k.line END) OVER (PARTITION BY e.tenant_id, f.s, f.joined IS NULL ORDER BY e.ts, e.event_id) ELSE f.born END AS line
+  FROM ev e JOIN f USING (tenant_id, user_id) LEFT JOIN k USING (tenant_id, user_id)
+)"""
+
+
+@_add(
+    "identity_merge_history",
+    with_sql(
+        """SELECT tenant_id, 'c_' || CASE WHEN line < held THEN held.i ELSE line.i END AS from_cluster_id, 'c_' || least(line, held).i AS to_cluster_id,
+  joined.i AS event_id, 'deterministic_match' AS reason FROM m WHERE joined <> core AND line IS NOT NULL""",
+        _LINES,
+    ),
+)
 def _history(spark, sf_dir):
     return identity.merge_history(*_resolved(spark, sf_dir))
 
 
+@_add(
+    "identity_resolved_feed",
+    with_sql(
+        """SELECT tenant_id, event_id, 'c_' || line.i AS cluster_id, 'customer_' || line.i AS canonical_user_id, merged IS NOT NULL AS merge_occurred,
+  coalesce('customer_' || merged.i, '') AS merged FROM (
+  SELECT w.*, CASE WHEN m.line < m.held THEN m.held ELSE m.line END AS merged
+  FROM w LEFT JOIN m ON m.tenant_id = w.tenant_id AND m.joined.i = w.event_id AND m.joined <> m.core AND m.line IS NOT NULL)""",
+        _LINES
+        + _AT_TIME,
+    ),
+)
+def _feed_of_identities(spark, sf_dir):
+    rows = identity.resolved_feed(*_resolved(spark, sf_dir))
+    merged = F.array_join("merged_canonical_user_ids", ",").alias("merged")
+    return rows.select("tenant_id", "event_id", "cluster_id", "canonical_user_id", "merge_occurred", merged)
+
+
 _FOLD = {"order_event": "purchase", "view_event": "view"}
 
 
@@ -356,12 +403,25 @@ def _exact(spark, sf_dir):
     return ntz(exact_profiles(spark, sf_dir))
 
 
+@_add(
+    "profile_exact_activity",
+    with_sql(
+        """SELECT tenant_id, cluster_id, arg_max('N' || user_id, (ts, event_id)) FILTER (own) AS trait_name, arg_max(event_type, (ts, event_id)) FILTER (own) AS last_event_name,
+  arg_max('s' || (user_id % 3), (ts, event_id)) FILTER (own) AS last_source_id, arg_max('https://x/' || (n % 9), (ts, event_id)) FILTER (own) AS last_page_url,
+  count(*) AS total_events, count(*) FILTER (event_type = 'purchase') AS total_orders, max(ts) FILTER (event_type = 'purchase') AS last_order_at,
+  min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) FILTER (own) AS version
+FROM (SELECT evc.*, 'c_' || w.line.i = cluster_id AS own FROM evc JOIN w USING (tenant_id, event_id)) GROUP BY ALL""",
+        _LINES + _AT_TIME,
+    ),
+)
+def _exact_activity(spark, sf_dir):
+    """The exact fold's columns that a replay isn't needed for here: these events arrive as they happen, and each sets name and activity."""
+    return ntz(exact_profiles(spark, sf_dir).drop("trait_email", "trait_phone", "trait_country", "last_product_viewed"))
+
+
 def exact_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, members = _resolved(spark, sf_dir)
-    seen = profiles.observed(envelopes(spark, sf_dir), **_FOLD)
-    ordered = identity.in_arrival_order(ids, members).join(seen.drop("received_at"), ["tenant_id", "event_id"])
-    ordered = ordered.repartition("tenant_id", "cluster_id").sortWithinPartitions("tenant_id", "cluster_id", "received_at", "event_id")
-    return profiles.exact_fold(ordered)
+    return profiles.exact_fold(profiles.observed(envelopes(spark, sf_dir), **_FOLD), *identity.timeline(ids, members))
 
 
 @_add(
@@ -390,6 +450,23 @@ def _changed(spark, sf_dir):
     return rows.withColumn("changed", F.array_join("changed", ","))
 
 
+@_add(
+    "profile_updated_feed",
+    with_sql(
+        """SELECT tenant_id, event_id, cluster_id, 'customer_' || substr(cluster_id, 3) AS canonical_user_id,
+  row_number() OVER (PARTITION BY tenant_id, cluster_id ORDER BY ts, event_id) AS profile_version,
+  CASE WHEN 'N' || user_id IS DISTINCT FROM lag('N' || user_id) OVER (PARTITION BY tenant_id, cluster_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS new_name
+FROM evc""",
+        _ID,
+    ),
+)
+def _updates(spark, sf_dir):
+    ids, members = _resolved(spark, sf_dir)
+    rows = profiles.updated_feed(profiles.observed(envelopes(spark, sf_dir), **_FOLD), identity.event_clusters(ids, members))
+    new_name = F.array_contains("changed_fields", "traits.name").cast("int").alias("new_name")
+    return rows.select("tenant_id", "event_id", "cluster_id", "canonical_user_id", "profile_version", new_name)
+
+
 @_add(
     "profile_by_id",
     with_sql("SELECT 'id' AS found_by, tenant_id, profile_id, canonical_user_id, name FROM prof WHERE profile_id = 'p8' UNION ALL SELECT 'canonical_id', tenant_id, profile_id, canonical_user_id, name FROM prof WHERE canonical_user_id = 'customer_9'"),

@@ -139,15 +139,13 @@ def unified(spark, rows, exact):
     seen = profiles.observed(events)
     if not exact:
         return profiles.fold(seen, identity.event_clusters(ids, members)).collect(), ids, members
-    ordered = identity.in_arrival_order(ids, members).join(seen.drop("received_at"), ["tenant_id", "event_id"])
-    ordered = ordered.repartition(2, "tenant_id", "cluster_id").sortWithinPartitions("tenant_id", "cluster_id", "received_at", "event_id")
-    return profiles.exact_fold(ordered).collect(), ids, members
+    return profiles.exact_fold(seen, *identity.timeline(ids, members)).collect(), ids, members
 
 
 THREE = [
-    {"anonymous_id": "a1", "traits": {"name": "Ann"}},
+    {"anonymous_id": "a1", "traits": {"name": "Ines"}},
     {"user_id": "u1", "phone": "123456789", "event_name": "order_completed"},
-    {"email": "e@x.com", "traits": {"country": "VN", "name": "Late"}},
+    {"email": "e@x.com", "traits": {"country": "CL", "name": "Late"}},
     {"anonymous_id": "a1", "user_id": "u1", "email": "e@x.com"},
     {"tenant_id": "other", "user_id": "u1"},
 ]
@@ -157,7 +155,7 @@ def test_three_clusters_merge_into_the_first(spark):
     got, ids, members = unified(spark, THREE, exact=True)
     mine = next(r for r in got if r.tenant_id == "t")
     assert len(got) == 2 and mine.cluster_id == "c_e0" and mine.total_events == 4 and mine.total_orders == 1
-    assert (mine.trait_name, mine.trait_phone, mine.trait_country, mine.trait_email) == ("Ann", "123456789", "VN", "e@x.com")
+    assert (mine.trait_name, mine.trait_phone, mine.trait_country, mine.trait_email) == ("Ines", "123456789", "CL", "e@x.com")
     assert mine.first_seen_at == AT and mine.last_order_at == AT + HOUR
     history = {(r.from_cluster_id, r.to_cluster_id, r.event_id) for r in identity.merge_history(ids, members).collect()}
     assert history == {("c_e1", "c_e0", "e3"), ("c_e2", "c_e0", "e3")}
