@@ -6,16 +6,21 @@ gets two hashes: one of its content (tag, class, text and the hashes of its
 children) and, where it may be furniture, one of its frame, which holds no text
 (tags and classes of the path to it and the kinds of its descendants), for menus,
 adverts and footers whose words differ from page to page.  A frame is hashed for
-parts with a marking name and, outside articles and main, for containers that are
-mostly links.  A named part is no child of what holds it, so that a changing advert
+parts with a marking name and, outside articles and main, for all containers.  A named part is no child of what holds it, so that a changing advert
 doesn't hide a template.
 
 Template removal: Spark counts, per host, the different pages on which each hash
-occurs; copies of one page count once.  A subtree on MIN_PAGES pages of its host is
-template, however many pages the host has, and is deleted.  In an article only
-containers and named parts are template; its paragraphs, headings and list items stay
-even when other pages quote them.  Named parts that don't recur are left out too;
-``Page.removed`` tells how many texts each of the two takes.
+occurs, and the host's pages; copies of one page count once.  A subtree whose content is on
+MIN_PAGES pages of its host is template, and so is a named or linked frame.  Recurrence
+alone says little where articles quote each other, so nothing plain goes from the densest
+zone, which is the smallest container with more than half of the page's text outside of
+links (one whose content is on SHARE of the host's pages is none), or the articles and main
+elements; their paragraphs, headings and lists stay whatever recurs.  Outside of that zone
+the frame of a plain container tells furniture as well, if it is on SHARE of the host's
+pages, holds little of the page's text and no heading; so a site without any telling tag
+or name still loses its furniture.  On a page without such a zone only contents count.
+Named parts that don't recur are left out too; ``Page.removed`` tells how many texts each
+of the two takes.
 
 The text comes from the articles and the main element of the page, or else from
 all that remains.  In them, words of class or id that text uses as well (discussion,
@@ -54,10 +59,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import attach
 from ..sources.storage import checkpointed
 from .common import map_batches, table
 
+#: Pages of its host that a template is on at least.
 MIN_PAGES = 4
+#: The share of its host's pages that plain frames need besides.
+SHARE = 0.4
+#: Characters outside of links that the densest zone has at least: a few words are no article.
+ZONE_CHARS = 50
+#: A plain container is furniture by its frame if it holds at most this share of the page's text.
+LIGHT = 0.2
 #: Links that a container needs at least for its frame to count.
 MIN_LINKS = 3
 #: Template hashes that go to every worker (8 bytes each); the rest is joined.
@@ -84,6 +97,7 @@ _DROPPED = frozenset(
     "nav header footer aside form svg button select object canvas video audio menu dialog datalist map "
     "annotation annotation-xml".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTAINERS = frozenset("div section ul ol dl table tbody fieldset details figure center".split())
 _BLOCKS = _CONTAINERS | frozenset(
     "html body article main p h1 h2 h3 h4 h5 h6 li dt dd tr thead tfoot caption blockquote pre address figcaption "
@@ -145,6 +159,8 @@ class _Open:
     shapes: set[bytes] = field(default_factory=set)
     #: its name is doubtful
     doubt: bool = False
+    #: it holds a heading
+    headed: bool = False
     #: an article began in this named part, so its end says nothing
     broken: bool = False
 
@@ -155,11 +171,26 @@ class Page:
     segments: list[tuple[int, str, int, bool]] = field(default_factory=list)
     #: (content hash, frame hash or None, first segment, end segment)
     elements: list[tuple[bytes, bytes | None, int, int]] = field(default_factory=list)
+    #: per element that goes only from outside of the densest zone: its characters and the hash of its frame, if it has one
+    plain: dict[int, tuple[int, bytes | None]] = field(default_factory=dict)
+    #: (characters outside of links, first segment, end segment, hash) of containers that may be the densest zone
+    zones: list[tuple[int, int, int, bytes]] = field(default_factory=list)
+    #: characters outside of links
+    size: int = 0
     #: (first segment, end segment) of containers with a doubtful name that are mostly links
     link_lists: list[tuple[int, int]] = field(default_factory=list)
 
     def hashes(self) -> set[bytes]:
-        return {h for content, frame, _, _ in self.elements for h in (content, frame) if h}
+        return {h for content, frame, _, _ in self.elements for h in (content, frame) if h} | self.shared()
+
+    def shared(self) -> set[bytes]:
+        """The hashes that need a share of the host's pages."""
+        return {frame for _, frame in self.plain.values() if frame} | {h for *_, h in self.zones}
+
+    def _dense(self, template: Collection[bytes]) -> tuple[int, int] | None:
+        """The segments of the smallest container with more than half of the text outside of links."""
+        found = [(end - first, first, end) for chars, first, end, h in self.zones if 2 * chars > self.size and h not in template]
+        return min(found)[1:] if found else None
 
     def _covered(self, spans: Iterable[tuple[int, int]]) -> list[int]:
         """Per segment, in how many of the spans it lies."""
@@ -170,7 +201,20 @@ class Page:
         return list(accumulate(steps))[:-1]
 
     def _cut(self, template: Collection[bytes]) -> list[int]:
-        return self._covered((a, b) for content, frame, a, b in self.elements if content in template or frame in template)
+        dense = self._dense(template)
+
+        def goes(i: int) -> bool:
+            content, frame, a, b = self.elements[i]
+            if i not in self.plain:
+                return content in template or frame in template
+            if not dense:
+                return content in template
+            if a < dense[1] and b > dense[0]:  # in the densest zone, or around it
+                return False
+            chars, frame = self.plain[i]
+            return content in template or frame in template and chars <= LIGHT * self.size
+
+        return self._covered(self.elements[i][2:] for i in range(len(self.elements)) if goes(i))
 
     def removed(self, template: Collection[bytes]) -> tuple[int, int]:
         """How many texts the template removes, and how many only names do."""
@@ -264,6 +308,7 @@ def parse(html: str | None) -> Page:
     segments = page.segments
     block, dark, why = 0, 0, ""  # dark: depth of the named part that is left out, if one is open
     at = 0
+    in_sight = 0  # characters of links that no name leaves out
     read, linked, links, link = 0, 0, 0, False  # characters of text, those in links, links, and whether one is open
 
     def open_element(tag: str, attrs: str, zone: int) -> _Open:
@@ -302,7 +347,14 @@ def parse(html: str | None) -> Page:
                 plain = node.tag in _BLOCKS and (node.zone < 2 or node.tag in _CONTAINERS)
                 if named or inside or plain:
                     frame = _digest(b"frame", node.path, shape) if named or menu and not inside else None
+                    if not (named or inside or menu) and node.zone < 2:
+                        bare = node.tag in _CONTAINERS and not node.headed
+                        page.plain[len(page.elements)] = chars, _digest(b"plain", node.path, shape) if bare else None
                     page.elements.append((content, frame, node.first, len(segments)))
+                if not (named or inside) and node.tag in _CONTAINERS and node.zone < 2 and chars - in_links >= ZONE_CHARS:
+                    page.zones.append((chars - in_links, node.first, len(segments), _digest(b"zone", content)))
+            if node.headed or node.tag in _HEADINGS:
+                stack[-1].headed = True
             if named:
                 dark = 0
             elif inside or node.tag in _BLOCKS:
@@ -310,7 +362,7 @@ def parse(html: str | None) -> Page:
                 stack[-1].shapes.add(shape)
 
     def add(text: str) -> None:
-        nonlocal read, linked
+        nonlocal read, linked, in_sight
         if text:
             text = html_lib.unescape(text) if "&" in text else text
             top = stack[-1]
@@ -319,6 +371,7 @@ def parse(html: str | None) -> Page:
                 n = len(text.strip())
                 read += n
                 linked += n * link
+                in_sight += n * (link and not dark)
                 top.parts.append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
 
     for m in _TOKEN.finditer(html):
@@ -385,6 +438,7 @@ def parse(html: str | None) -> Page:
             segments.append((block, " ", zone, False))
     add(html[at:])
     close_to(1)
+    page.size = sum(len(text.strip()) for _, text, _, dark in segments if not dark) - in_sight
     return page
 
 
@@ -409,24 +463,38 @@ def _page_keys(page: Page, host: int) -> dict[bytes, int]:
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """(key, page): every page's hashes, keyed with its host, and a hash of host and html."""
+    """(host, key, shared, page): every page's hashes, keyed with its host, and a hash of host and html.
+
+    ``shared`` marks those that need a share of the host's pages; key 0 stands for the page itself.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, marks = [], []
+        hosts, keys, shared, marks = [], [], [], []
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             host = _hash(host_of(url))
-            found = _page_keys(parse(html), host).values()
+            page = parse(html)
+            mine = page.shared()
+            keyed = _page_keys(page, host)
+            found = [0, *keyed.values()]
             keys += found
+            shared += [False, *(h in mine for h in keyed)]
+            hosts += [host] * len(found)
             marks += [_hash(html or "", host)] * len(found)
-        return pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(_signed(marks))], ["key", "page"])
+        columns = [pa.array(_signed(hosts)), pa.array(_signed(keys)), pa.array(shared, pa.bool_()), pa.array(_signed(marks))]
+        return pa.RecordBatch.from_arrays(columns, ["host", "key", "shared", "page"])
 
-    return map_batches(pages.select("url", "html"), run, "key long, page long")
+    return map_batches(pages.select("url", "html"), run, "host long, key long, shared boolean, page long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(key, n): the subtrees that recur on n >= MIN_PAGES different pages of their host."""
-    counts = _subtrees(pages).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") >= MIN_PAGES)
+    """(key, n): the subtrees that recur on n >= MIN_PAGES different pages of their host, and on SHARE of them where that is asked."""
+    counts = _subtrees(pages).distinct().groupBy("host", "key", "shared").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(counts.filter(F.col("n") >= MIN_PAGES))
+    plain = counts.filter("shared")
+    hosts = counts.filter("key = 0").select("host", F.col("n").alias("pages"))
+    hosts = checkpointed(hosts.join(plain.groupBy("host").agg(F.count(F.lit(1)).alias("keys")), "host"))
+    wide = attach(plain, hosts, ["host"], "keys", F.col("key"), "inner").filter(F.col("n") >= SHARE * F.col("pages"))
+    return counts.filter("not shared and key <> 0").select("key", "n").unionByName(wide.select("key", "n"))
 
 
 def _common(found: DataFrame) -> tuple[np.ndarray, DataFrame | None]:
@@ -463,7 +531,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             salt = np.arange(len(mark), dtype=np.int32) % SALTS
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(mark), pa.array(salt)], [*batch.schema.names, "page", "salt"])
 
-        held = _subtrees(rows).join(rest, "key").groupBy("page").agg(F.collect_set("key").alias("held"))
+        held = _subtrees(rows).select("key", "page").join(rest, "key").groupBy("page").agg(F.collect_set("key").alias("held"))
         held = held.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         keyed = map_batches(rows, marked, f"page_id {id_type}, url string, html string, page long, salt int")
         rows = keyed.join(held, ["page", "salt"], "left").drop("page", "salt")

@@ -275,3 +275,34 @@ def test_quality_of_repeated_rows_and_clashing_columns(spark):
     assert len({r.score for r in got if r.doc_id == 3}) >= 1
     again = quality.quality_report(docs.repartition(5), marks).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_templates_decide_the_text_where_no_tag_or_name_does(spark):
+    """The registered pages with all telling tags and names replaced: what recurs on a host, and nothing of the article, goes."""
+    from pyspark.sql import functions as F
+
+    pages = html_text.table(spark, "/root/testdata/sf0.1", "pages")
+    told = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+
+    def texts(tags, names):
+        html = F.regexp_replace("html", rf"<(/?)({tags})\b", "<$1div")
+        html = F.regexp_replace(html, r'\s(class|role|id)="[^"]*"', "") if names else html
+        return {r.page_id: r.text for r in html_text.main_text(pages.withColumn("html", html)).collect()}
+
+    plain = texts("article|main", False)
+    assert plain == told
+    bare = texts("article|main|nav|aside|footer|header", True)
+    same = sum(bare[i] == t for i, t in told.items())
+    assert same >= 0.95 * len(told) and all(bare.values())
+    lost = sum(not set(t.split("\n\n")) <= set(bare[i].split("\n\n")) for i, t in told.items())
+    assert lost == 0
+
+
+def test_quoted_paragraphs_stay_without_an_article_element(spark):
+    quote = "A paragraph that many pages of this host quote, long enough to be text and no menu."
+    furniture = "<div><a href='/a'>one</a><a href='/b'>two</a><a href='/c'>three</a></div>"
+    rows = [(i, "http://h.example/", f"<body>{furniture}<div><h1>Title {i}</h1><p>{quote}</p><p>{'own words ' * 9}{i}</p></div><div>contact {i}</div></body>") for i in range(12)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 12
+    for r in got:
+        assert r.text == f"Title {r.page_id}\n\n{quote}\n\n{'own words ' * 9}{r.page_id}"
