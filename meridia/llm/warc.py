@@ -247,7 +247,11 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LoserTree:
-    """Merges sorted runs that arrive in blocks: inner nodes hold the loser of their match, the root the winner."""
+    """Merges sorted runs that arrive in blocks: inner nodes hold the loser of their match, the root the winner.
+
+    The leaves double in number when they run out, so all are set up anew a logarithmic
+    number of times; every entry and every block costs one path to the root.
+    """
 
     def __init__(self, key: Callable):
         self.key = key
@@ -267,6 +271,7 @@ class LoserTree:
         return y is None or (x is not None and x[:2] < y[:2])
 
     def _replay(self, i: int) -> None:
+        """The winner's run has another head."""
         winner, at = i, (i + len(self.heads)) // 2
         while at > 0:
             if self._beats(self.tree[at], winner):
@@ -274,18 +279,44 @@ class LoserTree:
             at //= 2
         self.tree[0] = winner
 
+    def _enter(self, i: int) -> None:
+        """A run that had no head has the least of all: it wins every match on its path.
+
+        Where it stood as a loser, and wherever the side that it comes from lost, the winner
+        of the other side has gone up; it is found further up and comes back.
+        """
+        if self.tree[0] == i:
+            return
+        leaves, side = len(self.heads), i + len(self.heads)
+        empty, at = 0, side // 2
+        while at > 0:
+            loser = self.tree[at]
+            if loser == i:
+                empty = at
+            elif empty:
+                above = loser + leaves
+                while above > side:
+                    above //= 2
+                if above == side:
+                    self.tree[empty], empty = loser, at
+            side, at = at, at // 2
+        self.tree[empty] = self.tree[0]
+        self.tree[0] = i
+
     def feed(self, run: str, entries: Iterable) -> None:
-        """The next block of a run; no block may begin before what ``until`` has passed."""
+        """The next block of a run; it begins at or after what ``until`` has passed, and not after what it has left."""
         i = self.places.setdefault(run, len(self.places))
-        if i == len(self.queues):
-            self.queues.append(deque())
-            self.heads.append(None)
-        self.queues[i].extend(entries)
-        if self.heads[i] is None:  # the run enters again: one match per run, once a block
-            self._next(i)
-            self.tree = [-1] * max(1, len(self.heads))
+        if i == len(self.heads):
+            more = max(1, len(self.heads))
+            self.queues += [deque() for _ in range(more)]
+            self.heads += [None] * more
+            self.tree = [-1] * len(self.heads)
             for k in range(len(self.heads)):
                 self._replay(k)
+        self.queues[i].extend(entries)
+        if self.heads[i] is None:
+            self._next(i)
+            self._enter(i)
 
     def until(self, bound=None) -> Iterator:
         """The entries in order, up to the first whose key isn't below ``bound``."""

@@ -73,6 +73,42 @@ def test_blocks_merge_with_one_block_of_a_run_in_memory(k, size):
         assert all(len(q) < 2 * size or q[0] == q[-1] or q[size - 1] == b[0] for q in tree.queues)
 
 
+def _blocks_of(k, size, n):
+    rng = random.Random(k)
+    runs = [sorted(rng.random() for _ in range(n)) for _ in range(k)]
+    return sorted(((run[a : a + size], f"r{i}") for i, run in enumerate(runs) for a in range(0, n, size)), key=lambda b: b[0][0])
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7, 33, 100])
+def test_every_node_holds_the_winner_of_its_weaker_side(k):
+    tree = warc.LoserTree(lambda x: x)
+    got = []
+    for b, r in _blocks_of(k, 3, 20):
+        got += tree.until(b[0])
+        tree.feed(r, b)
+        leaves = len(tree.heads)
+        assert sorted(tree.tree) == list(range(leaves))
+        best = [None] * leaves + list(range(leaves))
+        for at in range(leaves - 1, 0, -1):
+            pair = sorted(best[2 * at : 2 * at + 2], key=lambda x: (tree.heads[x] is None, tree.heads[x] or ()))
+            best[at] = pair[0]
+            assert tree.heads[tree.tree[at]] == tree.heads[pair[1]]
+    assert got + list(tree.until()) == sorted(x for b, _ in _blocks_of(k, 3, 20) for x in b)
+
+
+def test_time_of_an_entry_follows_the_logarithm_of_the_runs():
+    import time
+
+    def took(k):
+        blocks = [(r, b) for b, r in _blocks_of(k, 12, 24)]
+        began = time.process_time()
+        assert sum(1 for _ in warc.merge_blocks(blocks, lambda x: x)) == 24 * k
+        return (time.process_time() - began) / k
+
+    took(250)
+    assert min(took(4000) for _ in range(2)) < 2 * max(took(250) for _ in range(3))
+
+
 def test_runs_are_cut_at_bounds_and_where_their_order_breaks(monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_ROWS", 2)
     entry = lambda k: (k, "t", 1, None, "response", None, 0, "", "f", 0)
