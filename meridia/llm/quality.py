@@ -220,14 +220,17 @@ def _feature_rows(docs: DataFrame, carry: str) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``rows`` labelled rows."""
+    """Features and labels of at most ``rows`` labelled rows, also where a doc_id repeats among the labels or the documents."""
     marked = labels.filter(
         ~held_out(F.col("`doc_id`")) & F.col("`doc_id`").isNotNull() & F.col("`quality`").isNotNull()
     ).select(F.col("`doc_id`").cast("long").alias("labelled"), F.col("`quality`").cast("double").alias("y"))
-    sample = hash_sample(marked, "labelled", rows)
+    # Of the labels of one doc_id each value counts once.
+    sample = hash_sample(marked.distinct(), "labelled", rows)
     texts = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
-    # The sample has two numbers a row and at most ``rows`` rows.
-    picked = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("y", "text")
+    # The sample has two numbers a row and at most ``rows`` rows; of the texts of one doc_id the one with the least hash learns.
+    wanted = sample.select(F.col("labelled").alias("doc_id")).distinct()
+    first = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    picked = first.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("y", "text")
     found = sorted((r.x, r.y) for r in _feature_rows(picked, "y").collect())
     x = np.array([f for f, _ in found], dtype=float).reshape(-1, len(FEATURES))
     return x, np.array([y for _, y in found], dtype=float)

@@ -1,4 +1,5 @@
 import random
+import zlib
 import re
 import time
 from collections import Counter, defaultdict
@@ -306,3 +307,12 @@ def test_quoted_paragraphs_stay_without_an_article_element(spark):
     assert len(got) == 12
     for r in got:
         assert r.text == f"Title {r.page_id}\n\n{quote}\n\n{'own words ' * 9}{r.page_id}"
+
+
+def test_repeated_ids_do_not_widen_the_training_sample(spark):
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(200)] + [(3, "three"), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(1, 0), (3, 0), (8, 1), (None, 1)], "doc_id long, quality long")
+    learned = [i for i in (1, 3, 8) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x, y = quality.training_rows(docs, labels)
+    assert len(y) == len(x) == len(learned) + (1 in learned) and learned
+    assert len(quality.training_rows(docs, labels, rows=1)[1]) <= 1
