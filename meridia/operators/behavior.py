@@ -70,6 +70,13 @@ def merge_buckets(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def reparented_buckets(buckets: DataFrame, survivors: DataFrame) -> DataFrame:
+    """The buckets of merged profiles added to their survivors'; ``survivors`` has tenant_id, profile_id, survivor_id."""
+    moved = buckets.join(survivors, ["tenant_id", "profile_id"], "left")
+    moved = moved.withColumn("profile_id", F.coalesce("survivor_id", "profile_id")).drop("survivor_id")
+    return merge_buckets(moved.limit(0), moved)
+
+
 def bucket_counts(buckets: DataFrame, log: DataFrame, event: str, window: str, at: dt.datetime) -> DataFrame:
     """The exact windowed count from whole hours of the rollup and the two boundary hours of the log."""
     hour = 3_600_000_000

@@ -124,6 +124,14 @@ def rekeyed(rows: DataFrame, survivors: DataFrame, keys: list[str]) -> DataFrame
     return kept.select(*rows.columns)
 
 
+def reparented(tables: dict[str, tuple[DataFrame, list[str]]], survivors: DataFrame) -> dict[str, DataFrame]:
+    """Every table of a profile's children (its rows, what identifies a row) under the survivors: memberships, enrolments, history, events.
+
+    Buckets and consent merge in their own ways: ``behavior.merge_buckets``, ``governance.merge_consent``.
+    """
+    return {name: rekeyed(rows, survivors, keys) for name, (rows, keys) in tables.items()}
+
+
 def deactivated(pending: DataFrame, segments: DataFrame) -> DataFrame:
     """Deadlines of active segments only; memberships of the others stay as they are, frozen."""
     live = segments.filter("status = 'active'").select("tenant_id", "segment_id")

@@ -87,6 +87,14 @@ def tenant_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return parts.groupBy("tenant_id").agg(*(F.count_if(F.col("_table") == n).alias(n) for n in tables))
 
 
+def tenant_stats(tenants: DataFrame, dead_letters: DataFrame, **tables: DataFrame | None) -> DataFrame:
+    """Per tenant dlq_open and a count per table (sources, destinations, profiles, segments, ...), 0 without rows and -1 for a table that is not there."""
+    there = {"dlq_open": dead_letters.filter("status = 'open'")} | {n: df for n, df in tables.items() if df is not None}
+    counts = tenants.select("tenant_id").join(tenant_counts(there), "tenant_id", "left")
+    columns = {n: F.coalesce(n, F.lit(0)) if n in there else F.lit(-1).cast("long") for n in ("dlq_open", *tables)}
+    return counts.select("tenant_id", *(c.alias(n) for n, c in columns.items()))
+
+
 def backlog(pending: DataFrame, at: dt.datetime) -> DataFrame:
     due = F.col("due_at") <= moment(at)
     return pending.agg(

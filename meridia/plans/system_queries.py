@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import activation, deadlines, governance, identity, ingest, journeys, membership, metrics, ops, profiles, relay
+from ..operators import activation, behavior, deadlines, governance, identity, ingest, journeys, membership, metrics, ops, profiles, relay
 from ..sources.storage import checkpointed
 from . import fixtures
 from .compiler import evaluate, evaluate_rows, in_window, moment
@@ -1137,6 +1137,25 @@ def _stats(spark, sf_dir):
     return ops.tenant_counts({"profiles": fixtures.profiles(spark, sf_dir), "events": fixtures.behavior_log(spark, sf_dir)})
 
 
+@_add(
+    "stats_tenant",
+    with_sql(
+        f"""SELECT tenant_id, (SELECT count(*) FROM log l WHERE l.tenant_id = t.tenant_id AND cast(substr(event_id, 2) AS BIGINT) % 5 = 1) AS dlq_open,
+  (SELECT count(*) FROM supplier s JOIN nation ON s_nationkey = n_nationkey WHERE 'r' || n_regionkey = t.tenant_id) AS sources,
+  -1::BIGINT AS destinations, (SELECT count(*) FROM prof p WHERE p.tenant_id = t.tenant_id) AS profiles,
+  (SELECT count(*) FROM nation WHERE 'r' || n_regionkey = t.tenant_id) AS segments FROM (SELECT 'r' || r_regionkey AS tenant_id FROM region) t"""
+    ),
+)
+def _tenant_stats(spark, sf_dir):
+    """The five counts of every tenant: dead letters of which some are open, suppliers as sources, no table of destinations, nations as segments."""
+    tenants = fixtures.table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("tenant_id"))
+    n = F.substring("event_id", 2, 20).cast("long")
+    dead = fixtures.behavior_log(spark, sf_dir).filter(n % 5 < 2).withColumn("status", F.when(n % 5 == 1, "open").otherwise("resolved"))
+    nation = fixtures.table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("r"), "n_regionkey").alias("tenant_id"))
+    sources = fixtures.table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    return ops.tenant_stats(tenants, dead, sources=sources, destinations=None, profiles=fixtures.profiles(spark, sf_dir), segments=nation)
+
+
 _CATALOG = """
 seg AS (SELECT 'r' || n_regionkey AS tenant_id, 's' || n_nationkey AS segment_id, n_nationkey AS n, CASE WHEN n_nationkey % 4 = 0 THEN 'inactive' ELSE 'active' END AS status,
   n_nationkey % 3 + 1 AS current_version, TIMESTAMP '2024-01-01' + to_hours(n_nationkey) AS updated_at FROM nation),
@@ -1322,6 +1341,43 @@ def _reparent(spark, sf_dir):
     return membership.rekeyed(rows, _survivors(spark, sf_dir), membership.KEYS).select("tenant_id", "profile_id", "owner")
 
 
+@_add(
+    "reparent_events",
+    with_sql("SELECT tenant_id, 'p' || (n - n % 2) AS profile_id, event_id FROM (SELECT *, cast(substr(profile_id, 2) AS BIGINT) AS n FROM log)"),
+)
+def _reparent_events(spark, sf_dir):
+    log = fixtures.behavior_log(spark, sf_dir)
+    moved = membership.reparented({"events": (log, ["tenant_id", "profile_id", "event_id"])}, _survivors(spark, sf_dir))
+    return moved["events"].select("tenant_id", "profile_id", "event_id")
+
+
+@_add(
+    "reparent_buckets",
+    with_sql(
+        """SELECT tenant_id, 'p' || (n - n % 2) AS profile_id, event_name, date_trunc('hour', occurred_at)::TIMESTAMP AS bucket_start, count(*) AS count,
+  min(occurred_at) AS first_at, max(occurred_at) AS last_at FROM (SELECT *, cast(substr(profile_id, 2) AS BIGINT) AS n FROM log) GROUP BY ALL"""
+    ),
+)
+def _reparent_buckets(spark, sf_dir):
+    buckets = behavior.hourly_buckets(fixtures.behavior_log(spark, sf_dir))
+    return ntz(behavior.reparented_buckets(buckets, _survivors(spark, sf_dir)))
+
+
+@_add(
+    "reparent_enrollments",
+    with_sql(
+        """SELECT tenant_id, journey_id, profile_id, arg_min(n, (n % 2, n)) AS owner FROM (
+  SELECT tenant_id, 'j' || (n // 2 % 3) AS journey_id, 'p' || (n - n % 2) AS profile_id, n FROM (SELECT *, cast(substr(profile_id, 2) AS BIGINT) AS n FROM prof)) GROUP BY ALL"""
+    ),
+)
+def _reparent_enrollments(spark, sf_dir):
+    """An enrolment per profile; where survivor and loser are in one journey, the survivor's own stays."""
+    n = F.substring("profile_id", 2, 20).cast("long")
+    rows = fixtures.profiles(spark, sf_dir).select("tenant_id", "profile_id", F.concat(F.lit("j"), F.floor(n / 2) % 3).alias("journey_id"), n.alias("owner"))
+    keys = ["tenant_id", "journey_id", "profile_id"]
+    return membership.reparented({"enrollments": (rows, keys)}, _survivors(spark, sf_dir))["enrollments"].select(*keys, "owner")
+
+
 @_add("segment_deactivate", with_sql("SELECT tenant_id, count(*) AS pending FROM pend WHERE tenant_id <> 'r0' GROUP BY ALL", _PENDING))
 def _deactivate(spark, sf_dir):
     pending = _pending(spark, sf_dir).withColumn("segment_id", F.lit("s1"))
