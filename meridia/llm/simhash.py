@@ -9,13 +9,15 @@ segments of two bits, and mapped to the vector of the segments' bit counts.  The
 Manhattan distance of two vectors is a lower bound of the Hamming distance.  The
 range join on the grid of vectors meets in the middle: two points at distance
 two or less have a grid point at distance one or less from both, so each
-fingerprint goes to its own cell and to the adjacent ones (at most 65), and
-fingerprints that are alone in all their cells have no link.
+fingerprint goes to its own cell and to the adjacent ones (at most 65), and only
+cells that several fingerprints visit go on.
 
-The others are verified exactly, again in the middle: two fingerprints differ in
-at most two bits if and only if some number differs from both in at most one bit.
-All that meet at such a number (65 at most) are linked with each other, so a star to
-the smallest holds the links, and no cell, however crowded, emits its pairs.
+In a cell that it shares, a fingerprint is represented by the numbers at most one
+bit away from it whose vector is the cell (at most two).  Two fingerprints differ in
+at most two bits if and only if they have such a number in common, in a cell that
+both visit: that is the exact verification.  All that meet at a number (65 at most)
+are linked with each other, so a star to the smallest holds the links, and no cell,
+however crowded, emits its pairs.
 
 Classes are the connected components, found with alternating large-star and
 small-star rounds over distinct fingerprints, each round checkpointed.
@@ -120,6 +122,15 @@ def _cells(vector: Column) -> Column:
     return F.array(vector, *flips)
 
 
+def _middles(fp: Column, cell: Column) -> Column:
+    """The numbers at most one bit from ``fp`` whose vector is ``cell``, one of its cells."""
+    low = F.lit(0x5555555555555555)
+    apart = popcount_vector(fp).bitwiseXOR(cell)
+    first = apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(low)  # the first bit of the segment that differs
+    flipped = F.array(fp.bitwiseXOR(first), fp.bitwiseXOR(F.shiftleft(first, 1)))
+    return F.when(apart == 0, F.array(fp)).otherwise(F.filter(flipped, lambda m: popcount_vector(m) == cell))
+
+
 def _spread(prints: DataFrame, visits: int) -> DataFrame:
     """The fingerprints in so many partitions that each holds _PART_BYTES after an explosion to ``visits`` rows."""
     size = prints.count() * visits * 24
@@ -135,12 +146,9 @@ def _links(distinct: DataFrame) -> DataFrame:
         .filter("cell is not null")
     )
     shared = checkpointed(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    near = checkpointed(attach(visits, shared, ["cell"], "n", F.col("fp"), "inner").select("fp").distinct())
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(64)))
-    middle = _spread(near, 65).select("fp", F.explode(masks).alias("mask"))
-    stars = middle.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("cell")).withColumn(
-        "a", F.min("fp").over(Window.partitionBy("cell"))  # 65 rows at most
-    )
+    met = attach(visits, shared, ["cell"], "n", F.col("fp"), "inner")
+    middles = met.select("fp", F.explode(_middles(F.col("fp"), F.col("cell"))).alias("middle"))
+    stars = middles.withColumn("a", F.min("fp").over(Window.partitionBy("middle")))  # 65 rows at most
     return stars.filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 

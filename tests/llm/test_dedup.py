@@ -135,3 +135,21 @@ def test_crowded_cells_keep_every_link(spark, monkeypatch, rows):
     for f, r in _brute(prints).items():
         brute.setdefault(r, set()).add(f - (1 << 64) if f >> 63 else f)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
+
+
+def test_middles_are_the_numbers_one_bit_away_in_the_cell(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    prints = [rng.getrandbits(64) - (1 << 63) for _ in range(40)] + [0, -1, 1, -(1 << 63)]
+
+    def vector(x):
+        return sum(bin(x >> 2 * i & 3).count("1") << 2 * i for i in range(32))
+
+    rows = spark.createDataFrame([(x,) for x in prints], "fp long")
+    cells = rows.withColumn("cell", F.explode(simhash._cells(simhash.popcount_vector(F.col("fp"))))).filter("cell is not null")
+    got = cells.select("fp", "cell", simhash._middles(F.col("fp"), F.col("cell")).alias("m")).collect()
+    for fp in prints:
+        mine = [m % 2**64 for r in got if r.fp == fp for m in r.m]
+        assert sorted(mine) == sorted([fp % 2**64] + [fp % 2**64 ^ 1 << i for i in range(64)])
+    assert all(vector(m % 2**64) == r.cell % 2**64 for r in got for m in r.m)
