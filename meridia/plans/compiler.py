@@ -1,13 +1,14 @@
 """Rules as columns over all profiles at once.
 
 ``evaluate`` gathers the behaviour leaves of all rules, drops repeated ones, and
-computes them in at most two passes over the behavioural log:
+computes them in at most three passes over the behavioural log:
 
 * counts, sums and last occurrences are conditional aggregates of one
   ``groupBy(tenant, profile)``, with partial aggregation before its only shuffle;
-* sequences and absences after an anchor need the order of a profile's events:
-  range windows over one partitioning by (tenant, profile), then an aggregate on
-  the same partitioning, so again one shuffle, and only of the events they name.
+* sequences and absences after an anchor need the order of a profile's events, and
+  read only the events they name.  Sequences look for chains in slices of time that
+  overlap by the longest chain (``_sequences``), so a profile's events spread over
+  tasks; absences after an anchor are windows over (tenant, profile).
 
 The results are left-joined to the profiles, because a profile without events
 counts 0 and satisfies absences.  The evaluation instant is always a literal.
@@ -186,20 +187,44 @@ def sliced_leaf(b: Behavior, at: Instant) -> Simple:
     return Simple(F.max(F.when(named, newest)), simple_leaf(b, at).test)
 
 
-def _ordered_leaf(events: DataFrame, b: Behavior, name: str, at: Instant) -> tuple[DataFrame, Column]:
-    """(events with helper columns, aggregate that is true where the leaf holds)."""
-    mine = Window.partitionBy(*KEYS)
-    ts, now = F.col("_us"), micros(at)
-    if b.kind == "sequence":
-        near = mine.orderBy("_us").rangeBetween(-parse_window(b.within), -1)
+#: A slice of time is so many times as long as the longest chain of its sequences.
+SLICE_CHAINS = 4
+
+
+def _sequences(log: DataFrame, found: dict[str, Behavior], chains: int = SLICE_CHAINS) -> DataFrame:
+    """(tenant, profile, one boolean per sequence) over log rows with ``_us``.
+
+    A chain spans at most ``within`` per step after the first.  Time is cut into slices of
+    ``chains`` times the longest span; a row near the end of its slice is also in the next
+    one, so every chain lies whole in the slice of its last event, and what a slice finds
+    is a chain of the profile.  A profile's slices are apart in the shuffle and combined
+    before the next one.
+    """
+    reach = max(parse_window(b.within) * (len(b.steps) - 1) for b in found.values())
+    wide = reach * chains
+    rest = F.pmod("_us", F.lit(wide))
+    own = ((F.col("_us") - rest) / wide).cast("long")
+    log = log.select(
+        *KEYS, "event_name", "_us", F.explode(F.when(rest >= wide - reach, F.array(own, own + 1)).otherwise(F.array(own))).alias("_slice")
+    )
+    holds = []
+    for name, b in found.items():
+        near = Window.partitionBy(*KEYS, "_slice").orderBy("_us").rangeBetween(-parse_window(b.within), -1)
         step = f"{name}_0"
-        events = events.withColumn(step, (F.col("event_name") == b.steps[0].event_name).cast("int"))
+        log = log.withColumn(step, (F.col("event_name") == b.steps[0].event_name).cast("int"))
         for i, s in enumerate(b.steps[1:], 1):
             before = F.coalesce(F.max(step).over(near), F.lit(0))
             step = f"{name}_{i}"
-            events = events.withColumn(step, F.when(F.col("event_name") == s.event_name, before).otherwise(0))
-        return events, F.max(step) == 1
-    # absence after an anchor: the anchor is always a plain count
+            log = log.withColumn(step, F.when(F.col("event_name") == s.event_name, before).otherwise(0))
+        holds.append((F.max(step) == 1).alias(name))
+    return log.groupBy(*KEYS).agg(*holds)
+
+
+def _anchored_leaf(events: DataFrame, b: Behavior, name: str, at: Instant) -> tuple[DataFrame, Column]:
+    """(events with helper columns, aggregate that is true where the absence after an anchor holds)."""
+    mine = Window.partitionBy(*KEYS)
+    ts, now = F.col("_us"), micros(at)
+    # The anchor is always a plain count.
     a, span = b.anchor, parse_window(b.window)
     anchored = (F.col("event_name") == a.event_name) & ts.between(now - parse_window(a.window), now)
     events = events.withColumns(
@@ -260,14 +285,19 @@ def leaf_table(
             log = log.withColumn("_props", values.parsed(F.col("props")))
         tables.append(log.groupBy(*KEYS).agg(*(s.aggregate.alias(k) for k, s in simple.items())))
         columns |= {k: s.test(F.col(k)) for k, s in simple.items()}
-    if ordered:
-        log = rows(ordered, bound=True).withColumn("_us", F.unix_micros(F.col("occurred_at")))
+    chained = {k: b for k, b in ordered.items() if b.kind == "sequence"}
+    anchored = {k: b for k, b in ordered.items() if k not in chained}
+    exact = F.unix_micros(F.col("occurred_at"))
+    if chained:
+        tables.append(_sequences(rows(chained, bound=True).withColumn("_us", exact), chained))
+    if anchored:
+        log = rows(anchored, bound=True).withColumn("_us", exact)
         aggregates = []
-        for k, b in ordered.items():
-            log, holds = _ordered_leaf(log, b, k, at)
+        for k, b in anchored.items():
+            log, holds = _anchored_leaf(log, b, k, at)
             aggregates.append(holds.alias(k))
         tables.append(log.groupBy(*KEYS).agg(*aggregates))
-        columns |= {k: F.coalesce(F.col(k), F.lit(False)) for k in ordered}
+    columns |= {k: F.coalesce(F.col(k), F.lit(False)) for k in ordered}
     return tables, columns
 
 

@@ -291,6 +291,37 @@ def test_sequences(spark, third, want):
     assert holds(spark, [*rows, ("a", -2 * DAY + 60 * m)], twice)[0] is True
 
 
+@pytest.mark.parametrize("chains", [1, 3])
+def test_sequences_in_slices(spark, chains):
+    """Chains across the bounds of slices are found, and ones that are a microsecond too long are not."""
+    rng = random.Random(chains)
+    rows = [(f"p{i}", "t", rng.choice("abc"), rng.randrange(-40, 40)) for i in range(60) for _ in range(rng.randrange(12))]
+    rows += [("edge", "t", x, at) for x, at in [("a", -20), ("b", -10), ("c", 0), ("a", 20), ("b", 31)]]
+    rows += [("late", "t", x, at) for x, at in [("a", 19), ("b", 29), ("c", 40), ("c", 29)]]
+    specs = {n: rules.Behavior.of({"kind": "sequence", "within": "10s", "steps": [{"event_name": x} for x in n]}) for n in ("abc", "aa", "abab", "ba")}
+    df = spark.createDataFrame(rows, "profile_id string, tenant_id string, event_name string, _s long").selectExpr("*", "_s * 1000000 _us")
+    got = {r.profile_id: r for r in compiler._sequences(df, specs, chains).collect()}
+    assert got["edge"].abc and not got["late"].abc
+
+    def chain(names, times, after=None):
+        if not names:
+            return True
+        return any(n == names[0] and (after is None or after < t <= after + 10) and chain(names[1:], times, t) for t, n in times)
+
+    for p, r in got.items():
+        mine = [(t, n) for q, _, n, t in rows if q == p]
+        assert {n: r[n] for n in specs} == {n: chain(n, mine) for n in specs}
+    assert sum(r.abc for r in got.values()) > 3
+
+
+def test_a_profile_is_several_groups_of_sequences(spark):
+    spec = {"s": rules.Behavior.of({"kind": "sequence", "within": "1s", "steps": [{"event_name": x} for x in "ab"]})}
+    df = spark.range(3000).selectExpr("'t' tenant_id", "'hot' profile_id", "if(id % 2 = 0, 'a', 'b') event_name", "id * 1000000 _us")
+    plan = compiler._sequences(df, spec)._jdf.queryExecution().executedPlan().toString()
+    assert any("_slice#" in p.split(")")[0] for p in plan.split("hashpartitioning(")[1:])
+    assert compiler._sequences(df, spec).collect()[0].s is True
+
+
 def test_where_and_sum(spark):
     rows = [("cart", -DAY, {"price": 150}), ("cart", -DAY, {"price": 50})]
     where = leaf("event.properties.price", "gte", 100)
