@@ -12,8 +12,10 @@ language that are not held out, shared out by language, so that a rare language
 rows as long as there are at most TRAIN_ROWS languages; of a language those with the
 smallest hash of doc_id, language and text, so that rows of one doc_id don't come or
 go together.  All windows of these rows' whole texts train the network, up to
-TRAIN_WINDOWS of them; of more, those with the smallest hash, wherever they are in
-their text.  Everything else covers all rows and whole texts.
+TRAIN_WINDOWS of them (a parameter too); of more, those with the smallest hash,
+wherever they are in their text.  An epoch takes the next EPOCH_WINDOWS of them in
+shuffled order, and over EPOCHS each window trains at least twice.  Everything else
+covers all rows and whole texts.
 
 Defined results
     null text, or none with a letter   und, score 0
@@ -48,7 +50,7 @@ FILTERS = ((2, 8), (3, 12), (4, 12))
 WIDEST = max(w for w, _ in FILTERS)
 TRAIN_ROWS = 3000
 TRAIN_WINDOWS = 40_000
-#: Windows that one epoch sees, so that training takes the same time for any sample.
+#: Windows that one epoch sees, so that training takes the same time for any sample; EPOCHS of them are twice TRAIN_WINDOWS.
 EPOCH_WINDOWS = 12_000
 EPOCHS = 7
 BATCH = 64
@@ -135,8 +137,11 @@ def train(windows: list[bytes], langs: list[str], epochs: int = EPOCHS) -> Netwo
     params = [net.embed, net.kernel, net.bias, net.out, net.out_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     steps = WINDOW - WIDEST + 1
+    # Epochs take the windows in turn, so none is left out while others train again.
+    share_of = min(EPOCH_WINDOWS, len(codes))
+    turns = np.concatenate([rng.permutation(len(codes)) for _ in range(-(-epochs * share_of // len(codes)))])
     for epoch in range(epochs):
-        order = rng.permutation(len(codes))[:EPOCH_WINDOWS]
+        order = turns[epoch * share_of : (epoch + 1) * share_of]
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
             x, y = codes[pick], target[pick]

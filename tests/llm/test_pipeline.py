@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import zlib
@@ -88,6 +89,21 @@ def test_training_sample_with_null_and_repeated_ids(spark):
     assert {w.split()[0] for w in windows} == {b"own", b"again"}
 
 
+def test_every_window_trains(monkeypatch):
+    """With fewer windows an epoch than there are, the epochs take them in turn."""
+    monkeypatch.setattr(langid, "EPOCH_WINDOWS", 64)
+    seen = collections.Counter()
+    real = langid.Network.pooled
+
+    def pooled(self, codes):
+        seen.update(bytes(c[:3].astype("uint8")) for c in codes)
+        return real(self, codes)
+
+    monkeypatch.setattr(langid.Network, "pooled", pooled)
+    langid.train([b"%03d" % i for i in range(150)], ["a", "b"] * 75, epochs=5)
+    assert len(seen) == 150 and set(seen.values()) == {2, 3} and sum(seen.values()) == 5 * 64
+
+
 def test_training_sample_holds_rare_languages_and_whole_texts(spark):
     rows = [(4 * i, "en words %d " % i * 60, "en") for i in range(500)] + [(5001, "seul texte " * 90, "fr"), (5003, "?!", "xx")]
     docs = spark.createDataFrame([(i, t, lang, 1) for i, t, lang in rows], "doc_id long, text string, lang string, key int")
