@@ -1,4 +1,3 @@
-import collections
 import hashlib
 import random
 import zlib
@@ -92,7 +91,7 @@ def test_training_sample_with_null_and_repeated_ids(spark):
 def test_every_window_trains(monkeypatch):
     """With fewer windows an epoch than there are, the epochs take them in turn."""
     monkeypatch.setattr(langid, "EPOCH_WINDOWS", 64)
-    seen = collections.Counter()
+    seen = Counter()
     real = langid.Network.pooled
 
     def pooled(self, codes):
