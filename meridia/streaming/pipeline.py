@@ -22,13 +22,17 @@ touches.  A repeated run of a batch starts from the state before it.
   are read.
 
 Requests that can't be read, and events whose id was used before with other content,
-become dead letters with their body.  Any other failure fails the query, which runs
-the batch again when it is started again.
+become dead letters with their body.  A batch that fails on its data is tried again
+``retries`` times, then the rows that fail by themselves are looked for
+(``isolate.failing``), become dead letters too, and the rest goes through.  Any other
+failure, and more than ``most_failing`` such rows, fails the query, which runs the batch
+again when it is started again.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +44,7 @@ from ..plans.compiler import KEYS, evaluate, leaves, micros, moment, scan_bound,
 from ..plans.rules import Rule
 from ..sources import readers
 from ..sources.storage import Batches, Buckets, Snapshot, checkpointed
-from . import state
+from . import isolate, state
 
 CHANGES = "tenant_id string, segment_id string, profile_id string, change string, transition_seq long, changed_at timestamp, reason string"
 ENVELOPE = (
@@ -75,6 +79,10 @@ class Pipeline:
     consent: DataFrame | None = None
     #: Buckets of the keyed state; fixed once the state is there.
     buckets: int = 64
+    #: How often a batch that fails on its data runs again, each time after a tenth of a second more.
+    retries: int = 2
+    #: Rows of a batch that may become dead letters because the work fails on them.
+    most_failing: int = 64
 
     def __post_init__(self) -> None:
         s, r = self.spark, self.root
@@ -148,7 +156,11 @@ class Pipeline:
         states = self.redirected(self.profiles.read(buckets))
         if touched is not None:
             states = states.join(touched, ["tenant_id", "cluster_id"], "left_semi")
-        folded = profiles.folded(profiles.merged(states))
+        return self._people(profiles.merged(states))
+
+    @staticmethod
+    def _people(states: DataFrame) -> DataFrame:
+        folded = profiles.folded(states)
         traits = F.struct(*(F.col(f"trait_{t}").alias(t) for t in profiles.TRAITS))
         computed = F.struct("total_events", "total_orders", *profiles.LAST)
         return folded.select(
@@ -208,6 +220,35 @@ class Pipeline:
         """One micro-batch of requests.  ``at`` is the evaluation instant; by default the latest arrival."""
         self._take(checkpointed(self._judged(checkpointed(state.envelopes(requests)), batch)), batch, at)
 
+    def _deliver(self, made: DataFrame, batch: int) -> None:
+        """A batch of the stream, without the rows that fail after all retries."""
+        made = checkpointed(isolate.numbered(made))
+        for attempt in range(self.retries + 1):
+            try:
+                return self._take(made, batch)
+            except Exception as e:
+                if isolate.row_error(e) is None:
+                    raise
+                failure = e
+                time.sleep(0.1 * attempt)
+        bad = isolate.failing(made, self._alone, self.most_failing)
+        if not bad:
+            raise failure
+        wrong = F.create_map(*(F.lit(x) for number, text in bad.items() for x in (number, f"processing: {text}")))
+        self._take(made.withColumn("error", F.coalesce("error", F.try_element_at(wrong, F.col(isolate.ROW)))), batch)
+
+    def _alone(self, made: DataFrame) -> None:
+        """What a batch computes of its events, with each as a profile of its own; writes nothing."""
+        events = made.filter("error is null").withColumn("cluster_id", F.concat(F.lit("c_"), "event_id"))
+        at = events.agg(F.max("received_at")).first()[0]
+        if at is None:  # no events
+            return
+        seen = profiles.observed(events).join(events.select("tenant_id", "event_id", "cluster_id"), ["tenant_id", "event_id"])
+        log = behavior.record(events.withColumns({"profile_id": F.col("cluster_id"), "props": F.col("properties")}), self.consent)
+        verdicts = evaluate(self._people(profiles.partial(seen)), log, self.rules, at)
+        for out in (ingest.verdicts(events), identity.nodes(identity.extract(events)), log, verdicts):
+            out.write.format("noop").mode("overwrite").save()
+
     def _take(self, made: DataFrame, batch: int, at: dt.datetime | None = None) -> None:
         """The events of a batch, each with ``stored_hash``."""
         same = F.col("payload_hash") == F.col("stored_hash")
@@ -301,7 +342,7 @@ class Pipeline:
         known = self.events.read(but=0).select("tenant_id", "event_id", "payload_hash")
         judged = state.remembered(state.envelopes(stream), known)
         return (
-            judged.writeStream.foreachBatch(lambda df, batch: self._take(checkpointed(df), batch))
+            judged.writeStream.foreachBatch(self._deliver)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()

@@ -11,7 +11,7 @@ from meridia.operators import behavior, deadlines, identity, ingest, profiles
 from meridia.plans.compiler import evaluate
 from meridia.plans.rules import parse
 from meridia.sources import readers
-from meridia.streaming import pipeline
+from meridia.streaming import isolate, pipeline
 
 AT = dt.datetime(2026, 6, 10, 12)
 RULES = {
@@ -145,6 +145,48 @@ def test_dead_letters_keep_their_body(spark, tmp_path):
     assert work.dead.read(only=1).count() == 1 and work.events.read().count() == 2
 
 
+def _poisoned(monkeypatch):
+    """Recording an event called poison fails, as a value that an expression can't take does."""
+    record = behavior.record
+
+    def failing(rows, consent):
+        bad = F.when(F.col("event_name") == "poison", F.element_at(F.array(F.lit("x")), F.length("event_id") + 1))
+        return record(rows, consent).withColumn("event_name", F.coalesce(bad, "event_name"))
+
+    monkeypatch.setattr(pipeline.behavior, "record", failing)
+
+
+def test_rows_that_fail_become_dead_letters_after_the_retries(spark, tmp_path, monkeypatch):
+    _poisoned(monkeypatch)
+    rows = [_track(i, f"e{i}", event_name="poison" if i in (3, 17) else "view") for i in range(30)] + [{**_track(40, ""), "body": "{broken"}]
+    _land(tmp_path / "in", "a.json", rows)
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES, buckets=4, retries=1)
+    tries = []
+    take = work._take
+    work._take = lambda made, batch, at=None: (tries.append(batch), take(made, batch, at))[1]
+    work.start(f"file://{tmp_path}/in", f"file://{tmp_path}/ckpt").awaitTermination()
+    dead = {r.raw: r.error for r in work.dead.read().collect()}
+    assert len(dead) == 3 and all(dead[rows[i]["body"]].startswith("processing: INVALID_ARRAY_INDEX") for i in (3, 17))
+    assert work.events.read().count() == 28 and tries == [0, 0, 0]
+    assert profiles.folded(work.profiles.read()).agg(F.sum("total_events")).first()[0] == 28
+    assert work.state.read().filter("status = 'active'").count() == 5
+
+
+def test_too_many_failing_rows_fail_the_query(spark, tmp_path, monkeypatch):
+    _poisoned(monkeypatch)
+    _land(tmp_path / "in", "a.json", [_track(i, f"e{i}", event_name="poison") for i in range(20)])
+    work = pipeline.Pipeline(spark, f"file://{tmp_path}/state", RULES, buckets=4, retries=0, most_failing=4)
+    with pytest.raises(StreamingQueryException, match="over 4 rows fail"):
+        work.start(f"file://{tmp_path}/in", f"file://{tmp_path}/ckpt").awaitTermination()
+    assert work.dead.read().isEmpty()
+
+
+def test_what_is_a_rows_fault():
+    assert isolate.row_error(RuntimeError("x [CAST_INVALID_INPUT] The value 'a'\n is bad. SQLSTATE: 22018 y")) == "CAST_INVALID_INPUT: The value 'a' is bad."
+    assert isolate.row_error(RuntimeError("[USER_RAISED_EXCEPTION] no SQLSTATE: P0001")) is not None
+    assert isolate.row_error(RuntimeError("[UNRESOLVED_COLUMN] no SQLSTATE: 42703")) is None and isolate.row_error(OSError("disk full")) is None
+
+
 FILTERED = {"filtered": parse({"behavior": {"kind": "count", "event_name": "view", "window": "2d", "op": "gte", "value": 2, "where": {"field": "event.properties.x", "op": "exists"}}})}
 
 
