@@ -48,9 +48,12 @@ from ..sources.storage import checkpointed, remove, shared_folder
 from .common import table
 
 TOP = 20
-#: Documents and bytes of text of a window; a longer text is a window of its own.
+#: Documents and bytes of text of a window; a longer text is a window of its own.  A window is a row of the index, of which
+#: readers hold some at a time in every task, so it is small.
 WINDOW_ROWS = 4096
-WINDOW_BYTES = 8 << 20
+WINDOW_BYTES = 2 << 20
+#: A row group of the index, which holds a few windows.
+ROW_GROUP_BYTES = 4 << 20
 #: Bytes of query texts that a pass over the index serves.
 BLOCK_BYTES = 4 << 20
 _TEXT_BYTES = 4 << 20
@@ -135,8 +138,9 @@ def build_index(docs: DataFrame, path: str) -> DataFrame:
             yield window.row()
 
     rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").cast("binary").alias("raw"))
-    # Small row groups, as a reader takes the long rows of a group at once.
-    rows.mapInArrow(run, INDEX).write.option("parquet.block.size", 16 << 20).parquet(path)
+    # Small row groups, as a reader takes the long rows of a group at once; without the second option only 100 rows end a group.
+    writer = rows.mapInArrow(run, INDEX).write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size.row.check.min", 1)
+    writer.option("parquet.page.size.row.check.max", 1).parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path)
 
 

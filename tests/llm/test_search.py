@@ -1,3 +1,4 @@
+import glob
 import math
 import random
 import re
@@ -5,6 +6,7 @@ import uuid
 from collections import Counter
 
 import pytest
+from pyarrow.parquet import ParquetFile
 
 pytest.importorskip("meridia.llm")
 
@@ -70,6 +72,16 @@ def test_long_text_and_windows_in_bytes(spark, tmp_path, monkeypatch):
     assert _search(spark, tmp_path, docs, items) == _brute(docs, items, 20)
 
 
+def test_readers_take_few_windows_at_once(spark, tmp_path):
+    """A reader takes a row group whole: none holds many windows, even of a task that wrote fewer than a hundred."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(25_000))) for i in range(80)]
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    search.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), f"file://{path}")
+    groups = [f.metadata.row_group(g) for f in map(ParquetFile, glob.glob(f"{path}/*.parquet")) for g in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 4 and max(g.total_byte_size for g in groups) < 8 << 20
+
+
 def test_empty_tables(spark, tmp_path):
     assert _search(spark, tmp_path, [], [(1, "a")]) == []
     assert _search(spark, tmp_path, [(1, "a")], []) == []
