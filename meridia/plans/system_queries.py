@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import activation, behavior, deadlines, governance, identity, ingest, journeys, membership, metrics, ops, profiles, relay
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, kept
 from . import fixtures
 from .compiler import evaluate, evaluate_rows, in_window, moment
 from .fixtures import AT, AT_SQL, LATER, LATER_SQL, ntz, with_sql
@@ -286,6 +286,10 @@ def _nodes(spark, sf_dir):
     return found.groupBy("tenant_id", "namespace").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def _identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(identity.extract(envelopes(spark, sf_dir)).select("tenant_id", "event_id", "received_at", "node_id"))
+
+
 def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ids = checkpointed(identity.extract(envelopes(spark, sf_dir)))
     return ids, identity.resolve(ids)
@@ -334,7 +338,7 @@ _AT_TIME = """, w AS (
     ),
 )
 def _history(spark, sf_dir):
-    return identity.merge_history(*_resolved(spark, sf_dir))
+    return identity.merge_history(_identifiers(spark, sf_dir))
 
 
 @_add(
@@ -349,7 +353,7 @@ def _history(spark, sf_dir):
     ),
 )
 def _feed_of_identities(spark, sf_dir):
-    rows = identity.resolved_feed(*_resolved(spark, sf_dir))
+    rows = identity.resolved_feed(_identifiers(spark, sf_dir))
     merged = F.array_join("merged_canonical_user_ids", ",").alias("merged")
     return rows.select("tenant_id", "event_id", "cluster_id", "canonical_user_id", "merge_occurred", merged)
 
@@ -420,8 +424,7 @@ def _exact_activity(spark, sf_dir):
 
 
 def exact_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids, members = _resolved(spark, sf_dir)
-    return profiles.exact_fold(profiles.observed(envelopes(spark, sf_dir), **_FOLD), *identity.timeline(ids, members))
+    return profiles.exact_fold(profiles.observed(envelopes(spark, sf_dir), **_FOLD), *identity.timeline(_identifiers(spark, sf_dir)))
 
 
 @_add(

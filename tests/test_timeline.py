@@ -73,3 +73,14 @@ def test_updates_count_versions(spark):
     rows = profiles.updated_feed(profiles.observed(events), identity.event_clusters(ids, identity.resolve(ids))).orderBy("profile_version").collect()
     assert [r.profile_version for r in rows] == [1, 2, 3] and {r.canonical_user_id for r in rows} == {"customer_e0"}
     assert ["traits.name" in r.changed_fields for r in rows] == [True, False, True]
+
+
+def test_a_hub_takes_few_jobs(spark, monkeypatch):
+    """However many clusters meet at one device, the driver plans as many steps; each used to add to a round's."""
+    made, real = [], type(spark.range(0)).checkpoint
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda self, *a, **b: made.append(1) or real(self, *a, **b))
+    n = 40
+    rows = [{"user_id": f"u{i}"} for i in range(n)] + [{"user_id": f"u{i * 7 % n}", "device_id": "d"} for i in range(n)]
+    history = identity.merge_history(identity.extract(envelopes(spark, rows)), None).collect()
+    assert len(history) == n - 1 and {r.to_cluster_id for r in history} == {"c_e0"}
+    assert len(made) < 25
