@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.scalars import identity_hash
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, drop_kept, kept
 from .identity import jump_tables
 from .prefix import before
 
@@ -134,7 +134,7 @@ def exact_fold(seen: DataFrame, events: DataFrame, merges: DataFrame) -> DataFra
     every round, gives the values of the last survivors.
     """
     order = F.struct("received_at", "event_id")
-    rows = checkpointed(seen.dropDuplicates(["tenant_id", "event_id"]).drop("received_at").join(events, ["tenant_id", "event_id"]))
+    rows = kept(seen.dropDuplicates(["tenant_id", "event_id"]).drop("received_at").join(events, ["tenant_id", "event_id"]))
     places = {c: F.max(F.when(F.col(c) != "", F.struct(order.alias("at"), F.col(c).alias("v")))).alias(c) for c in _TEXTS}
     own = checkpointed(
         rows.groupBy(*_LINE).agg(
@@ -165,6 +165,7 @@ def exact_fold(seen: DataFrame, events: DataFrame, merges: DataFrame) -> DataFra
     steps = before(steps, _LINE, ["by", "kind", "loser"], held).filter("is_merge")
     later = F.col("held").isNull() | (F.col("ts") > F.col("held"))
     taken = checkpointed(steps.withColumns({f"take_{c}": F.col(f"has_{c}") & (F.col(f"held_{c}").isNull() | (later if c in LAST else F.lit(False))) for c in _TEXTS}))
+    drop_kept(rows)
 
     # Per line and field: its own latest value, or the loser whose value it took last.
     picks = taken.groupBy(*_LINE).agg(*(F.max(F.when(F.col(f"take_{c}"), F.struct("by", "loser"))).alias(f"pick_{c}") for c in _TEXTS))

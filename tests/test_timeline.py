@@ -1,10 +1,12 @@
 import datetime as dt
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
 from meridia.operators import identity, profiles
+from meridia.sources.storage import shared_folder
 
 from replay import replayed
 from test_operators import AT, HOUR, envelopes
@@ -84,3 +86,28 @@ def test_a_hub_takes_few_jobs(spark, monkeypatch):
     history = identity.merge_history(identity.extract(envelopes(spark, rows)), None).collect()
     assert len(history) == n - 1 and {r.to_cluster_id for r in history} == {"c_e0"}
     assert len(made) < 25
+
+
+def _hub(spark, n):
+    rows = [{"user_id": f"u{i}", "traits": {"name": f"n{i}"}} for i in range(n)]
+    rows += [{"user_id": f"u{i * 7 % n}", "device_id": "d", "event_name": "order_completed"} for i in range(n)]
+    return envelopes(spark, rows).cache()
+
+
+def test_exact_profiles_of_a_hub_take_few_steps(spark, monkeypatch):
+    made, real = [], type(spark.range(0)).checkpoint
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda self, *a, **b: made.append(1) or real(self, *a, **b))
+    events = _hub(spark, 40)
+    got = profiles.exact_fold(profiles.observed(events), *identity.timeline(identity.extract(events))).collect()
+    assert [(r.cluster_id, r.trait_name, r.last_event_name, r.total_events, r.total_orders) for r in got] == [("c_e0", "n0", "order_completed", 80, 40)]
+    assert len(made) < 50
+
+
+def test_exact_fold_leaves_no_event_rows(spark):
+    """The events with all their values are dropped once they are folded; only the timeline, which the caller may read again, stays."""
+    events = _hub(spark, 4)
+    past = set(map(str, Path(shared_folder(spark).removeprefix("file:")).glob("kept-*")))
+    out = profiles.exact_fold(profiles.observed(events), *identity.timeline(identity.extract(events)))
+    assert out.count() == 1
+    left = [p for p in Path(shared_folder(spark).removeprefix("file:")).glob("kept-*") if str(p) not in past]
+    assert len(left) == 1
