@@ -111,3 +111,12 @@ def test_exact_fold_leaves_no_event_rows(spark):
     assert out.count() == 1
     left = [p for p in Path(shared_folder(spark).removeprefix("file:")).glob("kept-*") if str(p) not in past]
     assert len(left) == 1
+
+
+def test_feed_of_a_hub_takes_few_steps(spark, monkeypatch):
+    made, real = [], type(spark.range(0)).checkpoint
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda self, *a, **b: made.append(1) or real(self, *a, **b))
+    rows = identity.resolved_feed(identity.extract(_hub(spark, 40))).collect()
+    assert len(rows) == 80 and sum(r.merge_occurred for r in rows) == 39
+    assert {r.cluster_id for r in rows if int(r.event_id[1:]) >= 40} == {"c_e0"}
+    assert len(made) < 30
